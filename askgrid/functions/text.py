@@ -47,6 +47,12 @@ def identifier_tokens(value: Column) -> Column:
                     lambda token: ~token.isin(*fixed.STRUCTURAL_TOKENS))
 
 
+def distinct_identifier_tokens(value: Column) -> Column:
+    """Distinct tokens of an identifier; repeated words are stemmed once."""
+    stems = F.array_distinct(F.transform(F.array_distinct(raw_tokens(value)), stem))
+    return F.filter(stems, lambda token: ~token.isin(*fixed.STRUCTURAL_TOKENS))
+
+
 def question_tokens(value: Column) -> Column:
     """Tokens of a question: as identifiers, stop words dropped too."""
     return F.filter(identifier_tokens(value),

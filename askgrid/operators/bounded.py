@@ -33,3 +33,13 @@ def cut(rows: DataFrame) -> DataFrame:
     """Materialise a result that several later steps read, in the shared checkpoint folder."""
     ensure_checkpoint_dir(rows.sparkSession)
     return rows.checkpoint()
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Redistribute a scan that yields fewer splits than the session has cores.
+
+    A small file is one split and would leave the cores idle in text-heavy
+    work. A scan with enough splits, as on any large table, is left alone.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows

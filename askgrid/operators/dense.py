@@ -170,3 +170,30 @@ def score_pairs(pairs: DataFrame, questions: DataFrame, corpus: DataFrame,
                               ["question_id", "id"], "left")
             .withColumn("lexical", F.coalesce("lexical", F.lit(0.0)))
             .withColumn("score", fused(F.col("dense"), F.col("lexical"))))
+
+
+def score_all(questions: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(question_id, id, cosine) of the whole grid, for distribution diagnostics."""
+    spark = corpus.sparkSession
+
+    def scorer(ids, matrix):
+        shared = spark.sparkContext.broadcast((ids, matrix))
+
+        def score(batches):
+            question_ids, vectors = shared.value
+            for batch in batches:
+                if batch.empty:
+                    continue
+                cosine = np.round(np.array(batch["vector"].tolist(), dtype=np.float64) @ vectors.T,
+                                  COSINE_DIGITS)
+                yield pd.DataFrame({
+                    "question_id": np.tile(question_ids, len(batch)),
+                    "id": np.repeat(batch["id"].to_numpy(dtype=np.int64), len(question_ids)),
+                    "cosine": cosine.ravel()})
+
+        return score
+
+    rows = corpus.select("id", "vector")
+    parts = [rows.mapInPandas(scorer(ids, matrix), "question_id bigint, id bigint, cosine double")
+             for ids, matrix in _question_blocks(questions)]
+    return reduce(DataFrame.unionByName, parts)

@@ -35,7 +35,7 @@ def lexical_fields(records: DataFrame) -> DataFrame:
         F.lit("column").alias("field"), value.alias("value")))
     return (records.select("id", F.posexplode(F.concat(field, columns)).alias("position", "part"))
             .select("id", "position", "part.field",
-                    tx.identifier_tokens(F.col("part.value")).alias("tokens")))
+                    tx.distinct_identifier_tokens(F.col("part.value")).alias("tokens")))
 
 
 def lexical_scores(questions: DataFrame, records: DataFrame,
@@ -95,14 +95,13 @@ def bm25_contributions(questions: DataFrame, documents: DataFrame) -> DataFrame:
     terms = question_terms(questions)
     small = fits(terms, MAX_BROADCAST_ROWS)
     vocabulary = small_side(terms.select("term").distinct(), small)
-    size = documents.select(F.count(F.lit(1)))
-    mean_length = documents.select(F.sum("length") / F.count(F.lit(1)))
+    corpus = documents.agg(F.count(F.lit(1)).alias("size"), F.sum("length").alias("tokens"))
+    size = corpus.select("size")
+    mean_length = corpus.select(F.col("tokens") / F.col("size"))
     frequency = (documents.select("id", "length", F.explode("tokens").alias("term"))
                  .join(vocabulary, "term", "left_semi")
                  .groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf")))
-    document_frequency = (documents.select(F.explode(F.array_distinct("tokens")).alias("term"))
-                          .join(vocabulary, "term", "left_semi")
-                          .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    document_frequency = frequency.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighted = terms.join(document_frequency, "term").withColumn(
         "idf", F.log(1.0 + (size.scalar() - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     relative = F.col("length") / mean_length.scalar()

@@ -1,6 +1,6 @@
 """All registered queries, by family."""
 
 from askgrid.plans.registry import ORACLES, QUERIES
-from askgrid.plans import reporting_joins, reporting_aggregates, reporting_scalars, retrieval
+from askgrid.plans import reporting_joins, reporting_aggregates, reporting_scalars, retrieval, evaluation
 
 __all__ = ["ORACLES", "QUERIES"]

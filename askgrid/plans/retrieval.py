@@ -17,7 +17,7 @@ from askgrid.functions import fixed_values as fixed
 from askgrid.functions import text as tx
 from askgrid.operators import candidates as cand
 from askgrid.operators import dense, graph, lexical
-from askgrid.operators.bounded import cut
+from askgrid.operators.bounded import cut, spread
 from askgrid.plans import retrieval_sql as sql
 from askgrid.plans.registry import query
 
@@ -39,7 +39,7 @@ def corpus(t):
 
 def records(t):
     lines = F.split("text", "\n")
-    return t.documents.select(
+    return spread(t.documents, "doc_id").select(
         F.col("doc_id").alias("id"), F.concat_ws(" ", "source", "lang").alias("schema_text"),
         F.get(lines, F.lit(0)).alias("title"),
         F.slice(lines, F.lit(2), F.size(lines)).alias("columns"))

@@ -214,17 +214,16 @@ def rank_movement(t):
 
 
 @query("ranking_signature", sql.with_ctes(sql.DENSE, DENSE_RANKS, select="""
-SELECT question_id, id, CAST(rank AS INTEGER) AS rank, 'only in run' AS side FROM dense_rank
-WHERE rank <= 10 AND question_id IN (SELECT item_id FROM benchmark WHERE length(text) % 2 = 0)
-  AND false
-UNION ALL SELECT NULL, NULL, NULL, 'differences: 0'"""))
+SELECT question_id, count(*) AS compared, 0::BIGINT AS differences FROM dense_rank
+WHERE rank <= 10 GROUP BY question_id"""))
 def ranking_signature(t):
-    """Two runs of one ranking must be equal row by row; differences would be listed."""
-    first, again = [dense_ranking(t, 10).select("question_id", "id", "rank") for _ in range(2)]
-    only = first.exceptAll(again).withColumn("side", F.lit("only in run")).unionByName(
-        again.exceptAll(first).withColumn("side", F.lit("only in repeat")))
-    total = only.agg(F.concat(F.lit("differences: "), F.count(F.lit(1))).alias("side"))
-    return only.unionByName(total, allowMissingColumns=True)
+    """Two runs of one ranking compared row by row on (question, rank, member)."""
+    first, again = [dense_ranking(t, 10).select("question_id", "rank", "id", F.lit(side).alias("side"))
+                    for side in (1, -1)]
+    rows = first.unionByName(again).groupBy("question_id", "rank", "id").agg(
+        F.sum("side").alias("balance"))
+    return rows.groupBy("question_id").agg(
+        F.count(F.lit(1)).alias("compared"), F.count_if(F.col("balance") != 0).alias("differences"))
 
 
 @query("score_distribution", sql.with_ctes(CASE_CTES, sql.DENSE, select="""
@@ -302,28 +301,33 @@ def latency_percentiles(t):
         middle.select("event_type", F.round("median", 6).alias("median")), "event_type")
 
 
-@query("evidence_overlap", r"""
-WITH w AS (
-  SELECT DISTINCT item_id, lower(word) AS word FROM (
-    SELECT item_id, unnest(regexp_extract_all(regexp_replace(text, '([a-z0-9])([A-Z])', '\1 \2', 'g'),
-      '[A-Za-z][A-Za-z0-9]*')) AS word FROM benchmark)
+EVIDENCE_WORDS_SQL = r"""(SELECT DISTINCT {key}, lower(word) AS word FROM (
+    SELECT {key}, unnest(regexp_extract_all(regexp_replace({value}, '([a-z0-9])([A-Z])', '\1 \2', 'g'),
+      '[A-Za-z][A-Za-z0-9]*')) AS word FROM {table})
   WHERE length(word) > 2 AND lower(word) NOT IN ('the', 'and', 'for', 'from', 'with', 'each', 'show',
-    'all', 'that', 'their', 'report')),
-d AS (
-  SELECT DISTINCT doc_id, lower(word) AS word FROM (
-    SELECT doc_id, unnest(regexp_extract_all(regexp_replace(string_split(text, chr(10))[1],
-      '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[A-Za-z][A-Za-z0-9]*')) AS word FROM documents)
-  WHERE length(word) > 2 AND lower(word) NOT IN ('the', 'and', 'for', 'from', 'with', 'each', 'show',
-    'all', 'that', 'their', 'report'))
-SELECT item_id, doc_id, count(*) AS shared_words FROM w JOIN d USING (word)
-GROUP BY ALL HAVING count(*) >= 5""")
+    'all', 'that', 'their', 'report'))"""
+
+
+@query("evidence_overlap", sql.with_ctes(CASE_CTES, sql.DENSE, DENSE_RANKS, f"""
+asked AS {EVIDENCE_WORDS_SQL.format(key="item_id", value="text", table="benchmark")},
+held AS {EVIDENCE_WORDS_SQL.format(key="doc_id", value="string_split(text, chr(10))[1]", table="documents")},
+missed AS (SELECT e.question_id, e.id FROM expected e JOIN dense_rank d
+           ON d.question_id = e.question_id AND d.id = e.id WHERE d.rank > 10)""", select="""
+SELECT m.question_id, m.id, count(*) AS shared_words, string_agg(a.word, ',' ORDER BY a.word) AS words
+FROM missed m JOIN asked a ON a.item_id = m.question_id
+JOIN held h ON h.doc_id = m.id AND h.word = a.word GROUP BY ALL"""))
 def evidence_overlap(t):
-    """Question words that appear in a document's title; five or more count as evidence."""
-    asked = t.benchmark.select("item_id", F.explode(metrics.evidence_words(F.col("text"))).alias("word"))
-    title = t.documents.select("doc_id", F.explode(metrics.evidence_words(
-        F.get(F.split("text", "\n"), F.lit(0)))).alias("word"))
-    return (r.cand.broadcast_if_small(asked).join(title, "word").groupBy("item_id", "doc_id")
-            .agg(F.count(F.lit(1)).alias("shared_words")).where("shared_words >= 5"))
+    """For each missed expected member: question words its title does contain."""
+    missed = expected(t).join(dense_ranking(t, 10), ["question_id", "id"], "left_anti")
+    asked = t.benchmark.select(F.col("item_id").alias("question_id"),
+                               metrics.evidence_words(F.col("text")).alias("asked"))
+    held = t.documents.select(F.col("doc_id").alias("id"), metrics.evidence_words(
+        F.get(F.split("text", "\n"), F.lit(0))).alias("held"))
+    shared = F.array_sort(F.array_intersect("asked", "held"))
+    return (missed.join(asked, "question_id").join(held, "id")
+            .withColumn("shared", shared).where(F.size("shared") > 0)
+            .select("question_id", "id", F.size("shared").cast("bigint").alias("shared_words"),
+                    F.array_join("shared", ",").alias("words")))
 
 
 OUTCOME_CASES = """

@@ -32,25 +32,29 @@ def singular(token: Column) -> Column:
             .otherwise(token))
 
 
-def stem(token: Column) -> Column:
-    """Singular form with abbreviations spelled out."""
-    base = singular(token)
-    spelled = F.lit(None).cast("string")
-    for short, full in fixed.ABBREVIATIONS.items():
-        spelled = F.when(base == short, F.lit(full)).otherwise(spelled)
-    return F.coalesce(spelled, base)
+def spelled(token: Column) -> Column:
+    """Abbreviations written out."""
+    full = token
+    for short, word in fixed.ABBREVIATIONS.items():
+        full = F.when(token == short, F.lit(word)).otherwise(full)
+    return full
+
+
+def stems(tokens: Column) -> Column:
+    """Singular, spelled-out forms. Two steps, so that no step is evaluated twice per token."""
+    return F.transform(F.transform(tokens, singular), spelled)
 
 
 def identifier_tokens(value: Column) -> Column:
     """Tokens of an identifier: stemmed, structural tokens dropped."""
-    return F.filter(F.transform(raw_tokens(value), stem),
+    return F.filter(stems(raw_tokens(value)),
                     lambda token: ~token.isin(*fixed.STRUCTURAL_TOKENS))
 
 
 def distinct_identifier_tokens(value: Column) -> Column:
     """Distinct tokens of an identifier; repeated words are stemmed once."""
-    stems = F.array_distinct(F.transform(F.array_distinct(raw_tokens(value)), stem))
-    return F.filter(stems, lambda token: ~token.isin(*fixed.STRUCTURAL_TOKENS))
+    return F.filter(F.array_distinct(stems(F.array_distinct(raw_tokens(value)))),
+                    lambda token: ~token.isin(*fixed.STRUCTURAL_TOKENS))
 
 
 def question_tokens(value: Column) -> Column:

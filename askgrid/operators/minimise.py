@@ -77,39 +77,55 @@ WITHHELD = "[REDACTED_SENSITIVE_TEXT]"
 
 UNICODE = "(?U)"
 
-# A line without any of these can match no replacement, so the long list is skipped.
-TRIGGERS = (r"(?i)https?://|@|09\d|[؀-ۿ]|[A-Za-z0-9+/=_-]{48}|[0-9a-f]{8}-|exception|object reference"
-            r"|sequence contains|invalid object|could not use|resolution|object invoked|wait operation"
-            r"|calling constructor|value cannot|master calculation|\(number|\bID\s*[:：]|\.{4}|[ \t]{2}")
-
-
-def _kept(line: Column) -> Column:
-    """The line without machine content; '' for a blank line, NULL when dropped."""
-    stripped = F.regexp_replace(line, UNICODE + r"^\s+|\s+$", "")
-    dropped = F.lit(False)
-    for pattern in DROPPED_LINES:
-        dropped = dropped | stripped.rlike(UNICODE + pattern)
-    starts = F.lit(False)
-    for start in PAYLOAD_STARTS:
-        starts = starts | stripped.startswith(start)
-    escapes = F.size(F.split(stripped, r'\\"')) - 1
-    payload = (F.length(stripped) > PAYLOAD_LENGTH) & (
-        starts | (escapes > 3) | stripped.rlike(PAYLOAD_RUN))
-    cleaned = stripped
-    triggered = stripped.rlike(UNICODE + TRIGGERS)
+# Literal words, in lower case, without which no rule above can match. Most
+# lines hold none of them and skip the long pattern lists.
+DROP_HINTS = ("]", "token", "authorization", "password", "pwd", "acuho", "cookie", "session", "api",
+              "error", "message", "traceback", "exception", "at ", "http/", ":")
+REPLACE_HINTS = ("http", "@", "09", "exception", "object", "sequence contains", "could not use",
+                 "resolution", "wait operation", "calling constructor", "value cannot",
+                 "master calculation", "(number", ":", "：", "-", "....", "  ", "\t")
+REPLACE_SHAPES = r"[؀-ۿ]|[A-Za-z0-9+/=_-]{48}"
+BLANK = "\u0000"
+
+
+def _any(conditions) -> Column:
+    result = F.lit(False)
+    for condition in conditions:
+        result = result | condition
+    return result
+
+
+def _dropped(line: Column) -> Column:
+    hinted = _any(F.lower(line).contains(hint) for hint in DROP_HINTS)
+    matches = _any(line.rlike(UNICODE + pattern) for pattern in DROPPED_LINES)
+    escapes = (F.length(line) - F.length(F.replace(line, F.lit('\\"'), F.lit("")))) / 2
+    payload = (F.length(line) > PAYLOAD_LENGTH) & (
+        _any(line.startswith(start) for start in PAYLOAD_STARTS) | (escapes > 3)
+        | line.rlike(PAYLOAD_RUN))
+    return (hinted & matches) | payload
+
+
+def _redacted(line: Column) -> Column:
+    cleaned = line
     for pattern, replacement in REPLACEMENTS:
         cleaned = F.regexp_replace(cleaned, UNICODE + pattern, replacement)
-    cleaned = F.when(triggered, cleaned).otherwise(stripped)
-    cleaned = F.regexp_replace(cleaned, f"^[{TRIMMED}]+|[{TRIMMED}]+$", "")
-    return (F.when(stripped == "", F.lit("")).when(dropped | payload, F.lit(None))
-            .when(cleaned == "", F.lit(None)).otherwise(cleaned))
+    hinted = _any(F.lower(line).contains(hint) for hint in REPLACE_HINTS) | line.rlike(REPLACE_SHAPES)
+    return F.when(hinted, cleaned).otherwise(line)
 
 
 def minimise(value: Column) -> Column:
-    """Business wording of a text; blank runs become one blank line."""
+    """Business wording of a text; blank runs become one blank line.
+
+    One array step per stage, so that no stage is evaluated more than once.
+    """
     unified = F.regexp_replace(nfkc(value), "\r\n|\r", "\n")
-    lines = F.filter(F.transform(F.split(unified, LINE_BREAKS), _kept),
-                     lambda line: line.isNotNull())
+    stripped = F.transform(F.split(unified, LINE_BREAKS),
+                           lambda line: F.regexp_replace(line, UNICODE + r"^\s+|\s+$", ""))
+    kept = F.filter(stripped, lambda line: (line == "") | ~_dropped(line))
+    marked = F.transform(kept, lambda line: F.when(line == "", F.lit(BLANK)).otherwise(
+        F.regexp_replace(_redacted(line), f"^[{TRIMMED}]+|[{TRIMMED}]+$", "")))
+    lines = F.transform(F.filter(marked, lambda line: line != ""),
+                        lambda line: F.when(line == BLANK, F.lit("")).otherwise(line))
     joined = F.array_join(lines, "\n")
     return F.regexp_replace(F.regexp_replace(joined, "\n{3,}", "\n\n"), "^\n+|\n+$", "")
 

@@ -15,10 +15,17 @@ from pyspark.sql import functions as F
 
 from askgrid.functions import fixed_values as fixed
 from askgrid.functions import text as tx
-from askgrid.operators.bounded import MAX_BROADCAST_ROWS, fits, small_side
+from askgrid.operators.bounded import MAX_BROADCAST_ROWS, cut, fits, small_side
 
 SCORE_DIGITS = 9
 
+# Positions of the title and the schema among the fields of a record.
+TITLE, SCHEMA = 0, 1
+
+# Stands for the document itself among its postings, so that one pass over the
+# texts yields the postings, the corpus size and the mean length.
+DOCUMENT_MARK = ""
+
 
 def question_terms(questions: DataFrame) -> DataFrame:
     """(question_id, term, query_frequency)."""
@@ -27,15 +34,11 @@ def question_terms(questions: DataFrame) -> DataFrame:
 
 
 def lexical_fields(records: DataFrame) -> DataFrame:
-    """One row per (record, field): tokens of the title, the schema and each column."""
-    field = F.array(
-        F.struct(F.lit("table").alias("field"), F.col("title").alias("value")),
-        F.struct(F.lit("schema").alias("field"), F.col("schema_text").alias("value")))
-    columns = F.transform("columns", lambda value: F.struct(
-        F.lit("column").alias("field"), value.alias("value")))
-    return (records.select("id", F.posexplode(F.concat(field, columns)).alias("position", "part"))
-            .select("id", "position", "part.field",
-                    tx.distinct_identifier_tokens(F.col("part.value")).alias("tokens")))
+    """One row per (record, position): tokens of the title, the schema and each column."""
+    parts = F.concat(F.array("title", "schema_text"), F.col("columns"))
+    return (records.select("id", F.posexplode(parts).alias("position", "part"))
+            .select("id", "position",
+                    tx.distinct_identifier_tokens(F.col("part")).alias("tokens")))
 
 
 def lexical_scores(questions: DataFrame, records: DataFrame,
@@ -48,19 +51,20 @@ def lexical_scores(questions: DataFrame, records: DataFrame,
     terms = small_side(asked, fits(asked, MAX_BROADCAST_ROWS))
     fields = lexical_fields(records)
     if extra_tokens is not None:
-        title = F.col("field") == "table"
+        title = F.col("position") == TITLE
         fields = (fields.join(extra_tokens.select("id", F.col("tokens").alias("extra")), "id", "left")
                   .withColumn("tokens", F.when(title & F.col("extra").isNotNull(),
                                                F.concat("tokens", "extra")).otherwise(F.col("tokens")))
                   .drop("extra"))
-    hits = (fields.select("id", "position", "field", F.explode(F.array_distinct("tokens")).alias("term"))
+    place = F.col("position")
+    hits = (fields.select("id", "position", F.explode(F.array_distinct("tokens")).alias("term"))
             .join(terms, "term")
-            .groupBy("question_id", "id", "field", "position")
+            .groupBy("question_id", "id", "position")
             .agg(F.least(F.lit(1.0), F.sum(tx.token_weight(F.col("term")))).alias("match")))
     by_pair = hits.groupBy("question_id", "id").agg(
-        F.coalesce(F.max(F.when(F.col("field") == "table", F.col("match"))), F.lit(0.0)).alias("title"),
-        F.coalesce(F.max(F.when(F.col("field") == "schema", F.col("match"))), F.lit(0.0)).alias("schema"),
-        F.sort_array(F.collect_list(F.when(F.col("field") == "column", F.col("match"))), asc=False)
+        F.coalesce(F.max(F.when(place == TITLE, F.col("match"))), F.lit(0.0)).alias("title"),
+        F.coalesce(F.max(F.when(place == SCHEMA, F.col("match"))), F.lit(0.0)).alias("schema"),
+        F.sort_array(F.collect_list(F.when(place > SCHEMA, F.col("match"))), asc=False)
         .alias("columns"))
     weights = F.array(*[F.lit(weight) for weight in fixed.COLUMN_WEIGHTS])
     best = F.slice("columns", 1, len(fixed.COLUMN_WEIGHTS))
@@ -94,13 +98,18 @@ def bm25_contributions(questions: DataFrame, documents: DataFrame) -> DataFrame:
     """
     terms = question_terms(questions)
     small = fits(terms, MAX_BROADCAST_ROWS)
-    vocabulary = small_side(terms.select("term").distinct(), small)
-    corpus = documents.agg(F.count(F.lit(1)).alias("size"), F.sum("length").alias("tokens"))
+    vocabulary = terms.select("term").distinct()
+    marked = F.array_append("tokens", F.lit(DOCUMENT_MARK))
+    wanted = vocabulary.unionByName(terms.sparkSession.range(1).select(
+        F.lit(DOCUMENT_MARK).alias("term")))
+    postings = cut(documents.select("id", "length", F.explode(marked).alias("term"))
+                   .join(small_side(wanted, small), "term", "left_semi")
+                   .groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf")))
+    corpus = postings.where(F.col("term") == DOCUMENT_MARK).agg(
+        F.count(F.lit(1)).alias("size"), F.sum("length").alias("tokens"))
     size = corpus.select("size")
     mean_length = corpus.select(F.col("tokens") / F.col("size"))
-    frequency = (documents.select("id", "length", F.explode("tokens").alias("term"))
-                 .join(vocabulary, "term", "left_semi")
-                 .groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf")))
+    frequency = postings.where(F.col("term") != DOCUMENT_MARK)
     document_frequency = frequency.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighted = terms.join(document_frequency, "term").withColumn(
         "idf", F.log(1.0 + (size.scalar() - F.col("df") + 0.5) / (F.col("df") + 0.5)))
@@ -130,6 +139,7 @@ def saturation(scores: DataFrame, column: str, corpus_size: DataFrame) -> DataFr
     ``scores`` holds the positive scores only; the remaining documents of the
     corpus score zero. ``corpus_size`` is a one-cell frame.
     """
+    scores = cut(scores)
     top = scores.groupBy("question_id").agg(F.max(column).alias("maximum"))
     counted = (scores.join(top, "question_id").groupBy("question_id").agg(
         F.max("maximum").alias("maximum"),

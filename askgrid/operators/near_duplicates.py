@@ -58,15 +58,20 @@ def nodes_and_members(prepared: DataFrame) -> tuple[DataFrame, DataFrame, DataFr
             members.select("node", "label").distinct())
 
 
-def _prefixes(nodes: DataFrame, threshold: float) -> DataFrame:
-    """(word, node, size): the rarest words that any match at the threshold must share."""
+def _prefix_length(threshold: float) -> Column:
+    """How many of its rarest words a set must offer so that any match shares one."""
+    return F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - 1e-9) + 1
+
+
+def _rare_words(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(word, node, size, position): words of each set from rare to frequent, prefix only."""
     exploded = nodes.select("node", F.size("words").alias("size"), F.explode("words").alias("word"))
     frequency = exploded.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     ranked = attach_by_key(exploded, frequency, ["word"], "df")
     w = Window.partitionBy("node").orderBy("df", "word")
-    length = F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - 1e-9) + 1
-    return (ranked.withColumn("position", F.row_number().over(w)).where(F.col("position") <= length)
-            .select("word", "node", "size"))
+    return (ranked.withColumn("position", F.row_number().over(w))
+            .where(F.col("position") <= _prefix_length(threshold))
+            .select("word", "node", "size", "position"))
 
 
 def _similarity(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -158,8 +163,10 @@ def node_links(nodes: DataFrame, labels: DataFrame, large: int = LARGE_BUCKET) -
     """(left, right, jaccard, reason) between nodes."""
     high, low = fixed.NEAR_DUPLICATE_JACCARD, fixed.SAME_LABEL_JACCARD
     nodes = cut(nodes)
-    close = _candidates(_prefixes(nodes, high), ["word"], nodes, high, large)
-    labelled = _prefixes(nodes, low).join(labels, "node")
+    rare = cut(_rare_words(nodes, low))
+    short = rare.where(F.col("position") <= _prefix_length(high)).drop("position")
+    close = _candidates(short, ["word"], nodes, high, large)
+    labelled = rare.drop("position").join(labels, "node")
     same = _candidates(labelled, ["word", "label"], nodes, low, large)
     measured = cut(_similarity(close.unionByName(same).distinct(), nodes)
                    .where(F.col("jaccard") >= low - 1e-12))

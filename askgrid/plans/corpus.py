@@ -51,7 +51,8 @@ RECURSIVE_SETS = SETS.replace("WITH base", "WITH RECURSIVE base", 1)
 
 
 def texts(t):
-    return t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("label"), "text")
+    return spread(t.documents, "doc_id").select(
+        F.col("doc_id").alias("id"), F.col("source").alias("label"), "text")
 
 
 def clustered(t):
@@ -181,7 +182,8 @@ def minimise_text(t):
 @query("minimisation_changes")
 def minimisation_changes(t):
     """Change log: one row per (id, field) whose text changed."""
-    return (spread(t.documents, "doc_id").withColumn("minimised", minimise(F.col("text")))
+    once = F.inline(F.array(F.struct(minimise(F.col("text")).alias("minimised"))))
+    return (spread(t.documents, "doc_id").select("doc_id", "text", once)
             .where(~F.col("text").eqNullSafe(F.col("minimised")))
             .select("doc_id", F.lit("text").alias("field"),
                     F.sha2("text", 256).alias("before_sha256"),
@@ -194,4 +196,4 @@ SELECT doc_id, sha256(CASE WHEN regexp_matches(text,
   THEN '[REDACTED_SENSITIVE_TEXT]' ELSE text END) AS text_sha256 FROM documents""")
 def redact_secrets_query(t):
     """Whole-field suppression of texts with credentials."""
-    return t.documents.select("doc_id", F.sha2(redact_secrets(F.col("text")), 256).alias("text_sha256"))
+    return spread(t.documents, "doc_id").select("doc_id", F.sha2(redact_secrets(F.col("text")), 256).alias("text_sha256"))

@@ -1,7 +1,7 @@
 """All registered queries, by family."""
 
 from askgrid.plans.registry import ORACLES, QUERIES
-from askgrid.plans import reporting_joins, reporting_aggregates, reporting_scalars, retrieval, evaluation, corpus, guarded, catalogue
+from askgrid.plans import reporting_joins, reporting_aggregates, reporting_scalars, retrieval, evaluation, corpus, guarded, catalogue, streamed
 
 __all__ = ["ORACLES", "QUERIES"]
 

@@ -121,12 +121,13 @@ def fitting(items: Column, prefix_tokens: int, budget: int) -> Column:
 
 
 def normalized_unique(values: Column, excluded: Column) -> Column:
-    """Whitespace-collapsed, case-insensitively distinct captions in folded order."""
+    """Whitespace-collapsed, case-insensitively distinct captions in folded order, first spelling kept."""
     collapsed = F.filter(F.transform(values, lambda v: F.trim(F.regexp_replace(v, r"\s+", " "))),
                          lambda v: v != "")
-    keyed = F.array_sort(F.transform(collapsed, lambda v: F.struct(F.lower(v).alias("k"), v.alias("v"))))
+    keyed = F.array_sort(F.transform(collapsed, lambda v, i: F.struct(
+        F.lower(v).alias("k"), i.alias("i"), v.alias("v"))))
     banned = F.transform(excluded, F.lower)
-    start = F.array().cast("array<struct<k:string,v:string>>")
+    start = F.array().cast("array<struct<k:string,i:int,v:string>>")
     distinct = F.aggregate(keyed, start, lambda kept, item: F.when(
         F.array_contains(F.transform(kept, lambda x: x["k"]), item["k"])
         | F.array_contains(banned, item["k"]), kept).otherwise(F.concat(kept, F.array(item))))

@@ -29,26 +29,38 @@ class Execution:
 
 
 def run_with_timeout(spark: SparkSession, action, seconds: float):
-    """Run an action; its jobs are interrupted by tag when the time is up."""
+    """Run an action; from the deadline on its jobs are interrupted by tag.
+
+    The interrupt is repeated until the action ends, since a query may start
+    further jobs after the first interrupt.
+    """
     tag = f"askgrid-{uuid.uuid4().hex}"
-    expired = threading.Event()
+    finished, expired = threading.Event(), threading.Event()
 
-    def interrupt():
+    def watch():
+        if finished.wait(seconds):
+            return
         expired.set()
-        spark.interruptTag(tag)
+        while not finished.is_set():
+            spark.interruptTag(tag)
+            finished.wait(0.2)
 
-    timer = threading.Timer(seconds, interrupt)
     spark.addTag(tag)
-    timer.start()
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
     try:
-        return action()
+        result = action()
     except Exception as exc:
         if expired.is_set():
             raise TimeoutError("Query timed out") from exc
         raise
     finally:
-        timer.cancel()
+        finished.set()
+        watcher.join()
         spark.removeTag(tag)
+    if expired.is_set():
+        raise TimeoutError("Query timed out")
+    return result
 
 
 def execute(spark: SparkSession, text: str, known_tables: list[str], values: dict | None = None,

@@ -75,7 +75,7 @@ def _batch_scorer(spark, ids: np.ndarray, matrix: np.ndarray, k: int, mode: str)
             cosine = np.round(corpus @ vectors.T, COSINE_DIGITS)
             dense = np.round(np.clip((cosine + 1.0) / 2.0, 0.0, 1.0), SCORE_DIGITS)
             lexical = np.zeros_like(dense)
-            if mode == "fused":
+            if mode in ("fused", "pooled fused"):
                 for row, (asked, scores) in enumerate(zip(batch["asked"], batch["scores"])):
                     if asked is None:
                         continue
@@ -93,7 +93,7 @@ def _batch_scorer(spark, ids: np.ndarray, matrix: np.ndarray, k: int, mode: str)
             for column, question in enumerate(question_ids):
                 order = np.lexsort((part_ids, -row_ids, -dense[:, column], -total[:, column]))
                 chosen = order
-                if mode == "pooled":
+                if mode in ("pooled", "pooled fused"):
                     _, first = np.unique(row_ids[order], return_index=True)
                     chosen = order[np.sort(first)]
                 chosen = chosen[:k]
@@ -127,17 +127,42 @@ def dense_top(questions: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     return _ranked(_score(questions, rows, k, "dense"), k)
 
 
+def _best_parts(scored: DataFrame, k: int) -> DataFrame:
+    """Each parent with its best chunk, the lowest chunk on equal scores; then the Top-k."""
+    best = scored.groupBy("question_id", "id").agg(
+        F.max_by(F.struct("part_id", "cosine", "dense", "lexical", "score"),
+                 F.struct("score", -F.col("part_id"))).alias("b"))
+    return _ranked(best.select("question_id", "id", "b.*"), k)
+
+
 def pooled_top(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """Best k parents per question, a parent scoring as its best chunk.
 
     ``chunks``: (id of the parent, part_id of the chunk, vector). ``part_id``
-    of the result is the winning chunk, the lowest one on equal scores.
+    of the result is the winning chunk.
     """
-    scored = _score(questions, chunks.select("id", "part_id", "vector"), k, "pooled")
-    best = scored.groupBy("question_id", "id").agg(
-        F.max_by(F.struct("part_id", "cosine", "dense", "lexical", "score"),
-                 F.struct("score", -F.col("part_id"))).alias("b"))
-    return _ranked(best.select("question_id", "id", "b.*"), k)
+    return _best_parts(_score(questions, chunks.select("id", "part_id", "vector"), k, "pooled"), k)
+
+
+def _with_lexical(rows: DataFrame, lexical: DataFrame) -> DataFrame:
+    per_document = lexical.groupBy("id").agg(
+        F.collect_list(F.struct("question_id", "lexical")).alias("pairs"))
+    return rows.join(per_document, "id", "left").select(
+        "id", "part_id", "vector", F.col("pairs.question_id").alias("asked"),
+        F.col("pairs.lexical").alias("scores"))
+
+
+def pooled_hybrid_top(questions: DataFrame, chunks: DataFrame, lexical: DataFrame,
+                      k: int) -> DataFrame:
+    """Best k parents by weighted best-chunk and lexical score."""
+    return _best_parts(_score(questions, _with_lexical(chunks, lexical), k, "pooled fused"), k)
+
+
+def score_pooled_pairs(pairs: DataFrame, questions: DataFrame, chunks: DataFrame,
+                       lexical: DataFrame) -> DataFrame:
+    """(question_id, id, dense, lexical, score) of given (question, parent) pairs."""
+    return score_pairs(pairs, questions, chunks, lexical).groupBy("question_id", "id").agg(
+        F.max("dense").alias("dense"), F.max("lexical").alias("lexical"), F.max("score").alias("score"))
 
 
 def hybrid_top(questions: DataFrame, corpus: DataFrame, lexical: DataFrame, k: int) -> DataFrame:
@@ -146,11 +171,7 @@ def hybrid_top(questions: DataFrame, corpus: DataFrame, lexical: DataFrame, k: i
     Lexical scores (question_id, id, lexical) are sparse; they are gathered per
     document, so the full question by document grid never leaves a batch.
     """
-    per_document = lexical.groupBy("id").agg(
-        F.collect_list(F.struct("question_id", "lexical")).alias("pairs"))
-    rows = corpus.join(per_document, "id", "left").select(
-        "id", F.col("id").alias("part_id"), "vector",
-        F.col("pairs.question_id").alias("asked"), F.col("pairs.lexical").alias("scores"))
+    rows = _with_lexical(corpus.withColumn("part_id", F.col("id")), lexical)
     return _ranked(_score(questions, rows, k, "fused"), k)
 
 

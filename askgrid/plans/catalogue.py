@@ -456,6 +456,42 @@ def compact_columns(t):
     return ch.spaced_columns(rows, 120)
 
 
+@query("compact_representation", catalog_sql("""
+labels AS (
+  SELECT schema || '.' || name AS id, label, row_number() OVER (PARTITION BY schema, name ORDER BY label) AS i
+  FROM (SELECT DISTINCT lower(n_name) AS schema, replace(p_brand, '#', '') || 'Supply' AS name, p_name AS label
+        FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey
+        JOIN part ON p_partkey = l_partkey)),
+kept AS (SELECT id, string_agg(label, '; ' ORDER BY i) FILTER (i <= 9) AS body, least(9, count(*)) AS included,
+         count(*) - least(9, count(*)) AS omitted FROM labels GROUP BY id),
+reps AS (SELECT id, included, omitted, 'Identity: fully-qualified table ' || id || '; physical table '
+  || split_part(id, '.', 2) || '; schema ' || split_part(id, '.', 1) || chr(10) || 'Table labels: ' || body
+  AS text FROM kept)""", select="""
+SELECT id, included, omitted, text, sha256(text) AS text_sha256 FROM reps"""))
+def compact_representation(t):
+    """Identity and labels within a word budget, with what was kept, left out, and a hash.
+
+    Labels per table are bounded by the distinct part names.
+    """
+    pairs = t.lineitem.select("l_suppkey", "l_partkey").distinct()
+    named = (pairs.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"))
+             .join(t.nation, F.col("n_nationkey") == F.col("s_nationkey"))
+             .join(t.part, F.col("p_partkey") == F.col("l_partkey"))
+             .select(F.lower("n_name").alias("schema"), F.concat(
+                 F.regexp_replace("p_brand", "#", ""), F.lit("Supply")).alias("name"), "p_name")
+             .groupBy("schema", "name").agg(F.collect_set("p_name").alias("labels")))
+    banned = F.array(full_name(), F.col("name"), F.col("schema"))
+    unique = named.withColumn("labels", ch.normalized_unique(F.col("labels"), banned))
+    kept = unique.withColumn("kept", ch.fitting(F.col("labels"), 2, 20))
+    text = F.concat(F.lit("Identity: fully-qualified table "), full_name(), F.lit("; physical table "),
+                    "name", F.lit("; schema "), "schema", F.lit("\nTable labels: "),
+                    F.when(F.size("kept") > 0, F.array_join("kept", "; ")).otherwise("None"))
+    return kept.select(
+        full_name().alias("id"), F.size("kept").cast("bigint").alias("included"),
+        (F.size("labels") - F.size("kept")).cast("bigint").alias("omitted"), text.alias("text"),
+        F.sha2(text, 256).alias("text_sha256"))
+
+
 @query("truncation_coverage", r"""
 SELECT doc_id, tokens, retained, CAST(e AS INTEGER) AS retained_end, tokens > 254 AS truncated,
   round(100.0::DOUBLE * e / nullif(length(text), 0), 4) AS covered_percent,

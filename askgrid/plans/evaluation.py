@@ -385,3 +385,35 @@ def outcome_mapping(t):
     return (t.events.select(stage.alias("stage"), code.alias("code"))
             .groupBy("stage", metrics.outcome(F.col("stage"), F.col("code")).alias("outcome"))
             .agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("saturation_aggregate", sql.with_ctes(*r.LEXICAL_CTES, sql.bm25(), "\nsat AS (" +
+                                             r.SATURATION_SELECT.format(source="bm25") + ")", select="""
+SELECT count(*) AS questions, round(avg(at_maximum), 6) AS mean_ties,
+       round(avg(near_maximum), 6) AS mean_near_maximum, round(avg(top_spread), 6) AS mean_spread
+FROM sat"""))
+def saturation_aggregate(t):
+    """Mean ties, near-maximum rows and spread of a lexical scorer over all questions."""
+    per_question = r.lexical.saturation(r.bm25_for(t), "lexical",
+                                        t.documents.select(F.count(F.lit(1))))
+    return per_question.agg(
+        F.count(F.lit(1)).alias("questions"), F.round(F.avg("at_maximum"), 6).alias("mean_ties"),
+        F.round(F.avg("near_maximum"), 6).alias("mean_near_maximum"),
+        F.round(F.avg("top_spread"), 6).alias("mean_spread"))
+
+
+@query("decision_status", """
+SELECT event_id, status FROM (
+  SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'resolved' END AS status FROM events
+  UNION ALL SELECT event_id, CASE WHEN event_type IN ('view', 'click') OR value < 3 THEN 'pending' END FROM events
+  UNION ALL SELECT event_id, CASE WHEN event_type = 'error' THEN 'replacement' END FROM events
+  UNION ALL SELECT event_id, CASE WHEN event_type IN ('view', 'click', 'error') OR value < 3 THEN 'blocker' END
+  FROM events) WHERE status IS NOT NULL""")
+def decision_status(t):
+    """Cases under each decision status, one row per case and status it has."""
+    kind, small = F.col("event_type"), F.col("value") < 3
+    pending = kind.isin("view", "click") | small
+    labels = F.array_compact(F.array(
+        F.when(kind == "purchase", "resolved"), F.when(pending, "pending"),
+        F.when(kind == "error", "replacement"), F.when(pending | (kind == "error"), "blocker")))
+    return t.events.select("event_id", F.explode(labels).alias("status"))

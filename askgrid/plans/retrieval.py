@@ -349,6 +349,52 @@ def chunk_max_pool(t):
         "question_id", "id", F.col("part_id").alias("winning_chunk"), "cosine", "rank")
 
 
+CHUNK_CORPUS = """
+c AS (SELECT DISTINCT vec_id // 4 AS id FROM embeddings)"""
+CHUNK_CTES = (*LEXICAL_CTES, sql.lexical(), sql.DENSE.replace("c AS", "unused AS").replace(
+    "dense AS", "whole AS").replace("FROM q, c", "FROM q, unused"), CHUNK_SQL, CHUNK_CORPUS,
+    "\ndense AS (SELECT question_id, id, cosine, dense FROM pooled)", sql.hybrid())
+
+
+@query("chunked_hybrid", sql.with_ctes(*CHUNK_CTES, select=HYBRID_SELECT))
+def chunked_hybrid(t):
+    """Best-chunk dense score with the lexical score of the document."""
+    return dense.pooled_hybrid_top(questions_with_vectors(t), chunks(t), lexical_for(t),
+                                   fixed.FINAL_DEPTH).select(*HYBRID_COLUMNS)
+
+
+@query("chunked_graph", sql.with_ctes(*CHUNK_CTES, sql.EDGES, sql.reached(), sql.expansion(),
+                                      select=GRAPH_SELECT))
+def chunked_graph(t):
+    asked, parts, scores = questions_with_vectors(t), chunks(t), cut(lexical_for(t))
+    seeds = cut(dense.pooled_hybrid_top(asked, parts, scores, fixed.SEED_COUNT))
+    pairs = partial(dense.score_pooled_pairs, questions=asked, chunks=parts, lexical=scores)
+    edges = relations(t, parts.select("id").distinct())
+    return graph.expand(seeds, edges, pairs, fixed.FINAL_DEPTH).select(*GRAPH_COLUMNS)
+
+
+ALIAS_TUPLES = f"""
+tuples AS (
+  SELECT id, role, list_filter(list_transform(list_transform(list_filter({sql.words('value')},
+      lambda w: w <> ''), lambda w: {sql.singular('w')}), lambda w: {sql.spelled('w')}),
+      lambda w: w NOT IN ({sql.quoted(fixed.STRUCTURAL_TOKENS)})) AS tokens
+  FROM (SELECT conv_id AS id, role, string_split(text, chr(10))[1] AS value FROM conversations))"""
+
+
+@query("alias_records", "WITH" + ALIAS_TUPLES + """
+SELECT id, array_to_string(tokens, ' ') AS token_key, count(*) AS occurrences,
+       string_agg(DISTINCT role, ',' ORDER BY role) AS source_categories
+FROM tuples WHERE len(tokens) > 0 GROUP BY ALL""")
+def alias_records(t):
+    """Captions deduplicated by their ordered token tuple, source categories merged."""
+    tokens = tx.identifier_tokens(F.get(F.split("text", "\n"), F.lit(0)))
+    return (t.conversations.select(F.col("conv_id").alias("id"), "role",
+                                   F.array_join(tokens, " ").alias("token_key"))
+            .where("token_key <> ''").groupBy("id", "token_key").agg(
+        F.count(F.lit(1)).alias("occurrences"),
+        F.array_join(F.array_sort(F.collect_set("role")), ",").alias("source_categories")))
+
+
 @query("shared_query_two_indexes", sql.with_ctes(sql.DENSE, """
 second AS (SELECT question_id, supplier, id, round(list_dot_product(v, qv), 9) AS cosine
   FROM q, (SELECT doc_id AS id, CAST(embedding AS DOUBLE[]) AS v, 1 AS supplier FROM documents

@@ -48,3 +48,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     fallback = os.path.join(tempfile.mkdtemp(prefix="askgrid-checkpoint-"))
     context.setCheckpointDir(fallback)
     return fallback
+
+
+def probe(spark: SparkSession) -> dict[str, str]:
+    """Where a session is connected to."""
+    row = spark.sql("SELECT current_catalog() AS catalog, current_database() AS database, "
+                    "version() AS version").first()
+    return row.asDict()

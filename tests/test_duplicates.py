@@ -77,6 +77,7 @@ def brute_force(rows):
 @pytest.mark.parametrize("large", [2000, 6])
 def test_clusters_equal_all_pairs(spark, large, monkeypatch):
     monkeypatch.setattr(dup, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(dup, "PIVOT_ROUNDS", 1)
     rows = corpus(4)
     frame = spark.createDataFrame(rows, "id bigint, label string, text string")
     nodes, members, labels = dup.nodes_and_members(dup.prepared_texts(frame))

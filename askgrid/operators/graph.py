@@ -22,6 +22,13 @@ def adjacency(links: DataFrame, indexed: DataFrame) -> DataFrame:
             .select("src", "dst"))
 
 
+def touching(links: DataFrame, seeds: DataFrame, end: str) -> DataFrame:
+    """Links whose ``end`` is a seed: one hop needs no other, so the rest is never shuffled."""
+    ids = seeds.select(F.col("id").alias(end)).distinct()
+    return links.join(small_side(ids, fits(seeds, MAX_BROADCAST_ROWS)), end, "left_semi").select(
+        "src", "dst")
+
+
 def seed_edges(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges leaving the seeds: (question_id, id, source, seed_rank, signal)."""
     signal = F.round(F.col("score") / F.log2(F.col("rank") + F.lit(1)), SIGNAL_DIGITS)

@@ -44,7 +44,7 @@ def running_sum(rows: DataFrame, keys: list[str], order: list[str], bucket: Colu
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str,
               right_time: str, right_order: list[str], values: list[str],
-              bucket=lambda time: F.trunc(time, "MM")) -> DataFrame:
+              bucket=F.to_date) -> DataFrame:
     """Attach to each left row the last right row at or before its time.
 
     ``values`` of the right row (time included if named) are added; they are

@@ -1,7 +1,7 @@
 """Retrieval metrics.
 
 A case is one question. Its expected members are the documents of quality 1
-whose vector carries the label of the question's vector. Rankings come from
+that ``lineitem`` relates to it (part to supplier). Rankings come from
 the retrieval operators; metrics are joins and aggregates over (case, rank)
 rows, so no per-case list is ever gathered.
 """
@@ -26,8 +26,9 @@ cases AS (
          CASE WHEN label < 9 THEN 'domain ' || label END AS domain
   FROM benchmark JOIN embeddings ON vec_id = item_id),
 expected AS (
-  SELECT question_id, doc_id AS id FROM cases JOIN embeddings e USING (label)
-  JOIN labels ON doc_id = vec_id WHERE quality = 1 AND doc_id <> question_id)"""
+  SELECT DISTINCT l_partkey AS question_id, l_suppkey AS id FROM lineitem
+  JOIN labels ON doc_id = l_suppkey
+  WHERE quality = 1 AND l_suppkey <> l_partkey AND l_partkey IN (SELECT question_id FROM cases))"""
 
 DENSE_RANKS = """
 dense_rank AS (SELECT question_id, id, cosine, row_number() OVER (
@@ -44,10 +45,13 @@ def cases(t):
 
 
 def expected(t):
-    good = t.labels.where("quality = 1").select("doc_id").join(
-        t.embeddings.select("vec_id", "label"), F.col("vec_id") == F.col("doc_id"))
-    return (cases(t).select("question_id", "label").join(good, "label")
-            .where("doc_id <> question_id").select("question_id", F.col("doc_id").alias("id")))
+    """Related documents of each question; only lines of questions reach the deduplication."""
+    asked = cases(t).select(F.col("question_id").alias("l_partkey"))
+    good = t.labels.where("quality = 1").select(F.col("doc_id").alias("l_suppkey"))
+    return (t.lineitem.select("l_partkey", "l_suppkey").where("l_partkey <> l_suppkey")
+            .join(r.cand.broadcast_if_small(asked), "l_partkey", "left_semi").distinct()
+            .join(good, "l_suppkey", "left_semi")
+            .select(F.col("l_partkey").alias("question_id"), F.col("l_suppkey").alias("id")))
 
 
 def dense_ranking(t, depth):

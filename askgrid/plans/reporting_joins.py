@@ -45,12 +45,14 @@ JOIN nation ON n_nationkey = c_nationkey
 JOIN region ON r_regionkey = n_regionkey
 GROUP BY ALL""")
 def five_hop_chain(t):
-    """Lines are combined per order before they meet the header."""
+    """Lines are combined per order, orders per customer, before the next table is met."""
     per_order = t.lineitem.groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("lines"),
         F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("price"))
-    return (per_order.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
-            .join(t.customer, F.col("c_custkey") == F.col("o_custkey"))
+    per_customer = (per_order.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
+                    .groupBy("o_custkey", "o_orderpriority")
+                    .agg(F.sum("lines").alias("lines"), F.sum("price").alias("price")))
+    return (per_customer.join(t.customer, F.col("c_custkey") == F.col("o_custkey"))
             .join(t.nation, F.col("n_nationkey") == F.col("c_nationkey"))
             .join(t.region, F.col("r_regionkey") == F.col("n_regionkey"))
             .groupBy("r_name", "n_name", "o_orderpriority")
@@ -67,13 +69,14 @@ JOIN nation cn ON cn.n_nationkey = c_nationkey
 JOIN nation sn ON sn.n_nationkey = s_nationkey
 WHERE cn.n_name <> sn.n_name""")
 def role_self_join(t):
-    """The nation dimension in two roles."""
+    """The nation dimension in two roles; headers meet their buyers before the lines."""
     buyers = t.customer.join(t.nation, F.col("n_nationkey") == F.col("c_nationkey")).select(
         "c_custkey", F.col("n_name").alias("customer_nation"))
     sellers = t.supplier.join(t.nation, F.col("n_nationkey") == F.col("s_nationkey")).select(
         "s_suppkey", F.col("n_name").alias("supplier_nation"))
-    return (t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
-            .join(buyers, F.col("c_custkey") == F.col("o_custkey"))
+    headers = t.orders.join(buyers, F.col("c_custkey") == F.col("o_custkey")).select(
+        "o_orderkey", "customer_nation")
+    return (t.lineitem.join(headers, F.col("o_orderkey") == F.col("l_orderkey"))
             .join(sellers, F.col("s_suppkey") == F.col("l_suppkey"))
             .where("customer_nation <> supplier_nation")
             .select("l_orderkey", "l_linenumber", "l_suppkey", "customer_nation",
@@ -204,9 +207,10 @@ JOIN supplier ON s_suppkey = l_suppkey JOIN customer ON c_custkey = o_custkey
 JOIN nation ON n_nationkey = CASE WHEN l_returnflag = 'R' THEN s_nationkey ELSE c_nationkey END""")
 def case_join_key(t):
     """Join key computed by CASE, then an equality join."""
-    lines = (t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
+    headers = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).select(
+        "o_orderkey", "c_nationkey")
+    lines = (t.lineitem.join(headers, F.col("o_orderkey") == F.col("l_orderkey"))
              .join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"))
-             .join(t.customer, F.col("c_custkey") == F.col("o_custkey"))
              .select("l_orderkey", "l_linenumber",
                      F.when(F.col("l_returnflag") == "R", "s").otherwise("c").alias("party_type"),
                      F.when(F.col("l_returnflag") == "R", F.col("s_nationkey"))

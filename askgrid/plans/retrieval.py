@@ -56,9 +56,17 @@ def alias_terms(t):
             .groupBy("id").agg(F.array_sort(F.collect_set("term")).alias("tokens")))
 
 
-def relations(t, indexed):
+def relations(t, indexed, seeds):
+    """Outgoing relations of the seeds."""
     links = t.lineitem.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
-    return graph.adjacency(links, indexed)
+    return graph.adjacency(graph.touching(links, seeds, "src"), indexed)
+
+
+def reverse_relations(t, indexed, seeds):
+    """Relations that arrive at the seeds, turned round."""
+    links = t.lineitem.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    arriving = graph.adjacency(graph.touching(links, seeds, "dst"), indexed)
+    return arriving.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
 def hybrid_parts(t, scores):
@@ -81,7 +89,8 @@ def bm25_for(t, extra=None):
 
 def expanded(t, scores, k=fixed.FINAL_DEPTH):
     top, pairs = hybrid_parts(t, scores)
-    return graph.expand(cut(top(fixed.SEED_COUNT)), relations(t, corpus(t)), pairs, k)
+    seeds = cut(top(fixed.SEED_COUNT))
+    return graph.expand(seeds, relations(t, corpus(t), seeds), pairs, k)
 
 
 HYBRID_COLUMNS = ("question_id", "id", "dense", "lexical", "score", "rank")
@@ -230,7 +239,7 @@ def dense_graph(t):
     seeds = cut(dense.dense_top(asked, vectors, fixed.SEED_COUNT)
                 .withColumn("score", F.col("dense")))
     pairs = partial(dense.score_pairs, questions=asked, corpus=vectors, lexical=None)
-    return graph.expand(seeds, relations(t, vectors), pairs, fixed.FINAL_DEPTH).select(
+    return graph.expand(seeds, relations(t, vectors, seeds), pairs, fixed.FINAL_DEPTH).select(
         *GRAPH_COLUMNS)
 
 
@@ -250,10 +259,9 @@ all_reached AS (
 
 def augmented_parts(t):
     top, pairs = hybrid_parts(t, lexical_for(t))
-    outgoing = relations(t, corpus(t))
-    extra = outgoing.select(F.col("dst").alias("src"), F.col("src").alias("dst")).join(
-        outgoing, ["src", "dst"], "left_anti")
     seeds = cut(top(fixed.SEED_COUNT))
+    outgoing = relations(t, corpus(t), seeds)
+    extra = reverse_relations(t, corpus(t), seeds).join(outgoing, ["src", "dst"], "left_anti")
     return seeds, outgoing, graph.additional_edges(seeds, extra, pairs), pairs
 
 
@@ -369,7 +377,7 @@ def chunked_graph(t):
     asked, parts, scores = questions_with_vectors(t), chunks(t), cut(lexical_for(t))
     seeds = cut(dense.pooled_hybrid_top(asked, parts, scores, fixed.SEED_COUNT))
     pairs = partial(dense.score_pooled_pairs, questions=asked, chunks=parts, lexical=scores)
-    edges = relations(t, parts.select("id").distinct())
+    edges = relations(t, parts.select("id").distinct(), seeds)
     return graph.expand(seeds, edges, pairs, fixed.FINAL_DEPTH).select(*GRAPH_COLUMNS)
 
 

@@ -31,10 +31,10 @@ def null_safe_filters(t):
 
 @query("between_ranges", """
 SELECT p_partkey, p_size, 20 BETWEEN p_size AND p_size * 2 AS spans_twenty FROM part
-WHERE p_size BETWEEN 10 AND 30 AND p_retailprice BETWEEN 950 AND 1050""")
+WHERE p_size BETWEEN 10 AND 30 AND p_retailprice BETWEEN 905 AND 1050""")
 def between_ranges(t):
     """BETWEEN constants and a constant between two columns."""
-    return (t.part.where(F.col("p_size").between(10, 30) & F.col("p_retailprice").between(950, 1050))
+    return (t.part.where(F.col("p_size").between(10, 30) & F.col("p_retailprice").between(905, 1050))
             .select("p_partkey", "p_size",
                     F.lit(20).between(F.col("p_size"), F.col("p_size") * 2).alias("spans_twenty")))
 

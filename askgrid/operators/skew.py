@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from askgrid.operators.bounded import cut
+
 TARGET_ROWS_PER_TASK = 2_000_000
 
 
@@ -48,9 +50,10 @@ def group_values_over(rows: DataFrame, keys: list[str], aggregates: dict,
     """``agg(x) OVER (PARTITION BY keys)`` without a window.
 
     The aggregate is combined before the shuffle, and heavy keys are split
-    when the totals are attached to the detail rows.
+    when the totals are attached to the detail rows. The totals are cut, since
+    finding the heavy keys and attaching the totals both read them.
     """
-    grouped = rows.groupBy(*keys).agg(
+    grouped = cut(rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_group_rows"),
-        *[column.alias(name) for name, column in aggregates.items()])
+        *[column.alias(name) for name, column in aggregates.items()]))
     return attach_by_key(rows, grouped, keys, "_group_rows", target_rows).drop("_group_rows")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from askgrid.operators import minimise as rules
 from askgrid.operators import near_duplicates as dup
 from askgrid.operators.bounded import cut, spread
 from askgrid.operators.components import cluster_ids, connected_components
@@ -173,13 +174,43 @@ def numeric_cross_references(t):
                     F.greatest("page_id", "other").alias("right_id")).distinct())
 
 
-@query("minimise_text")
+def _re2(pattern: str) -> str:
+    """A rule in the SQL engine's dialect: Unicode word characters, no look-around."""
+    spelled = pattern.replace(r"[\w.+-]", r"[\p{L}\p{N}_.+-]").replace(r"[\w.-]", r"[\p{L}\p{N}_.-]")
+    spelled = spelled.replace(r"(?<!\d)", "(^|[^0-9])").replace(r"(?!\d)", "($|[^0-9])")
+    return spelled.replace("'", "''")
+
+
+def _minimised_sql(text: str) -> str:
+    dropped = " OR ".join(f"regexp_matches(x, '{_re2(p)}')" for p in rules.DROPPED_LINES)
+    payload = (f"length(x) > {rules.PAYLOAD_LENGTH} AND (" + " OR ".join(
+        f"starts_with(x, '{start}')" for start in rules.PAYLOAD_STARTS)
+        + f" OR regexp_matches(x, '{rules.PAYLOAD_RUN}') OR (length(x) - length(replace(x, '\\\"', ''))) / 2 > 3)")
+    cleaned = "x"
+    for pattern, replacement in rules.REPLACEMENTS:
+        if "(?<!" in pattern:
+            replacement = rf"\1{replacement}\2"
+        cleaned = f"regexp_replace({cleaned}, '{_re2(pattern)}', '{replacement}', 'g')"
+    ends = rf"^[{rules.TRIMMED}]+|[{rules.TRIMMED}]+$"
+    lines = (f"list_transform(string_split(regexp_replace({text}, '\\r\\n|\\r', chr(10), 'g'), chr(10)), "
+             r"lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g'))")
+    kept = f"list_filter({lines}, lambda x: x = '' OR NOT ({dropped} OR ({payload})))"
+    marked = (f"list_filter(list_transform({kept}, lambda x: CASE WHEN x = '' THEN chr(1) ELSE "
+              f"regexp_replace({cleaned}, '{ends}', '', 'g') END), lambda x: x <> '')")
+    joined = f"replace(array_to_string({marked}, chr(10)), chr(1), '')"
+    return (r"regexp_replace(regexp_replace(" + joined
+            + r", '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g')")
+
+
+@query("minimise_text", f"SELECT doc_id, {_minimised_sql('text')} AS text FROM documents")
 def minimise_text(t):
-    """Minimised text of every document; its rules need look-around, which the SQL engine lacks."""
+    """Minimised text of every document."""
     return spread(t.documents, "doc_id").select("doc_id", minimise(F.col("text")).alias("text"))
 
 
-@query("minimisation_changes")
+@query("minimisation_changes", f"""
+SELECT doc_id, 'text' AS field, sha256(text) AS before_sha256, sha256(m) AS after_sha256
+FROM (SELECT doc_id, text, {_minimised_sql('text')} AS m FROM documents) WHERE text <> m""")
 def minimisation_changes(t):
     """Change log: one row per (id, field) whose text changed."""
     once = F.inline(F.array(F.struct(minimise(F.col("text")).alias("minimised"))))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from askgrid.functions import tsql
+from askgrid.operators.bounded import cut
 from askgrid.operators.ordered import latest_per_key, running_sum
 from askgrid.operators.skew import attach_by_key, group_values_over
 from askgrid.plans.registry import query
@@ -90,8 +91,8 @@ WHERE copies > 1""")
 def dup_count_window(t):
     """COUNT(*) OVER: duplicated keys with their rows."""
     lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
-    repeated = (lines.groupBy("l_orderkey", "l_linenumber")
-                .agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    repeated = cut(lines.groupBy("l_orderkey", "l_linenumber")
+                   .agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
     return attach_by_key(lines, repeated, ["l_orderkey", "l_linenumber"], "copies").where(
         "copies IS NOT NULL")
 
@@ -347,9 +348,8 @@ def signed_movement_balance(t):
     Both branches read the same table, so the sign becomes a CASE and the
     table is scanned once.
     """
-    sign = F.when(F.col("l_returnflag") == "A", -1).when(
-        F.col("l_returnflag").isin("N", "R"), 1)
-    return (t.lineitem.withColumn("sign", sign).where("sign IS NOT NULL")
+    sign = F.when(F.col("l_returnflag") == "A", -1).otherwise(1)
+    return (t.lineitem.where(F.col("l_returnflag").isin("A", "N", "R")).withColumn("sign", sign)
             .groupBy("l_partkey")
             .agg(F.sum(F.col("l_quantity").cast("bigint") * F.col("sign")).alias("balance"))
             .where("balance <> 0"))

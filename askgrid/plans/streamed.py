@@ -20,8 +20,8 @@ GROUP BY ALL""")
 def log_stream_rollup(t):
     """Hourly counts of an append-only log read as a stream; only windows closed by the watermark."""
     folder = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/log-stream-{uuid.uuid4().hex}"
-    source = (t.spark.readStream.schema(t.events.schema)
-              .option("pathGlobFilter", "events.parquet").parquet(t.directory)
+    # A glob serves both a single parquet file and a folder of part files.
+    source = (t.spark.readStream.schema(t.events.schema).parquet(f"{t.directory}/event[s].parquet")
               .withColumn("at", F.col("ts").cast("timestamp")))
     write_available(hourly_counts(source, "at", "event_type", "value"), f"{folder}/out",
                     f"{folder}/checkpoint")

@@ -10,6 +10,8 @@ Question layout: (question_id, text).
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,9 @@ from askgrid.operators.bounded import MAX_BROADCAST_ROWS, cut, fits, small_side
 
 SCORE_DIGITS = 9
 
+# Question terms held by one task.
+MAX_TERMS_IN_TASK = 50_000
+
 # Positions of the title and the schema among the fields of a record.
 TITLE, SCHEMA = 0, 1
 
@@ -33,32 +38,78 @@ def question_terms(questions: DataFrame) -> DataFrame:
             .groupBy("question_id", "term").agg(F.count(F.lit(1)).alias("query_frequency")))
 
 
-def lexical_fields(records: DataFrame) -> DataFrame:
-    """One row per (record, position): tokens of the title, the schema and each column."""
-    parts = F.concat(F.array("title", "schema_text"), F.col("columns"))
-    return (records.select("id", F.posexplode(parts).alias("position", "part"))
-            .select("id", "position",
-                    tx.distinct_identifier_tokens(F.col("part")).alias("tokens")))
-
+def lexical_fields(records: DataFrame, extra_tokens: DataFrame | None = None) -> DataFrame:
+    """(id, fields): distinct tokens of the title, the schema and each column, in this order.
 
-def lexical_scores(questions: DataFrame, records: DataFrame,
-                   extra_tokens: DataFrame | None = None) -> DataFrame:
-    """(question_id, id, lexical) for every pair with a positive score.
-
-    ``extra_tokens`` (id, tokens) enriches the title tokens, as aliases do.
+    ``extra_tokens`` (id, tokens) enriches the title tokens, as captions do.
     """
-    asked = question_terms(questions).select("question_id", "term")
-    terms = small_side(asked, fits(asked, MAX_BROADCAST_ROWS))
-    fields = lexical_fields(records)
-    if extra_tokens is not None:
-        title = F.col("position") == TITLE
-        fields = (fields.join(extra_tokens.select("id", F.col("tokens").alias("extra")), "id", "left")
-                  .withColumn("tokens", F.when(title & F.col("extra").isNotNull(),
-                                               F.concat("tokens", "extra")).otherwise(F.col("tokens")))
-                  .drop("extra"))
+    parts = F.concat(F.array("title", "schema_text"), F.col("columns"))
+    fields = records.select("id", F.transform(parts, tx.distinct_identifier_tokens).alias("fields"))
+    if extra_tokens is None:
+        return fields
+    title = F.array_distinct(F.concat(F.get("fields", F.lit(TITLE)), F.coalesce(
+        "extra", F.array().cast("array<string>"))))
+    rest = F.slice("fields", F.lit(2), F.size("fields"))
+    return (fields.join(extra_tokens.select("id", F.col("tokens").alias("extra")), "id", "left")
+            .select("id", F.concat(F.array(title), rest).alias("fields")))
+
+
+def _scores_in_tasks(asked: DataFrame, fields: DataFrame) -> DataFrame:
+    """Scores where the question terms are few: each document is scored in the task that reads it."""
+    rows = asked.withColumn("weight", tx.token_weight(F.col("term"))).collect()
+    questions = np.array(sorted({row["question_id"] for row in rows}), dtype=np.int64)
+    place = {int(value): i for i, value in enumerate(questions)}
+    asking: dict[str, tuple[list[int], float]] = {}
+    for row in rows:
+        asking.setdefault(row["term"], ([], row["weight"]))[0].append(place[row["question_id"]])
+    shared = fields.sparkSession.sparkContext.broadcast(
+        (questions, {term: (np.array(who), weight) for term, (who, weight) in asking.items()}))
+    depth = len(fixed.COLUMN_WEIGHTS)
+
+    def match(tokens, terms, size):
+        total = np.zeros(size)
+        for token in tokens:
+            found = terms.get(token)
+            if found is not None:
+                total[found[0]] += found[1]
+        return np.minimum(total, 1.0)
+
+    def run(batches):
+        ids, terms = shared.value
+        size = len(ids)
+        weights = np.array(fixed.COLUMN_WEIGHTS)[:, None]
+        for batch in batches:
+            asked_by, members, scores = [], [], []
+            for key, parts in zip(batch["id"], batch["fields"]):
+                best = np.zeros((depth, size))
+                for tokens in parts[SCHEMA + 1:]:
+                    if not len(tokens):
+                        continue
+                    column = match(tokens, terms, size)
+                    better = np.nonzero(column > best[-1])[0]
+                    if len(better):
+                        best[-1, better] = column[better]
+                        best[:, better] = -np.sort(-best[:, better], axis=0)
+                score = np.minimum(1.0, fixed.TABLE_PART * match(parts[TITLE], terms, size)
+                                   + fixed.COLUMN_PART * (best * weights).sum(axis=0)
+                                   + fixed.SCHEMA_PART * match(parts[SCHEMA], terms, size))
+                hit = np.nonzero(score)[0]
+                asked_by.append(ids[hit])
+                members.append(np.full(len(hit), key, dtype=np.int64))
+                scores.append(np.round(score[hit], SCORE_DIGITS))
+            if asked_by:
+                yield pd.DataFrame({"question_id": np.concatenate(asked_by),
+                                    "id": np.concatenate(members),
+                                    "lexical": np.concatenate(scores)})
+
+    return fields.mapInPandas(run, "question_id bigint, id bigint, lexical double")
+
+
+def _scores_by_join(asked: DataFrame, fields: DataFrame) -> DataFrame:
+    """Scores for any number of question terms, joined on the term."""
     place = F.col("position")
-    hits = (fields.select("id", "position", F.explode(F.array_distinct("tokens")).alias("term"))
-            .join(terms, "term")
+    hits = (fields.select("id", F.posexplode("fields").alias("position", "tokens"))
+            .select("id", "position", F.explode("tokens").alias("term")).join(asked, "term")
             .groupBy("question_id", "id", "position")
             .agg(F.least(F.lit(1.0), F.sum(tx.token_weight(F.col("term")))).alias("match")))
     by_pair = hits.groupBy("question_id", "id").agg(
@@ -76,6 +127,20 @@ def lexical_scores(questions: DataFrame, records: DataFrame,
     return by_pair.select("question_id", "id", F.round(score, SCORE_DIGITS).alias("lexical"))
 
 
+def lexical_scores(questions: DataFrame, records: DataFrame,
+                   extra_tokens: DataFrame | None = None) -> DataFrame:
+    """(question_id, id, lexical) for every pair with a positive score.
+
+    With few question terms, which is checked, nothing is shuffled: a document
+    meets all questions in its own task. Otherwise terms are joined.
+    """
+    asked = question_terms(questions).select("question_id", "term")
+    fields = lexical_fields(records, extra_tokens)
+    if fits(asked, MAX_TERMS_IN_TASK):
+        return _scores_in_tasks(asked, fields)
+    return _scores_by_join(asked, fields)
+
+
 def flattened_tokens(records: DataFrame, extra_tokens: DataFrame | None = None) -> DataFrame:
     """(id, tokens, length): title, schema and column tokens in one bag.
 

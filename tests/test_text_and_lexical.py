@@ -62,6 +62,22 @@ def test_extra_tokens_enrich_only_the_title(spark):
     assert got == {2: 0.65}
 
 
+def test_scoring_in_tasks_equals_scoring_by_join(spark, monkeypatch):
+    import random
+    rng = random.Random(2)
+    words = ["order", "date", "name", "customer", "total", "code", "invoice", "type", "a1", "b2"]
+    rows = records(spark, [(i, rng.choice(words), " ".join(rng.sample(words, 2)),
+                            [" ".join(rng.sample(words, rng.randint(0, 4))) for _ in range(rng.randint(0, 9))])
+                           for i in range(40)])
+    asked = spark.createDataFrame([(q, " ".join(rng.sample(words, 4))) for q in range(6)],
+                                  "question_id bigint, text string")
+    extra = spark.createDataFrame([(3, ["b2", "order"]), (4, ["a1"])], "id bigint, tokens array<string>")
+    quick = sorted(lexical.lexical_scores(asked, rows, extra).collect())
+    monkeypatch.setattr(lexical, "MAX_TERMS_IN_TASK", 3)
+    joined = sorted(lexical.lexical_scores(asked, rows, extra).collect())
+    assert len(quick) > 100 and quick == joined
+
+
 def test_bm25_matches_the_formula(spark):
     import math
     bags = spark.createDataFrame(

@@ -362,10 +362,6 @@ def fk_path_check(t):
     return claimed.join(declared, "l_linenumber").distinct()
 
 
-# Fixed values of the chunk query.
-CHUNK_HEADER_WORDS = 4
-
-
 def document_records(t):
     header = F.concat(F.lit("Document: "), F.col("doc_id").cast("string"), F.lit("\nSection: Lines"))
     lines = F.filter(F.split("text", "\n"), lambda line: F.trim(line) != "")

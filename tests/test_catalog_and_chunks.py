@@ -9,7 +9,7 @@ from askgrid.sources import catalog as cat
 from askgrid.sources import query_log
 
 NESTED = {"tables": [
-    {"schema": "gnd_a", "name": "OrderLine", "description": " Lines ", "columns": [
+    {"schema": "app_a", "name": "OrderLine", "description": " Lines ", "columns": [
         {"name": "OrderID", "data_type": "int", "nullable": False, "identity": True},
         {"name": "LineNo", "data_type": "nvarchar", "max_length": -1, "nullable": True, "identity": False,
          "description": "Number"},
@@ -18,10 +18,10 @@ NESTED = {"tables": [
      "primary_key": ["OrderID", "LineNo"],
      "foreign_keys": [
          {"constraint_name": "FK_B", "columns": ["LineNo", "OrderID"],
-          "references": {"schema": "gnd_a", "table": "Order", "columns": ["No", "ID"]}},
+          "references": {"schema": "app_a", "table": "Order", "columns": ["No", "ID"]}},
          {"constraint_name": "FK_A", "column": "OrderID",
-          "references": {"schema": "gnd_a", "table": "OrderLine", "column": "OrderID"}}]},
-    {"schema": "gnd_a", "name": "Order", "description": None, "columns": [
+          "references": {"schema": "app_a", "table": "OrderLine", "column": "OrderID"}}]},
+    {"schema": "app_a", "name": "Order", "description": None, "columns": [
         {"name": "ID", "data_type": "bigint", "nullable": False, "identity": True}],
      "primary_key": ["ID"], "foreign_keys": []},
     {"schema": "other", "name": "Lonely", "description": None, "columns": [], "primary_key": [],
@@ -37,31 +37,31 @@ def load(spark, tmp_path):
 def test_documents(spark, tmp_path):
     catalog = load(spark, tmp_path)
     texts = {r.full_name: r.text for r in documents.render(catalog).collect()}
-    assert texts["gnd_a.OrderLine"] == "\n".join([
-        "Table: gnd_a.OrderLine", "Table words: Order Line", "Description: Lines",
+    assert texts["app_a.OrderLine"] == "\n".join([
+        "Table: app_a.OrderLine", "Table words: Order Line", "Description: Lines",
         "PRIMARY KEY (OrderID, LineNo)", "", "Columns:",
         "- OrderID (Order I D) INT [PRIMARY KEY, IDENTITY, NOT NULL, FOREIGN KEY REFERENCES "
-        "gnd_a.OrderLine.OrderID, FOREIGN KEY REFERENCES gnd_a.Order.ID]",
-        "- LineNo (Line No) NVARCHAR(MAX) [PRIMARY KEY, NULL, FOREIGN KEY REFERENCES gnd_a.Order.No]",
+        "app_a.OrderLine.OrderID, FOREIGN KEY REFERENCES app_a.Order.ID]",
+        "- LineNo (Line No) NVARCHAR(MAX) [PRIMARY KEY, NULL, FOREIGN KEY REFERENCES app_a.Order.No]",
         "  Description: Number", "- Amount (Amount) DECIMAL(18,2) [NULL]", "", "Relationships:",
-        "- FK_A: FOREIGN KEY (OrderID) REFERENCES gnd_a.OrderLine (OrderID).",
-        "- FK_B: FOREIGN KEY (LineNo, OrderID) REFERENCES gnd_a.Order (No, ID).",
-        "- FK_A: gnd_a.OrderLine (OrderID) references gnd_a.OrderLine (OrderID)."])
+        "- FK_A: FOREIGN KEY (OrderID) REFERENCES app_a.OrderLine (OrderID).",
+        "- FK_B: FOREIGN KEY (LineNo, OrderID) REFERENCES app_a.Order (No, ID).",
+        "- FK_A: app_a.OrderLine (OrderID) references app_a.OrderLine (OrderID)."])
     assert texts["other.Lonely"].endswith("Relationships:\n- No foreign-key relationships.")
     read = documents.render(catalog).select("full_name", documents.own_columns(F.col("text")).alias("c"))
-    assert {r.full_name: r.c for r in read.collect()}["gnd_a.OrderLine"] == ["OrderID", "LineNo", "Amount"]
+    assert {r.full_name: r.c for r in read.collect()}["app_a.OrderLine"] == ["OrderID", "LineNo", "Amount"]
 
 
 def test_edges_skip_self_incoming_and_unknown(spark, tmp_path):
     docs = documents.render(load(spark, tmp_path))
-    assert [tuple(r) for r in rg.outgoing_edges(docs).collect()] == [("gnd_a.OrderLine", "gnd_a.Order")]
-    only = docs.where("full_name <> 'gnd_a.Order'")
+    assert [tuple(r) for r in rg.outgoing_edges(docs).collect()] == [("app_a.OrderLine", "app_a.Order")]
+    only = docs.where("full_name <> 'app_a.Order'")
     assert rg.outgoing_edges(only).count() == 0
 
 
 def test_prefix_and_assembly_round_trip(spark, tmp_path):
     catalog = load(spark, tmp_path)
-    assert catalog.with_prefix(["GND_"]).tables.count() == 2
+    assert catalog.with_prefix(["APP_"]).tables.count() == 2
     nested = {r.name: r for r in cat.assemble(catalog).collect()}
     assert [k.constraint_name for k in nested["OrderLine"].foreign_keys] == ["FK_A", "FK_B"]
     assert nested["OrderLine"].foreign_keys[1].references.columns == ["No", "ID"]

@@ -1,9 +1,7 @@
-import datetime
-
 import pytest
 
 from askgrid.operators import compare, guard
-from askgrid.operators.execute import Execution, column_profile, execute, guarded_frame, sample
+from askgrid.operators.execute import column_profile, execute, guarded_frame, sample
 from askgrid.operators.journal import chained, verify_chain
 from askgrid.service import QuestionService, RankedTable, SparkExecutor, FrameSchemaProvider
 from pyspark.sql import functions as F

@@ -22,6 +22,7 @@ from askgrid.operators.bounded import broadcast_if_small
 WINDOW = 13
 MIN_SHARE_DIVISOR = 20
 MAX_BROADCAST_WINDOWS = 2_000_000
+STRETCH = 512
 WORD = r"[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+"
 
 
@@ -58,19 +59,23 @@ def find_hits(docs: DataFrame, items: DataFrame, n: int = WINDOW,
         F.xxhash64("words").alias("key"), F.col("words").alias("window"), "item_ids"), limit)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id",
                        F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("words"))
-    # Windows of each length at each position; the empty one at the end of the text.
-    at = rows.select("row", "doc_id", "text_key", "words",
-                     F.explode(F.sequence(F.lit(1), F.size("words") + 1)).alias("at"))
-    slices = [F.slice("words", F.col("at"), F.lit(length)) for length in lengths] or [
+    # Stretches of a text, overlapping by a window; then its positions, one past the end included.
+    longest = max(lengths, default=1)
+    stretches = rows.select("row", "doc_id", "text_key", F.size("words").alias("n_words"), F.inline(F.transform(
+        F.sequence(F.lit(0), F.size("words"), F.lit(STRETCH)), lambda base: F.struct(
+            base.alias("base"), F.slice("words", base + 1, F.lit(STRETCH + longest - 1)).alias("part")))))
+    at = stretches.select("row", "doc_id", "text_key", "n_words", "base", "part", F.explode(F.sequence(
+        F.lit(1), F.least(F.lit(STRETCH), F.col("n_words") + 1 - F.col("base")))).alias("at"))
+    slices = [F.slice("part", F.col("at"), F.lit(length)) for length in lengths] or [
         F.array().cast("array<string>")]
-    keys = [F.xxhash64(item) for item in slices]
-    probes = (at.withColumn("key", keys[0]) if len(keys) == 1
-              else at.withColumn("key", F.explode(F.array_distinct(F.array(*keys)))))
-    found = (probes.join(index, "key")
-             .where(F.slice("words", F.col("at"), F.size("window")) == F.col("window"))
-             .where((F.size("window") > 0) | (F.col("at") > F.size("words")))
-             .select("row", "doc_id", "text_key", F.size("words").alias("n_words"),
-                     (F.col("at") - 1).alias("begin"), F.size("window").alias("length"), "item_ids"))
+    window = slices[0] if len(slices) == 1 else F.explode(F.array_distinct(F.array(*slices)))
+    probes = at.select("row", "doc_id", "text_key", "n_words",
+                       (F.col("base") + F.col("at") - 1).alias("begin"), window.alias("own"))
+    found = (probes.withColumn("key", F.xxhash64("own")).join(index, "key")
+             .where(F.col("own") == F.col("window"))
+             .where((F.size("window") > 0) | (F.col("begin") == F.col("n_words")))
+             .select("row", "doc_id", "text_key", "n_words", "begin",
+                     F.size("window").alias("length"), "item_ids"))
     grouped = found.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"), F.first("text_key").alias("text_key"),
         F.first("n_words").alias("n_words"),

@@ -14,12 +14,16 @@ component of linked documents is named by its smallest doc_id.
 4. Verification: the signature bytes of a pair are compared in batches; after
    each the pair is dropped when the posterior probability that its similarity
    reaches the threshold is below ``MISS``. Survivors are verified on their
-   full sets of words, taken from the texts.
-5. Buckets whose nodes do not all lie in one component yet are paired
-   completely, over a grid of blocks of bounded size, keeping only pairs
-   across components that pass step 4. So no link between components is lost,
-   and the large groups of near copies, settled by their centre, are never
-   paired with themselves.
+   full sets of words, taken from the texts. A node is labelled with the most
+   central node it is linked to.
+5. Buckets whose nodes do not all have one label are paired completely, over a
+   grid of blocks of bounded size. A pair belongs to the first bucket it
+   shares, so it is compared once. A first pass over signatures finds the nodes
+   with surviving partners of other labels; a second one brings their texts
+   along and verifies in place, so that only real links leave a task. No link
+   between labels is lost, and large groups of near copies, settled by their
+   centre, are not paired with themselves.
+6. Components are those of the graph of labels.
 
 With 25 bands of 5 rows a pair at similarity 0.85 escapes all buckets with a
 probability below 1e-6.
@@ -37,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from askgrid.llm.common import materialise
-from askgrid.operators.bounded import broadcast_if_small, fits
+from askgrid.operators.bounded import broadcast_if_small
 from askgrid.operators.components import connected_components
 
 SHINGLE = 5
@@ -153,129 +157,189 @@ def _matrix(column, n: int) -> np.ndarray:
 
 
 def prune(pairs: DataFrame, nodes: DataFrame, threshold: float, n: int) -> DataFrame:
-    """Pairs (a, b) that the sequential comparison of their signatures keeps."""
+    """Pairs (a, b, c) that the sequential comparison of their signatures keeps."""
     steps = least_matches(n, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = surviving(_matrix(batch.column(2), n), _matrix(batch.column(3), n), steps)
-            yield batch.select(["a", "b"]).take(pa.array(keep))
+            keep = surviving(_matrix(batch.column(3), n), _matrix(batch.column(4), n), steps)
+            yield batch.select(["a", "b", "c"]).take(pa.array(keep))
 
     one = nodes.select(F.col("node").alias("a"), F.col("signature").alias("sa"))
     two = nodes.select(F.col("node").alias("b"), F.col("signature").alias("sb"))
-    return (pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
-            .mapInArrow(run, "a long, b long"))
+    return (pairs.join(one, "a").join(two, "b").select("a", "b", "c", "sa", "sb")
+            .mapInArrow(run, "a long, b long, c long"))
+
+
+def reaches(one: set, two: set, percent: int) -> bool:
+    """100 * |intersection| >= percent * |union|; empty sets are like nothing."""
+    shared = len(one & two)
+    return bool(shared) and 100 * shared >= percent * (len(one) + len(two) - shared)
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of some documents, as a table."""
+    return materialise(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
+        .join(broadcast_if_small(ids, MAX_BROADCAST_IDS), "doc_id", "left_semi"), "near-texts")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, percent: int, width: int = SHINGLE) -> DataFrame:
-    """Pairs (a, b) with 100 * |intersection| >= percent * |union| on the full sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-                        .join(broadcast_if_small(ids, MAX_BROADCAST_IDS), "doc_id", "left_semi"),
-                        "near-texts")
+    """The pairs (a, b, c) whose full sets reach the similarity."""
+    texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: tuple = (None, None)
         for batch in batches:
             keep = []
             for i in range(batch.num_rows):
-                left, right = (batch.column(k)[i].as_buffer().to_pybytes() for k in (2, 3))
-                if known[0] != left:
-                    known = left, shingle_set(left, width)
-                one, two = known[1], shingle_set(right, width)
-                shared = len(one & two)
-                if one and two and 100 * shared >= percent * (len(one) + len(two) - shared):
+                left, right = (batch.column(k)[i].as_buffer().to_pybytes() for k in (3, 4))
+                if known[0] != right:
+                    known = right, shingle_set(right, width)
+                if reaches(shingle_set(left, width), known[1], percent):
                     keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            yield batch.select(["a", "b", "c"]).take(pa.array(keep, pa.int64()))
 
-    texts = texts.where("text IS NOT NULL")
-    both = (pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-            .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a"))
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+    both = (pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+            .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b"))
+    return both.select("a", "b", "c", "ta", "tb").mapInArrow(run, "a long, b long, c long")
 
 
 def buckets_of(nodes: DataFrame) -> DataFrame:
-    """(band, node, n, weight): buckets of several nodes, equal ones once with their number."""
-    rows = materialise(nodes.select("node", F.explode("bands").alias("band")), "near-bands")
+    """(band, place, node, n, weight): buckets of several nodes, equal ones once with their number.
+
+    ``place`` is the position of the band; of equal buckets the first one stays.
+    """
+    rows = materialise(nodes.select("node", F.posexplode("bands").alias("place", "band")), "near-bands")
     sizes = rows.groupBy("band").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(F.xxhash64("node"), 20)).alias("one"),
+        F.min("place").alias("place"), F.count(F.lit(1)).alias("n"),
+        F.sum(F.shiftright(F.xxhash64("node"), 20)).alias("one"),
         F.sum(F.shiftright(F.xxhash64("node", F.lit(1)), 20)).alias("two")).where("n > 1")
-    once = sizes.groupBy("n", "one", "two").agg(F.min("band").alias("band"),
+    once = sizes.groupBy("n", "one", "two").agg(F.min(F.struct("place", "band")).alias("first"),
                                                 F.count(F.lit(1)).alias("weight"))
-    return materialise(rows.join(once.select("band", "n", "weight"), "band"), "near-buckets")
+    return materialise(rows.join(once.select("first.band", "n", "weight"), "band"), "near-buckets")
 
 
 def centre_pairs(buckets: DataFrame) -> DataFrame:
-    """Each node of a bucket with the bucket's most central node."""
+    """(a, b, c): each node a of a bucket with the bucket's most central node b, whose centrality is c."""
     central = buckets.groupBy("node").agg(F.sum(F.col("n") * F.col("weight")).alias("c"))
     centre = (buckets.join(central, "node").groupBy("band")
               .agg(F.max(F.struct("c", (-F.col("node")).alias("m"))).alias("best"))
-              .select("band", (-F.col("best.m")).alias("centre")))
-    return (buckets.join(centre, "band").where("node <> centre")
-            .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-            .distinct())
+              .select("band", "best.c", (-F.col("best.m")).alias("b")))
+    return (buckets.select("band", F.col("node").alias("a")).join(centre, "band").where("a <> b")
+            .select("a", "b", "c").distinct())
+
+
+def labels_of(links: DataFrame) -> DataFrame:
+    """(node, label): the most central node that a node is linked to as a member of its bucket."""
+    return (links.groupBy(F.col("a").alias("node")).agg(F.max(F.struct("c", "b")).alias("best"))
+            .select("node", F.col("best.b").alias("label")))
 
 
-def unsettled(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """(band, node, root, n) of buckets with several components, but for pairs, which are done."""
-    labelled = buckets.where("n > 2").join(roots.withColumnRenamed("id", "node"), "node", "left") \
-        .withColumn("root", F.coalesce("root", "node"))
-    open_ = (labelled.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"))
+def unsettled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, place, node, label) of buckets with several labels, but for pairs, which are done."""
+    labelled = (buckets.where("n > 2").join(labels, "node", "left")
+                .withColumn("label", F.coalesce("label", "node")))
+    open_ = (labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"))
              .where("x <> y").select("band"))
-    return labelled.join(open_, "band", "left_semi").select("band", "node", "root", "n")
+    return labelled.join(open_, "band", "left_semi").select("band", "place", "node", "label")
 
 
-def block_pairs(rows: DataFrame, nodes: DataFrame, threshold: float, n: int,
-                block: int = BLOCK) -> DataFrame:
-    """Pairs across components within buckets that the sequential comparison keeps.
+def _in_blocks(rows: DataFrame, payload: DataFrame, block: int) -> DataFrame:
+    """Rows dealt to pairs of blocks of their bucket, with the payload of their node.
 
     A bucket is split into ceil(size / block) blocks by a hash of the node; a
     task holds the nodes of two blocks at a time.
     """
-    steps = least_matches(n, threshold)
-    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = (rows.join(nodes.select("node", "signature"), "node").withColumn("blocks", blocks)
-             .withColumn("own", own)
+    sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    dealt = (rows.join(sizes, "band")
+             .withColumn("blocks", F.ceil(F.col("size") / F.lit(block)).cast("int"))
+             .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                     "own", "node", "root", "signature"))
-
-    def compare(table: pa.Table) -> pa.RecordBatch:
-        own, node, root = (table.column(k).to_numpy() for k in ("own", "node", "root"))
-        signature = _matrix(table.column("signature"), n)
-        first, second = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right = np.flatnonzero(own == first), np.flatnonzero(own == second)
-        kept = []
-        for i in left:
-            others = right[right > i] if first == second else right
-            others = others[root[others] != root[i]]
-            alive = surviving(np.broadcast_to(signature[i], (len(others), n)),
-                              signature[others], steps)
-            kept += [(min(node[i], node[k]), max(node[i], node[k])) for k in others[alive]]
-        a, b = zip(*kept) if kept else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())],
-                                          names=["a", "b"])
+             .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+             .join(payload, "node"))
+    fields = [name for name in payload.columns if name != "node"]
+    return (dealt.select("band", "i", "j", "own", "place", "node", "label", *fields)
+            .repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node"))
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Consecutive rows of equal first three columns."""
+    held, current = [], None
+    for batch in batches:
+        keys = np.stack([batch.column(k).to_numpy() for k in range(3)])
+        edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        for a, b in zip(np.r_[0, edges].tolist(), np.r_[edges, batch.num_rows].tolist()):
+            if a == b:
+                continue
+            key = tuple(keys[:, a].tolist())
+            if held and key != current:
+                yield pa.Table.from_batches(held)
+                held = []
+            current = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _surviving_pairs(table: pa.Table, n: int, steps) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows) of one block pair: other labels, no earlier shared band, signatures that survive."""
+    own, label = (table.column(k).to_numpy() for k in ("own", "label"))
+    first, second = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    place = table.column("place")[0].as_py()
+    signature = _matrix(table.column("signature"), n)
+    bands = np.array(table.column("bands").to_pylist(), np.int64)[:, :place]
+    right = np.flatnonzero(own == second)
+    for i in np.flatnonzero(own == first):
+        others = right[right > i] if first == second else right
+        others = others[label[others] != label[i]]
+        others = others[~(bands[others] == bands[i]).any(axis=1)]
+        alive = surviving(np.broadcast_to(signature[i], (len(others), n)), signature[others], steps)
+        if len(alive):
+            yield int(i), others[alive]
+
+
+def open_rows(rows: DataFrame, nodes: DataFrame, threshold: float, n: int, block: int = BLOCK) -> DataFrame:
+    """The rows (band, place, node, label) with a surviving partner in their bucket."""
+    steps = least_matches(n, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, current = [], None
-        for batch in batches:
-            keys = np.stack([batch.column(k).to_numpy() for k in range(3)])
-            edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            for a, b in zip(np.r_[0, edges].tolist(), np.r_[edges, batch.num_rows].tolist()):
-                if a == b:
-                    continue
-                key = tuple(keys[:, a].tolist())
-                if held and key != current:
-                    yield compare(pa.Table.from_batches(held))
-                    held = []
-                current = key
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield compare(pa.Table.from_batches(held))
+        for table in _groups(batches):
+            found: set[int] = set()
+            for i, others in _surviving_pairs(table, n, steps):
+                found.add(i)
+                found.update(others.tolist())
+            yield from (table.select(["band", "place", "node", "label"])
+                        .take(pa.array(sorted(found), pa.int64())).combine_chunks().to_batches())
+
+    return (_in_blocks(rows, nodes.select("node", "signature", "bands"), block)
+            .mapInArrow(run, "band long, place int, node long, label long").distinct())
+
+
+def block_links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, n: int,
+                width: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between nodes of different labels in one bucket, verified on their full sets."""
+    steps = least_matches(n, percent / 100)
+    texts = texts_of(docs, rows.select(F.col("node").alias("doc_id")).distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches):
+            node, sets, links = table.column("node").to_numpy(), {}, []
+
+            def full(i):
+                if i not in sets:
+                    sets[i] = set(shingle_hashes(table.column("text")[i].as_buffer().to_pybytes(), width).tolist())
+                return sets[i]
+
+            for i, others in _surviving_pairs(table, n, steps):
+                links += [(node[i], node[k]) for k in others.tolist() if reaches(full(i), full(k), percent)]
+            a, b = zip(*links) if links else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())],
+                                             names=["a", "b"])
 
-    return (dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
-            .mapInArrow(run, "a long, b long").distinct())
+    payload = nodes.select("node", "signature", "bands").join(
+        texts.withColumnRenamed("doc_id", "node"), "node")
+    return _in_blocks(rows, payload, block).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS,
@@ -298,29 +362,38 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
         .select("set_hi", "set_lo", "node", "best.signature", "best.bands"), "near-classes")
     buckets = buckets_of(classes)
     kept = materialise(prune(centre_pairs(buckets), classes, threshold, n), "near-candidates")
-    links = materialise(verify(kept, docs, percent, width), "near-links")
-    roots = _roots(links)
-    left = materialise(unsettled(buckets, roots), "near-unsettled")
-    if not fits(left, 0):
-        more = materialise(block_pairs(left, classes, threshold, n, block), "near-candidates")
-        if not fits(more, 0):
-            found = materialise(verify(more, docs, percent, width), "near-links")
-            if not fits(found, 0):
-                roots = _roots(links.unionByName(found))
-    named_classes = (classes.select("set_hi", "set_lo", "node")
-                     .join(roots.withColumnRenamed("id", "node"), "node", "left")
-                     .select("set_hi", "set_lo", F.coalesce("root", "node").alias("root")))
+    stars = materialise(verify(kept, docs, percent, width), "near-links")
+    labels = materialise(labels_of(stars), "near-labels")
+    left = materialise(open_rows(unsettled(buckets, labels), classes, threshold, n, block), "near-unsettled")
+    across = materialise(block_links(left, classes, docs, percent, n, width, block), "near-links")
+    components = components_of(stars.select("a", "b").unionByName(across), labels)
+    named_classes = (classes.select("set_hi", "set_lo", "node").join(components, "node", "left")
+                     .select("set_hi", "set_lo", F.coalesce("component", "node").alias("component")))
     joined = (sketch.select("doc_id", "n_shingles", "set_hi", "set_lo")
               .join(named_classes, ["set_hi", "set_lo"], "left"))
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"),
                          (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 
 
-def _roots(links: DataFrame) -> DataFrame:
-    edges = links.select(F.col("a").alias("left"), F.col("b").alias("right"))
-    nodes = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    return materialise(connected_components(nodes, edges), "near-roots")
+def components_of(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, component) of all linked nodes; a component is named by its least node."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    named = materialise(ends.join(labels, "node", "left")
+                        .select("node", F.coalesce("label", "node").alias("label")), "near-named")
+
+    def label_of(end):
+        return named.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))
+
+    edges = materialise(links.join(label_of("a"), "a").join(label_of("b"), "b").where("la <> lb")
+                        .select(F.least("la", "lb").alias("left"), F.greatest("la", "lb").alias("right"))
+                        .distinct(), "near-edges")
+    over = edges.select(F.explode(F.array("left", "right")).alias("id")).distinct()
+    roots = connected_components(over, edges).select(F.col("id").alias("label"), "root")
+    rooted = materialise(named.join(roots, "label", "left")
+                         .select("node", F.coalesce("root", "label").alias("root")), "near-rooted")
+    least = rooted.groupBy("root").agg(F.min("node").alias("component"))
+    return rooted.join(least, "root").select("node", "component")
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askgrid.llm import (chat, decontaminate, merkle, minhash, packing, quality, shards, token_files,
-                         toxicity, url_filter)
+from askgrid.llm import (chat, decontaminate, merkle, minhash, packing, quality, queries_sql, shards,
+                         token_files, toxicity, url_filter)
 from askgrid.sources.tables import Tables
 
 
@@ -99,4 +99,9 @@ QUERIES = {build.__name__: build for build in (
     op1_benchmark_decontamination, op2_url_filters, op3_token_files, op4_sharding, op5_packing,
     op6_preference_formatting, op7_merkle_fingerprints, op8_minhash_near_dedup, op9_toxicity_chain,
     op10_quality_classifier)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_benchmark_decontamination": queries_sql.DECONTAMINATION,
+    "op2_url_filters": queries_sql.URLS,
+    "op6_preference_formatting": queries_sql.PREFERENCES,
+    "op8_minhash_near_dedup": queries_sql.NEAR_DUPLICATES,
+}

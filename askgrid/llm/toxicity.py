@@ -5,11 +5,13 @@ the presence of vocabulary terms and the probabilities of all earlier
 categories. In training those probabilities are out-of-fold predictions, so a
 later model sees them as uncertain as they will be on new text.
 
-The vocabulary are the words whose document frequencies among toxic and other
-labelled rows differ most; they are counted with Spark over the training rows.
-Labels name only ``toxic``; the two categories before it are derived from it:
-``insult`` (toxic, with at least one strongly toxic term) and ``abuse`` (toxic,
-with at least two of them). Any other 0/1 columns can be chained with
+Terms are words and word beginnings of four to six characters, which catch
+inflected and compounded forms. The vocabulary are the terms whose presence
+depends most on the label, by Pearson's statistic; they are counted with Spark
+over the training rows. Labels name only ``toxic``; the two categories before
+it are derived from it: ``insult`` (toxic, with at least one term that hardly
+occurs elsewhere) and ``abuse`` (toxic, with at least ``ABUSE_TERMS`` such
+terms, which takes several words). Any other 0/1 columns can be chained with
 :func:`fit_chain`.
 
 Training uses at most ``TRAIN_ROWS`` labelled rows, those with the least
@@ -22,30 +24,42 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askgrid.llm.common import fresh
 from askgrid.llm.decontaminate import words_of
 from askgrid.llm.quality import training_rows
 
-TRAIN_ROWS = 10_000
-TERMS = 200
+TRAIN_ROWS = 6_000
+TERMS = 120
+PREFIXES = (4, 5, 6)
+STRONG = 0.9
+ABUSE_TERMS = 8
 FOLDS = 5
 CATEGORIES = ("insult", "abuse", "toxic")
-WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
-def terms_of(raw: bytes) -> set[bytes]:
-    """Distinct words in lower case (A-Z)."""
-    return set(WORD.findall(raw.lower()))
+def terms_of(raw: bytes) -> set[str]:
+    """Distinct words in lower case (A-Z), and their beginnings marked with a star."""
+    words = set(WORD.findall(raw.lower().decode("utf-8", "replace")))
+    return words.union(*({f"{word[:n]}*" for word in words if len(word) >= n} for n in PREFIXES))
+
+
+def terms_column(text: Column) -> Column:
+    """The same as :func:`terms_of`, as a column."""
+    words = F.array_distinct(words_of(text))
+    starts = [F.transform(F.filter(words, lambda word, n=n: F.length(word) >= n),
+                          lambda word, n=n: F.concat(F.substring(word, 1, n), F.lit("*"))) for n in PREFIXES]
+    return F.array_distinct(F.concat(words, *starts))
 
 
 def sigmoid(margin: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 12) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 8) -> np.ndarray:
     """Weights (the last one is the intercept) by penalised Newton steps."""
     x = np.c_[x, np.ones(len(x))]
     weights = np.zeros(x.shape[1])
@@ -66,7 +80,7 @@ class Chain:
     """Fitted models in order; each takes term presence and all earlier probabilities."""
 
     categories: tuple[str, ...]
-    terms: dict[bytes, int]
+    terms: dict[str, int]
     weights: list[np.ndarray]
 
     def predict(self, raws: list[bytes]) -> np.ndarray:
@@ -79,7 +93,7 @@ class Chain:
         return out
 
 
-def fit_chain(presence: np.ndarray, targets: np.ndarray, folds: np.ndarray, terms: list[bytes],
+def fit_chain(presence: np.ndarray, targets: np.ndarray, folds: np.ndarray, terms: list[str],
               categories: tuple[str, ...] = CATEGORIES) -> Chain:
     """Fit the chain; ``targets`` has one 0/1 column per category, ``folds`` a fold per row."""
     models, earlier = [], np.zeros((len(presence), 0))
@@ -95,40 +109,43 @@ def fit_chain(presence: np.ndarray, targets: np.ndarray, folds: np.ndarray, term
     return Chain(tuple(categories), {term: i for i, term in enumerate(terms)}, models)
 
 
-def choose_terms(rows: DataFrame, limit: int = TERMS) -> list[tuple[bytes, float]]:
-    """(word, z) with the largest absolute z of the smoothed log odds ratio of its document frequencies."""
+def choose_terms(rows: DataFrame, limit: int = TERMS) -> list[tuple[str, bool]]:
+    """The ``limit`` terms that depend most on the label, and whether each is strongly toxic.
+
+    ``rows`` has label and terms. Pearson's statistic of presence and label, signed, ranks them.
+    """
     sizes = rows.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("t"), F.count(F.lit(1)).alias("n")).first()
-    toxic, other = float(sizes["t"]), float(sizes["n"] - sizes["t"])
-    seen = (rows.select("label", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word"))
-            .groupBy("word").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("o"))
-            .where(F.col("t") + F.col("o") >= 3))
-    odds = (F.log((F.col("t") + 0.5) / (toxic - F.col("t") + 0.5))
-            - F.log((F.col("o") + 0.5) / (other - F.col("o") + 0.5)))
-    spread = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (toxic - F.col("t") + 0.5)
-                    + 1 / (F.col("o") + 0.5) + 1 / (other - F.col("o") + 0.5))
-    best = seen.select("word", (odds / spread).alias("z")).orderBy(F.desc(F.abs("z")), "word").limit(limit)
-    return [(row["word"].encode(), row["z"]) for row in best.collect()]
+    toxic, n = float(sizes["t"]), float(sizes["n"])
+    held = F.col("t") + F.col("o")
+    z = F.try_divide(F.col("t") * n - held * toxic,
+                     F.sqrt(F.lit(toxic * (n - toxic)) * held * (1 - held / max(n, 1.0))))
+    seen = (rows.select("label", F.explode("terms").alias("term"))
+            .groupBy("term").agg(F.sum("label").cast("double").alias("t"),
+                                 F.sum(1 - F.col("label")).cast("double").alias("o"))
+            .where((held >= 3) & (held < n)))
+    best = (seen.select("term", "t", "o", F.coalesce(z, F.lit(0.0)).alias("z"))
+            .orderBy(F.desc(F.abs("z")), "term").limit(limit))
+    return [(row["term"], row["t"] >= STRONG * (row["t"] + row["o"])) for row in best.collect()]
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Chain:
     """Fit on the bounded sample of labelled rows; without any, every probability is one half."""
     from askgrid.llm.common import materialise
-    rows = materialise(training_rows(docs, labels, "toxic", limit).orderBy("doc_id", "text").limit(limit),
-                       "toxic-training")
+    rows = materialise(training_rows(docs, labels, "toxic", limit).orderBy("doc_id", "text").limit(limit)
+                       .select("doc_id", "label", terms_column(F.col("text")).alias("terms")), "toxic-training")
     scored = choose_terms(rows)
-    terms = [word for word, _ in scored]
-    strong = np.array([z >= 5.0 for _, z in scored], bool)
+    terms = [term for term, _ in scored]
+    strong = np.array([is_strong for _, is_strong in scored], bool)
     data = rows.select("doc_id", "label", F.array_intersect(
-        F.array_distinct(words_of(F.col("text"))),
-        F.array(*[F.lit(word.decode()) for word in terms]).cast("array<string>")).alias("words")
+        "terms", F.array(*[F.lit(term) for term in terms]).cast("array<string>")).alias("words")
         ).orderBy("doc_id", "label", "words").collect()
-    place = {word.decode(): i for i, word in enumerate(terms)}
+    place = {term: i for i, term in enumerate(terms)}
     presence = np.zeros((len(data), len(terms)))
     for line, row in zip(presence, data):
         line[[place[word] for word in row["words"]]] = 1
     label = np.array([row["label"] for row in data], int).reshape(len(data))
     hits = presence[:, strong].sum(axis=1)
-    targets = np.c_[label * (hits >= 1), label * (hits >= 2), label]
+    targets = np.c_[label * (hits >= 1), label * (hits >= ABUSE_TERMS), label]
     folds = np.array([row["doc_id"] % FOLDS for row in data], int).reshape(len(data))
     return fit_chain(presence, targets, folds, terms)
 

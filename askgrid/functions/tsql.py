@@ -39,8 +39,7 @@ def valid_on(start: Column, end: Column, day: Column) -> Column:
 
 def integer_divide(value: Column, divisor: int) -> Column:
     """``value / divisor`` on integers, truncated towards zero."""
-    magnitude = F.floor(F.abs(value) / divisor).cast("bigint")
-    return F.when(value < 0, -magnitude).otherwise(magnitude)
+    return F.call_function("div", value, F.lit(divisor))
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

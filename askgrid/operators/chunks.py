@@ -2,8 +2,8 @@
 
 Packing depends on the order of records, so it folds over the record list of
 one row. Rows are spread by Spark; the fold is a few lines of Python on an
-Arrow batch. Counting tokens is pluggable: the default counts words, and any
-function of a text works, such as a tokenizer's.
+Arrow batch. Tokens are pluggable: the default are words, and any function that
+gives the token positions of a text works, such as a tokenizer's.
 """
 
 from __future__ import annotations
@@ -20,52 +20,54 @@ from askgrid.functions import fixed_values as fixed
 WORD = re.compile(r"\S+")
 
 
+def word_starts(text: str) -> list[int]:
+    """Where each word of a text begins."""
+    return [match.start() for match in WORD.finditer(text)]
+
+
 def count_words(text: str) -> int:
-    return len(WORD.findall(text))
-
-
-def _split_long(record: str, room: int, count) -> list[str]:
-    """Consecutive pieces of a record, each as long as fits; joined they give the record."""
-    pieces, start = [], 0
-    while start < len(record):
-        low, high, best = start + 1, len(record), None
-        while low <= high:
-            middle = (low + high) // 2
-            if count(record[start:middle]) <= room:
-                best, low = middle, middle + 1
-            else:
-                high = middle - 1
-        if best is None:
-            raise ValueError("No room for a continuation")
-        pieces.append(record[start:best])
-        start = best
+    return len(word_starts(text))
+
+
+def _cut_record(record: str, room: int, starts) -> list[str]:
+    """Consecutive pieces of at most ``room`` tokens; joined they give the record.
+
+    The tokens are located once and every ``room``-th one begins a piece. A
+    piece whose own tokens are more, which a subword tokenizer may give, is cut
+    again with less room.
+    """
+    if room < 1:
+        raise ValueError("No room for a continuation")
+    edges = [0, *starts(record)[room::room], len(record)]
+    pieces = []
+    for begin, end in zip(edges, edges[1:]):
+        piece = record[begin:end]
+        fits = len(starts(piece)) <= room
+        pieces += [piece] if fits else _cut_record(piece, room - 1, starts)
     return pieces
 
 
-def _pack(header: str, records, budget: int, count):
+def _pack(header: str, records, budget: int, starts):
     """Yield (first_record, last_record, part, parts, text)."""
-    room = budget - count(header)
-    pending, first, used = [], 0, 0
+    def joined(parts):
+        return "\n\n".join([header, *parts])
+
+    held: list[str] = []
+    first = 0
     for place, record in enumerate(records):
-        size = count(record)
-        if size > room:
-            if pending:
-                yield first, place - 1, 1, 1, "\n\n".join([header, *pending])
-            prefix = f"Continuation: {place}\n"
-            pieces = _split_long(record, room - count(prefix), count)
-            for part, piece in enumerate(pieces, start=1):
-                yield place, place, part, len(pieces), f"{header}\n\n{prefix}{piece}"
-            pending, used = [], 0
+        if held and len(starts(joined([*held, record]))) > budget:
+            yield first, place - 1, 1, 1, joined(held)
+            held = []
+        if len(starts(joined([*held, record]))) <= budget:
+            first = first if held else place
+            held.append(record)
             continue
-        if pending and used + size > room:
-            yield first, place - 1, 1, 1, "\n\n".join([header, *pending])
-            pending, used = [], 0
-        if not pending:
-            first = place
-        pending.append(record)
-        used += size
-    if pending or not len(records):
-        yield first, len(records) - 1, 1, 1, "\n\n".join([header, *pending])
+        lead = f"Continuation: {place}\n"
+        pieces = _cut_record(record, budget - len(starts(joined([lead]))), starts)
+        for part, piece in enumerate(pieces, start=1):
+            yield place, place, part, len(pieces), joined([lead + piece])
+    if held or not len(records):
+        yield first, len(records) - 1, 1, 1, joined(held)
 
 
 CHUNK_SCHEMA = ("id string, chunk_no int, first_record int, last_record int, part int, parts int, "
@@ -73,10 +75,11 @@ CHUNK_SCHEMA = ("id string, chunk_no int, first_record int, last_record int, par
 
 
 def pack_chunks(rows: DataFrame, budget: int = fixed.CHUNK_CONTENT_BUDGET,
-                count=count_words) -> DataFrame:
+                starts=word_starts) -> DataFrame:
     """Chunks of (id, header, records): greedy, in order, no overlap.
 
-    The count of a text is taken as the sum over its header and records.
+    ``starts`` gives the positions where the tokens of a text begin; the
+    assembled text of a chunk is counted, not the sum over its parts.
     """
     def run(batches):
         for batch in batches:
@@ -84,8 +87,8 @@ def pack_chunks(rows: DataFrame, budget: int = fixed.CHUNK_CONTENT_BUDGET,
             for key, header, records in zip(batch["id"], batch["header"], batch["records"]):
                 items = [] if records is None else list(records)
                 for number, (first, last, part, parts, text) in enumerate(
-                        _pack(header, items, budget, count), start=1):
-                    out.append((key, number, first, last, part, parts, count(text), text))
+                        _pack(header, items, budget, starts), start=1):
+                    out.append((key, number, first, last, part, parts, len(starts(text)), text))
             yield pd.DataFrame(out, columns=[item.split()[0] for item in CHUNK_SCHEMA.split(", ")])
 
     return rows.select(F.col("id").cast("string").alias("id"), "header", "records").mapInPandas(

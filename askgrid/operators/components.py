@@ -61,24 +61,28 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         "root", F.coalesce("root", "id"))
 
 
-def cluster_ids(members: DataFrame, part_size: int = 100_000) -> DataFrame:
+MAX_CLUSTER_MEMBERS = 50_000_000
+
+
+def cluster_ids(members: DataFrame, part_size: int = 100_000,
+                max_members: int = MAX_CLUSTER_MEMBERS) -> DataFrame:
     """(root, cluster_id, member_count) from (id, root).
 
     The id is the first 16 hex digits of the SHA-256 of the sorted member ids
-    joined by commas. A cluster whose ids span several ranges of ``part_size``
-    is hashed range by range, then over the range digests, so no task gathers
-    more than ``part_size`` ids.
+    joined by commas, for a cluster of any size. Ids are joined by ranges of
+    ``part_size`` first, so only the text of the ids meets in one row. A
+    cluster of more than ``max_members``, whose text would outgrow a row, is an
+    error.
     """
     parts = (members.groupBy("root", F.floor(F.col("id") / part_size).alias("part"))
              .agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")),
                                            lambda value: value.cast("string")), ",").alias("ids"),
                   F.count(F.lit(1)).alias("n")))
-    digest = F.sha2(F.col("ids"), 256)
     by_root = parts.groupBy("root").agg(
-        F.sum("n").alias("member_count"), F.count(F.lit(1)).alias("parts"),
-        F.max(digest).alias("only"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", digest.alias("d")))),
-                                 lambda item: item["d"]), ",").alias("all"))
-    key = F.when(F.col("parts") == 1, F.col("only")).otherwise(F.sha2("all", 256))
+        F.sum("n").alias("member_count"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "ids"))),
+                                 lambda item: item["ids"]), ",").alias("all"))
+    key = F.when(F.col("member_count") > max_members, F.raise_error(F.lit("A cluster has too many members"))) \
+        .otherwise(F.sha2("all", 256))
     return by_root.select("root", F.concat(F.lit("rc-"), F.substring(key, 1, 16)).alias("cluster_id"),
                           "member_count")

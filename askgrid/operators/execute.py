@@ -22,6 +22,7 @@ class Execution:
     validation_errors: list[str] = field(default_factory=list)
     execution_error: str | None = None
     execution_time: float | None = None
+    complete: bool = True
 
     @property
     def row_count(self) -> int:
@@ -65,7 +66,10 @@ def run_with_timeout(spark: SparkSession, action, seconds: float):
 
 def execute(spark: SparkSession, text: str, known_tables: list[str], values: dict | None = None,
             max_rows: int = 100, timeout: float = 10.0) -> Execution:
-    """Validate again, run, and fetch at most ``max_rows`` rows."""
+    """Validate again, run, and fetch at most ``max_rows`` rows.
+
+    ``complete`` says whether these are all; a cut result is never a full one.
+    """
     args = bind(text, values or {}) if values else {}
     checked = validate(spark, text, known_tables, args)
     if not checked.valid:
@@ -73,15 +77,16 @@ def execute(spark: SparkSession, text: str, known_tables: list[str], values: dic
     started = time.perf_counter()
     try:
         frame = spark.sql(checked.cleaned_sql, args=args)
-        rows: list[Row] = run_with_timeout(spark, frame.limit(max_rows).collect, timeout)
+        rows: list[Row] = run_with_timeout(spark, frame.limit(max_rows + 1).collect, timeout)
     except TimeoutError:
         raise
     except Exception as exc:
         return Execution("execution_error", checked.cleaned_sql,
                          execution_error=type(exc).__name__,
                          execution_time=time.perf_counter() - started)
-    return Execution("success", checked.cleaned_sql, list(frame.columns), [list(row) for row in rows],
-                     execution_time=time.perf_counter() - started)
+    return Execution("success", checked.cleaned_sql, list(frame.columns),
+                     [list(row) for row in rows[:max_rows]],
+                     execution_time=time.perf_counter() - started, complete=len(rows) <= max_rows)
 
 
 def guarded_frame(spark: SparkSession, text: str, known_tables: list[str],

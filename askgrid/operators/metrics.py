@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Words that are no evidence.
-EVIDENCE_STOP_WORDS = ("the", "and", "for", "from", "with", "each", "show", "all", "that", "their",
-                       "report")
+EVIDENCE_STOP_WORDS = (
+    "a", "an", "and", "as", "at", "be", "by", "each", "for", "from", "in",
+    "including", "into", "is", "it", "of", "on", "only", "or", "show", "the",
+    "their", "to", "with",
+)
 
 
 def recall(expected: DataFrame, ranking: DataFrame, k: int) -> DataFrame:

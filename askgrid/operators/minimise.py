@@ -77,10 +77,8 @@ WITHHELD = "[REDACTED_SENSITIVE_TEXT]"
 
 UNICODE = "(?U)"
 
-# Literal words, in lower case, without which no rule above can match. Most
-# lines hold none of them and skip the long pattern lists.
-DROP_HINTS = ("]", "token", "authorization", "password", "pwd", "acuho", "cookie", "session", "api",
-              "error", "message", "traceback", "exception", "at ", "http/", ":")
+# Literal words, in lower case, without which no replacement above can match.
+# Most lines hold none of them and skip the long pattern list.
 REPLACE_HINTS = ("http", "@", "09", "exception", "object", "sequence contains", "could not use",
                  "resolution", "wait operation", "calling constructor", "value cannot",
                  "master calculation", "(number", ":", "：", "-", "....", "  ", "\t")
@@ -96,13 +94,12 @@ def _any(conditions) -> Column:
 
 
 def _dropped(line: Column) -> Column:
-    hinted = _any(F.lower(line).contains(hint) for hint in DROP_HINTS)
     matches = _any(line.rlike(UNICODE + pattern) for pattern in DROPPED_LINES)
     escapes = (F.length(line) - F.length(F.replace(line, F.lit('\\"'), F.lit("")))) / 2
     payload = (F.length(line) > PAYLOAD_LENGTH) & (
         _any(line.startswith(start) for start in PAYLOAD_STARTS) | (escapes > 3)
         | line.rlike(PAYLOAD_RUN))
-    return (hinted & matches) | payload
+    return matches | payload
 
 
 def _redacted(line: Column) -> Column:

@@ -13,6 +13,9 @@ that match a pivot hang on it and need no links among each other, because
 clusters only need connectivity; the triangle inequality of the Jaccard
 distance rules out most of the rest. What still remains is paired over a grid
 of blocks. Nothing is dropped, so clusters are those of all pairs.
+
+Links for review are asked for with ``complete``: then a large bucket is paired
+over the grid of blocks as a whole, and every link comes out at any size.
 """
 
 from __future__ import annotations
@@ -148,26 +151,30 @@ def _large_bucket_pairs(members: DataFrame, keys: list[str], nodes: DataFrame,
 
 
 def _candidates(bucketed: DataFrame, keys: list[str], nodes: DataFrame, threshold: float,
-                large: int) -> DataFrame:
+                large: int, complete: bool) -> DataFrame:
     counts = bucketed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sized = cut(attach_by_key(bucketed, counts, keys, "n").where("n IS NOT NULL"))
     pairs = _direct_pairs(sized.where(F.col("n") <= large), keys, threshold)
     heavy = sized.where(F.col("n") > large).drop("n")
-    if not heavy.isEmpty():
+    if complete:
+        many = counts.where(F.col("n") > large)
+        pairs = pairs.unionByName(_grid_pairs(heavy, heavy, keys, many, threshold))
+    elif not heavy.isEmpty():
         for part in _large_bucket_pairs(heavy, keys, nodes, threshold, large):
             pairs = pairs.unionByName(part)
     return pairs.distinct()
 
 
-def node_links(nodes: DataFrame, labels: DataFrame, large: int = LARGE_BUCKET) -> DataFrame:
-    """(left, right, jaccard, reason) between nodes."""
+def node_links(nodes: DataFrame, labels: DataFrame, large: int = LARGE_BUCKET,
+               complete: bool = False) -> DataFrame:
+    """(left, right, jaccard, reason) between nodes: all links, or enough to connect every cluster."""
     high, low = fixed.NEAR_DUPLICATE_JACCARD, fixed.SAME_LABEL_JACCARD
     nodes = cut(nodes)
     rare = cut(_rare_words(nodes, low))
     short = rare.where(F.col("position") <= _prefix_length(high)).drop("position")
-    close = _candidates(short, ["word"], nodes, high, large)
+    close = _candidates(short, ["word"], nodes, high, large, complete)
     labelled = rare.drop("position").join(labels, "node")
-    same = _candidates(labelled, ["word", "label"], nodes, low, large)
+    same = _candidates(labelled, ["word", "label"], nodes, low, large, complete)
     measured = cut(_similarity(close.unionByName(same).distinct(), nodes)
                    .where(F.col("jaccard") >= low - 1e-12))
     left = labels.select(F.col("node").alias("left"), "label")

@@ -26,8 +26,8 @@ PREFIXES = ["nation_1", "NATION_2"]
 CATALOG_CTES = """
 sold AS (
   SELECT lower(n_name) AS schema, replace(p_brand, '#', '') || 'Supply' AS name,
-    upper(left(split_part(p_name, ' ', 1), 1)) || substr(split_part(p_name, ' ', 1), 2)
-    || upper(left(split_part(p_name, ' ', 2), 1)) || substr(split_part(p_name, ' ', 2), 2)
+    array_to_string(list_transform(string_split(p_name, ' '),
+                                   lambda w: upper(left(w, 1)) || substr(w, 2)), '')
     || left(p_type, 1) || lower(substr(p_type, 2)) AS column_name,
     p_type, max(p_size) AS size, max(l_returnflag) AS flag, r_name
   FROM (SELECT DISTINCT l_suppkey, l_partkey, l_returnflag FROM lineitem)
@@ -72,15 +72,14 @@ fks AS (
 
 
 def camel(value):
-    return F.concat(F.upper(F.left(value, F.lit(1))), F.substring(value, 2, 1_000))
+    return F.concat(F.upper(F.left(value, F.lit(1))), F.substr(value, F.lit(2)))
 
 
 def profiled(t) -> Catalog:
     """Catalogue frames from one pass over the sales lines."""
     lines = t.lineitem.groupBy("l_suppkey", "l_partkey").agg(F.max("l_returnflag").alias("flag"))
-    words = F.split("p_name", " ")
-    column = F.concat(camel(words[0]), camel(words[1]), F.left("p_type", F.lit(1)),
-                      F.lower(F.substring("p_type", 2, 1_000)))
+    column = F.concat(F.array_join(F.transform(F.split("p_name", " "), camel), ""), F.left("p_type", F.lit(1)),
+                      F.lower(F.substr("p_type", F.lit(2))))
     sold = (lines.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"))
             .join(t.nation, F.col("n_nationkey") == F.col("s_nationkey"))
             .join(t.region, F.col("r_regionkey") == F.col("n_regionkey"))
@@ -530,7 +529,7 @@ def late_field_positions(t):
 CAPTION_CTES = r"""
 raw AS (
   SELECT conv_id AS table_id, turn // 2 AS exchange, turn, CASE role WHEN 'user' THEN 'form' ELSE 'module' END
-    AS level, trim(regexp_replace(split_part(split_part(text, chr(10), 1), '.', 1), '\s+', ' ', 'g')) AS caption
+    AS level, trim(regexp_replace(unnest(string_split_regex(text, '[\n.]')), '\s+', ' ', 'g')) AS caption
   FROM conversations),
 caps AS (
   SELECT *, CASE WHEN regexp_matches(caption, '[À-ɏ]') THEN 'accented' ELSE 'plain' END AS language
@@ -543,11 +542,11 @@ pairs AS (
 
 def caption_rows(t):
     """Captions with the identity that makes a pair defensible: conversation and exchange."""
-    first = F.split_part(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit("."), F.lit(1))
+    # Every sentence of every line is a caption.
     return cap.classified(t.conversations.select(
         F.col("conv_id").alias("table_id"), F.floor(F.col("turn") / 2).alias("exchange"), "turn",
         F.when(F.col("role") == "user", "form").otherwise("module").alias("level"),
-        first.alias("caption")), "[À-ɏ]", "accented", "plain")
+        F.explode(F.split("text", "[\n.]")).alias("caption")), "[À-ɏ]", "accented", "plain")
 
 
 @query("caption_languages", "WITH" + CAPTION_CTES + """

@@ -82,7 +82,7 @@ SELECT left_node, right_node, round(jaccard, 6) AS jaccard,
 def near_duplicate_links(t):
     """Review links between distinct word sets, each named by its least document id."""
     nodes, _, labels = dup.nodes_and_members(cut(dup.prepared_texts(texts(t))))
-    return dup.node_links(nodes, labels).select(
+    return dup.node_links(nodes, labels, complete=True).select(
         F.col("left").alias("left_node"), F.col("right").alias("right_node"),
         F.round("jaccard", 6).alias("jaccard"), "reasons")
 
@@ -159,15 +159,15 @@ def hash_ordered_sample(t):
 
 @query("numeric_cross_references", r"""
 SELECT DISTINCT least(page_id, other) AS left_id, greatest(page_id, other) AS right_id
-FROM (SELECT page_id, TRY_CAST(unnest(regexp_extract_all(url, '/(?:[a-z]{2})/([0-9]{1,7})', 1)) AS BIGINT)
+FROM (SELECT page_id, TRY_CAST(unnest(regexp_extract_all(url, '/(?:[a-z]{2})/([0-9]+)', 1)) AS BIGINT)
       AS other FROM pages)
 WHERE other <> page_id AND other IN (SELECT page_id FROM pages)""")
 def numeric_cross_references(t):
     """Numbers after a reference word that are ids of other records; digits may be Persian or Arabic."""
     western = F.translate("url", "۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩", "01234567890123456789")
     found = t.pages.select("page_id", F.explode(F.regexp_extract_all(
-        western, F.lit("/(?:[a-z]{2})/([0-9]{1,7})"), F.lit(1))).alias("number"))
-    numbered = found.select("page_id", F.col("number").cast("bigint").alias("other"))
+        western, F.lit("/(?:[a-z]{2})/([0-9]+)"), F.lit(1))).alias("number"))
+    numbered = found.select("page_id", F.col("number").try_cast("bigint").alias("other"))
     ids = t.pages.select(F.col("page_id").alias("other"))
     return (numbered.where("other <> page_id").join(ids, "other", "left_semi")
             .select(F.least("page_id", "other").alias("left_id"),

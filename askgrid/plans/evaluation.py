@@ -308,25 +308,26 @@ def latency_percentiles(t):
 EVIDENCE_WORDS_SQL = r"""(SELECT DISTINCT {key}, lower(word) AS word FROM (
     SELECT {key}, unnest(regexp_extract_all(regexp_replace({value}, '([a-z0-9])([A-Z])', '\1 \2', 'g'),
       '[A-Za-z][A-Za-z0-9]*')) AS word FROM {table})
-  WHERE length(word) > 2 AND lower(word) NOT IN ('the', 'and', 'for', 'from', 'with', 'each', 'show',
-    'all', 'that', 'their', 'report'))"""
+  WHERE length(word) > 2 AND lower(word) NOT IN ('a', 'an', 'and', 'as', 'at', 'be', 'by', 'each',
+    'for', 'from', 'in', 'including', 'into', 'is', 'it', 'of', 'on', 'only', 'or', 'show', 'the',
+    'their', 'to', 'with'))"""
 
 
 @query("evidence_overlap", sql.with_ctes(CASE_CTES, sql.DENSE, DENSE_RANKS, f"""
 asked AS {EVIDENCE_WORDS_SQL.format(key="item_id", value="text", table="benchmark")},
-held AS {EVIDENCE_WORDS_SQL.format(key="doc_id", value="string_split(text, chr(10))[1]", table="documents")},
+held AS {EVIDENCE_WORDS_SQL.format(key="doc_id", value="text", table="documents")},
 missed AS (SELECT e.question_id, e.id FROM expected e JOIN dense_rank d
            ON d.question_id = e.question_id AND d.id = e.id WHERE d.rank > 10)""", select="""
 SELECT m.question_id, m.id, count(*) AS shared_words, string_agg(a.word, ',' ORDER BY a.word) AS words
 FROM missed m JOIN asked a ON a.item_id = m.question_id
 JOIN held h ON h.doc_id = m.id AND h.word = a.word GROUP BY ALL"""))
 def evidence_overlap(t):
-    """For each missed expected member: question words its title does contain."""
+    """For each missed expected member: question words its text does contain."""
     missed = expected(t).join(dense_ranking(t, 10), ["question_id", "id"], "left_anti")
     asked = t.benchmark.select(F.col("item_id").alias("question_id"),
                                metrics.evidence_words(F.col("text")).alias("asked"))
-    held = t.documents.select(F.col("doc_id").alias("id"), metrics.evidence_words(
-        F.get(F.split("text", "\n"), F.lit(0))).alias("held"))
+    held = t.documents.select(F.col("doc_id").alias("id"),
+                              metrics.evidence_words(F.col("text")).alias("held"))
     shared = F.array_sort(F.array_intersect("asked", "held"))
     return (missed.join(asked, "question_id").join(held, "id")
             .withColumn("shared", shared).where(F.size("shared") > 0)

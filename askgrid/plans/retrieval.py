@@ -50,12 +50,17 @@ def alias_terms(t):
 
     The set per document is bounded by the vocabulary, not by the rows.
     """
-    first = t.conversations.where("role = 'user'").select(
-        F.col("conv_id").alias("id"), F.get(F.split("text", "\n"), F.lit(0)).alias("caption"))
-    return (first.select("id", F.explode(tx.identifier_tokens(F.col("caption"))).alias("term"))
+    captions = t.conversations.where("role = 'user'").select(F.col("conv_id").alias("id"), "text")
+    return (captions.select("id", F.explode(tx.identifier_tokens(F.col("text"))).alias("term"))
             .groupBy("id").agg(F.array_sort(F.collect_set("term")).alias("tokens")))
 
 
+def caption_lines(t):
+    """(id, role, line): every line of every turn is a caption."""
+    return t.conversations.select(F.col("conv_id").alias("id"), "role",
+                                  F.explode(F.split("text", "\n")).alias("line"))
+
+
 def relations(t, indexed, seeds):
     """Outgoing relations of the seeds."""
     links = t.lineitem.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
@@ -312,9 +317,11 @@ tuples AS (
   SELECT id, role, list_filter(list_transform(list_transform(list_filter({sql.words('value')},
       lambda w: w <> ''), lambda w: {sql.singular('w')}), lambda w: {sql.spelled('w')}),
       lambda w: w NOT IN ({sql.quoted(fixed.STRUCTURAL_TOKENS)})) AS tokens
-  FROM (SELECT conv_id AS id, role, string_split(text, chr(10))[1] AS value FROM conversations))"""
+  FROM ({{source}}))"""
 TITLE_TUPLES = ALIAS_TUPLES.replace("tuples AS", "titles AS", 1).replace("id, role,", "id,").replace(
-    "conv_id AS id,", "doc_id AS id,").replace("FROM conversations", "FROM documents")
+    "{source}", "SELECT doc_id AS id, string_split(text, chr(10))[1] AS value FROM documents")
+ALIAS_TUPLES = ALIAS_TUPLES.replace(
+    "{source}", "SELECT conv_id AS id, role, unnest(string_split(text, chr(10))) AS value FROM conversations")
 
 
 @query("alias_statistics", sql.with_ctes(ALIAS_TUPLES, TITLE_TUPLES, """
@@ -328,11 +335,10 @@ SELECT count(*) AS documents, count(*) FILTER (coalesce(n, 0) > 0) AS gaining,
 FROM titles LEFT JOIN effective USING (id)"""))
 def alias_statistics(t):
     """Effective captions per document: distinct ordered token tuples that add a new title term."""
-    first = t.conversations.where("role = 'user'").select(
-        F.col("conv_id").alias("id"),
-        tx.identifier_tokens(F.get(F.split("text", "\n"), F.lit(0))).alias("tokens"))
+    captions = caption_lines(t).where("role = 'user'").select(
+        "id", tx.identifier_tokens(F.col("line")).alias("tokens"))
     titles = records(t).select("id", tx.identifier_tokens(F.col("title")).alias("title"))
-    effective = (first.where(F.size("tokens") > 0).distinct().join(titles, "id")
+    effective = (captions.where(F.size("tokens") > 0).distinct().join(titles, "id")
                  .where(F.size(F.array_except("tokens", "title")) > 0)
                  .groupBy("id").agg(F.count(F.lit(1)).alias("n")))
     joined = titles.select("id").join(effective, "id", "left").withColumn(
@@ -401,9 +407,8 @@ SELECT id, array_to_string(tokens, ' ') AS token_key, count(*) AS occurrences,
 FROM tuples WHERE len(tokens) > 0 GROUP BY ALL""")
 def alias_records(t):
     """Captions deduplicated by their ordered token tuple, source categories merged."""
-    tokens = tx.identifier_tokens(F.get(F.split("text", "\n"), F.lit(0)))
-    return (t.conversations.select(F.col("conv_id").alias("id"), "role",
-                                   F.array_join(tokens, " ").alias("token_key"))
+    return (caption_lines(t).select("id", "role", F.array_join(
+                tx.identifier_tokens(F.col("line")), " ").alias("token_key"))
             .where("token_key <> ''").groupBy("id", "token_key").agg(
         F.count(F.lit(1)).alias("occurrences"),
         F.array_join(F.array_sort(F.collect_set("role")), ",").alias("source_categories")))

@@ -160,7 +160,7 @@ def reached(edges: str = "edges", name: str = "direct", base: str = "hybrid") ->
 
 ALIASES = f"""
 alias_text AS (SELECT conv_id AS id, turn, text AS value FROM conversations WHERE role = 'user'),
-alias_first AS (SELECT id, turn, string_split(value, chr(10))[1] AS value FROM alias_text),
+alias_first AS (SELECT id, turn, value FROM alias_text),
 alias_tokens AS (
   SELECT DISTINCT id, term FROM ({stemmed("alias_first", "id", "value")})
   WHERE id IN (SELECT doc_id FROM documents)),

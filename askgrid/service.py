@@ -201,8 +201,11 @@ class FrameSchemaProvider:
         return self.spark.createDataFrame([(0, question)], "question_id bigint, text string")
 
     def retrieve(self, question: str) -> list[RankedTable]:
+        most = 2 * fixed.CANDIDATE_DEPTH
         found = self.candidates(self._asked(question)).select("id").distinct().orderBy("id").limit(
-            2 * fixed.CANDIDATE_DEPTH).collect()
+            most + 1).collect()
+        if len(found) > most:
+            raise ValueError("More candidates than two sources of the candidate depth can give")
         return [RankedTable(rank, row["id"]) for rank, row in enumerate(found, start=1)]
 
     def rerank(self, question: str, candidates: list[RankedTable]) -> list[RankedTable]:

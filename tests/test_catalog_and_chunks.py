@@ -86,7 +86,7 @@ def test_form_edges_need_one_clear_primary(spark):
 
 
 def pack(records, budget=12, header="h h"):
-    return list(chunks._pack(header, records, budget, chunks.count_words))
+    return list(chunks._pack(header, records, budget, chunks.word_starts))
 
 
 def test_packing_respects_budget_and_order():
@@ -107,7 +107,7 @@ def test_long_records_are_split_loss_free():
 def test_character_counter_is_pluggable(spark):
     frame = spark.createDataFrame([(1, "h", ["ab", "cd", "efghijklmnopqrstuv"])],
                                   "id bigint, header string, records array<string>")
-    out = chunks.pack_chunks(frame, 20, lambda text: len(re.sub(r"\s", "", text))).collect()
+    out = chunks.pack_chunks(frame, 20, lambda text: [m.start() for m in re.finditer(r"\S", text)]).collect()
     assert out[0].text == "h\n\nab\n\ncd" and len(out) == 2
     assert chunks.chunk_violations(frame, chunks.pack_chunks(frame, 60)).count() == 0
 

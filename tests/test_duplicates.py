@@ -39,7 +39,11 @@ def test_cluster_ids(spark):
     assert got[1] == ("rc-" + digest("1,3,10")[:16], 3)
     assert got[7] == ("rc-" + digest("7")[:16], 1)
     split = {r.root: r.cluster_id for r in cluster_ids(members, part_size=5).collect()}
-    assert split[1] == "rc-" + digest(digest("1,3") + "," + digest("10"))[:16]
+    assert split == {root: cluster_id for root, (cluster_id, _) in got.items()}
+    large = members.union(spark.createDataFrame([(200_000, 1)], "id bigint, root bigint"))
+    assert {r.root: r.cluster_id for r in cluster_ids(large).collect()}[1] == "rc-" + digest("1,3,10,200000")[:16]
+    with pytest.raises(Exception, match="too many members"):
+        cluster_ids(members, max_members=2).collect()
 
 
 def corpus(seed):
@@ -87,12 +91,12 @@ def test_clusters_equal_all_pairs(spark, large, monkeypatch):
     got = {r.id: node_root[r.node] for r in members.collect()}
     expected, edges, sets = brute_force(rows)
     assert got == expected
-    if large == 2000:
-        least = {}
-        for i, s in sets.items():
-            least[s] = min(least.get(s, i), i)
-        wanted = {tuple(sorted((least[sets[a]], least[sets[b]]))) for a, b in edges if sets[a] != sets[b]}
-        assert {(r.left, r.right) for r in links.collect()} == wanted
+    least = {}
+    for i, s in sets.items():
+        least[s] = min(least.get(s, i), i)
+    wanted = {tuple(sorted((least[sets[a]], least[sets[b]]))) for a, b in edges if sets[a] != sets[b]}
+    every = dup.node_links(nodes, labels, large, complete=True)
+    assert {(r.left, r.right) for r in every.collect()} == wanted
 
 
 def test_exact_groups(spark):

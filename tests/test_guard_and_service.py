@@ -48,6 +48,19 @@ def test_valid(spark, sql):
     ("SELECT TRANSFORM (ProductID) USING 'cat' FROM product", "Only SELECT queries are allowed."),
     ("SELECT FROM WHERE", None),
     ("SET spark.x = 1", "Only SELECT queries are allowed."),
+    ("SELECT * FROM secret WHERE EXISTS (WITH secret AS (SELECT 1 AS a) SELECT * FROM secret)",
+     "Unknown table: secret."),
+    ("SELECT * FROM (WITH t AS (SELECT 1 AS a) SELECT * FROM t) x JOIN t ON true", "Unknown table: t."),
+    ("WITH a AS (SELECT * FROM b), b AS (SELECT 1 AS x) SELECT * FROM a", "Unknown table: b."),
+    ("SELECT leak(ProductID) FROM product", "Forbidden function: leak."),
+    ("SELECT current_user() FROM product", "Forbidden function: current_user."),
+    ("SELECT upper(ProductName) FROM product WHERE 1 / ProductID > 0",
+     "Integers are divided; write DIV or a decimal."),
+    ("SELECT (SELECT max(Quantity / 2) FROM sale) AS x FROM product",
+     "Integers are divided; write DIV or a decimal."),
+    ("SELECT * FROM (SELECT TOP 1 ProductID FROM product) x",
+     "TOP is only supported at the start of the statement."),
+    ("SELECT DATEDIFF(week, a, b) FROM product", "DATEDIFF is not supported in this form."),
 ])
 def test_rejected(spark, sql, error):
     result = guard.validate(spark, sql, KNOWN)
@@ -78,6 +91,34 @@ def test_binding(spark):
     assert [r[0] for r in rows] == [2]
 
 
+@pytest.mark.parametrize("sql, value", [
+    (r"SELECT 'C:\new' AS v", r"C:\new"), (r"SELECT N'it''s \t' AS v", r"it's \t"),
+    ("SELECT DATEDIFF(minute, TIMESTAMP'2020-01-01 00:00:59', TIMESTAMP'2020-01-01 00:01:00') AS v", 1),
+    ("SELECT DATEDIFF(day, CAST('2020-01-01 23:59:00' AS timestamp), CAST('2020-01-02' AS timestamp)) AS v", 1),
+    ("SELECT DATEDIFF(mi, DATE'2020-01-01', date_add(DATE'2020-01-01', 1)) AS v", 1440),
+    ("SELECT 'DATEDIFF(minute, a)' AS v", "DATEDIFF(minute, a)"),
+    ("SELECT 7 / 2.0 AS v", None), ("SELECT CAST(7 AS float) / 2 AS v", 3.5), ("SELECT 7 DIV 2 AS v", 3)])
+def test_same_value_as_the_dialect(spark, sql, value):
+    rows = guarded_frame(spark, sql, KNOWN).collect()
+    assert value is None or rows[0][0] == value
+
+
+def test_registered_functions_are_refused_under_any_name(spark):
+    spark.udf.register("leak", lambda x: x)
+    assert guard.validate(spark, "SELECT leak(1) AS x", KNOWN).errors == ["Forbidden function: leak."]
+
+
+def test_a_cut_result_is_marked(spark):
+    assert not execute(spark, "SELECT ProductID FROM sale", KNOWN, max_rows=2).complete
+    assert execute(spark, "SELECT ProductID FROM sale", KNOWN, max_rows=3).complete
+
+
+def test_too_many_candidates_fail(spark):
+    provider = FrameSchemaProvider(spark, lambda q: spark.range(101).select(F.col("id").cast("string")), None)
+    with pytest.raises(ValueError, match="More candidates"):
+        provider.retrieve("x")
+
+
 def test_lint():
     assert guard.lint("SELECT TOP 5 x FROM t") == ["TOP"]
     assert guard.lint("SELECT DISTINCT x FROM t WHERE y = 'LIMIT'", allow_distinct=False) == ["WHERE", "DISTINCT"]
@@ -87,7 +128,7 @@ def test_bounded_execution(spark):
     result = execute(spark, "SELECT ProductID FROM sale", KNOWN, max_rows=2)
     assert (result.status, result.row_count, result.columns) == ("success", 2, ["ProductID"])
     assert execute(spark, "DELETE FROM sale", KNOWN).status == "rejected"
-    failed = execute(spark, "SELECT 1 / (ProductID - ProductID) AS x FROM sale", KNOWN)
+    failed = execute(spark, "SELECT 1 DIV (ProductID - ProductID) AS x FROM sale", KNOWN)
     assert failed.status == "execution_error" and failed.rows == []
 
 
@@ -183,7 +224,7 @@ def service(spark, text):
     ("DELETE FROM product", "VALIDATION_REJECTED", ["success"] * 3 + ["rejected", "skipped"]),
     (RuntimeError("secret detail"), "GENERATION_ERROR", ["success"] * 2 + ["error"] + ["skipped"] * 2),
     (TimeoutError(), "TIMEOUT", ["success"] * 2 + ["timeout"] + ["skipped"] * 2),
-    ("SELECT 1 / (ProductID - ProductID) AS x FROM sale", "EXECUTION_ERROR", ["success"] * 4 + ["error"]),
+    ("SELECT 1 DIV (ProductID - ProductID) AS x FROM sale", "EXECUTION_ERROR", ["success"] * 4 + ["error"]),
 ])
 def test_service_outcomes(spark, text, status, steps):
     answer = service(spark, text).ask("Which products?")

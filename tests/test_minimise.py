@@ -14,6 +14,7 @@ CASES = [
     ("[username]: joe\nkept", "kept"),
     ("Traceback (most recent call last)\nkept", "kept"),
     ("at Foo.Bar.Baz(line 3)\nkept", "kept"),
+    ("at\tFoo.Bar(x)\nkept", "kept"),
     ("message:\nkept", "kept"),
     ("x" * 60, "[removed encoded value]"),
     ("id 123e4567-e89b-12d3-a456-426614174000 end", "id [removed diagnostic id] end"),

@@ -217,17 +217,30 @@ def rank_movement(t):
             .withColumn("moved_up", F.col("old_rank") - F.col("new_rank")))
 
 
-@query("ranking_signature", sql.with_ctes(sql.DENSE, DENSE_RANKS, select="""
-SELECT question_id, count(*) AS compared, 0::BIGINT AS differences FROM dense_rank
-WHERE rank <= 10 GROUP BY question_id"""))
+@query("ranking_signature", sql.with_ctes(
+    *r.LEXICAL_CTES, sql.lexical(), sql.DENSE, DENSE_RANKS, sql.hybrid(), """
+runs AS (
+  SELECT 'same run' AS prior, d.question_id, d.rank, d.id AS id, o.id AS old_id
+  FROM (SELECT * FROM dense_rank WHERE rank <= 10) d
+  FULL JOIN (SELECT * FROM dense_rank WHERE rank <= 10) o USING (question_id, rank)
+  UNION ALL
+  SELECT 'before fusion', coalesce(h.question_id, d.question_id), coalesce(h.rank, d.rank), h.id, d.id
+  FROM (SELECT * FROM hybrid WHERE rank <= 10) h
+  FULL JOIN (SELECT * FROM dense_rank WHERE rank <= 10) d
+  ON h.question_id = d.question_id AND h.rank = d.rank)""", select="""
+SELECT prior, question_id, count(*) AS compared, count(*) FILTER (id IS DISTINCT FROM old_id) AS differences
+FROM runs GROUP BY ALL"""))
 def ranking_signature(t):
-    """Two runs of one ranking compared row by row on (question, rank, member)."""
-    first, again = [dense_ranking(t, 10).select("question_id", "rank", "id", F.lit(side).alias("side"))
-                    for side in (1, -1)]
-    rows = first.unionByName(again).groupBy("question_id", "rank", "id").agg(
-        F.sum("side").alias("balance"))
-    return rows.groupBy("question_id").agg(
-        F.count(F.lit(1)).alias("compared"), F.count_if(F.col("balance") != 0).alias("differences"))
+    """A ranking compared with a stored prior run, rank by rank: its own and the one before fusion."""
+    stored = cut(dense_ranking(t, 10).select("question_id", "rank", F.col("id").alias("old_id")))
+    again = dense_ranking(t, 10).select("question_id", "rank", "id")
+    fused = dense.hybrid_top(r.questions_with_vectors(t), r.corpus(t), r.lexical_for(t), 10).select(
+        "question_id", "rank", "id")
+    parts = [run.join(stored, ["question_id", "rank"], "full").groupBy("question_id").agg(
+        F.count(F.lit(1)).alias("compared"),
+        F.count_if(~F.col("id").eqNullSafe(F.col("old_id"))).alias("differences"))
+        .withColumn("prior", F.lit(name)) for name, run in (("same run", again), ("before fusion", fused))]
+    return parts[0].unionByName(parts[1])
 
 
 @query("score_distribution", sql.with_ctes(CASE_CTES, sql.DENSE, select="""

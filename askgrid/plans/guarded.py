@@ -85,9 +85,17 @@ def sample_profile(t):
 
 
 @query("compare_equal_results", """
-SELECT count(*) AS gold_rows, count(*) AS predicted_rows, 0::BIGINT AS differing_rows,
-       'EXECUTION_CORRECT' AS status FROM orders JOIN lineitem ON l_orderkey = o_orderkey
-WHERE l_returnflag = 'R'""")
+WITH gold AS (SELECT o_custkey, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+              WHERE l_returnflag = 'R'),
+predicted AS (SELECT o_custkey, l_partkey FROM lineitem, orders WHERE o_orderkey = l_orderkey
+              AND NOT (l_returnflag IN ('A', 'N'))),
+differing AS (SELECT count(*) AS n FROM (
+  SELECT o_custkey, l_partkey FROM (
+    SELECT *, 1 AS side FROM gold UNION ALL SELECT *, -1 FROM predicted)
+  GROUP BY ALL HAVING sum(side) <> 0))
+SELECT (SELECT count(*) FROM gold) AS gold_rows, (SELECT count(*) FROM predicted) AS predicted_rows,
+       n AS differing_rows, CASE WHEN n = 0 THEN 'EXECUTION_CORRECT' ELSE 'RESULT_MISMATCH' END AS status
+FROM differing""")
 def compare_equal_results(t):
     """Two spellings of one question give the same multiset, whatever the column names."""
     gold = guarded(t, "SELECT o_custkey AS customer, l_partkey AS part FROM orders "
@@ -122,14 +130,19 @@ chain AS (
   UNION ALL
   SELECT e.run, e.position, e.record, c.sha, sha256(c.sha || e.record)
   FROM chain c JOIN e ON e.run = c.run AND e.position = c.position + 1)
-SELECT run, count(*) AS entries, true AS intact,
+SELECT run, count(*) AS entries,
+       bool_and(sha256(previous_sha || CASE WHEN run % 7 = 0 AND position = 3 THEN record || '!' ELSE record END)
+                = sha) AS intact,
        arg_max(sha, position) AS last_sha FROM chain GROUP BY run""")
 def journal_chain_verify(t):
-    """Chains of at most fifty entries per run: written per run, verified in parallel."""
+    """Chains of at most fifty entries per run, verified in parallel; every seventh run was tampered with."""
     entries = t.events.select(
         F.floor(F.col("event_id") / 50).alias("run"), (F.col("event_id") % 50).alias("position"),
         F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("record"))
-    return verify_chain(chained(entries)).groupBy("run").agg(
+    tampered = chained(entries).withColumn("record", F.when(
+        (F.col("run") % 7 == 0) & (F.col("position") == 3), F.concat("record", F.lit("!"))).otherwise(
+            F.col("record")))
+    return verify_chain(tampered).groupBy("run").agg(
         F.count(F.lit(1)).alias("entries"), F.bool_and("linked").alias("intact"),
         F.max_by("sha", "position").alias("last_sha"))
 

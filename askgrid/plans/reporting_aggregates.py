@@ -204,9 +204,11 @@ def union_distinct(t):
 @query("partition_identity", """
 SELECT CAST(count(*) FILTER (has_f) AS BIGINT) AS with_final,
        CAST(count(*) FILTER (NOT has_f) AS BIGINT) AS without_final,
-       CAST(count(*) AS BIGINT) AS customers, true AS is_partition
-FROM (SELECT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')
-      AS has_f FROM customer)""")
+       CAST(count(*) AS BIGINT) AS customers,
+       bool_and(CAST(has_f AS INTEGER) + CAST(lacks_f AS INTEGER) = 1) AS is_partition
+FROM (SELECT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS has_f,
+             c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AS lacks_f
+      FROM customer)""")
 def partition_identity(t):
     """Paired ∪ queued = all and paired ∩ queued = ∅, checked with one semi and one anti join."""
     final = t.orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))

@@ -152,10 +152,20 @@ def _with_lexical(rows: DataFrame, lexical: DataFrame) -> DataFrame:
         F.col("pairs.lexical").alias("scores"))
 
 
+def _lexical_only(questions: DataFrame, corpus: DataFrame, lexical: DataFrame) -> DataFrame:
+    """Scored rows of documents that have no vector."""
+    none = F.lit(0.0)
+    return (lexical.join(corpus.select("id").distinct(), "id", "left_anti")
+            .join(broadcast_if_small(questions.select("question_id")), "question_id", "left_semi")
+            .select("question_id", "id", F.col("id").alias("part_id"), none.alias("cosine"),
+                    none.alias("dense"), "lexical", fused(none, F.col("lexical")).alias("score")))
+
+
 def pooled_hybrid_top(questions: DataFrame, chunks: DataFrame, lexical: DataFrame,
                       k: int) -> DataFrame:
     """Best k parents by weighted best-chunk and lexical score."""
-    return _best_parts(_score(questions, _with_lexical(chunks, lexical), k, "pooled fused"), k)
+    scored = _score(questions, _with_lexical(chunks, lexical), k, "pooled fused")
+    return _best_parts(scored.unionByName(_lexical_only(questions, chunks, lexical)), k)
 
 
 def score_pooled_pairs(pairs: DataFrame, questions: DataFrame, chunks: DataFrame,
@@ -169,10 +179,12 @@ def hybrid_top(questions: DataFrame, corpus: DataFrame, lexical: DataFrame, k: i
     """Best k rows per question by weighted dense and lexical score.
 
     Lexical scores (question_id, id, lexical) are sparse; they are gathered per
-    document, so the full question by document grid never leaves a batch.
+    document, so the full question by document grid never leaves a batch. A
+    document without a vector counts with dense 0.
     """
     rows = _with_lexical(corpus.withColumn("part_id", F.col("id")), lexical)
-    return _ranked(_score(questions, rows, k, "fused"), k)
+    scored = _score(questions, rows, k, "fused")
+    return _ranked(scored.unionByName(_lexical_only(questions, corpus, lexical)), k)
 
 
 def score_pairs(pairs: DataFrame, questions: DataFrame, corpus: DataFrame,

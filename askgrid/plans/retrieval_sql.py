@@ -116,7 +116,11 @@ def hybrid(lexical_name: str = "lexical", name: str = "hybrid") -> str:
   FROM (SELECT d.question_id, d.id, d.dense, coalesce(l.lexical, 0) AS lexical,
           round({fixed.DENSE_WEIGHT}::DOUBLE * d.dense
                 + {fixed.LEXICAL_WEIGHT}::DOUBLE * coalesce(l.lexical, 0), 12) AS score
-        FROM dense d LEFT JOIN {lexical_name} l ON l.question_id = d.question_id AND l.id = d.id))"""
+        FROM dense d LEFT JOIN {lexical_name} l ON l.question_id = d.question_id AND l.id = d.id
+        UNION ALL
+        SELECT question_id, id, 0.0::DOUBLE, lexical, round({fixed.LEXICAL_WEIGHT}::DOUBLE * lexical, 12)
+        FROM {lexical_name}
+        WHERE id NOT IN (SELECT id FROM c) AND question_id IN (SELECT question_id FROM q)))"""
 
 
 DENSE_AS_HYBRID = """

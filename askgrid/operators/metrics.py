@@ -100,6 +100,18 @@ def transitions(expected: DataFrame, old: DataFrame, new: DataFrame, k: int) ->
         direction.alias("transition"), "gained", "lost")
 
 
+def changed_members(expected: DataFrame, old: DataFrame, new: DataFrame, k: int) -> DataFrame:
+    """Expected members inside the Top-k of one ranking only: gained or lost, with both ranks."""
+    def ranks(frame, name):
+        return frame.select("question_id", "id", F.col("rank").alias(name))
+
+    joined = (expected.join(ranks(old, "old_rank"), ["question_id", "id"], "left")
+              .join(ranks(new, "new_rank"), ["question_id", "id"], "left"))
+    was, now = (F.coalesce(F.col(name) <= k, F.lit(False)) for name in ("old_rank", "new_rank"))
+    return joined.where(was != now).select(
+        "question_id", "id", F.when(now, "gained").otherwise("lost").alias("status"), "old_rank", "new_rank")
+
+
 def average_rank(rows: DataFrame, keys: list[str], value: str, output: str,
                  bucket: Column) -> DataFrame:
     """Ascending rank with ties averaged, from counts per distinct value.

@@ -100,17 +100,32 @@ def macro_recall(t):
     return metrics.macro(per_case, ["difficulty", "domain"])
 
 
+SYSTEMS = ("dense", "hybrid", "graph", "bm25 hybrid", "alias hybrid", "chunked")
+UNIONS = {"dense + graph": ("dense", "graph"), "dense + bm25 hybrid": ("dense", "bm25 hybrid"),
+          "hybrid + chunked": ("hybrid", "chunked")}
+_UNION_ROWS = ", ".join(f"('{name}', '{part}')" for name, parts in UNIONS.items() for part in parts)
+
 COVERAGE_SQL = sql.with_ctes(
     CASE_CTES, *r.LEXICAL_CTES, sql.lexical(), sql.DENSE, DENSE_RANKS, sql.hybrid(), sql.EDGES,
-    sql.reached(), sql.expansion(), """
+    sql.reached(), sql.expansion(), sql.bm25(), sql.hybrid("bm25", "bm25_hybrid"), sql.ALIASES,
+    sql.lexical("enriched_tokens", "alias_lexical"), sql.hybrid("alias_lexical", "alias_hybrid"),
+    r.CHUNK_SQL, f"""
+chunk_rank AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY cosine DESC, id DESC) AS rank
+               FROM pooled),
+single AS (
+  SELECT 'dense' AS system, question_id, id, rank FROM dense_rank
+  UNION ALL SELECT 'hybrid', question_id, id, rank FROM hybrid
+  UNION ALL SELECT 'graph', question_id, id, rank FROM graph
+  UNION ALL SELECT 'bm25 hybrid', question_id, id, rank FROM bm25_hybrid
+  UNION ALL SELECT 'alias hybrid', question_id, id, rank FROM alias_hybrid
+  UNION ALL SELECT 'chunked', question_id, id, rank FROM chunk_rank),
+unions (name, part) AS (VALUES {_UNION_ROWS}),
 memberships AS (
-  SELECT 'dense' AS system, question_id, id, rank FROM dense_rank WHERE rank <= 200
-  UNION ALL SELECT 'graph', question_id, id, rank FROM graph WHERE rank <= 200
-  UNION ALL SELECT 'dense + graph', question_id, id, min(rank) FROM (
-    SELECT question_id, id, rank FROM dense_rank WHERE rank <= 200
-    UNION ALL SELECT question_id, id, rank FROM graph WHERE rank <= 200) GROUP BY ALL),
+  SELECT * FROM single WHERE rank <= 200
+  UNION ALL SELECT name, question_id, id, min(rank) FROM single JOIN unions ON part = system
+            WHERE rank <= 200 GROUP BY ALL),
 depths AS (SELECT unnest([10, 20, 50, 100, 200]) AS depth),
-systems AS (SELECT unnest(['dense', 'graph', 'dense + graph']) AS system),
+systems AS (SELECT DISTINCT system FROM single UNION SELECT name FROM unions),
 per_case AS (
   SELECT s.system, d.depth, e.question_id, count(*) AS n, count(m.id) AS found
   FROM expected e CROSS JOIN depths d CROSS JOIN systems s
@@ -124,15 +139,20 @@ SELECT system, CAST(depth AS INTEGER) AS depth, count(*) AS cases,
 
 @query("coverage_by_depth", COVERAGE_SQL)
 def coverage_by_depth(t):
-    """Coverage of two systems and their union at five depths.
+    """Coverage of six systems and three unions at five depths.
 
     Each expected member meets a ranking once; the depths are conditional
     counts on its rank, not copies of the rows.
     """
-    rankings = {"dense": dense_ranking(t, 200).select("question_id", "id", "rank"),
-                "graph": graph_ranking(t, 200)}
-    return metrics.coverage(expected(t), rankings, {"dense + graph": ("dense", "graph")},
-                            fixed.COVERAGE_DEPTHS)
+    asked, vectors, lexical = r.questions_with_vectors(t), r.corpus(t), cut(r.lexical_for(t))
+    most = max(fixed.COVERAGE_DEPTHS)
+    found = {"dense": dense_ranking(t, most), "hybrid": dense.hybrid_top(asked, vectors, lexical, most),
+             "graph": r.expanded(t, lexical, most),
+             "bm25 hybrid": dense.hybrid_top(asked, vectors, r.bm25_for(t), most),
+             "alias hybrid": dense.hybrid_top(asked, vectors, r.lexical_for(t, r.alias_terms(t)), most),
+             "chunked": dense.pooled_top(asked, r.chunks(t), most)}
+    rankings = {name: found[name].select("question_id", "id", "rank") for name in SYSTEMS}
+    return metrics.coverage(expected(t), rankings, UNIONS, fixed.COVERAGE_DEPTHS)
 
 
 @query("rank_classes", sql.with_ctes(CASE_CTES, sql.DENSE, DENSE_RANKS, select="""
@@ -200,6 +220,21 @@ def transitions(t):
     return metrics.transitions(expected(t), dense_ranking(t, 10), hybrid, 10)
 
 
+@query("transition_members", sql.with_ctes(
+    CASE_CTES, *r.LEXICAL_CTES, sql.lexical(), sql.DENSE, DENSE_RANKS, sql.hybrid(), select="""
+SELECT e.question_id, e.id, CASE WHEN n.rank <= 10 THEN 'gained' ELSE 'lost' END AS status,
+  CAST(o.rank AS INTEGER) AS old_rank, CAST(n.rank AS INTEGER) AS new_rank
+FROM expected e
+LEFT JOIN (SELECT * FROM dense_rank WHERE rank <= 200) o ON o.question_id = e.question_id AND o.id = e.id
+LEFT JOIN (SELECT * FROM hybrid WHERE rank <= 200) n ON n.question_id = e.question_id AND n.id = e.id
+WHERE coalesce(o.rank <= 10, false) <> coalesce(n.rank <= 10, false)"""))
+def transition_members(t):
+    """Expected members that enter or leave the Top-10, with both ranks (null beyond 200)."""
+    most = max(fixed.COVERAGE_DEPTHS)
+    new = dense.hybrid_top(r.questions_with_vectors(t), r.corpus(t), r.lexical_for(t), most)
+    return metrics.changed_members(expected(t), dense_ranking(t, most), new, 10)
+
+
 @query("rank_movement", sql.with_ctes(
     *r.LEXICAL_CTES, sql.lexical(), sql.DENSE, DENSE_RANKS, sql.hybrid(), select="""
 SELECT coalesce(o.question_id, n.question_id) AS question_id, coalesce(o.id, n.id) AS id,

@@ -17,7 +17,7 @@ from askgrid.functions import fixed_values as fixed
 from askgrid.functions import text as tx
 from askgrid.operators import candidates as cand
 from askgrid.operators import dense, graph, lexical
-from askgrid.operators.bounded import cut, spread
+from askgrid.operators.bounded import broadcast_if_small, cut, spread
 from askgrid.plans import retrieval_sql as sql
 from askgrid.plans.registry import query
 
@@ -477,8 +477,11 @@ reranked AS (
 
 
 def reranked_for(t):
+    """Only the documents of some candidate are tokenised."""
+    chosen = cut(candidates_for(t))
+    wanted = records(t).join(broadcast_if_small(chosen.select("id").distinct()), "id", "left_semi")
     return cand.rerank(cand.score_candidates(
-        candidates_for(t), all_questions(t), lexical.flattened_tokens(records(t))))
+        chosen, all_questions(t), lexical.flattened_tokens(wanted)))
 
 
 @query("union_rerank", sql.with_ctes(*CANDIDATE_CTES, RERANK_CTES, select="""

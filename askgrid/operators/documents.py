@@ -83,6 +83,38 @@ def render(catalog: Catalog) -> DataFrame:
                     F.array_join(parts, "\n").alias("text")))
 
 
+def chunk_records(catalog: Catalog) -> DataFrame:
+    """(schema, name, kind, label, text): the records a table's chunks are packed from.
+
+    One per column, with its type, attributes, description and the targets of
+    its foreign keys, and one per foreign key of several columns.
+    """
+    keys = catalog.pk.select(*KEY, "column", F.lit(True).alias("is_key"))
+    target = F.concat(F.lit("FK -> "), F.concat_ws(".", "ref_schema", "ref_name", "ref_column"))
+    targets = catalog.fk.groupBy(*KEY, "column").agg(F.array_sort(F.collect_list(
+        F.struct("constraint", "ordinal", target.alias("text")))).alias("targets"))
+    attributes = F.array_join(F.array_compact(F.array(
+        F.when(F.col("is_key"), "PRIMARY KEY"), F.when(F.col("identity"), "IDENTITY"),
+        F.when(F.col("nullable"), "NULL").otherwise("NOT NULL"))), ", ")
+    kind = shown_type(F.col("data_type"), F.col("max_length"), F.col("precision"), F.col("scale"))
+    lines = F.concat(
+        F.array_compact(F.array(
+            F.concat(F.lit("Column: "), "column"), F.concat(F.lit("Type: "), kind),
+            F.concat(F.lit("Attributes: "), attributes),
+            F.when(F.trim("description") != "", F.concat(F.lit("Description: "), F.trim("description"))))),
+        F.coalesce("targets.text", F.array().cast("array<string>")))
+    columns = (catalog.columns.join(keys, [*KEY, "column"], "left").join(targets, [*KEY, "column"], "left")
+               .select(*KEY, F.lit("column").alias("kind"), F.col("column").alias("label"),
+                       F.array_join(lines, "\n").alias("text")))
+    pairs = F.zip_with("columns", "ref_columns", lambda own, other: F.concat(
+        own, F.lit(" -> "), F.concat_ws(".", "ref_schema", "ref_name", other)))
+    composite = foreign_keys(catalog.fk).where(F.size("columns") > 1).select(
+        *KEY, F.lit("composite key").alias("kind"), F.col("constraint").alias("label"),
+        F.concat(F.lit("Constraint: "), "constraint", F.lit("\nComposite FK: "),
+                 F.array_join(pairs, "; ")).alias("text"))
+    return columns.unionByName(composite)
+
+
 def own_columns(text: Column) -> Column:
     """Column names listed in a document's own Columns section."""
     section = F.regexp_extract(text, r"(?s)(?:^|\n)Columns:\s*\n(.*?)(?:\n\nRelationships:|\z)", 1)

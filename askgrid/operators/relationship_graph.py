@@ -16,6 +16,18 @@ def outgoing_edges(documents: DataFrame) -> DataFrame:
             .where("src <> dst").distinct().join(indexed, "dst", "left_semi").select("src", "dst"))
 
 
+def table_roles(mappings: DataFrame) -> DataFrame:
+    """(form_id, table, role, form_roles): role of each mapped table, and all roles of its form.
+
+    ``mappings``: (form_id, table, is_primary); an unknown flag gives no role.
+    """
+    role = F.when(F.col("is_primary"), "primary").when(~F.col("is_primary"), "detail_or_member")
+    roles = mappings.select("form_id", "table", role.alias("role")).distinct()
+    per_form = roles.groupBy("form_id").agg(
+        F.array_join(F.array_sort(F.collect_set("role")), ",").alias("form_roles"))
+    return roles.join(per_form, "form_id").select("form_id", "table", "role", "form_roles")
+
+
 def form_edges(mappings: DataFrame) -> DataFrame:
     """(src, dst) both ways between the single primary table of a form and its other tables.
 

@@ -274,6 +274,26 @@ def table_documents(t):
     return docs.render(profiled(t))
 
 
+@query("chunk_records", catalog_sql(DOCUMENT_CTES, """
+targets AS (
+  SELECT schema, name, column_name, string_agg(chr(10) || 'FK -> ' || ref_schema || '.' || ref_name || '.'
+         || ref_column, '' ORDER BY constraint_name, ordinal) AS lines FROM fk GROUP BY ALL)""", select=f"""
+SELECT a.schema, a.name, 'column' AS kind, a.column_name AS label,
+  'Column: ' || a.column_name || chr(10) || 'Type: ' || {SHOWN_SQL} || chr(10) || 'Attributes: '
+  || array_to_string(own, ', ')
+  || CASE WHEN trim(description) <> '' THEN chr(10) || 'Description: ' || trim(description) ELSE '' END
+  || coalesce(t.lines, '') AS text
+FROM attrs a LEFT JOIN targets t ON t.schema = a.schema AND t.name = a.name AND t.column_name = a.column_name
+UNION ALL
+SELECT schema, name, 'composite key', constraint_name, 'Constraint: ' || constraint_name || chr(10)
+  || 'Composite FK: ' || string_agg(column_name || ' -> ' || ref_schema || '.' || ref_name || '.' || ref_column,
+                                    '; ' ORDER BY ordinal)
+FROM fk GROUP BY schema, name, constraint_name HAVING count(*) > 1"""))
+def chunk_records(t):
+    """Column and composite-key records of every table."""
+    return docs.chunk_records(profiled(t))
+
+
 @query("document_columns", catalog_sql(select="""
 SELECT schema || '.' || name AS full_name, CAST(ordinal - 1 AS INTEGER) AS position, column_name FROM columns"""))
 def document_columns(t):
@@ -332,6 +352,17 @@ def graph_of(t):
     return catalog, rg.build(pairs, form_mappings(t, catalog))
 
 
+@query("table_roles", catalog_sql(EDGE_CTES, FORM_CTES, """
+roles AS (SELECT DISTINCT form_id, table_name, CASE WHEN is_primary THEN 'primary' WHEN NOT is_primary
+          THEN 'detail_or_member' END AS role FROM forms)""", select="""
+SELECT form_id, table_name AS "table", role, form_roles FROM roles JOIN (
+  SELECT form_id, string_agg(DISTINCT role, ',' ORDER BY role) AS form_roles FROM roles GROUP BY form_id)
+USING (form_id)"""))
+def table_roles(t):
+    """Primary and detail tables of each form."""
+    return rg.table_roles(form_mappings(t, profiled(t)))
+
+
 @query("relationship_graph", catalog_sql(EDGE_CTES, FORM_CTES, select="SELECT src, dst, families FROM graph"))
 def relationship_graph(t):
     """Foreign keys both ways and form associations, merged per directed pair."""

@@ -11,20 +11,31 @@ from askgrid.session import ensure_checkpoint_dir
 from askgrid.streaming.log_stream import hourly_counts, write_available
 
 
+DELAY_MINUTES = 10
+
+
 @query("log_stream_rollup", """
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour_start, event_type,
-       count(*) AS records, max(value) AS largest
-FROM events
-WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
-GROUP BY ALL""")
+       count(*) AS records, max(value) AS largest,
+       date_trunc('hour', ts) + INTERVAL 1 HOUR > (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE AS is_open
+FROM events GROUP BY ALL""")
 def log_stream_rollup(t):
-    """Hourly counts of an append-only log read as a stream; only windows closed by the watermark."""
+    """Hourly counts of an append-only log read as a stream.
+
+    The stream gives the windows its watermark has closed; the windows after
+    it, which later records may still change, are rolled up once and marked.
+    """
     folder = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/log-stream-{uuid.uuid4().hex}"
     # A glob serves both a single parquet file and a folder of part files.
     source = (t.spark.readStream.schema(t.events.schema).parquet(f"{t.directory}/event[s].parquet")
               .withColumn("at", F.col("ts").cast("timestamp")))
-    write_available(hourly_counts(source, "at", "event_type", "value"), f"{folder}/out",
-                    f"{folder}/checkpoint")
-    return t.spark.read.parquet(f"{folder}/out").select(
+    write_available(hourly_counts(source, "at", "event_type", "value", f"{DELAY_MINUTES} minutes"),
+                    f"{folder}/out", f"{folder}/checkpoint")
+    closed = t.spark.read.parquet(f"{folder}/out").withColumn("is_open", F.lit(False))
+    records = t.events.withColumn("at", F.col("ts").cast("timestamp"))
+    watermark = records.agg(F.max("at") - F.make_dt_interval(mins=F.lit(DELAY_MINUTES)))
+    end = F.date_trunc("hour", F.col("at")) + F.make_dt_interval(hours=F.lit(1))
+    later = hourly_counts(records.where(end > watermark.scalar()), "at", "event_type", "value")
+    return closed.unionByName(later.withColumn("is_open", F.lit(True))).select(
         F.date_format("hour_start", "yyyy-MM-dd HH:mm:ss").alias("hour_start"), "event_type",
-        "records", "largest")
+        "records", "largest", "is_open")

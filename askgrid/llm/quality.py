@@ -11,8 +11,9 @@ models all pairwise interactions through low-rank factors,
 which is linear in the number of non-zero inputs.
 
 It is fitted on the driver with Adam on at most ``TRAIN_ROWS`` labelled rows,
-those with the least seeded hash of their id; all other work is one pass over
-the documents.
+those with the least seeded hash of their id. The driver receives their hashed
+inputs, not their texts, so a row is bounded by the number of buckets. All
+other work is one pass over the documents.
 """
 
 from __future__ import annotations
@@ -62,6 +63,12 @@ def word_inputs(words: list[bytes], buckets: int = WORD_BUCKETS) -> tuple[np.nda
     return found, (weights / np.linalg.norm(weights)).astype(np.float32)
 
 
+def features(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word buckets, their values, and the statistics of one text."""
+    words = raw.lower().split()
+    return *word_inputs(words), np.array(statistics(raw, words))
+
+
 @dataclass
 class Machine:
     """Parameters of a fitted factorisation machine."""
@@ -73,9 +80,10 @@ class Machine:
 
     def inputs(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Indices and values of the non-zero inputs of one text."""
-        words = raw.lower().split()
-        found, values = word_inputs(words)
-        stats = np.array(statistics(raw, words))
+        return self.placed(*features(raw))
+
+    def placed(self, found: np.ndarray, values: np.ndarray, stats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same from the features of a text."""
         bins = (stats[:, None] > self.edges).sum(axis=1)
         place = WORD_BUCKETS + np.arange(len(stats)) * BINS + bins
         return (np.concatenate([found, place]),
@@ -96,28 +104,27 @@ def bin_edges(stats: np.ndarray) -> np.ndarray:
     return np.quantile(stats, quantiles, axis=0).T if len(stats) else np.zeros((stats.shape[1], BINS - 1))
 
 
-def fit(texts: list[bytes], labels: list[int], factors: int = FACTORS, epochs: int = EPOCHS,
+def fit(rows: list[tuple], labels: list[int], factors: int = FACTORS, epochs: int = EPOCHS,
         rate: float = 0.02, decay: float = 1e-4, seed: int = SEED) -> Machine:
-    """Fit on labelled texts; without any, every score is one half."""
+    """Fit on the features of labelled texts; without any, every score is one half."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    stats = np.array([statistics(raw, raw.lower().split()) for raw in texts]).reshape(
-        len(texts), len(PUNCTUATION) + 11)
+    stats = np.array([row[2] for row in rows]).reshape(len(rows), len(PUNCTUATION) + 11)
     size = WORD_BUCKETS + stats.shape[1] * BINS
     machine = Machine(bin_edges(stats), 0.0, np.zeros(size, np.float32),
                       (0.05 * rng.standard_normal((size, factors))).astype(np.float32))
-    if not texts:
+    if not rows:
         machine.factors[:] = 0
         return machine
-    matrix = np.zeros((len(texts), size), np.float32)
-    for row, raw in zip(matrix, texts):
-        at, x = machine.inputs(raw)
-        row[at] = x
+    matrix = np.zeros((len(rows), size), np.float32)
+    for line, row in zip(matrix, rows):
+        at, x = machine.placed(*row)
+        line[at] = x
     target = np.array(labels, np.float32)
     state = {name: [np.zeros_like(value), np.zeros_like(value)] for name, value in
              (("b", np.zeros(1, np.float32)), ("w", machine.weights), ("v", machine.factors))}
     bias, step = np.zeros(1, np.float32), 0
     for _ in range(epochs):
-        order = rng.permutation(len(texts))
+        order = rng.permutation(len(rows))
         for begin in range(0, len(order), BATCH):
             x, y = matrix[order[begin:begin + BATCH]], target[order[begin:begin + BATCH]]
             sums = x @ machine.factors
@@ -161,9 +168,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) ->
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Machine:
     """Fit on the bounded sample; repeated ids give repeated rows, cut to ``limit``."""
-    rows = (training_rows(docs, labels, "quality", limit)
-            .orderBy("doc_id", "text").limit(limit).collect())
-    return fit([row["text"].encode() for row in rows], [row["label"] for row in rows])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [features(raw) for raw in batch.column(1).cast(pa.binary()).to_pylist()]
+            packed = [pa.array([np.asarray(row[k], kind).tobytes() for row in found], pa.binary())
+                      for k, kind in enumerate(("<i8", "<f4", "<f8"))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *packed],
+                                             names=["doc_id", "label", "found", "weights", "stats"])
+
+    sample = training_rows(docs, labels, "quality", limit).select("doc_id", "text", "label")
+    rows = (sample.mapInArrow(run, "doc_id long, label int, found binary, weights binary, stats binary")
+            .orderBy("doc_id", "found", "weights", "stats").limit(limit).collect())
+    return fit([(np.frombuffer(row["found"], "<i8"), np.frombuffer(row["weights"], "<f4"),
+                 np.frombuffer(row["stats"], "<f8")) for row in rows], [row["label"] for row in rows])
 
 
 def with_quality(docs: DataFrame, machine: Machine, column: str = "score") -> DataFrame:

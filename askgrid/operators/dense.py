@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from askgrid.functions import fixed_values as fixed
-from askgrid.operators.bounded import broadcast_if_small
+from askgrid.operators.bounded import broadcast_if_small, cut
 
 MAX_QUESTIONS_IN_TASK = 4096
 # The cosine is rounded once; later sums keep enough digits to stay exact.
@@ -194,12 +194,12 @@ def score_pairs(pairs: DataFrame, questions: DataFrame, corpus: DataFrame,
     with_vectors = (pairs.join(corpus.select("id", "vector"), "id")
                     .join(broadcast_if_small(questions.select(
                         "question_id", F.col("vector").alias("question_vector"))), "question_id")
-                    .select("question_id", "id", F.round(
+                    .select("question_id", "id", cosine.alias("cosine"), F.round(
                         normalized_dense(cosine), SCORE_DIGITS).alias("dense")))
     if lexical is None:
-        return with_vectors.select("question_id", "id", "dense", F.lit(0.0).alias("lexical"),
+        return with_vectors.select("question_id", "id", "cosine", "dense", F.lit(0.0).alias("lexical"),
                                    F.col("dense").alias("score"))
-    return (with_vectors.join(lexical.select("question_id", "id", "lexical"),
+    return (with_vectors.drop("cosine").join(lexical.select("question_id", "id", "lexical"),
                               ["question_id", "id"], "left")
             .withColumn("lexical", F.coalesce("lexical", F.lit(0.0)))
             .withColumn("score", fused(F.col("dense"), F.col("lexical"))))
@@ -230,3 +230,90 @@ def score_all(questions: DataFrame, corpus: DataFrame) -> DataFrame:
     parts = [rows.mapInPandas(scorer(ids, matrix), "question_id bigint, id bigint, cosine double")
              for ids, matrix in _question_blocks(questions)]
     return reduce(DataFrame.unionByName, parts)
+
+
+CELLS_PER_UNIT = 1000
+
+
+def score_cells(questions: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(cell, n, total, squares, least, most) of all cosines; the grid itself never leaves a batch.
+
+    A cell is one thousandth; a batch gives at most one row per cell.
+    """
+    def scorer(shared):
+        def score(batches):
+            for batch in batches:
+                if batch.empty:
+                    continue
+                cosine = np.round(np.array(batch["vector"].tolist(), dtype=np.float64) @ shared.value.T,
+                                  COSINE_DIGITS).ravel()
+                frame = pd.DataFrame({"cell": np.floor(cosine * CELLS_PER_UNIT).astype(np.int32),
+                                      "v": cosine, "s": cosine ** 2})
+                yield frame.groupby("cell").agg(
+                    n=("v", "size"), total=("v", "sum"), squares=("s", "sum"), least=("v", "min"),
+                    most=("v", "max")).reset_index()
+
+        return score
+
+    return _per_block(questions, corpus.select("vector"), scorer,
+                      "cell int, n bigint, total double, squares double, least double, most double")
+
+
+def values_in_cells(questions: DataFrame, corpus: DataFrame, cells: list[int]) -> DataFrame:
+    """(value, n) of the cosines in a few cells, counted per batch."""
+    def scorer(shared):
+        def score(batches):
+            for batch in batches:
+                if batch.empty:
+                    continue
+                cosine = np.round(np.array(batch["vector"].tolist(), dtype=np.float64) @ shared.value.T,
+                                  COSINE_DIGITS).ravel()
+                inside = np.isin(np.floor(cosine * CELLS_PER_UNIT).astype(np.int64), cells)
+                values, counts = np.unique(cosine[inside], return_counts=True)
+                yield pd.DataFrame({"value": values, "n": counts})
+
+        return score
+
+    return _per_block(questions, corpus.select("vector"), scorer, "value double, n bigint")
+
+
+def _per_block(questions: DataFrame, rows: DataFrame, scorer, schema: str) -> DataFrame:
+    spark = rows.sparkSession
+    parts = [rows.mapInPandas(scorer(spark.sparkContext.broadcast(matrix)), schema)
+             for _, matrix in _question_blocks(questions)]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+
+
+def distribution(questions: DataFrame, corpus: DataFrame) -> DataFrame:
+    """One row (n, mean, deviation, minimum, maximum, median) over all cosines, in two passes.
+
+    The first pass counts cells, at most 2,001 of them after combining; the
+    second one reads only the values of the cells that hold the median.
+    """
+    cells = cut(score_cells(questions, corpus).groupBy("cell").agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"),
+        F.min("least").alias("least"), F.max("most").alias("most")))
+    stats = cells.agg(
+        F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean"),
+        F.sqrt(F.greatest(F.lit(0.0), F.sum("squares") / F.sum("n")
+                          - F.pow(F.sum("total") / F.sum("n"), F.lit(2)))).alias("deviation"),
+        F.min("least").alias("minimum"), F.max("most").alias("maximum"))
+    counts = [(row["cell"], row["n"]) for row in cells.select("cell", "n").orderBy("cell").collect()]
+    size, below, wanted = sum(n for _, n in counts), 0, {}
+    for cell, n in counts:
+        for position in ((size + 1) // 2, size // 2 + 1):
+            if below < position <= below + n:
+                wanted.setdefault(cell, below)
+        below += n
+    if not wanted:
+        return stats.where("n > 0").withColumn("median", F.lit(None).cast("double"))
+    w = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    placed = (values_in_cells(questions, corpus, sorted(wanted)).groupBy("value").agg(F.sum("n").alias("n"))
+              .withColumn("below", F.lit(min(wanted.values())) + F.coalesce(F.sum("n").over(w), F.lit(0))))
+
+    def at(position):
+        return F.max(F.when((F.col("below") < position) & (F.lit(position) <= F.col("below") + F.col("n")),
+                            F.col("value")))
+
+    middle = placed.agg(((at((size + 1) // 2) + at(size // 2 + 1)) / 2.0).alias("median"))
+    return stats.withColumn("median", middle.scalar())

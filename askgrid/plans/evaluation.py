@@ -290,24 +290,24 @@ SELECT kind, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS
 def score_distribution(t):
     """Distribution of all cosines, of the expected ones and of the Top-10 spread.
 
-    The whole question by document grid is scored; medians come from counts
-    per score range, so no group is sorted in one task.
+    The grid of questions and documents is summed up inside each batch; only
+    counts per score range leave it.
     """
-    scored = cut(dense.score_all(r.questions_with_vectors(t), r.corpus(t)))
-    top = (scored.withColumn("n", F.row_number().over(
-        Window.partitionBy("question_id").orderBy(F.desc("cosine"))))
-        .where("n <= 10").groupBy("question_id")
-        .agg((F.max("cosine") - F.min("cosine")).alias("v")))
-    values = (scored.select(F.lit("cosine").alias("kind"), F.col("cosine").alias("v"))
-              .unionByName(scored.join(expected(t), ["question_id", "id"]).select(
-                  F.lit("expected").alias("kind"), F.col("cosine").alias("v")))
-              .unionByName(top.select(F.lit("top spread").alias("kind"), "v")))
+    asked, vectors = r.questions_with_vectors(t), r.corpus(t)
+    good = dense.score_pairs(expected(t), asked, vectors, None).select(
+        F.lit("expected").alias("kind"), F.col("cosine").alias("v"))
+    top = (dense_ranking(t, 10).groupBy("question_id")
+           .agg((F.max("cosine") - F.min("cosine")).alias("v"), F.count(F.lit(1)).alias("held"))
+           .select(F.lit("top spread").alias("kind"), F.when(F.col("held") == 10, F.col("v")).alias("v")))
+    values = good.unionByName(top)
     stats = values.groupBy("kind").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("mean"),
-        F.round(F.stddev_pop("v"), 6).alias("deviation"), F.min("v").alias("minimum"),
-        F.max("v").alias("maximum"))
+        F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("deviation"),
+        F.min("v").alias("minimum"), F.max("v").alias("maximum"))
     middle = median(values, ["kind"], "v", F.floor(F.col("v") * 1000))
-    return stats.join(middle.select("kind", F.round("median", 6).alias("median")), "kind")
+    columns = ["kind", "n", *[F.round(name, 6).alias(name) for name in ("mean", "deviation")],
+               "minimum", "maximum", F.round("median", 6).alias("median")]
+    return (dense.distribution(asked, vectors).withColumn("kind", F.lit("cosine")).select(*columns)
+            .unionByName(stats.join(middle, "kind").select(*columns)))
 
 
 @query("spearman_bias", """
@@ -328,10 +328,11 @@ def spearman_bias(t):
     """Rank correlation of document size with similarity, per question."""
     sizes = t.documents.select(F.col("doc_id").alias("id"),
                                F.size(F.split("text", "\n")).alias("n"))
-    scored = cut(dense.score_all(r.questions_with_vectors(t), r.corpus(t)).join(sizes, "id"))
-    ranked = metrics.average_rank(
-        metrics.average_rank(scored, ["question_id"], "n", "rn", F.col("n")),
-        ["question_id"], "cosine", "rs", F.floor(F.col("cosine") * 1000))
+    # The rank of a size is the same for every question: ranked once per document.
+    sized = cut(metrics.average_rank(r.corpus(t).select("id").join(sizes, "id"), [], "n", "rn", F.col("n")))
+    scored = cut(dense.score_all(r.questions_with_vectors(t), r.corpus(t)))
+    ranked = metrics.average_rank(scored.join(sized.select("id", "rn"), "id"), ["question_id"], "cosine",
+                                  "rs", F.floor(F.col("cosine") * 1000))
     return ranked.groupBy("question_id").agg(
         F.round(F.coalesce(F.corr("rn", "rs"), F.lit(0.0)), 6).alias("spearman"))
 

@@ -34,13 +34,18 @@ BLOCK_ROWS = 1_000
 
 
 def prepared_texts(documents: DataFrame) -> DataFrame:
-    """(id, label, text_hash, set_hash, words) of (id, label, text)."""
+    """(id, label, text_hash, set_hash, words) of (id, label, text).
+
+    ``words`` are 64-bit hashes of the distinct words: fixed-width values that
+    are exploded, shuffled and intersected instead of the strings.
+    """
     words = F.array_sort(folded_words(F.col("text")))
     return (documents.select("id", "label", normalized(F.col("text")).alias("normal"),
                              words.alias("words"))
             .where("normal <> ''")
             .select("id", "label", F.sha2("normal", 256).alias("text_hash"),
-                    F.sha2(F.array_join("words", " "), 256).alias("set_hash"), "words"))
+                    F.sha2(F.array_join("words", " "), 256).alias("set_hash"),
+                    F.transform("words", lambda word: F.xxhash64(word)).alias("words")))
 
 
 def exact_groups(prepared: DataFrame) -> DataFrame:

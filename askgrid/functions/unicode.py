@@ -26,6 +26,12 @@ def normalized(value: Column) -> Column:
     return F.trim(F.regexp_replace(nfkc(F.coalesce(value, F.lit(""))), r"(?U)\s+", " "))
 
 
+def joined_form(value: Column) -> Column:
+    """Normal form for selection: zero-width non-joiners count as spaces, letter case does not count."""
+    spaced = F.replace(nfkc_folded(F.coalesce(value, F.lit(""))), F.lit("\u200c"), F.lit(" "))
+    return F.trim(F.regexp_replace(spaced, r"(?U)\s+", " "))
+
+
 def folded_words(value: Column) -> Column:
     """Distinct words of the NFKC, case-folded text."""
     words = F.regexp_extract_all(nfkc_folded(F.coalesce(value, F.lit(""))),

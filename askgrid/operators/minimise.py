@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from askgrid.functions.unicode import nfkc
+from askgrid.functions.unicode import nfkc, normalized
 
 # A line matching any of these is dropped.
 DROPPED_LINES = (
@@ -127,6 +127,20 @@ def minimise(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(joined, "\n{3,}", "\n\n"), "^\n+|\n+$", "")
 
 
+# Machine messages inside a description, and titles that say nothing by themselves.
+MACHINE_MESSAGE = (r"(?i)\bmessage:\s*(?:Object must implement IConvertible\.?"
+                   r"|String .*? valid (?:TimeSpan|DateTime)\.?|undefined|null)\s*")
+GENERIC_TITLE = r"(?i)^(?:فرم|گزارش)\s+[^:：]+[:：]?$"
+
+
+def business_text(title: Column, description: Column) -> Column:
+    """Title and description without machine messages; empty if nothing of the case's own is left."""
+    named = normalized(title)
+    wording = normalized(F.regexp_replace(normalized(description), UNICODE + MACHINE_MESSAGE, " "))
+    return F.when(named.rlike(UNICODE + GENERIC_TITLE) & (wording == ""), F.lit("")).otherwise(
+        F.trim(F.concat_ws(" ", named, wording)))
+
+
 def redact_secrets(value: Column) -> Column:
     """Withhold a whole field that contains a credential."""
     return F.when(value.rlike(SECRET), F.lit(WITHHELD)).otherwise(value)

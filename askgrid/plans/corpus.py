@@ -8,7 +8,7 @@ from askgrid.operators import minimise as rules
 from askgrid.operators import near_duplicates as dup
 from askgrid.operators.bounded import cut, spread
 from askgrid.operators.components import cluster_ids, connected_components
-from askgrid.operators.minimise import minimise, redact_secrets
+from askgrid.operators.minimise import business_text, minimise, redact_secrets
 from askgrid.operators.sampling import allocate, first_match, hash_positions
 from askgrid.plans.registry import query
 
@@ -221,6 +221,22 @@ def minimisation_changes(t):
                     F.sha2("minimised", 256).alias("after_sha256")))
 
 
+@query("business_texts", rf"""
+WITH parts AS (
+  SELECT turns.conv_id, turns.turn, trim(regexp_replace(role, '\s+', ' ', 'g')) AS title,
+    trim(regexp_replace(regexp_replace(trim(regexp_replace(text || CASE WHEN turn % 2 = 0
+      THEN ' message: undefined' ELSE ' message: String x was not recognized as a valid DateTime.' END,
+      '\s+', ' ', 'g')), '{rules.MACHINE_MESSAGE}', ' ', 'g'), '\s+', ' ', 'g')) AS description
+  FROM conversations turns)
+SELECT conv_id, turn, sha256(trim(title || ' ' || description)) AS text_sha256 FROM parts""")
+def business_texts(t):
+    """Wording of every turn without the machine messages a log adds."""
+    added = F.when(F.col("turn") % 2 == 0, " message: undefined").otherwise(
+        " message: String x was not recognized as a valid DateTime.")
+    return t.conversations.select("conv_id", "turn", F.sha2(business_text(
+        F.col("role"), F.concat("text", added)), 256).alias("text_sha256"))
+
+
 @query("redact_secrets", r"""
 SELECT doc_id, sha256(CASE WHEN regexp_matches(text,
   '(?i)(?:password|pwd|uid|user\s*id|username|connection\s*string|access[_ -]?token|api[_ -]?key|authorization|server|data\s+source)\s*[:=]|(?:postgres(?:ql)?|mssql|mysql)://|\bBearer\s+\S+')

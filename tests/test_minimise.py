@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from askgrid.operators.minimise import minimise, redact_secrets
+from askgrid.functions.unicode import joined_form
+from askgrid.operators.minimise import business_text, minimise, redact_secrets
 
 
 CASES = [
@@ -42,3 +43,13 @@ def test_whole_field_is_withheld(spark):
     frame = spark.createDataFrame([("server = db1",), ("plain text",), ("Bearer abc",)], "t string")
     assert [r.v for r in frame.select(redact_secrets(F.col("t")).alias("v")).collect()] == [
         "[REDACTED_SENSITIVE_TEXT]", "plain text", "[REDACTED_SENSITIVE_TEXT]"]
+
+
+def test_business_text_and_selection_form(spark):
+    cases = [("فرم سفارش:", "message: undefined", ""), ("گزارش فروش", None, ""), ("فرم سفارش", "x", "فرم سفارش x"),
+             ("Title", "a message: String q is not a valid TimeSpan. b", "Title a b"), (None, "message: null", "")]
+    frame = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a string, b string")
+    got = [r.t for r in frame.select("i", business_text(F.col("a"), F.col("b")).alias("t")).orderBy("i").collect()]
+    assert got == [c for *_, c in cases]
+    one = spark.range(1).select(joined_form(F.lit("می\u200cخواهم  STRASSE ß")).alias("t")).first().t
+    assert one == "می خواهم strasse ss"

@@ -53,11 +53,15 @@ def rerank(scored: DataFrame, k: int = fixed.FINAL_DEPTH) -> DataFrame:
             .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
 
 
+def pair_tokens(left: str, right: str) -> Column:
+    """Words of a question and a document together."""
+    return F.size(F.split(tx.collapse(F.col(left)), " ")) + F.size(F.split(tx.collapse(F.col(right)), " "))
+
+
 def check_pair_budget(pairs: DataFrame, left: str, right: str,
                       budget: int = fixed.PAIR_TOKEN_BUDGET) -> DataFrame:
     """Fail when a question and document together exceed the token budget."""
-    size = F.size(F.split(tx.collapse(F.col(left)), " ")) + F.size(
-        F.split(tx.collapse(F.col(right)), " "))
+    size = pair_tokens(left, right)
     return pairs.withColumn("pair_tokens", F.when(
         size > budget, F.raise_error(F.lit("Pair exceeds its token budget"))).otherwise(size))
 

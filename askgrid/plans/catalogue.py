@@ -17,6 +17,7 @@ from askgrid.operators import chunks as ch
 from askgrid.operators import documents as docs
 from askgrid.operators import relationship_graph as rg
 from askgrid.operators.bounded import cut, spread
+from askgrid.operators.candidates import summary
 from askgrid.plans.registry import query
 from askgrid.sources.catalog import (
     Catalog, assemble, character_length, foreign_keys, full_name, shown_type)
@@ -294,6 +295,19 @@ def chunk_records(t):
     return docs.chunk_records(profiled(t))
 
 
+@query("document_summaries", catalog_sql("""
+flat AS (SELECT schema || '.' || name AS full_name, 'Identity: ' || schema || '.' || name || ' · Columns: '
+                || string_agg(column_name, ', ' ORDER BY ordinal) AS s FROM columns GROUP BY schema, name)""", select=f"""
+SELECT full_name, CASE WHEN length(s) <= {fixed.SUMMARY_LIMIT} THEN s
+  ELSE rtrim(left(s, {fixed.SUMMARY_LIMIT - 1})) || '…' END AS summary FROM flat"""))
+def document_summaries(t):
+    """Identity and columns of each table, shortened to one line."""
+    listed = F.array_join(docs.own_columns(F.col("text")), ", ")
+    representation = F.concat(F.lit("Identity:  "), "full_name", F.lit("\nColumns: "), listed,
+                              F.lit("\n"), "text")
+    return docs.render(profiled(t)).select("full_name", summary(representation).alias("summary"))
+
+
 @query("document_columns", catalog_sql(select="""
 SELECT schema || '.' || name AS full_name, CAST(ordinal - 1 AS INTEGER) AS position, column_name FROM columns"""))
 def document_columns(t):

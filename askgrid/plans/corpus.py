@@ -11,6 +11,7 @@ from askgrid.operators.components import cluster_ids, connected_components
 from askgrid.operators.minimise import business_text, minimise, redact_secrets
 from askgrid.operators.sampling import allocate, first_match, hash_positions
 from askgrid.plans.registry import query
+from askgrid.sources.artifacts import changed
 
 SALT = "askgrid-sample-v1 | "
 TARGET = 24
@@ -221,6 +222,17 @@ def minimisation_changes(t):
                     F.sha2("minimised", 256).alias("after_sha256")))
 
 
+@query("protected_changes", """
+SELECT doc_id, doc_id % 11 = 0 AS is_missing FROM documents
+WHERE doc_id % 11 = 0 OR (doc_id % 7 = 0 AND lang <> 'xx')""")
+def protected_changes(t):
+    """Documents that differ from their protected copy, or are missing from it."""
+    copy = (t.documents.where("doc_id % 11 <> 0")
+            .withColumn("lang", F.when(F.col("doc_id") % 7 == 0, "xx").otherwise(F.col("lang"))))
+    return changed(t.documents, copy, ["doc_id"]).select(
+        "doc_id", F.col("after_sha256").isNull().alias("is_missing"))
+
+
 @query("business_texts", rf"""
 WITH parts AS (
   SELECT turns.conv_id, turns.turn, trim(regexp_replace(role, '\s+', ' ', 'g')) AS title,

@@ -490,3 +490,23 @@ WHERE rank <= 10"""))
 def union_rerank(t):
     """Pair scores on the candidates only, then Top-10 with the ascending tie rule."""
     return reranked_for(t).select("question_id", "id", "sources", "pair_score", "rank")
+
+
+@query("pair_budgets", sql.with_ctes(sql.DENSE, r"""
+top AS (SELECT question_id, id FROM (
+  SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY cosine DESC, id DESC) AS rank FROM dense)
+  WHERE rank <= 10),
+sized AS (SELECT question_id, id, len(string_split(trim(regexp_replace(b.text, '\s+', ' ', 'g')), ' '))
+    + len(string_split(trim(regexp_replace(d.text, '\s+', ' ', 'g')), ' ')) AS n
+  FROM top JOIN benchmark b ON item_id = question_id JOIN documents d ON doc_id = id)""", select=f"""
+SELECT question_id, id, CAST(n AS INTEGER) AS pair_tokens, n > {fixed.PAIR_TOKEN_BUDGET} AS over_budget
+FROM sized"""))
+def pair_budgets(t):
+    """Length of each question with its best ten documents, against the pair budget."""
+    top = cut(dense_topk(t).select("question_id", "id"))
+    asked = all_questions(t).withColumnRenamed("text", "question")
+    texts = t.documents.select(F.col("doc_id").alias("id"), "text")
+    size = cand.pair_tokens("question", "text")
+    return (texts.join(broadcast_if_small(top), "id").join(broadcast_if_small(asked), "question_id")
+            .select("question_id", "id", size.alias("pair_tokens"),
+                    (size > fixed.PAIR_TOKEN_BUDGET).alias("over_budget")))

@@ -108,7 +108,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 24, seed: int = SEED,
     schema = kept.withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0).cast("long")).schema
     if not rows:
         return kept.withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0).cast("long"))
-    return (scattered.repartition(n, bucket)
+    return (scattered.repartitionById(n, F.col(bucket))
             .sortWithinPartitions(bucket, place, "doc_id", tie)
             .mapInArrow(run, schema))
 

@@ -16,12 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from askgrid.llm.common import ascii_lower, fresh
+from askgrid.llm.common import ascii_lower, fresh, materialise
 from askgrid.operators.bounded import broadcast_if_small
 
 WINDOW = 13
 MIN_SHARE_DIVISOR = 20
 MAX_BROADCAST_WINDOWS = 2_000_000
+MAX_BROADCAST_IDS = 500_000
 STRETCH = 512
 WORD = r"[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+"
 
@@ -114,10 +115,11 @@ def is_contaminated(n_hit: Column, n_words: Column, divisor: int = MIN_SHARE_DIV
 def drop_documents(docs: DataFrame, items: DataFrame, n: int = WINDOW,
                    divisor: int = MIN_SHARE_DIVISOR) -> DataFrame:
     """``docs`` without contaminated rows; all columns stay."""
-    bad = (find_hits(docs, items, n)
-           .where(is_contaminated(F.col("n_hit"), F.col("n_words"), divisor))
-           .select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct())
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad_id"))
+    bad = materialise(
+        find_hits(docs, items, n).where(is_contaminated(F.col("n_hit"), F.col("n_words"), divisor))
+        .select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct(),
+        "contaminated")
+    return docs.join(broadcast_if_small(bad, MAX_BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("_bad_id"))
                      & (F.xxhash64("text") == F.col("_bad_key")), "left_anti")
 
 

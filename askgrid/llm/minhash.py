@@ -101,7 +101,7 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
-        for batch in batches:
+        for batch in (whole.slice(k, 512) for whole in batches for k in range(0, whole.num_rows, 512)):
             out = []
             for doc_id, raw in zip(batch.column(0).to_pylist(),
                                    batch.column(1).cast(pa.binary()).to_pylist()):
@@ -398,6 +398,7 @@ def components_of(links: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """``docs`` with one document of each component; all columns stay."""
-    gone = (near_duplicates(docs, percent).where("NOT kept")
-            .select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = materialise(near_duplicates(docs, percent).where("NOT kept")
+                       .select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
+    return docs.join(broadcast_if_small(gone, MAX_BROADCAST_IDS),
+                     F.col("doc_id") == F.col("_gone"), "left_anti")

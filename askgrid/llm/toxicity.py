@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from askgrid.llm.common import fresh
+from askgrid.llm.common import fresh, materialise
 from askgrid.llm.decontaminate import words_of
 from askgrid.llm.quality import training_rows
 
@@ -129,16 +129,18 @@ def choose_terms(rows: DataFrame, limit: int = TERMS) -> list[tuple[str, bool]]:
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Chain:
-    """Fit on the bounded sample of labelled rows; without any, every probability is one half."""
-    from askgrid.llm.common import materialise
-    rows = materialise(training_rows(docs, labels, "toxic", limit).orderBy("doc_id", "text").limit(limit)
-                       .select("doc_id", "label", terms_column(F.col("text")).alias("terms")), "toxic-training")
+    """Fit on the bounded sample of labelled rows; without any, every probability is one half.
+
+    The driver receives the vocabulary terms of at most ``limit`` rows.
+    """
+    rows = materialise(training_rows(docs, labels, "toxic", limit).select(
+        "doc_id", "label", terms_column(F.col("text")).alias("terms")), "toxic-training")
     scored = choose_terms(rows)
     terms = [term for term, _ in scored]
     strong = np.array([is_strong for _, is_strong in scored], bool)
     data = rows.select("doc_id", "label", F.array_intersect(
         "terms", F.array(*[F.lit(term) for term in terms]).cast("array<string>")).alias("words")
-        ).orderBy("doc_id", "label", "words").collect()
+        ).orderBy("doc_id", "label", "words").limit(limit).collect()
     place = {term: i for i, term in enumerate(terms)}
     presence = np.zeros((len(data), len(terms)))
     for line, row in zip(presence, data):

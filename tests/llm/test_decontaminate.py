@@ -1,14 +1,14 @@
 """Decontamination against a plain scan."""
 
-import hashlib
 import re
 
 from fixtures import documents, empty, texts, words
 
 from askgrid.llm import decontaminate
+from askgrid.llm.common import UPPER
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-LOWER = str.maketrans(decontaminate.ascii_lower.__globals__["UPPER"], decontaminate.ascii_lower.__globals__["UPPER"].lower())
+LOWER = str.maketrans(UPPER, UPPER.lower())
 
 
 def split(text):
@@ -61,4 +61,3 @@ def test_empty_tables(spark):
     found = decontaminate.find_hits(documents(spark), items).collect()
     assert len(found) == len(texts()) and all(r.n_hit == 0 and r.item_ids == [] for r in found)
     assert decontaminate.find_hits(empty(spark), items).count() == 0
-    assert hashlib.sha256(b"").hexdigest()

@@ -23,7 +23,8 @@ HEAD = 64
 HEAD_LEAF = 8
 SECTION = 8
 RUN = r"(?s)\s*+(?:\S++\s*+){1,4}+|\s++"
-CELLS = 1 << 18
+CELLS_PER_BUCKET = 16
+MAX_CELLS = 1 << 18
 BUCKET_BYTES = 4 << 20
 
 
@@ -82,11 +83,11 @@ def changed_branches(one: Column, two: Column) -> Column:
                  lambda at: at.isNotNull()))
 
 
-def with_next_text(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, cells: int = CELLS) -> DataFrame:
+def with_next_text(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, text, next_text): the next document in descending doc_id, after the last the first.
 
-    Ids are laid on a grid of at most ``cells`` equal steps; neighbouring steps
-    join to buckets of about ``bucket_bytes``, and the first row of a bucket is
+    Ids are laid on a grid of equal steps, sixteen for each bucket that the
+    bytes call for and at most ``MAX_CELLS``; neighbouring steps join to buckets of about ``bucket_bytes``, and the first row of a bucket is
     also sent to the bucket before it. So the order needs one shuffle of the
     texts, no task holds more than a bucket, and the window spills. Nulls (as
     ids last, as texts empty) and repeated ids (ordered by a hash of the text)
@@ -96,13 +97,15 @@ def with_next_text(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, cells: int
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce("text", F.lit("")).alias("text"),
                        F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("k"))
-    least, most = docs.agg(F.min("doc_id").cast("long"), F.max("doc_id").cast("long")).first()
+    least, most, size = docs.agg(F.min("doc_id").cast("long"), F.max("doc_id").cast("long"),
+                                 F.sum(F.octet_length("text"))).first()
+    cells = min(MAX_CELLS, CELLS_PER_BUCKET * (1 + (size or 0) // bucket_bytes))
     span = float((most or 0) - (least or 0)) + 1.0
     cell = F.when(F.col("k") == lowest, F.lit(-1)).otherwise(
         F.floor((F.col("k").cast("double") - float(least or 0)) / span * cells)).cast("int")
     sized = rows.withColumn("cell", cell)
     grid = (sized.groupBy("cell").agg(F.max("k").alias("top"), F.sum(F.octet_length("text")).alias("bytes"))
-            # At most ``cells`` + 1 rows from here on.
+            # At most ``cells`` + 1 rows from here on, and as many are broadcast.
             .withColumn("bucket", F.floor(F.coalesce(F.sum("bytes").over(
                 Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) / bucket_bytes)))
     tops = grid.groupBy("bucket").agg(F.max("top").alias("head"))

@@ -13,7 +13,9 @@ windows:
 
 The inner minimum ranges over the places within ``length`` tokens before j. It
 is a sliding minimum, kept in a monotone queue, so each place enters and
-leaves the queue once; the powers of two are twelve look-ups.
+leaves the queue once. The powers of two are look-ups, made only at the end of
+a stream, where the windows are short; elsewhere they would trade padding for
+more and shorter sequences.
 
 The stream is range partitioned by doc_id and each partition is packed in
 segments of bounded length; the last window of a segment is carried over into
@@ -28,7 +30,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from askgrid.llm.common import materialise, task_count
 from askgrid.llm.tokens import as_ids, default_tokenizer, token_table
@@ -45,17 +46,20 @@ PIECES = ("doc_id long, start long, length long, doc_tokens long, sequence_id lo
 
 
 def choose_cuts(places: np.ndarray, penalties: np.ndarray, length: int = LENGTH,
-                window_cost: int = WINDOW_COST) -> list[int]:
+                window_cost: int = WINDOW_COST, short_tail: int = 0, goes_on: bool = False) -> list[int]:
     """Cheapest cut places (ascending, the last one is the end) of a stream.
 
     ``places`` are ascending positive token positions that may end a window,
-    the last one the end of the stream, at most ``length`` apart.
+    the last one the end of the stream, at most ``length`` apart. Short
+    windows that need no padding are tried in the last ``short_tail`` tokens.
+    If the stream ``goes_on``, its last window is still open and costs nothing.
     """
     powers = [1 << k for k in range(length.bit_length()) if 1 << k <= length]
     ats, extra = [0, *places.tolist()], [0, *penalties.tolist()]
     best, came = [0] * len(ats), [0] * len(ats)
     index = {0: 0}
     find = index.get
+    tail = ats[-1] - short_tail
     queue: deque[tuple[int, int, int]] = deque([(0, 0, 0)])  # best + at, at, index
     for j in range(1, len(ats)):
         at = ats[j]
@@ -64,17 +68,21 @@ def choose_cuts(places: np.ndarray, penalties: np.ndarray, length: int = LENGTH,
             queue.popleft()
         key, _, origin = queue[0]
         least = key + length - at
-        for power in powers:
-            i = find(at - power)
-            if i is not None and best[i] < least:
-                least, origin = best[i], i
+        if at > tail:
+            for power in powers:
+                i = find(at - power)
+                if i is not None and best[i] < least:
+                    least, origin = best[i], i
+        index[at] = j
         least += extra[j] + window_cost
         best[j], came[j] = least, origin
-        index[at] = j
         key = least + at
         while queue and queue[-1][0] >= key:
             queue.pop()
         queue.append((key, at, j))
+    if goes_on:
+        end = len(ats) - 1
+        came[end] = min((i for i in range(end) if ats[i] >= ats[end] - length), key=lambda i: (best[i], i))
     cuts, j = [], len(ats) - 1
     while j:
         cuts.append(ats[j])
@@ -144,7 +152,7 @@ def _packer(stops: np.ndarray, length: int, segment: int):
         ends = np.cumsum([len(ids) for _, ids, _, _ in pieces])
         whole = np.array([done + len(ids) == total for _, ids, total, done in pieces])
         places, penalties = cut_places(stream, ends[whole], stops, final, length)
-        return choose_cuts(places, penalties, length)
+        return choose_cuts(places, penalties, length, short_tail=2 * length if final else 0, goes_on=not final)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -8,11 +8,17 @@ words, which gives the same ids as encoding the whole text.
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
+from array import array
 from collections.abc import Iterator
+from itertools import compress, count, islice, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,58 +41,129 @@ class CachedEncoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"  # native order; x86 and ARM are little-endian
         self.special = [str(token.content).encode()
                         for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
+        self.letters = self._byte_letters()
         parts = [self._whole(word) for word in PROBE.encode().split()]
         self.by_word = (self._whole(PROBE.encode()) == b"".join(parts)
                         and self._whole(b" \n") == b""
                         and not any(len(token.split()) != 1 for token in self.special))
         self.folds_case = self._whole(b"AbcXYZ") == self._whole(b"abcxyz")
 
+    def _byte_letters(self) -> dict[int, str] | None:
+        """The letter that stands for each byte of a plain word, if only that step changes such a word."""
+        from tokenizers import pre_tokenizers
+        told = json.loads(self.tokenizer.to_str())
+        steps = (told.get("normalizer") or {}).get("normalizers", [])
+        cuts = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if ([step["type"] for step in steps] != ["NFC", "Replace", "Lowercase"]
+                or [cut["type"] for cut in cuts] != ["Split", "ByteLevel"]
+                or "|[\\p{L}]+|" not in cuts[0]["pattern"].get("Regex", "")):
+            return None
+        shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        samples = [*range(0x80, 0x800), 0x800, *range(0x1000, 0xF001, 0x1000), 0x10000, 0x40000, 0x80000,
+                   0xC0000, 0x100000]
+        letters: dict[int, str] = {}
+        for sample in map(chr, samples):
+            letters.update(zip(sample.encode(), shown.pre_tokenize_str(sample)[0][0]))
+        return letters
+
+    def _encode_words(self, words: list[bytes]) -> None:
+        """Add the ids of words; plain lower-case ones go to the model directly."""
+        rest = words
+        if self.letters is not None:
+            tokenize, rest = self.tokenizer.model.tokenize, []
+            for word in words:
+                if word.isalpha() and word.islower():
+                    text = word.decode()
+                elif self._is_plain(word):
+                    text = word.decode("latin-1").translate(self.letters)
+                else:
+                    rest.append(word)
+                    continue
+                self.known[word] = self._pack([token.id for token in tokenize(text)])
+        if rest:
+            encoded = self.tokenizer.encode_batch_fast(
+                [word.decode("utf-8", "replace") for word in rest], add_special_tokens=False)
+            self.known.update(zip(rest, [self._pack(item.ids) for item in encoded]))
+
+    @staticmethod
+    def _is_plain(word: bytes) -> bool:
+        """Letters only, in lower case and in normal form."""
+        if word.isascii():
+            return False
+        text = word.decode("utf-8", "replace")
+        return text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
+
     def _whole(self, raw: bytes) -> bytes:
         return self._pack(self.tokenizer.encode(raw.decode("utf-8", "replace"),
                                                 add_special_tokens=False).ids)
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return array(self.code, ids).tobytes()
 
     def _learn(self, missing: set[bytes]) -> None:
+        """Add the ids of new words; a full cache keeps its older half, where the frequent words are."""
+        if len(self.known) + 2 * len(missing) > CACHED_WORDS:
+            self.known = dict(islice(self.known.items(), CACHED_WORDS // 2))
+        known = self.known
+        known[b""] = b""
         # A full stop or comma after an ASCII letter is a token of its own.
-        stems = {word[:-1] if word[-1:] in b".," and word[-2:-1].isalpha() else word
-                 for word in missing}
-        new = list(stems.difference(self.known) | {b".", b","}.difference(self.known))
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known = {}
-            new = list(stems | {b".", b","})
-        encoded = self.tokenizer.encode_batch_fast(
-            [word.decode("utf-8", "replace") for word in new], add_special_tokens=False)
-        self.known.update(zip(new, (self._pack(item.ids) for item in encoded)))
-
-    def _word(self, word: bytes) -> bytes:
-        found = self.known.get(word)
-        if found is None:
-            found = self.known[word] = self.known[word[:-1]] + self.known[word[-1:]]
+        marked = [word for word in missing if word[-1:] in b".," and word[-2:-1].isalpha()]
+        stems = missing.difference(marked).union((word[:-1] for word in marked), (b".", b","))
+        self._encode_words(list(stems.difference(known)))
+        for word in marked:
+            known[word] = known[word[:-1]] + known[word[-1:]]
+
+    def _words(self, raw: bytes) -> list[bytes]:
+        fold = self.folds_case and not any(token in raw for token in self.special)
+        return (raw.lower() if fold else raw).split()
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text."""
+        ids, ends = self.encode_array(pa.array([text.decode("utf-8", "replace") for text in texts], pa.string()))
+        return [part.tobytes() for part in np.split(ids, ends[:-1])] if texts else []
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text ends.
+
+        Words are told apart by Arrow; only the distinct ones of the batch are
+        looked up or encoded, and their ids are gathered in word order.
+        """
+        if not self.by_word or any(pc.any(pc.match_substring(texts, token.decode())).as_py()
+                                   for token in self.special):
+            parts = [self._one(raw) for raw in texts.cast(pa.binary()).to_pylist()]
+            ends = np.cumsum([len(part) // self.dtype.itemsize for part in parts], dtype=np.int64)
+            return np.frombuffer(b"".join(parts), self.dtype), ends
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if self.folds_case else texts)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
+        found = self._ids_of(words)
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        starts = np.cumsum(lengths) - lengths
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        sizes = lengths[codes]
+        done = np.cumsum(sizes)
+        places = np.repeat(starts[codes] - (done - sizes), sizes) + np.arange(done[-1] if len(done) else 0)
+        bounds = split.offsets.to_numpy()[1:] - split.offsets.to_numpy()[0]
+        return (np.frombuffer(b"".join(found), self.dtype)[places],
+                np.concatenate([[0], done])[bounds])
+
+    def _one(self, raw: bytes) -> bytes:
+        return b"".join(self._ids_of(self._words(raw))) if self.by_word else self._whole(raw)
+
+    def _ids_of(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words; new ones are encoded together."""
+        found = list(map(self.known.get, words))
+        places = list(compress(count(), map(is_, found, repeat(None))))
+        if places:
+            self._learn({words[k] for k in places})
+            for k in places:
+                found[k] = self.known[words[k]]
         return found
 
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        for raw in texts:
-            if not self.by_word:
-                yield self._whole(raw)
-                continue
-            fold = self.folds_case and not any(token in raw for token in self.special)
-            words = (raw.lower() if fold else raw).split()
-            missing = set(words).difference(self.known)
-            if missing:
-                self._learn(missing)
-                try:
-                    yield b"".join(map(self._word, words))
-                except KeyError:  # the cache was emptied: it lacks this text's other words
-                    self._learn(set(words))
-                    yield b"".join(map(self._word, words))
-            else:
-                yield b"".join(map(self.known.__getitem__, words))
-
 
 def encoder(path: str) -> CachedEncoder:
     if path not in _ENCODERS:
@@ -111,8 +188,9 @@ def token_table(docs: DataFrame, end_id: int, path: str | None = None) -> DataFr
         for batch in batches:
             for part in range(0, batch.num_rows, 512):
                 piece = batch.slice(part, 512)
-                texts = piece.column("text").cast(pa.binary()).to_pylist()
-                ids = [found + last for found in known.encode(texts)]
+                flat, ends = known.encode_array(piece.column("text"))
+                begins = np.concatenate([[0], ends])
+                ids = [flat[a:b].tobytes() + last for a, b in zip(begins, ends)]
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc_id"), pa.array(ids, pa.binary()),
                      pa.array([width] * len(ids), pa.int32()),

@@ -6,13 +6,16 @@ categories. In training those probabilities are out-of-fold predictions, so a
 later model sees them as uncertain as they will be on new text.
 
 Terms are words and word beginnings of four to six characters, which catch
-inflected and compounded forms. The vocabulary are the terms whose presence
-depends most on the label, by Pearson's statistic; they are counted with Spark
-over the training rows. Labels name only ``toxic``; the two categories before
-it are derived from it: ``insult`` (toxic, with at least one term that hardly
-occurs elsewhere) and ``abuse`` (toxic, with at least ``ABUSE_TERMS`` such
-terms, which takes several words). Any other 0/1 columns can be chained with
-:func:`fit_chain`.
+inflected and compounded forms. The vocabulary are all terms whose presence
+depends on the label, with a signed root of Pearson's statistic of at least
+``LEAST_Z``; they are counted with Spark over the training rows. Their number
+has no cap, so frequent languages leave room for rare ones. A word and its
+beginnings that stand in the same training rows are one input of the models, and
+a text has it by the share of those terms that it holds. Labels name only
+``toxic``; the two categories before it are derived from it: ``insult`` (toxic,
+with at least one term that hardly occurs elsewhere) and ``abuse`` (toxic, with
+at least ``ABUSE_TERMS`` such terms, which takes several words). Any other 0/1
+columns can be chained with :func:`fit_chain`.
 
 Training uses at most ``TRAIN_ROWS`` labelled rows, those with the least
 seeded hash of their id. Scoring is one pass over the documents.
@@ -20,6 +23,7 @@ seeded hash of their id. Scoring is one pass over the documents.
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -31,8 +35,8 @@ from askgrid.llm.common import fresh, materialise
 from askgrid.llm.decontaminate import words_of
 from askgrid.llm.quality import training_rows
 
-TRAIN_ROWS = 6_000
-TERMS = 120
+TRAIN_ROWS = 10_000
+LEAST_Z = 4.0
 PREFIXES = (4, 5, 6)
 STRONG = 0.9
 ABUSE_TERMS = 8
@@ -50,27 +54,56 @@ def terms_of(raw: bytes) -> set[str]:
 def terms_column(text: Column) -> Column:
     """The same as :func:`terms_of`, as a column."""
     words = F.array_distinct(words_of(text))
-    starts = [F.transform(F.filter(words, lambda word, n=n: F.length(word) >= n),
-                          lambda word, n=n: F.concat(F.substring(word, 1, n), F.lit("*"))) for n in PREFIXES]
-    return F.array_distinct(F.concat(words, *starts))
+
+    def starts(n):  # a second parameter of these lambdas would be the position
+        return F.transform(F.filter(words, lambda word: F.length(word) >= n),
+                           lambda word: F.concat(F.substring(word, 1, n), F.lit("*")))
+
+    return F.array_distinct(F.concat(words, *map(starts, PREFIXES)))
 
 
 def sigmoid(margin: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 8) -> np.ndarray:
-    """Weights (the last one is the intercept) by penalised Newton steps."""
-    x = np.c_[x, np.ones(len(x))]
-    weights = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
+def fit_logistic(presence: np.ndarray, dense: np.ndarray, y: np.ndarray, ridge: float = 0.5,
+                 rounds: int = 12) -> np.ndarray:
+    """Weights (the last one is the intercept) by penalised Newton steps.
+
+    ``presence`` is 0/1 and mostly 0, ``dense`` has the few other inputs. The
+    steps are solved by conjugate gradients, which only visit the ones.
+    """
+    (n, terms), (rows, columns) = presence.shape, np.nonzero(presence)
+    dense = np.c_[dense, np.ones(n)]
+    penalty = np.full(terms + dense.shape[1], ridge)
     penalty[-1] = 1e-3
+    weights = np.zeros(len(penalty))
+
+    def times(v):
+        return np.bincount(rows, v[columns], n) + dense @ v[terms:]
+
+    def back(v):
+        return np.r_[np.bincount(columns, v[rows], terms), v @ dense]
+
     for _ in range(rounds):
-        p = sigmoid(x @ weights)
-        curve = x.T @ (x * np.maximum(p * (1 - p), 1e-6)[:, None]) + np.diag(penalty)
-        move = np.linalg.solve(curve, x.T @ (y - p) - penalty * weights)
+        p = sigmoid(times(weights))
+        spread = np.maximum(p * (1 - p), 1e-6)
+        scale = np.r_[np.bincount(columns, spread[rows], terms), spread @ dense ** 2] + penalty
+        left = back(y - p) - penalty * weights
+        move, along = np.zeros(len(weights)), left / scale
+        size = left @ along
+        enough = 1e-4 * size
+        for _ in range(200):
+            if size <= enough or size < 1e-18:
+                break
+            curved = back(spread * times(along)) + penalty * along
+            step = size / (along @ curved)
+            move += step * along
+            left = left - step * curved
+            before, size = size, left @ (left / scale)
+            along = left / scale + size / before * along
         weights += move * min(1.0, 5.0 / max(np.abs(move).max(), 1e-9))
-        if np.abs(move).max() < 1e-6:
+        if np.abs(move).max() < 1e-5:
             break
     return weights
 
@@ -96,36 +129,45 @@ class Chain:
 def fit_chain(presence: np.ndarray, targets: np.ndarray, folds: np.ndarray, terms: list[str],
               categories: tuple[str, ...] = CATEGORIES) -> Chain:
     """Fit the chain; ``targets`` has one 0/1 column per category, ``folds`` a fold per row."""
-    models, earlier = [], np.zeros((len(presence), 0))
+    models, earlier, width = [], np.zeros((len(presence), 0)), len(terms)
     for k in range(len(categories)):
-        x, y = np.c_[presence, earlier], targets[:, k].astype(float)
-        out_of_fold = np.zeros(len(x))
+        y = targets[:, k].astype(float)
+        out_of_fold = np.zeros(len(y))
         for fold in np.unique(folds):
             inside = folds == fold
-            weights = fit_logistic(x[~inside], y[~inside])
-            out_of_fold[inside] = sigmoid(x[inside] @ weights[:-1] + weights[-1])
-        models.append(fit_logistic(x, y))
+            weights = fit_logistic(presence[~inside], earlier[~inside], y[~inside])
+            out_of_fold[inside] = sigmoid(presence[inside] @ weights[:width]
+                                          + earlier[inside] @ weights[width:-1] + weights[-1])
+        models.append(fit_logistic(presence, earlier, y))
         earlier = np.c_[earlier, out_of_fold]
     return Chain(tuple(categories), {term: i for i, term in enumerate(terms)}, models)
 
 
-def choose_terms(rows: DataFrame, limit: int = TERMS) -> list[tuple[str, bool]]:
-    """The ``limit`` terms that depend most on the label, and whether each is strongly toxic.
+def choose_terms(rows: DataFrame, least: float = LEAST_Z) -> list[tuple[list[str], bool]]:
+    """Groups of terms that depend on the label, and whether each is strongly toxic.
 
-    ``rows`` has label and terms. Pearson's statistic of presence and label, signed, ranks them.
+    ``rows`` has doc_id, label and terms. A term is chosen if the signed root of
+    Pearson's statistic of presence and label is at least ``least`` away from
+    zero. A word and its beginnings in the same rows (same counts and hash sums
+    of the rows) are one group. Groups and their terms are in order.
     """
     sizes = rows.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("t"), F.count(F.lit(1)).alias("n")).first()
     toxic, n = float(sizes["t"]), float(sizes["n"])
     held = F.col("t") + F.col("o")
     z = F.try_divide(F.col("t") * n - held * toxic,
                      F.sqrt(F.lit(toxic * (n - toxic)) * held * (1 - held / max(n, 1.0))))
-    seen = (rows.select("label", F.explode("terms").alias("term"))
+    # 40 bits each, so that the sums of many rows stay within a long.
+    marks = [F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "terms"), 24).alias(f"m{seed}") for seed in (0, 1)]
+    # Hashed below the explode, once for each row and not for each of its terms.
+    seen = (rows.select("label", *marks, "terms").select("label", "m0", "m1", F.explode("terms").alias("term"))
             .groupBy("term").agg(F.sum("label").cast("double").alias("t"),
-                                 F.sum(1 - F.col("label")).cast("double").alias("o"))
+                                 F.sum(1 - F.col("label")).cast("double").alias("o"),
+                                 F.sum("m0").alias("m0"), F.sum("m1").alias("m1"))
             .where((held >= 3) & (held < n)))
-    best = (seen.select("term", "t", "o", F.coalesce(z, F.lit(0.0)).alias("z"))
-            .orderBy(F.desc(F.abs("z")), "term").limit(limit))
-    return [(row["term"], row["t"] >= STRONG * (row["t"] + row["o"])) for row in best.collect()]
+    groups: dict[tuple, list[str]] = {}
+    for row in seen.where(F.abs(z) >= least).orderBy("term").collect():
+        groups.setdefault((row["term"][:min(PREFIXES)], row["t"], row["o"], row["m0"], row["m1"]), []).append(row["term"])
+    return [(terms, t >= STRONG * (t + o)) for (_, t, o, _, _), terms in groups.items()]
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Chain:
@@ -136,25 +178,31 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Chain:
     rows = materialise(training_rows(docs, labels, "toxic", limit).select(
         "doc_id", "label", terms_column(F.col("text")).alias("terms")), "toxic-training")
     scored = choose_terms(rows)
-    terms = [term for term, _ in scored]
+    groups = [terms for terms, _ in scored]
+    sizes = np.array([len(terms) for terms in groups], int)
     strong = np.array([is_strong for _, is_strong in scored], bool)
+    # All terms of a group stand in the same rows, so the first one tells.
+    firsts = [terms[0] for terms in groups]
     data = rows.select("doc_id", "label", F.array_intersect(
-        "terms", F.array(*[F.lit(term) for term in terms]).cast("array<string>")).alias("words")
+        "terms", F.from_json(F.lit(json.dumps(firsts)), "array<string>")).alias("words")
         ).orderBy("doc_id", "label", "words").limit(limit).collect()
-    place = {term: i for i, term in enumerate(terms)}
-    presence = np.zeros((len(data), len(terms)))
+    place = {term: i for i, term in enumerate(firsts)}
+    presence = np.zeros((len(data), len(firsts)), bool)
     for line, row in zip(presence, data):
-        line[[place[word] for word in row["words"]]] = 1
+        line[[place[word] for word in row["words"]]] = True
     label = np.array([row["label"] for row in data], int).reshape(len(data))
-    hits = presence[:, strong].sum(axis=1)
+    hits = presence[:, strong] @ sizes[strong]
     targets = np.c_[label * (hits >= 1), label * (hits >= ABUSE_TERMS), label]
     folds = np.array([row["doc_id"] % FOLDS for row in data], int).reshape(len(data))
-    return fit_chain(presence, targets, folds, terms)
+    fitted = fit_chain(presence, targets, folds, firsts)
+    return Chain(fitted.categories, {term: i for i, term in enumerate(term for terms in groups for term in terms)},
+                 [np.r_[np.repeat(weights[:len(firsts)] / sizes, sizes), weights[len(firsts):]]
+                  for weights in fitted.weights])
 
 
 def with_toxicity(docs: DataFrame, chain: Chain, prefix: str = "p_") -> DataFrame:
     """``docs`` with one probability per category; null texts count as empty."""
-    model = docs.sparkSession.sparkContext.broadcast(chain)  # at most TERMS words and a few vectors
+    model = docs.sparkSession.sparkContext.broadcast(chain)  # terms of the training rows and a few vectors
     names = [f"{prefix}{name}" for name in chain.categories]
     (struct,) = fresh(["chain"], docs.columns, names)
 

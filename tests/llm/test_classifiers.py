@@ -54,6 +54,33 @@ def test_held_out_accuracy(spark, trained):
     assert np.mean([(r.p_toxic >= 0.5) == r.toxic for r in rows]) > 0.92
 
 
+def test_toxic_documents_of_each_language_are_found(spark, trained):
+    tables = Tables(spark, SF)
+    docs = tables.documents.select("doc_id", "text", "lang").join(tables.labels, "doc_id").where(
+        quality.held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1))
+    found, every, wrong = {}, {}, {}
+    for r in toxicity.with_toxicity(docs, trained[1]).collect():
+        for counts, hit in ((found, r.toxic and r.p_toxic >= 0.5), (every, r.toxic),
+                            (wrong, not r.toxic and r.p_toxic >= 0.5)):
+            counts[r.lang] = counts.get(r.lang, 0) + bool(hit)
+    print("found", found, "of", every, "wrong", wrong)
+    assert set(every) == {"en", "de", "fr", "es"}
+    assert all(found[lang] >= 0.8 * every[lang] and wrong[lang] <= 3 for lang in every)
+
+
+def test_terms_are_the_same_in_training_and_scoring(spark):
+    rows = documents(spark).select("text", toxicity.terms_column(F.col("text")).alias("terms")).collect()
+    assert any(len(r.terms) > 20 for r in rows)
+    for r in rows:
+        assert sorted(r.terms) == sorted(toxicity.terms_of((r.text or "").encode()))
+
+
+def test_number_of_terms_has_no_cap(spark):
+    rows = [(i, int(i < 400), [f"t{i // 4:03d}", f"t{i // 4:03d}x", "all"]) for i in range(4000)]
+    chosen = toxicity.choose_terms(spark.createDataFrame(rows, "doc_id long, label int, terms array<string>"))
+    assert chosen == [([f"t{k:03d}", f"t{k:03d}x"], True) for k in range(100)]
+
+
 def test_chain_passes_earlier_probabilities_on():
     rng = np.random.default_rng(2)
     presence = (rng.random((600, 4)) < 0.3).astype(float)

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CACHED_WORDS = 600_000
+# A letter that may compose with a mark; of some (H, T, W, Y, J) only the small form does.
+MARKED = r"[A-Z]\p{M}"
 PROBE = "Ab, c1\t'sx  \nÉ.d  ḗ q"
 _ENCODERS: dict[str, "CachedEncoder"] = {}
 
@@ -118,8 +120,20 @@ class CachedEncoder:
             known[word] = known[word[:-1]] + known[word[-1:]]
 
     def _words(self, raw: bytes) -> list[bytes]:
-        fold = self.folds_case and not any(token in raw for token in self.special)
-        return (raw.lower() if fold else raw).split()
+        if not self.folds_case or any(token in raw for token in self.special):
+            return raw.split()
+        text = pa.array([raw.decode("utf-8", "replace")], pa.large_string())
+        return self._folded(text).cast(pa.large_binary())[0].as_py().split()
+
+    @staticmethod
+    def _folded(texts: pa.Array) -> pa.Array:
+        """Texts with A-Z in lower case, but as they are where a mark follows such a letter.
+
+        The tokenizer composes letters and marks before it folds case.
+        """
+        lower = pc.ascii_lower(texts)
+        marked = pc.match_substring_regex(texts, MARKED)
+        return pc.if_else(marked, texts, lower) if pc.any(marked).as_py() else lower
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text."""
@@ -137,7 +151,7 @@ class CachedEncoder:
             parts = [self._one(raw) for raw in texts.cast(pa.binary()).to_pylist()]
             ends = np.cumsum([len(part) // self.dtype.itemsize for part in parts], dtype=np.int64)
             return np.frombuffer(b"".join(parts), self.dtype), ends
-        split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if self.folds_case else texts)
+        split = pc.ascii_split_whitespace(self._folded(texts) if self.folds_case else texts)
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.cast(pa.binary()).to_pylist()
         found = self._ids_of(words)

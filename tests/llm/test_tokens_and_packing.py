@@ -35,6 +35,16 @@ def test_cached_words_give_the_ids_of_whole_texts():
         assert np.frombuffer(ids, encoder.dtype).tolist() == encode(text, 0)[:-1], text
 
 
+def test_case_is_folded_after_marks_are_composed():
+    encoder = tokens.CachedEncoder(tokens.default_tokenizer())
+    pairs = ["H\u0331", "T\u0308", "W\u030a", "Y\u030a", "J\u030c"]
+    odd = [f"{before}{pair}anukkah and {pair}. A{pair.lower()}, PLAIN" for pair in pairs for before in ("", "The ")]
+    odd += [*pairs, "no marks HERE", "<|endoftext|> " + pairs[0] + "x"]
+    for batch in (odd, odd[:-1]):
+        for text, ids in zip(batch, encoder.encode([text.encode() for text in batch])):
+            assert np.frombuffer(ids, encoder.dtype).tolist() == encode(text, 0)[:-1], text
+
+
 def test_a_full_cache_changes_nothing(monkeypatch):
     monkeypatch.setattr(tokens, "CACHED_WORDS", 80)
     encoder = tokens.CachedEncoder(tokens.default_tokenizer())

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askgrid.llm import (chat, decontaminate, merkle, minhash, packing, quality, queries_sql, shards,
-                         token_files, toxicity, url_filter)
+from askgrid.llm import (chat, decontaminate, merkle, minhash, ngram_join, packing, prefix_trie, quality,
+                         queries_sql, shards, token_files, toxicity, url_filter, whitening)
 from askgrid.sources.tables import Tables
 
 
@@ -95,13 +95,30 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of documents linked by nearly equal sets of three-word runs."""
+    return ngram_join.similar_documents(Tables(spark, sf_dir).documents)
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every vector."""
+    return whitening.whiten(Tables(spark, sf_dir).embeddings)
+
+
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of rebuilt conversations with their subtree totals."""
+    return prefix_trie.prefix_nodes(Tables(spark, sf_dir).conversations)
+
+
 QUERIES = {build.__name__: build for build in (
     op1_benchmark_decontamination, op2_url_filters, op3_token_files, op4_sharding, op5_packing,
     op6_preference_formatting, op7_merkle_fingerprints, op8_minhash_near_dedup, op9_toxicity_chain,
-    op10_quality_classifier)}
+    op10_quality_classifier, op11_ngram_jaccard_join, op12_embedding_whitening, op13_conversation_prefix_trie)}
 ORACLES: dict[str, str] = {
     "op1_benchmark_decontamination": queries_sql.DECONTAMINATION,
     "op2_url_filters": queries_sql.URLS,
     "op6_preference_formatting": queries_sql.PREFERENCES,
     "op8_minhash_near_dedup": queries_sql.NEAR_DUPLICATES,
+    "op11_ngram_jaccard_join": queries_sql.NGRAM_JOIN,
+    "op13_conversation_prefix_trie": queries_sql.PREFIX_TRIE,
 }

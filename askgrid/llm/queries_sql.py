@@ -93,23 +93,60 @@ SELECT conv_id, n::INTEGER AS prompt_turns, {_render('p')} AS prompt, {_render('
 FROM parts
 """
 
-NEAR_DUPLICATES = rf"""
+
+def _similar(width: int, percent: int, kept: str = "") -> str:
+    return rf"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER}), '[^\x20\x09-\x0D]+') AS w
   FROM documents),
 sets AS (
-  SELECT DISTINCT doc_id, w[p:p + 4] AS s
-  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM words WHERE len(w) > 0)),
+  SELECT DISTINCT doc_id, w[p:p + {width - 1}] AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {width - 1}, 1) + 1)) AS p FROM words WHERE len(w) > 0)),
 sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
 shared AS (
   SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n
   FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
 links AS (
   SELECT x, y FROM shared JOIN sizes i ON i.doc_id = x JOIN sizes j ON j.doc_id = y
-  WHERE 100 * shared.n >= 85 * (i.n + j.n - shared.n)),
+  WHERE 100 * shared.n >= {percent} * (i.n + j.n - shared.n)),
 reach (x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
 least AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
-SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(y, d.doc_id)) AS component_id,
-       d.doc_id <= coalesce(y, d.doc_id) AS kept
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(y, d.doc_id)) AS component_id{kept}
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON x = d.doc_id
 """
+
+
+NEAR_DUPLICATES = _similar(5, 85, ",\n       d.doc_id <= coalesce(y, d.doc_id) AS kept")
+NGRAM_JOIN = _similar(3, 90)
+
+# CRC-32 of the digits of an id, bit by bit.
+_CRC = ("xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), "
+        "lambda ch: ascii(ch)::BIGINT)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], "
+        "lambda x, o: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)")
+
+PREFIX_TRIE = f"""
+WITH turns AS (
+  SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST,
+         coalesce(role, ''), coalesce(text, '')) AS l
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+plan AS (SELECT conv_id, l, conv_id - conv_id % 5 AS base, {_CRC} % 9 AS h FROM turns),
+seqs AS (SELECT p.conv_id, list_concat(coalesce(b.l, [])[1:p.h], p.l[p.h + 1:]) AS s
+         FROM plan p LEFT JOIN turns b ON b.conv_id = p.base),
+rows AS (SELECT conv_id, d, s[1:d] AS prefix, len(s) AS n
+         FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM seqs)),
+nodes AS (
+  SELECT d, prefix, min(conv_id) AS c, count(*) AS n_convs,
+         coalesce(octet_length(encode(prefix[d].text)), 0) AS bytes,
+         string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d) AS ends
+  FROM rows GROUP BY d, prefix),
+owners AS (SELECT rows.conv_id, rows.d, c FROM rows JOIN nodes USING (d, prefix)),
+kids AS (SELECT d - 1 AS d, prefix[1:d - 1] AS prefix, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+full_nodes AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids USING (d, prefix)),
+below AS (
+  SELECT o.c, o.d, sum((u.n_children = 0)::BIGINT) AS n_leaves, sum((u.n_convs - 1) * u.bytes) AS saved
+  FROM full_nodes u JOIN owners o ON o.conv_id = u.c AND o.d <= u.d GROUP BY ALL)
+SELECT n.c AS conv_id, n.d AS depth, p.c AS parent_conv_id, n_convs, n_children, n_leaves::BIGINT AS n_leaves,
+       saved::BIGINT AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM full_nodes n JOIN below ON below.c = n.c AND below.d = n.d
+LEFT JOIN owners p ON p.conv_id = n.c AND p.d = n.d - 1
+"""

@@ -114,27 +114,35 @@ def is_contaminated(n_hit: Column, n_words: Column, divisor: int = MIN_SHARE_DIV
 
 def drop_documents(docs: DataFrame, items: DataFrame, n: int = WINDOW,
                    divisor: int = MIN_SHARE_DIVISOR) -> DataFrame:
-    """``docs`` without contaminated rows; all columns stay."""
+    """``docs`` without contaminated rows; all columns stay, whatever their names.
+
+    Rows with a null text or no words stay. Rows are told apart by doc_id (null
+    included) and text, so repeated rows stay or go together. Without items, or
+    without rows, nothing is dropped.
+    """
+    bad_id, bad_key = fresh(["bad_id", "bad_key"], docs.columns)
     bad = materialise(
         find_hits(docs, items, n).where(is_contaminated(F.col("n_hit"), F.col("n_words"), divisor))
-        .select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct(),
+        .select(F.col("doc_id").alias(bad_id), F.col("text_key").alias(bad_key)).distinct(),
         "contaminated")
-    return docs.join(broadcast_if_small(bad, MAX_BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("_bad_id"))
-                     & (F.xxhash64("text") == F.col("_bad_key")), "left_anti")
+    return docs.join(broadcast_if_small(bad, MAX_BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col(bad_id))
+                     & (F.xxhash64("text") == F.col(bad_key)), "left_anti")
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
     """``docs`` with the hit words cut out of ``text``, with what stands before each of them.
 
-    Text without hits stays as it is, character by character.
+    Text without hits stays as it is, character by character; so do null texts.
+    Repeated rows are cut alike, and no row is added or lost. Columns of
+    ``docs`` may have any names.
     """
-    key, hits, parts = fresh(["text_key", "hits", "parts"], docs.columns)
+    key, hits, parts, hit_id, hit_key = fresh(["text_key", "hits", "parts", "hit_id", "hit_key"], docs.columns)
     found = (find_hits(docs, items, n).where("n_hit > 0")
-             .select(F.col("doc_id").alias("_hit_id"), F.col("text_key").alias("_hit_key"),
-                     F.col("spans").alias(hits)).dropDuplicates(["_hit_id", "_hit_key"]))
+             .select(F.col("doc_id").alias(hit_id), F.col("text_key").alias(hit_key),
+                     F.col("spans").alias(hits)).dropDuplicates([hit_id, hit_key]))
     keyed = docs.withColumn(key, F.xxhash64("text"))
-    joined = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("_hit_id"))
-                        & (F.col(key) == F.col("_hit_key")), "left")
+    joined = keyed.join(found, F.col("doc_id").eqNullSafe(F.col(hit_id))
+                        & (F.col(key) == F.col(hit_key)), "left")
     # Each part: one word with what stands before it; the last one may be without a word.
     pieces = F.regexp_extract_all("text", F.lit(
         r"(?s)[\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]*[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+"

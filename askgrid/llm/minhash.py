@@ -9,21 +9,20 @@ component of linked documents is named by its smallest doc_id.
 2. Classes: equal sets collapse to the smallest doc_id, combined before the
    shuffle, so a group of copies of any size is one node from here on.
 3. Candidates: nodes that share a band key form a bucket; buckets with equal
-   members count once. In every bucket each node is paired with the bucket's
-   most central node, the one whose own buckets hold most nodes.
+   members count once.
 4. Verification: the signature bytes of a pair are compared in batches; after
    each the pair is dropped when the posterior probability that its similarity
    reaches the threshold is below ``MISS``. Survivors are verified on their
-   full sets of words, taken from the texts. A node is labelled with the most
-   central node it is linked to.
-5. Buckets whose nodes do not all have one label are paired completely, over a
-   grid of blocks of bounded size. A pair belongs to the first bucket it
-   shares, so it is compared once. A first pass over signatures finds the nodes
-   with surviving partners of other labels; a second one brings their texts
-   along and verifies in place, so that only real links leave a task. No link
-   between labels is lost, and large groups of near copies, settled by their
-   centre, are not paired with themselves.
-6. Components are those of the graph of labels.
+   full sets of words, taken from the texts.
+5. Buckets are settled by ``settle``: star rounds link every node outside of its
+   bucket's largest component with one star in it and one outside, and merge the
+   components. What the rounds leave is paired completely over blocks bounded in
+   rows and bytes, where only nodes outside of the largest component are copied.
+   A first pass over signatures alone finds the nodes with surviving partners in
+   other components; only those bring their texts along for a second one, which
+   compares hashes of the word runs and confirms each link it returns on the
+   words. No link between components is lost, and large groups of near copies
+   are not paired with themselves.
 
 With 25 bands of 5 rows a pair at similarity 0.85 escapes all buckets with a
 probability below 1e-6.
@@ -40,15 +39,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askgrid.llm.common import materialise
+from askgrid.llm import settle
+from askgrid.llm.common import fresh, materialise
 from askgrid.operators.bounded import broadcast_if_small
-from askgrid.operators.components import connected_components
 
 SHINGLE = 5
 BANDS, ROWS = 25, 5
 BATCH = 25
 MISS = 1e-6
-BLOCK = 256
 MAX_BROADCAST_IDS = 500_000
 SKETCH = ("doc_id long, n_shingles long, set_hi long, set_lo long, signature binary, "
           "bands array<long>")
@@ -157,18 +155,18 @@ def _matrix(column, n: int) -> np.ndarray:
 
 
 def prune(pairs: DataFrame, nodes: DataFrame, threshold: float, n: int) -> DataFrame:
-    """Pairs (a, b, c) that the sequential comparison of their signatures keeps."""
+    """Pairs (a, b) that the sequential comparison of their signatures keeps."""
     steps = least_matches(n, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = surviving(_matrix(batch.column(3), n), _matrix(batch.column(4), n), steps)
-            yield batch.select(["a", "b", "c"]).take(pa.array(keep))
+            keep = surviving(_matrix(batch.column(2), n), _matrix(batch.column(3), n), steps)
+            yield batch.select(["a", "b"]).take(pa.array(keep))
 
     one = nodes.select(F.col("node").alias("a"), F.col("signature").alias("sa"))
     two = nodes.select(F.col("node").alias("b"), F.col("signature").alias("sb"))
-    return (pairs.join(one, "a").join(two, "b").select("a", "b", "c", "sa", "sb")
-            .mapInArrow(run, "a long, b long, c long"))
+    return (pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
+            .mapInArrow(run, "a long, b long").distinct())
 
 
 def reaches(one: set, two: set, percent: int) -> bool:
@@ -184,221 +182,139 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
         .join(broadcast_if_small(ids, MAX_BROADCAST_IDS), "doc_id", "left_semi"), "near-texts")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, percent: int, width: int = SHINGLE) -> DataFrame:
-    """The pairs (a, b, c) whose full sets reach the similarity."""
-    texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+def verify(pairs: DataFrame, texts: DataFrame, percent: int, width: int = SHINGLE) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity; ``texts`` has (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: tuple = (None, None)
         for batch in batches:
             keep = []
             for i in range(batch.num_rows):
-                left, right = (batch.column(k)[i].as_buffer().to_pybytes() for k in (3, 4))
+                left, right = (batch.column(k)[i].as_buffer().to_pybytes() for k in (2, 3))
                 if known[0] != right:
                     known = right, shingle_set(right, width)
                 if reaches(shingle_set(left, width), known[1], percent):
                     keep.append(i)
-            yield batch.select(["a", "b", "c"]).take(pa.array(keep, pa.int64()))
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     both = (pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
             .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b"))
-    return both.select("a", "b", "c", "ta", "tb").mapInArrow(run, "a long, b long, c long")
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
-def buckets_of(nodes: DataFrame) -> DataFrame:
-    """(band, place, node, n, weight): buckets of several nodes, equal ones once with their number.
-
-    ``place`` is the position of the band; of equal buckets the first one stays.
-    """
-    rows = materialise(nodes.select("node", F.posexplode("bands").alias("place", "band")), "near-bands")
-    sizes = rows.groupBy("band").agg(
-        F.min("place").alias("place"), F.count(F.lit(1)).alias("n"),
-        F.sum(F.shiftright(F.xxhash64("node"), 20)).alias("one"),
-        F.sum(F.shiftright(F.xxhash64("node", F.lit(1)), 20)).alias("two")).where("n > 1")
-    once = sizes.groupBy("n", "one", "two").agg(F.min(F.struct("place", "band")).alias("first"),
-                                                F.count(F.lit(1)).alias("weight"))
-    return materialise(rows.join(once.select("first.band", "n", "weight"), "band"), "near-buckets")
-
-
-def centre_pairs(buckets: DataFrame) -> DataFrame:
-    """(a, b, c): each node a of a bucket with the bucket's most central node b, whose centrality is c."""
-    central = buckets.groupBy("node").agg(F.sum(F.col("n") * F.col("weight")).alias("c"))
-    centre = (buckets.join(central, "node").groupBy("band")
-              .agg(F.max(F.struct("c", (-F.col("node")).alias("m"))).alias("best"))
-              .select("band", "best.c", (-F.col("best.m")).alias("b")))
-    return (buckets.select("band", F.col("node").alias("a")).join(centre, "band").where("a <> b")
-            .select("a", "b", "c").distinct())
-
-
-def labels_of(links: DataFrame) -> DataFrame:
-    """(node, label): the most central node that a node is linked to as a member of its bucket."""
-    return (links.groupBy(F.col("a").alias("node")).agg(F.max(F.struct("c", "b")).alias("best"))
-            .select("node", F.col("best.b").alias("label")))
-
-
-def unsettled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """(band, place, node, label) of buckets with several labels, but for pairs, which are done."""
-    labelled = (buckets.where("n > 2").join(labels, "node", "left")
-                .withColumn("label", F.coalesce("label", "node")))
-    open_ = (labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-             .where("x <> y").select("band"))
-    return labelled.join(open_, "band", "left_semi").select("band", "place", "node", "label")
-
-
-def _in_blocks(rows: DataFrame, payload: DataFrame, block: int) -> DataFrame:
-    """Rows dealt to pairs of blocks of their bucket, with the payload of their node.
-
-    A bucket is split into ceil(size / block) blocks by a hash of the node; a
-    task holds the nodes of two blocks at a time.
-    """
-    sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    dealt = (rows.join(sizes, "band")
-             .withColumn("blocks", F.ceil(F.col("size") / F.lit(block)).cast("int"))
-             .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-             .join(payload, "node"))
-    fields = [name for name in payload.columns if name != "node"]
-    return (dealt.select("band", "i", "j", "own", "place", "node", "label", *fields)
-            .repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node"))
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Consecutive rows of equal first three columns."""
-    held, current = [], None
-    for batch in batches:
-        keys = np.stack([batch.column(k).to_numpy() for k in range(3)])
-        edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-        for a, b in zip(np.r_[0, edges].tolist(), np.r_[edges, batch.num_rows].tolist()):
-            if a == b:
-                continue
-            key = tuple(keys[:, a].tolist())
-            if held and key != current:
-                yield pa.Table.from_batches(held)
-                held = []
-            current = key
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _surviving_pairs(table: pa.Table, n: int, steps) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, rows) of one block pair: other labels, no earlier shared band, signatures that survive."""
-    own, label = (table.column(k).to_numpy() for k in ("own", "label"))
-    first, second = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-    place = table.column("place")[0].as_py()
-    signature = _matrix(table.column("signature"), n)
-    bands = np.array(table.column("bands").to_pylist(), np.int64)[:, :place]
-    right = np.flatnonzero(own == second)
-    for i in np.flatnonzero(own == first):
-        others = right[right > i] if first == second else right
-        others = others[label[others] != label[i]]
-        others = others[~(bands[others] == bands[i]).any(axis=1)]
-        alive = surviving(np.broadcast_to(signature[i], (len(others), n)), signature[others], steps)
-        if len(alive):
-            yield int(i), others[alive]
-
-
-def open_rows(rows: DataFrame, nodes: DataFrame, threshold: float, n: int, block: int = BLOCK) -> DataFrame:
-    """The rows (band, place, node, label) with a surviving partner in their bucket."""
+def open_rows(rows: DataFrame, nodes: DataFrame, threshold: float, n: int,
+              block_rows: int = settle.BLOCK_ROWS) -> DataFrame:
+    """The rows (bucket, node, label, major) with a partner in another label whose signature survives."""
     steps = least_matches(n, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches):
-            found: set[int] = set()
-            for i, others in _surviving_pairs(table, n, steps):
-                found.add(i)
-                found.update(others.tolist())
-            yield from (table.select(["band", "place", "node", "label"])
-                        .take(pa.array(sorted(found), pa.int64())).combine_chunks().to_batches())
-
-    return (_in_blocks(rows, nodes.select("node", "signature", "bands"), block)
-            .mapInArrow(run, "band long, place int, node long, label long").distinct())
-
-
-def block_links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, n: int,
-                width: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between nodes of different labels in one bucket, verified on their full sets."""
+        known, wanted = None, ["bucket", "node", "label", "major"]
+        for table, copies in settle.blocks(batches):
+            if table is not known:
+                known = table
+                node, label, major = (table.column(k).to_numpy() for k in ("node", "label", "major"))
+                signature = _matrix(table.column("signature"), n)
+            own, at_home, abroad = _matrix(copies.column("signature"), n), set(), []
+            for row in range(copies.num_rows):
+                others = settle.partners(table, copies, row, label, node, major)
+                alive = surviving(np.broadcast_to(own[row], (len(others), n)), signature[others], steps)
+                if len(alive):
+                    at_home.update(others[alive].tolist())
+                    abroad.append(row)
+            yield from table.select(wanted).take(pa.array(sorted(at_home), pa.int64())).combine_chunks().to_batches()
+            yield copies.select(wanted).take(pa.array(abroad, pa.int64()))
+
+    payload = nodes.select("node", "signature", F.octet_length("signature").cast("long").alias("size"))
+    return (settle.deal(rows, payload, "size", block_rows)
+            .mapInArrow(run, "bucket long, node long, label long, major long").distinct())
+
+
+def block_links(rows: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int, n: int,
+                width: int = SHINGLE, block_rows: int = settle.BLOCK_ROWS) -> DataFrame:
+    """Links (a, b) between labels of a bucket; one for each node and other label suffices."""
     steps = least_matches(n, percent / 100)
-    texts = texts_of(docs, rows.select(F.col("node").alias("doc_id")).distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches):
-            node, sets, links = table.column("node").to_numpy(), {}, []
-
-            def full(i):
-                if i not in sets:
-                    sets[i] = set(shingle_hashes(table.column("text")[i].as_buffer().to_pybytes(), width).tolist())
-                return sets[i]
-
-            for i, others in _surviving_pairs(table, n, steps):
-                links += [(node[i], node[k]) for k in others.tolist() if reaches(full(i), full(k), percent)]
+        known = None
+        for table, copies in settle.blocks(batches):
+            if table is not known:
+                known, sets = table, {}
+                node, label, major = (table.column(k).to_numpy() for k in ("node", "label", "major"))
+                signature, raw = _matrix(table.column("signature"), n), table.column("text").combine_chunks()
+            own, links = _matrix(copies.column("signature"), n), []
+            for row in range(copies.num_rows):
+                others = settle.partners(table, copies, row, label, node, major)
+                others = others[surviving(np.broadcast_to(own[row], (len(others), n)), signature[others], steps)]
+                if not len(others):
+                    continue
+                mine = copies.column("text")[row].as_buffer().to_pybytes()
+                hashes, done = shingle_hashes(mine, width), set()
+                # The most alike first: one link into a label is enough.
+                for k in others[np.argsort(-(signature[others] == own[row]).sum(axis=1), kind="stable")].tolist():
+                    if label[k] in done:
+                        continue
+                    if k not in sets:
+                        sets[k] = shingle_hashes(raw[k].as_buffer().to_pybytes(), width)
+                    shared = len(np.intersect1d(hashes, sets[k], assume_unique=True))
+                    if shared and 100 * shared >= percent * (len(hashes) + len(sets[k]) - shared) and reaches(
+                            shingle_set(mine, width), shingle_set(raw[k].as_buffer().to_pybytes(), width), percent):
+                        links.append((copies.column("node")[row].as_py(), int(node[k])))
+                        done.add(label[k])
             a, b = zip(*links) if links else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())],
-                                             names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    payload = nodes.select("node", "signature", "bands").join(
-        texts.withColumnRenamed("doc_id", "node"), "node")
-    return _in_blocks(rows, payload, block).mapInArrow(run, "a long, b long")
+    payload = (nodes.select("node", "signature").join(texts.withColumnRenamed("doc_id", "node"), "node")
+               .withColumn("size", F.octet_length("text").cast("long")))
+    return settle.deal(rows, payload, "size", block_rows).mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS,
-                    width: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``.
+def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS, width: int = SHINGLE,
+                    rounds: int = settle.ROUNDS, block_rows: int = settle.BLOCK_ROWS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``; other columns are not read.
 
     Words are runs without white space, A-Z lowered; a text of fewer words
     than ``width`` is one run of them all; a null text or one without words is
-    linked with nothing. Rows that share a doc_id are one document: they are
+    linked with nothing. Rows with words that share a doc_id are one document:
+    all that is linked with one of them is linked with the others, and they are
     kept or dropped together. A null doc_id is its own component, kept, with a
     null component_id. An empty table gives no rows.
     """
     n, threshold = bands * rows, percent / 100
     sketch = materialise(sketches(docs, bands, rows, width), "near-sketches")
     named = sketch.where("set_hi IS NOT NULL AND doc_id IS NOT NULL")
+    # Two classes may have one least doc_id; they are one document, and any text of it may link it.
     classes = materialise(
         named.groupBy("set_hi", "set_lo").agg(
             F.min("doc_id").alias("node"),
             F.min_by(F.struct("signature", "bands"), "doc_id").alias("best"))
         .select("set_hi", "set_lo", "node", "best.signature", "best.bands"), "near-classes")
-    buckets = buckets_of(classes)
-    kept = materialise(prune(centre_pairs(buckets), classes, threshold, n), "near-candidates")
-    stars = materialise(verify(kept, docs, percent, width), "near-links")
-    labels = materialise(labels_of(stars), "near-labels")
-    left = materialise(open_rows(unsettled(buckets, labels), classes, threshold, n, block), "near-unsettled")
-    across = materialise(block_links(left, classes, docs, percent, n, width, block), "near-links")
-    components = components_of(stars.select("a", "b").unionByName(across), labels)
-    named_classes = (classes.select("set_hi", "set_lo", "node").join(components, "node", "left")
-                     .select("set_hi", "set_lo", F.coalesce("component", "node").alias("component")))
-    joined = (sketch.select("doc_id", "n_shingles", "set_hi", "set_lo")
-              .join(named_classes, ["set_hi", "set_lo"], "left"))
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"),
-                         (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
-
-
-def components_of(links: DataFrame, labels: DataFrame) -> DataFrame:
-    """(node, component) of all linked nodes; a component is named by its least node."""
-    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    named = materialise(ends.join(labels, "node", "left")
-                        .select("node", F.coalesce("label", "node").alias("label")), "near-named")
-
-    def label_of(end):
-        return named.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))
-
-    edges = materialise(links.join(label_of("a"), "a").join(label_of("b"), "b").where("la <> lb")
-                        .select(F.least("la", "lb").alias("left"), F.greatest("la", "lb").alias("right"))
-                        .distinct(), "near-edges")
-    over = edges.select(F.explode(F.array("left", "right")).alias("id")).distinct()
-    roots = connected_components(over, edges).select(F.col("id").alias("label"), "root")
-    rooted = materialise(named.join(roots, "label", "left")
-                         .select("node", F.coalesce("root", "label").alias("root")), "near-rooted")
-    least = rooted.groupBy("root").agg(F.min("node").alias("component"))
-    return rooted.join(least, "root").select("node", "component")
+    buckets = settle.distinct_buckets(classes.select("node", F.explode("bands").alias("bucket")).distinct(), "near")
+    nodes = materialise(classes.join(buckets.select("node").distinct(), "node", "left_semi")
+                        .select("node", "signature"), "near-nodes")
+    texts = texts_of(docs, nodes.select(F.col("node").alias("doc_id")).distinct())
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return verify(materialise(prune(pairs, nodes, threshold, n), "near-candidates"), texts, percent, width)
+
+    def across(left: DataFrame) -> DataFrame:
+        opened = materialise(open_rows(left, nodes, threshold, n, block_rows), "near-unsettled")
+        return block_links(opened, nodes, texts, percent, n, width, block_rows)
+
+    labels = settle.settle(buckets, linked, across, "near", rounds)
+    return settle.named_components(sketch.select("doc_id", "n_shingles", "set_hi", "set_lo"),
+                            classes.select("set_hi", "set_lo", "node"), labels).withColumn(
+        "kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """``docs`` with one document of each component; all columns stay."""
-    gone = materialise(near_duplicates(docs, percent).where("NOT kept")
-                       .select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
-    return docs.join(broadcast_if_small(gone, MAX_BROADCAST_IDS),
-                     F.col("doc_id") == F.col("_gone"), "left_anti")
+    """``docs`` with one document of each component, the one of the least doc_id; all columns stay.
+
+    Rows without words, with a null text or a null doc_id stay; repeated rows of
+    one doc_id are kept or dropped together. An empty table stays empty. Columns
+    of ``docs`` may have any names.
+    """
+    (gone,) = fresh(["gone"], docs.columns)
+    dropped = materialise(near_duplicates(docs, percent).where("NOT kept")
+                          .select(F.col("doc_id").alias(gone)).distinct(), "near-gone")
+    return docs.join(broadcast_if_small(dropped, MAX_BROADCAST_IDS),
+                     F.col("doc_id").cast("long") == F.col(gone), "left_anti")

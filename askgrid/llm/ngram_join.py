@@ -343,24 +343,4 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT, width: int = WIDT
         sets.select("node", F.explode(F.slice("keys", F.lit(1), F.col("prefix"))).alias("bucket")), "join")
     labels = settle.settle(buckets, lambda pairs: verified(pairs, sets, pieces, percent),
                            lambda rows: block_links(rows, sets, cuts, percent, block_rows), "join", rounds)
-    return named_components(sizes, classes, labels)
-
-
-def named_components(sizes: DataFrame, classes: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(doc_id, n_shingles, component_id): classes by label, rows that share a doc_id joined, least doc_id as name."""
-    if labels is not None:
-        classes = classes.join(labels, "node", "left").withColumn("node", F.coalesce("label", "node"))
-    rows = materialise(sizes.join(classes.select("set_hi", "set_lo", "node"), ["set_hi", "set_lo"], "left")
-                       .select("doc_id", "n_shingles", "node"), "join-rows")
-    split = (rows.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id")
-             .agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("doc_id", "first"))
-    links = materialise(rows.join(split, "doc_id").where("node <> first")
-                        .select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), "join-same-id")
-    if not links.isEmpty():
-        joined = settle.merge(None, links, "join")
-        rows = (rows.join(joined, "node", "left")
-                .select("doc_id", "n_shingles", F.coalesce("label", "node").alias("node")))
-    least = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("component"))
-    return (rows.join(least, "node", "left")
-            .select("doc_id", "n_shingles",
-                    F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))
+    return settle.named_components(sizes, classes, labels)

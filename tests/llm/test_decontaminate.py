@@ -3,6 +3,7 @@
 import re
 
 from fixtures import documents, empty, texts, words
+from pyspark.sql import functions as F
 
 from askgrid.llm import decontaminate
 from askgrid.llm.common import UPPER
@@ -61,3 +62,16 @@ def test_empty_tables(spark):
     found = decontaminate.find_hits(documents(spark), items).collect()
     assert len(found) == len(texts()) and all(r.n_hit == 0 and r.item_ids == [] for r in found)
     assert decontaminate.find_hits(empty(spark), items).count() == 0
+
+
+def test_clashing_names(spark):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    names = ("_bad_id", "_bad_key", "bad_id", "_hit_id", "_hit_key", "hit_key", "text_key", "hits", "parts", "row", "key")
+    docs = documents(spark).withColumns({name: F.lit(7) for name in names if name != "row"})
+    for step in (decontaminate.drop_documents, decontaminate.remove_spans):
+        plain, wide = step(documents(spark), items), step(docs, items)
+        assert wide.columns == docs.columns
+        assert sorted(map(repr, plain.select("doc_id", "text").collect())) == sorted(
+            map(repr, wide.select("doc_id", "text").collect()))
+        assert step(empty(spark), items).count() == 0
+        assert step(docs, items.where("false")).count() == docs.count()

@@ -8,7 +8,7 @@ import pytest
 from fixtures import documents, empty, texts, words
 from pyspark.sql import functions as F
 
-from askgrid.llm import minhash
+from askgrid.llm import minhash, settle
 
 
 def brute(rows, percent=85):
@@ -67,8 +67,27 @@ def test_odd_rows(spark):
     assert sorted(map(repr, ids)) == sorted(repr(i) for i, _ in texts() if i is None or expected[i][1] == i)
 
 
-@pytest.mark.parametrize("block", [256, 7])
-def test_families_equal_all_pairs(spark, block):
+def test_rows_of_one_id_are_one_document(spark):
+    from test_ngram_join import brute as by_row
+    rows = [(1, words(60, 1)), (1, words(60, 2)), (2, words(60, 2)), (3, words(60, 1)), (4, words(60, 4)),
+            (4, words(60, 5)), (5, words(60, 5)), (5, None), (6, None)]
+    found = minhash.near_duplicates(documents(spark, rows)).collect()
+    assert sorted(map(repr, (tuple(r)[:3] for r in found))) == sorted(map(repr, by_row(rows, 85, 5)))
+    kept = {}
+    for row in found:
+        kept.setdefault(row.doc_id, set()).add(row.kept)
+    assert {i for i, seen in kept.items() if seen == {True}} >= {1, 4, 6} and kept[2] == kept[3] == {False}
+
+
+def test_clashing_names(spark):
+    docs = documents(spark).withColumns({name: F.lit(1) for name in (
+        "_gone", "gone", "node", "label", "bucket_", "a", "b", "n_shingles", "component_id", "kept")})
+    assert minhash.drop_near_duplicates(docs).columns == docs.columns
+    assert minhash.drop_near_duplicates(docs).count() == minhash.drop_near_duplicates(documents(spark)).count()
+
+
+@pytest.mark.parametrize("rounds, block_rows", [(5, 512), (1, 7)])
+def test_families_equal_all_pairs(spark, rounds, block_rows):
     rows = family(3, 60, 9) + family(4, 30, 5, first=2000) + family(5, 5, 14, first=3000)
     rows += [(5000 + i, words(150, 50 + i)) for i in range(30)]
     # A chain whose ends are far apart, linked step by step.
@@ -76,26 +95,29 @@ def test_families_equal_all_pairs(spark, block):
     for k in range(12):
         chain[k * 3:k * 3 + 3] = [f"c{k}a", f"c{k}b", f"c{k}c"]
         rows.append((4000 + k, " ".join(chain)))
-    check(spark, rows, block=block)
+    check(spark, rows, rounds=rounds, block_rows=block_rows)
 
 
-def test_blocks_find_every_link_once(spark):
-    """The complete pairing of unsettled buckets, without any help from a centre."""
+def test_blocks_join_all_labels(spark):
+    """The complete pairing of open buckets, without any star: every link is found or implied."""
     rows = family(9, 40, 4)
     docs = documents(spark, rows)
     nodes = minhash.sketches(docs).select(F.col("doc_id").alias("node"), "signature", "bands").cache()
-    buckets = minhash.buckets_of(nodes)
-    labelled = minhash.unsettled(buckets, spark.createDataFrame([], "node long, label long"))
+    buckets = settle.distinct_buckets(nodes.select("node", F.explode("bands").alias("bucket")), "test")
+    single = nodes.select("node", F.col("node").alias("label"))
+    labelled = settle.open_buckets(buckets, single, 1).select("bucket", "node", "label", "major")
     sets = {i: minhash.shingle_set(t.encode()) for i, t in rows}
-    shared = {}
-    for row in buckets.collect():
-        shared.setdefault(row.band, (row.n, []))[1].append(row.node)
-    done = {tuple(sorted(held)) for n, held in shared.values() if n == 2}
-    expected = {(a, b) for a, b in combinations(sorted(sets), 2) if minhash.reaches(sets[a], sets[b], 85)}
-    for block in (256, 6):
-        left = minhash.open_rows(labelled, nodes, 0.85, 125, block)
-        found = [tuple(sorted((r.a, r.b))) for r in minhash.block_links(left, nodes, docs, 85, 125, block=block).collect()]
-        assert len(found) == len(set(found)) and expected - done <= set(found) <= expected
+    members = {}
+    for row in labelled.collect():
+        members.setdefault(row.bucket, set()).add(row.node)
+    expected = {(a, b) for own in members.values() for a, b in combinations(sorted(own), 2)
+                if minhash.reaches(sets[a], sets[b], 85)}
+    texts = docs.select("doc_id", "text")
+    for block_rows in (512, 6):
+        left = minhash.open_rows(labelled, nodes, 0.85, 125, block_rows)
+        found = {tuple(sorted((r.a, r.b)))
+                 for r in minhash.block_links(left, nodes.drop("bands"), texts, 85, 125, block_rows=block_rows).collect()}
+        assert found == expected
 
 
 def test_posterior_bounds():

@@ -38,7 +38,7 @@ def test_each_stage_acts_on_what_is_left(spark, stages):
     for name, keep in (
             ("quality", lambda docs: {i for i, t in docs.items() if machine.score(t.encode()) >= 0.5}),
             ("toxicity", lambda docs: {i for i, t in docs.items() if chain.predict([t.encode()])[0, -1] < 0.5}),
-            ("near duplicates", lambda docs: {i for i, (_, root) in components_of(list(docs.items())).items() if i == root}),
+            ("near duplicates", lambda docs: {i for i, (_, root) in components_of(list(docs.items()), 80).items() if i == root}),
             ("decontamination", lambda docs: {i for i, t in docs.items() if not contaminated(t)})):
         expected = keep(left)
         found = {r.doc_id: r.text for r in stages[name].collect()}

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,8 +125,9 @@ def count_ids(tokens: DataFrame) -> dict[int, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.int64)
         for batch in batches:
-            for raw, width in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                more = np.bincount(as_ids(raw, width))
+            for width in pc.unique(batch.column(1)).to_pylist():
+                own = batch.column(0).filter(pc.equal(batch.column(1), width)).to_pylist()
+                more = np.bincount(as_ids(b"".join(own), width))
                 if len(more) > len(seen):
                     seen, more = more, seen
                 seen[:len(more)] += more
@@ -179,7 +181,7 @@ def write_token_files(docs: DataFrame, end_id: int = 2, tokenizer_path: str | No
     """Encode all texts; (blocks, lengths), both tables in the shared folder.
 
     Blocks hold documents in ascending doc_id order (null ids first; rows with
-    one id ordered by their ids' bytes), over range partitions of about
+    one id ordered by a hash of their ids), over range partitions of about
     ``partition_bytes`` of raw ids. An empty input gives empty tables.
     """
     spark = docs.sparkSession
@@ -187,8 +189,10 @@ def write_token_files(docs: DataFrame, end_id: int = 2, tokenizer_path: str | No
     lengths = code_lengths(counts, max_bits) if (counts := count_ids(tokens)) else {}
     code = Code(lengths)
     parts = task_count(tokens, "ids", partition_bytes)
-    ordered = (tokens.select("doc_id", "ids", "width").repartitionByRange(parts, "doc_id")
-               .sortWithinPartitions("doc_id", "ids"))
+    # Rows of one doc_id, or without one, are spread by a hash of their ids.
+    order = ["doc_id", F.xxhash64("ids")]
+    ordered = (tokens.select("doc_id", "ids", "width").repartitionByRange(parts, *order)
+               .sortWithinPartitions(*order, "ids"))
     blocks = materialise(ordered.mapInArrow(_blocks(code, block_tokens), BLOCKS), "token-blocks")
     table = materialise(spark.createDataFrame(sorted(lengths.items()), "id long, bits int"),
                         "token-code")

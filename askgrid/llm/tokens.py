@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CACHED_WORDS = 600_000
+PIECE_BYTES = 6 << 20
 # A letter that may compose with a mark; of some (H, T, W, Y, J) only the small form does.
 MARKED = r"[A-Z]\p{M}"
 PROBE = "Ab, c1\t'sx  \nÉ.d  ḗ q"
@@ -76,7 +77,7 @@ class CachedEncoder:
         """Add the ids of words; plain lower-case ones go to the model directly."""
         rest = words
         if self.letters is not None:
-            tokenize, rest = self.tokenizer.model.tokenize, []
+            tokenize, pack, known, rest = self.tokenizer.model.tokenize, self._pack, self.known, []
             for word in words:
                 if word.isalpha() and word.islower():
                     text = word.decode()
@@ -85,7 +86,7 @@ class CachedEncoder:
                 else:
                     rest.append(word)
                     continue
-                self.known[word] = self._pack([token.id for token in tokenize(text)])
+                known[word] = pack([token.id for token in tokenize(text)])
         if rest:
             encoded = self.tokenizer.encode_batch_fast(
                 [word.decode("utf-8", "replace") for word in rest], add_special_tokens=False)
@@ -113,9 +114,9 @@ class CachedEncoder:
         known = self.known
         known[b""] = b""
         # A full stop or comma after an ASCII letter is a token of its own.
-        marked = [word for word in missing if word[-1:] in b".," and word[-2:-1].isalpha()]
+        marked = [word for word in missing if word.endswith((b".", b",")) and word[-2:-1].isalpha()]
         stems = missing.difference(marked).union((word[:-1] for word in marked), (b".", b","))
-        self._encode_words(list(stems.difference(known)))
+        self._encode_words([word for word in stems if word not in known])
         for word in marked:
             known[word] = known[word[:-1]] + known[word[-1:]]
 
@@ -160,7 +161,10 @@ class CachedEncoder:
         codes = coded.indices.to_numpy(zero_copy_only=False)
         sizes = lengths[codes]
         done = np.cumsum(sizes)
-        places = np.repeat(starts[codes] - (done - sizes), sizes) + np.arange(done[-1] if len(done) else 0)
+        total = int(done[-1]) if len(done) else 0
+        narrow = np.int32 if total < 1 << 31 else np.int64
+        places = np.repeat((starts[codes] - (done - sizes)).astype(narrow), sizes)
+        places += np.arange(total, dtype=narrow)
         bounds = split.offsets.to_numpy()[1:] - split.offsets.to_numpy()[0]
         return (np.frombuffer(b"".join(found), self.dtype)[places],
                 np.concatenate([[0], done])[bounds])
@@ -185,6 +189,17 @@ def encoder(path: str) -> CachedEncoder:
     return _ENCODERS[path]
 
 
+def pieces_of(batch: pa.RecordBatch, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``size`` bytes of text each; a longer text is alone."""
+    held = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < batch.num_rows:
+        before = int(held[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(held, before + size, side="right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def token_table(docs: DataFrame, end_id: int, path: str | None = None) -> DataFrame:
     """(doc_id, ids binary, width int, n_tokens long) of every text, ``end_id`` appended.
 
@@ -200,8 +215,7 @@ def token_table(docs: DataFrame, end_id: int, path: str | None = None) -> DataFr
             raise ValueError("The end id does not fit the width of the ids")
         last, width = end.tobytes(), known.dtype.itemsize
         for batch in batches:
-            for part in range(0, batch.num_rows, 512):
-                piece = batch.slice(part, 512)
+            for piece in pieces_of(batch):
                 flat, ends = known.encode_array(piece.column("text"))
                 begins = np.concatenate([[0], ends])
                 ids = [flat[a:b].tobytes() + last for a, b in zip(begins, ends)]

@@ -195,7 +195,7 @@ def pack(docs: DataFrame, length: int = LENGTH, end_id: int = 1,
     the end id. Returns (doc_id, start, length, doc_tokens, sequence_id,
     offset, ids): the piece begins ``start`` ids into its document and
     ``offset`` ids into its sequence; ``ids`` are little-endian unsigned 32-bit.
-    Rows with one doc_id are separate documents, ordered by a hash of their ids;
+    Rows with one doc_id are separate documents, ordered by their ids' bytes;
     null doc_ids come first. ``sequence_id`` is unique and ascends with the
     stream, with gaps between partitions. An empty table gives no pieces.
     """
@@ -204,8 +204,7 @@ def pack(docs: DataFrame, length: int = LENGTH, end_id: int = 1,
         raise ValueError("A segment must hold several sequences")
     tokens = materialise(token_table(docs, end_id, path), "packing-tokens")
     parts = task_count(tokens, "ids", partition_bytes)
-    # Rows of one doc_id, or without one, are spread by a hash of their ids.
-    order = ["doc_id", F.xxhash64("ids")]
+    # Rows of one doc_id, or without one, are spread by how their ids begin.
     return (tokens.select("doc_id", "ids", "width", "n_tokens")
-            .repartitionByRange(parts, *order).sortWithinPartitions(*order, "ids")
+            .repartitionByRange(parts, "doc_id", F.substring("ids", 1, 32)).sortWithinPartitions("doc_id", "ids")
             .mapInArrow(_packer(stop_ids(path), length, segment_tokens), PIECES))

@@ -181,7 +181,7 @@ def write_token_files(docs: DataFrame, end_id: int = 2, tokenizer_path: str | No
     """Encode all texts; (blocks, lengths), both tables in the shared folder.
 
     Blocks hold documents in ascending doc_id order (null ids first; rows with
-    one id ordered by a hash of their ids), over range partitions of about
+    one id ordered by their ids' bytes), over range partitions of about
     ``partition_bytes`` of raw ids. An empty input gives empty tables.
     """
     spark = docs.sparkSession
@@ -189,10 +189,10 @@ def write_token_files(docs: DataFrame, end_id: int = 2, tokenizer_path: str | No
     lengths = code_lengths(counts, max_bits) if (counts := count_ids(tokens)) else {}
     code = Code(lengths)
     parts = task_count(tokens, "ids", partition_bytes)
-    # Rows of one doc_id, or without one, are spread by a hash of their ids.
-    order = ["doc_id", F.xxhash64("ids")]
-    ordered = (tokens.select("doc_id", "ids", "width").repartitionByRange(parts, *order)
-               .sortWithinPartitions(*order, "ids"))
+    # Rows of one doc_id, or without one, are spread by how their ids begin.
+    ordered = (tokens.select("doc_id", "ids", "width")
+               .repartitionByRange(parts, "doc_id", F.substring("ids", 1, 32))
+               .sortWithinPartitions("doc_id", "ids"))
     blocks = materialise(ordered.mapInArrow(_blocks(code, block_tokens), BLOCKS), "token-blocks")
     table = materialise(spark.createDataFrame(sorted(lengths.items()), "id long, bits int"),
                         "token-code")

@@ -66,6 +66,67 @@ def parameter_selector(t):
                       "FROM orders WHERE o_custkey = @Customer", {"Customer": value[0]})
 
 
+@query("guarded_outer_apply", """
+SELECT c.c_custkey, c.c_name, x.o_orderkey AS last_order, x.o_totalprice AS last_price, y.n AS lines, y.top_quantity
+FROM customer c
+LEFT JOIN LATERAL (SELECT o_orderkey, o_totalprice FROM orders o WHERE o.o_custkey = c.c_custkey
+                   ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) x ON true
+CROSS JOIN LATERAL (SELECT count(*) AS n, max(l_quantity) AS top_quantity FROM lineitem l
+                    WHERE l.l_orderkey = x.o_orderkey) y""")
+def guarded_outer_apply(t):
+    """OUTER APPLY of the latest row and CROSS APPLY of an aggregate over it, as accepted text."""
+    return guarded(t, """
+SELECT c.c_custkey, c.c_name, x.o_orderkey AS last_order, x.o_totalprice AS last_price, y.n AS lines, y.top_quantity
+FROM [customer] AS c
+OUTER APPLY (SELECT TOP (1) o.o_orderkey, o.o_totalprice FROM [orders] AS o WHERE o.o_custkey = c.c_custkey
+             ORDER BY o.o_orderdate DESC, o.o_orderkey DESC) AS x
+CROSS APPLY (SELECT COUNT_BIG(*) AS n, MAX(l.l_quantity) AS top_quantity FROM [lineitem] AS l
+             WHERE l.l_orderkey = x.o_orderkey) AS y""")
+
+
+@query("guarded_pivot", """
+SELECT l_orderkey, max(l_quantity) FILTER (l_linenumber = 1) AS first_line,
+       max(l_quantity) FILTER (l_linenumber = 2) AS second_line,
+       max(l_quantity) FILTER (l_linenumber = 3) AS third_line FROM lineitem GROUP BY l_orderkey""")
+def guarded_pivot(t):
+    """PIVOT over line numbers as accepted text."""
+    return guarded(t, """
+SELECT p.l_orderkey, p.[1] AS first_line, p.[2] AS second_line, p.[3] AS third_line
+FROM (SELECT l_orderkey, l_linenumber, l_quantity FROM [lineitem]) AS s
+PIVOT (MAX(l_quantity) FOR l_linenumber IN ([1], [2], [3])) AS p""")
+
+
+@query("guarded_values_unpivot", """
+SELECT l_orderkey, l_linenumber, kind, amount FROM (
+  SELECT l_orderkey, l_linenumber, 'price' AS kind, l_extendedprice AS amount FROM lineitem
+  UNION ALL SELECT l_orderkey, l_linenumber, 'discount', l_extendedprice * l_discount FROM lineitem
+  UNION ALL SELECT l_orderkey, l_linenumber, 'quantity', l_quantity FROM lineitem) WHERE amount > 0""")
+def guarded_values_unpivot(t):
+    """CROSS APPLY (VALUES …) turns columns into rows, as accepted text and without a join."""
+    return guarded(t, """
+SELECT l.l_orderkey, l.l_linenumber, v.kind, v.amount FROM [lineitem] AS l
+CROSS APPLY (VALUES (N'price', l.l_extendedprice), (N'discount', l.l_extendedprice * l.l_discount),
+                    (N'quantity', l.l_quantity)) AS v (kind, amount)
+WHERE v.amount > 0""")
+
+
+@query("guarded_typed_meaning", """
+SELECT o_orderpriority, (sum(o_custkey) // count(o_custkey))::BIGINT AS mean_customer,
+       left(o_orderpriority, 3) || '/' || max(CAST(year(o_orderdate) AS VARCHAR)) AS tag,
+       strpos(o_orderpriority, '-')::INTEGER AS dash, max(strftime(o_orderdate, '%Y%m%d')) AS last_day,
+       min(month(o_orderdate))::INTEGER AS first_month, max(length(rtrim(o_orderstatus)))::INTEGER AS width
+FROM orders GROUP BY o_orderpriority ORDER BY o_orderpriority LIMIT 3 OFFSET 1""")
+def guarded_typed_meaning(t):
+    """AVG of integers, CONVERT, text sums, CHARINDEX, DATEPART, LEN and OFFSET as T-SQL means them."""
+    return guarded(t, """
+SELECT o_orderpriority, AVG(o_custkey) AS mean_customer,
+       CONVERT(nvarchar(3), o_orderpriority) + N'/' + MAX(CAST(YEAR(o_orderdate) AS nvarchar(4))) AS tag,
+       CHARINDEX(N'-', o_orderpriority) AS dash, MAX(CONVERT(varchar(8), o_orderdate, 112)) AS last_day,
+       MIN(DATEPART(month, o_orderdate)) AS first_month, MAX(LEN(o_orderstatus)) AS width
+FROM [orders] GROUP BY o_orderpriority ORDER BY o_orderpriority
+OFFSET 1 ROWS FETCH NEXT 3 ROWS ONLY""")
+
+
 @query("sample_profile", """
 WITH o AS (SELECT o_orderkey, nullif(o_orderstatus, 'P') AS status,
   CASE WHEN o_orderkey % 10 = 0 THEN '  ' ELSE o_orderpriority END AS priority,

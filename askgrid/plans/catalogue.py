@@ -18,6 +18,7 @@ from askgrid.operators import documents as docs
 from askgrid.operators import relationship_graph as rg
 from askgrid.operators.bounded import cut, spread
 from askgrid.operators.candidates import summary
+from askgrid.operators.key_paths import Claim, verify_paths
 from askgrid.plans.registry import query
 from askgrid.sources.catalog import (
     Catalog, assemble, character_length, foreign_keys, full_name, shown_type)
@@ -665,3 +666,40 @@ def caption_partition(t):
     return distinct.join(paired, "caption", "left").groupBy("language").agg(
         F.count(F.lit(1)).alias("captions"), F.count("p").alias("paired"),
         F.count_if(F.col("p").isNull()).alias("queued"))
+
+
+# The claimed paths, as (child, column, parent, key) per hop.
+CLAIMED_PATHS = {
+    "order to region": [("orders", "o_custkey", "customer", "c_custkey"),
+                        ("customer", "c_nationkey", "nation", "n_nationkey"),
+                        ("nation", "n_regionkey", "region", "r_regionkey")],
+    "line to nation": [("lineitem", "l_suppkey", "supplier", "s_suppkey"),
+                       ("supplier", "s_nationkey", "nation", "n_nationkey")],
+    "line to part": [("lineitem", "l_partkey", "part", "p_partkey")],
+    "part taken for supplier": [("lineitem", "l_partkey", "supplier", "s_suppkey")],
+    "label to document": [("labels", "doc_id", "documents", "doc_id")],
+    "order taken for line": [("orders", "o_orderkey", "lineitem", "l_orderkey")],
+}
+
+_HOP_SQL = """(SELECT '{path}' AS path, {hop} AS hop, '{child}({column}) -> {parent}({key})' AS claim, count(*) AS rows,
+ count(*) FILTER ({column} IS NULL) AS null_rows,
+ count(*) FILTER ({column} IS NOT NULL AND {column} NOT IN (SELECT {key} FROM {parent} WHERE {key} IS NOT NULL)) AS orphan_rows,
+ count(DISTINCT {column}) FILTER ({column} NOT IN (SELECT {key} FROM {parent} WHERE {key} IS NOT NULL)) AS orphan_keys,
+ count(DISTINCT {column}) FILTER ({column} IN (SELECT {key} FROM {parent} GROUP BY {key} HAVING count(*) > 1)) AS ambiguous_keys
+ FROM {child})"""
+_HOPS_SQL = " UNION ALL ".join(
+    _HOP_SQL.format(path=path, hop=number, child=child, column=column, parent=parent, key=key)
+    for path, hops in CLAIMED_PATHS.items() for number, (child, column, parent, key) in enumerate(hops, 1))
+
+
+@query("key_path_verification", f"""
+WITH hops AS ({_HOPS_SQL}),
+judged AS (SELECT *, CASE WHEN orphan_rows > 0 THEN 'orphans' WHEN ambiguous_keys > 0 THEN 'ambiguous'
+                     ELSE 'holds' END AS verdict FROM hops)
+SELECT *, bool_and(verdict = 'holds') OVER (PARTITION BY path) AS path_holds FROM judged""")
+def key_path_verification(t):
+    """Every hop of the claimed key paths against the rows: orphans, ambiguous parents, whole paths."""
+    paths = {path: [Claim(child, (column,), parent, (key,)) for child, column, parent, key in hops]
+             for path, hops in CLAIMED_PATHS.items()}
+    names = {name for claims in paths.values() for claim in claims for name in (claim.child, claim.parent)}
+    return verify_paths({name: getattr(t, name) for name in names}, paths)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from askgrid.operators import compare
 from askgrid.operators.execute import column_profile, guarded_frame
+from askgrid.operators.guard import collated
 from askgrid.operators.journal import chained, verify_chain
 from askgrid.plans.registry import query
 from askgrid.sources.tables import TABLE_NAMES
@@ -127,6 +128,33 @@ FROM [orders] GROUP BY o_orderpriority ORDER BY o_orderpriority
 OFFSET 1 ROWS FETCH NEXT 3 ROWS ONLY""")
 
 
+@query("guarded_collation", """
+WITH spelled AS (
+  SELECT o_custkey, o_totalprice, CASE o_orderkey % 3 WHEN 0 THEN lower(o_orderpriority)
+         WHEN 1 THEN o_orderpriority || '  ' ELSE o_orderpriority END AS priority FROM orders),
+urgent AS (SELECT DISTINCT upper(o_orderpriority) AS priority FROM orders WHERE o_totalprice > 100000)
+SELECT lower(rtrim(s.priority)) AS priority, count(*) AS n, max(o_totalprice) AS top_price,
+       count(DISTINCT lower(rtrim(s.priority))) AS spellings
+FROM spelled s JOIN urgent u ON lower(rtrim(u.priority)) = lower(rtrim(s.priority))
+WHERE lower(rtrim(s.priority)) <> '5-low' GROUP BY lower(rtrim(s.priority))""")
+def guarded_collation(t):
+    """Grouping, joining and comparing texts that differ in case and trailing blanks, as a server collates them."""
+    priority = F.col("o_orderpriority")
+    spelled = t.orders.select(
+        "o_custkey", "o_totalprice",
+        F.when(F.col("o_orderkey") % 3 == 0, F.lower(priority))
+        .when(F.col("o_orderkey") % 3 == 1, F.concat(priority, F.lit("  "))).otherwise(priority).alias("priority"))
+    urgent = t.orders.where("o_totalprice > 100000").select(F.upper(priority).alias("priority")).distinct()
+    collated(spelled).createOrReplaceTempView("spelled")
+    collated(urgent).createOrReplaceTempView("urgent")
+    found = guarded_frame(t.spark, """
+SELECT LOWER(RTRIM(MIN(s.priority))) AS priority, COUNT_BIG(*) AS n, MAX(s.o_totalprice) AS top_price,
+       COUNT_BIG(DISTINCT s.priority) AS spellings
+FROM [spelled] AS s INNER JOIN [urgent] AS u ON u.priority = s.priority
+WHERE s.priority <> N'5-low ' GROUP BY s.priority""", ["spelled", "urgent"])
+    return found.withColumn("priority", F.collate("priority", "UTF8_BINARY"))
+
+
 @query("sample_profile", """
 WITH o AS (SELECT o_orderkey, nullif(o_orderstatus, 'P') AS status,
   CASE WHEN o_orderkey % 10 = 0 THEN '  ' ELSE o_orderpriority END AS priority,

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CACHED_WORDS = 600_000
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 5 << 20
 # A letter that may compose with a mark; of some (H, T, W, Y, J) only the small form does.
 MARKED = r"[A-Z]\p{M}"
 PROBE = "Ab, c1\t'sx  \nÉ.d  ḗ q"

@@ -60,24 +60,38 @@ def add_fingerprint(rows: DataFrame, text: str, name: str) -> DataFrame:
             .drop(first, branches))
 
 
-def leaf_list(fingerprint: Column) -> Column:
-    """All leaves of a fingerprint, upper-case hex; digests are lower-case."""
-    return F.regexp_extract_all(F.regexp_replace(
-        F.substring(fingerprint, 65, 1 << 30), "/[0-9a-f]{16}:", "/"), F.lit("[0-9A-F]{8}"), F.lit(0))
+def branches_of(fingerprint: Column) -> Column:
+    """The branches below the root: the leaves of the head, then ``digest:leaves`` of every section."""
+    return F.split(F.substring(fingerprint, 66, 1 << 30), "/", -1)
 
 
-def likeness(one: Column, two: Column, one_leaves: Column, two_leaves: Column) -> Column:
-    """1 for equal roots, else the share of distinct leaves that both have (Dice)."""
-    shared = F.size(F.array_intersect(one_leaves, two_leaves))
-    total = F.size(F.array_distinct(one_leaves)) + F.size(F.array_distinct(two_leaves))
+def leaf_list(branches: Column) -> Column:
+    """All leaves of branches, upper-case hex; digests are lower-case."""
+    return F.regexp_extract_all(F.array_join(F.transform(
+        branches, lambda branch: F.substring_index(branch, ":", -1)), ""), F.lit("[0-9A-F]{8}"), F.lit(0))
+
+
+def likeness(one: Column, two: Column) -> Column:
+    """Dice share of leaves of two fingerprints, found from the root down.
+
+    Equal roots give 1 and end the comparison. A branch that the other tree has
+    too, at any place, is settled: all its leaves are common, none is looked at.
+    Only leaves below branches that one tree alone has are compared, as sets.
+    Repeated branches count once; trees without leaves have likeness 0.
+    """
+    first, second = branches_of(one), branches_of(two)
+    settled = F.aggregate(F.array_intersect(first, second), F.lit(0), lambda total, branch: total + (
+        F.length(F.substring_index(branch, ":", -1)) / 8).cast("int"))
+    mine, other = (F.array_distinct(leaf_list(F.array_except(*pair))) for pair in ((first, second), (second, first)))
+    shared = settled + F.size(F.array_intersect(mine, other))
+    total = 2 * settled + F.size(mine) + F.size(other)
     return (F.when(F.substring(one, 1, 64) == F.substring(two, 1, 64), F.lit(1.0))
             .when(total == 0, F.lit(0.0)).otherwise(2.0 * shared / total))
 
 
 def changed_branches(one: Column, two: Column) -> Column:
     """Positions of the branches that differ: 0 is the head, then the sections; none for equal roots."""
-    first, second = (F.split(F.substring(item, 66, 1 << 30), "/", -1) for item in (one, two))
-    same = F.zip_with(first, second, lambda a, b: a.eqNullSafe(b))
+    same = F.zip_with(branches_of(one), branches_of(two), lambda a, b: a.eqNullSafe(b))
     return F.when(F.substring(one, 1, 64) == F.substring(two, 1, 64), F.array().cast("array<int>")).otherwise(
         F.filter(F.transform(same, lambda equal, at: F.when(~equal, at.cast("int"))),
                  lambda at: at.isNotNull()))
@@ -89,7 +103,8 @@ def with_next_text(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFra
     Ids are laid on a grid of equal steps, sixteen for each bucket that the
     bytes call for and at most ``MAX_CELLS``; neighbouring steps join to buckets of about ``bucket_bytes``, and the first row of a bucket is
     also sent to the bucket before it. So the order needs one shuffle of the
-    texts, no task holds more than a bucket, and the window spills. Nulls (as
+    texts, and the window spills; a bucket holds more than its bytes only where
+    one step does (a much repeated id, null ids, ids far from all others). Nulls (as
     ids last, as texts empty) and repeated ids (ordered by a hash of the text)
     are rows of their own; a single row follows itself.
     """
@@ -129,7 +144,9 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
 
     Edited: the last third (floor) of the code points replaced by the first as
     many, or all, of the next document's. Returns (doc_id, n_chars, edited,
-    fingerprint, edited_fingerprint, near_edited, near_next).
+    fingerprint, edited_fingerprint, near_edited, near_next, changed_branches);
+    the last one lists the branches that the edit changed. Null texts count as
+    empty, repeated rows stay rows of their own, other columns are not read.
     """
     rows = (with_next_text(docs).withColumn("n_chars", F.length("text"))
             .withColumn("cut", F.floor(F.col("n_chars") / 3).cast("int"))
@@ -138,12 +155,8 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
                 F.substr("next_text", F.lit(1), F.col("cut")))))
     for text, name in (("text", "fingerprint"), ("edited", "edited_fingerprint"), ("next_text", "next")):
         rows = add_fingerprint(rows, text, name)
-    rows = rows.drop("text", "next_text").withColumns({
-        f"{name}_leaves": leaf_list(F.col(name)) for name in ("fingerprint", "edited_fingerprint", "next")})
-
-    def near(other):
-        return likeness(F.col("fingerprint"), F.col(other), F.col("fingerprint_leaves"), F.col(f"{other}_leaves"))
-
+    kept = F.col("fingerprint")
     return rows.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited", "fingerprint",
-                       "edited_fingerprint", near("edited_fingerprint").alias("near_edited"),
-                       near("next").alias("near_next"))
+                       "edited_fingerprint", likeness(kept, F.col("edited_fingerprint")).alias("near_edited"),
+                       likeness(kept, F.col("next")).alias("near_next"),
+                       changed_branches(kept, F.col("edited_fingerprint")).alias("changed_branches"))

@@ -65,10 +65,10 @@ def op6_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every text and of its edited form, and their likeness."""
+    """Fingerprints of every text and of its edited form, their likeness and the changed branches."""
     return merkle.fingerprint_edits(Tables(spark, sf_dir).documents).select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
-        "edited_fingerprint", "near_edited", "near_next")
+        "edited_fingerprint", "near_edited", "near_next", "changed_branches")
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@
 Categories are predicted one after the other. Each has a logistic model over
 the presence of vocabulary terms and the probabilities of all earlier
 categories. In training those probabilities are out-of-fold predictions, so a
-later model sees them as uncertain as they will be on new text.
+later model sees them as uncertain as they will be on new text: the models that
+predict a fold use terms, and categories derived from terms, which were chosen
+without the rows of that fold.
 
 Terms are words and word beginnings of four to six characters, which catch
 inflected and compounded forms. The vocabulary are all terms whose presence
@@ -66,29 +68,56 @@ def sigmoid(margin: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
-def fit_logistic(presence: np.ndarray, dense: np.ndarray, y: np.ndarray, ridge: float = 0.5,
+@dataclass
+class Presence:
+    """A rows-by-terms matrix of shares from 0 to 1, mostly 0, by its other entries."""
+
+    rows: np.ndarray
+    columns: np.ndarray
+    shares: np.ndarray
+    shape: tuple[int, int]
+
+    @classmethod
+    def of(cls, matrix: np.ndarray) -> Presence:
+        at = np.nonzero(matrix)
+        return cls(*at, matrix[at].astype(float), matrix.shape)
+
+    def only(self, mask: np.ndarray) -> Presence:
+        """The rows of ``mask``, numbered anew."""
+        kept, number = mask[self.rows], np.cumsum(mask) - 1
+        return Presence(number[self.rows[kept]], self.columns[kept], self.shares[kept],
+                        (int(mask.sum()), self.shape[1]))
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, self.shares * v[self.columns], self.shape[0])
+
+    def back(self, v: np.ndarray, power: int = 1) -> np.ndarray:
+        return np.bincount(self.columns, self.shares ** power * v[self.rows], self.shape[1])
+
+
+def fit_logistic(presence: Presence, dense: np.ndarray, y: np.ndarray, ridge: float = 0.5,
                  rounds: int = 12) -> np.ndarray:
     """Weights (the last one is the intercept) by penalised Newton steps.
 
-    ``presence`` is 0/1 and mostly 0, ``dense`` has the few other inputs. The
-    steps are solved by conjugate gradients, which only visit the ones.
+    ``dense`` has the few other inputs. The steps are solved by conjugate
+    gradients, which only visit the entries of ``presence``.
     """
-    (n, terms), (rows, columns) = presence.shape, np.nonzero(presence)
+    n, terms = presence.shape
     dense = np.c_[dense, np.ones(n)]
     penalty = np.full(terms + dense.shape[1], ridge)
     penalty[-1] = 1e-3
     weights = np.zeros(len(penalty))
 
     def times(v):
-        return np.bincount(rows, v[columns], n) + dense @ v[terms:]
+        return presence.times(v[:terms]) + dense @ v[terms:]
 
     def back(v):
-        return np.r_[np.bincount(columns, v[rows], terms), v @ dense]
+        return np.r_[presence.back(v), v @ dense]
 
     for _ in range(rounds):
         p = sigmoid(times(weights))
         spread = np.maximum(p * (1 - p), 1e-6)
-        scale = np.r_[np.bincount(columns, spread[rows], terms), spread @ dense ** 2] + penalty
+        scale = np.r_[presence.back(spread, 2), spread @ dense ** 2] + penalty
         left = back(y - p) - penalty * weights
         move, along = np.zeros(len(weights)), left / scale
         size = left @ along
@@ -126,19 +155,25 @@ class Chain:
         return out
 
 
-def fit_chain(presence: np.ndarray, targets: np.ndarray, folds: np.ndarray, terms: list[str],
-              categories: tuple[str, ...] = CATEGORIES) -> Chain:
-    """Fit the chain; ``targets`` has one 0/1 column per category, ``folds`` a fold per row."""
-    models, earlier, width = [], np.zeros((len(presence), 0)), len(terms)
+def fit_chain(presence: Presence | np.ndarray, targets: np.ndarray, folds: np.ndarray, terms: list[str],
+              categories: tuple[str, ...] = CATEGORIES,
+              of_fold: dict[int, tuple[Presence, np.ndarray]] | None = None) -> Chain:
+    """Fit the chain; ``targets`` has one 0/1 column per category, ``folds`` a fold per row.
+
+    ``of_fold`` gives inputs and targets of all rows as they are known without
+    a fold; for folds that it leaves out they are those of the whole.
+    """
+    presence = Presence.of(presence) if isinstance(presence, np.ndarray) else presence
+    models, earlier = [], np.zeros((len(targets), 0))
     for k in range(len(categories)):
-        y = targets[:, k].astype(float)
-        out_of_fold = np.zeros(len(y))
+        out_of_fold = np.zeros(len(targets))
         for fold in np.unique(folds):
-            inside = folds == fold
-            weights = fit_logistic(presence[~inside], earlier[~inside], y[~inside])
-            out_of_fold[inside] = sigmoid(presence[inside] @ weights[:width]
+            known, wanted = (of_fold or {}).get(int(fold), (presence, targets))
+            inside, width = folds == fold, known.shape[1]
+            weights = fit_logistic(known.only(~inside), earlier[~inside], wanted[~inside, k].astype(float))
+            out_of_fold[inside] = sigmoid(known.only(inside).times(weights[:width])
                                           + earlier[inside] @ weights[width:-1] + weights[-1])
-        models.append(fit_logistic(presence, earlier, y))
+        models.append(fit_logistic(presence, earlier, targets[:, k].astype(float)))
         earlier = np.c_[earlier, out_of_fold]
     return Chain(tuple(categories), {term: i for i, term in enumerate(terms)}, models)
 
@@ -170,38 +205,53 @@ def choose_terms(rows: DataFrame, least: float = LEAST_Z) -> list[tuple[list[str
     return [(terms, t >= STRONG * (t + o)) for (_, t, o, _, _), terms in groups.items()]
 
 
+def inputs_of(words: list[list[str]], label: np.ndarray,
+              groups: list[tuple[list[str], bool]]) -> tuple[Presence, np.ndarray]:
+    """Share of each group's terms in each row, and the categories that follow from label and terms."""
+    group = {term: k for k, (terms, _) in enumerate(groups) for term in terms}
+    sizes = np.array([len(terms) for terms, _ in groups], int)
+    strong = np.array([is_strong for _, is_strong in groups], bool)
+    found = [(i, group[word]) for i, row in enumerate(words) for word in row if word in group]
+    rows, columns = np.array(found, int).reshape(len(found), 2).T
+    cells, counts = np.unique(rows * max(len(groups), 1) + columns, return_counts=True)
+    lines, places = np.divmod(cells, max(len(groups), 1))
+    hits = np.bincount(rows, strong[columns], len(words)) if groups else np.zeros(len(words))
+    return (Presence(lines, places, counts / sizes[places], (len(words), len(groups))),
+            np.c_[label * (hits >= 1), label * (hits >= ABUSE_TERMS), label])
+
+
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Chain:
     """Fit on the bounded sample of labelled rows; without any, every probability is one half.
 
-    The driver receives the vocabulary terms of at most ``limit`` rows.
+    The driver receives the vocabulary terms of at most ``limit`` rows. Null
+    texts count as empty, repeated rows count as often as they occur.
     """
     rows = materialise(training_rows(docs, labels, "toxic", limit).select(
         "doc_id", "label", terms_column(F.col("text")).alias("terms")), "toxic-training")
-    scored = choose_terms(rows)
-    groups = [terms for terms, _ in scored]
-    sizes = np.array([len(terms) for terms in groups], int)
-    strong = np.array([is_strong for _, is_strong in scored], bool)
-    # All terms of a group stand in the same rows, so the first one tells.
-    firsts = [terms[0] for terms in groups]
+    groups = choose_terms(rows)
+    without = {fold: choose_terms(rows.where(F.pmod("doc_id", F.lit(FOLDS)) != fold)) for fold in range(FOLDS)}
+    wanted = sorted({term for chosen in (groups, *without.values()) for terms, _ in chosen for term in terms})
     data = rows.select("doc_id", "label", F.array_intersect(
-        "terms", F.from_json(F.lit(json.dumps(firsts)), "array<string>")).alias("words")
+        "terms", F.from_json(F.lit(json.dumps(wanted)), "array<string>")).alias("words")
         ).orderBy("doc_id", "label", "words").limit(limit).collect()
-    place = {term: i for i, term in enumerate(firsts)}
-    presence = np.zeros((len(data), len(firsts)), bool)
-    for line, row in zip(presence, data):
-        line[[place[word] for word in row["words"]]] = True
+    words = [row["words"] for row in data]
     label = np.array([row["label"] for row in data], int).reshape(len(data))
-    hits = presence[:, strong] @ sizes[strong]
-    targets = np.c_[label * (hits >= 1), label * (hits >= ABUSE_TERMS), label]
     folds = np.array([row["doc_id"] % FOLDS for row in data], int).reshape(len(data))
-    fitted = fit_chain(presence, targets, folds, firsts)
-    return Chain(fitted.categories, {term: i for i, term in enumerate(term for terms in groups for term in terms)},
-                 [np.r_[np.repeat(weights[:len(firsts)] / sizes, sizes), weights[len(firsts):]]
+    fitted = fit_chain(*inputs_of(words, label, groups), folds, [terms[0] for terms, _ in groups],
+                       of_fold={fold: inputs_of(words, label, chosen) for fold, chosen in without.items()})
+    sizes = np.array([len(terms) for terms, _ in groups], int)
+    return Chain(fitted.categories, {term: i for i, term in enumerate(term for terms, _ in groups for term in terms)},
+                 [np.r_[np.repeat(weights[:len(groups)] / sizes, sizes), weights[len(groups):]]
                   for weights in fitted.weights])
 
 
 def with_toxicity(docs: DataFrame, chain: Chain, prefix: str = "p_") -> DataFrame:
-    """``docs`` with one probability per category; null texts count as empty."""
+    """``docs`` with one probability per category.
+
+    Null texts count as empty, texts are read whole, repeated rows each get
+    their probabilities and an empty table gives none. Columns of the same
+    names are replaced, all others stay.
+    """
     model = docs.sparkSession.sparkContext.broadcast(chain)  # terms of the training rows and a few vectors
     names = [f"{prefix}{name}" for name in chain.categories]
     (struct,) = fresh(["chain"], docs.columns, names)
@@ -218,7 +268,11 @@ def with_toxicity(docs: DataFrame, chain: Chain, prefix: str = "p_") -> DataFram
 
 
 def drop_toxic(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
-    """``docs`` whose last category is less likely than ``threshold``; all columns stay."""
+    """``docs`` whose last category is less likely than ``threshold``; all columns stay.
+
+    Rows are judged one by one: repeated rows go or stay together, null and
+    empty texts get the chance of a text without any term.
+    """
     prefix = "p_"
     while any(name.startswith(prefix) for name in docs.columns):
         prefix = f"_{prefix}"

@@ -92,6 +92,25 @@ def test_chain_passes_earlier_probabilities_on():
     assert found[0].min() > 0.6 and found[1:].max() < 0.4
 
 
+def test_a_fold_is_predicted_without_its_own_terms(spark):
+    """A term that only one fold knows tells later models nothing."""
+    words = [[f"w{i % 10}"] + ["own"] * (i % 2) for i in range(400)]
+    label, folds = np.arange(400) % 2, np.arange(400) % 10 // 2
+    with_own = toxicity.inputs_of(words, label, [(["own"], True), (["w1"], False)])
+    without = toxicity.inputs_of(words, label, [(["w1"], False)])
+    assert with_own[0].shape == (400, 2) and with_own[1].sum(0).tolist() == [200, 0, 200]
+    leaking = toxicity.fit_chain(*with_own, folds, ["own", "w1"])
+    clean = toxicity.fit_chain(*with_own, folds, ["own", "w1"], of_fold={k: without for k in range(5)})
+    assert abs(leaking.weights[2][2]) > abs(clean.weights[2][2]) + 0.1
+
+
+def test_inputs_are_shares_of_a_group():
+    presence, targets = toxicity.inputs_of([["a", "b"], ["b"], [], ["z"]], np.array([1, 1, 0, 0]), [(["a", "b"], True)])
+    assert (presence.rows.tolist(), presence.shares.tolist(), presence.shape) == ([0, 1], [1.0, 0.5], (4, 1))
+    assert targets.tolist() == [[1, 0, 1], [1, 0, 1], [0, 0, 0], [0, 0, 0]]
+    assert toxicity.inputs_of([["a"]], np.array([1]), [])[0].shape == (1, 0)
+
+
 def test_odd_rows_and_columns(spark, trained):
     docs = documents(spark)
     scored = quality.with_quality(docs, trained[0]).collect()

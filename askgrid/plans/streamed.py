@@ -8,10 +8,21 @@ from pyspark.sql import functions as F
 
 from askgrid.plans.registry import query
 from askgrid.session import ensure_checkpoint_dir
-from askgrid.streaming.log_stream import hourly_counts, write_available
+from askgrid.streaming.log_stream import after_sessions, hourly_counts, sessions, write_available
 
 
 DELAY_MINUTES = 10
+GAP = "30 minutes"
+
+
+def _closed(t, windows):
+    """What the watermark has closed of windows over the log, read once as a stream."""
+    folder = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/log-stream-{uuid.uuid4().hex}"
+    # A glob serves both a single parquet file and a folder of part files.
+    source = (t.spark.readStream.schema(t.events.schema).parquet(f"{t.directory}/event[s].parquet")
+              .withColumn("at", F.col("ts").cast("timestamp")))
+    write_available(windows(source), f"{folder}/out", f"{folder}/checkpoint")
+    return t.spark.read.parquet(f"{folder}/out").withColumn("is_open", F.lit(False))
 
 
 @query("log_stream_rollup", """
@@ -25,13 +36,7 @@ def log_stream_rollup(t):
     The stream gives the windows its watermark has closed; the windows after
     it, which later records may still change, are rolled up once and marked.
     """
-    folder = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/log-stream-{uuid.uuid4().hex}"
-    # A glob serves both a single parquet file and a folder of part files.
-    source = (t.spark.readStream.schema(t.events.schema).parquet(f"{t.directory}/event[s].parquet")
-              .withColumn("at", F.col("ts").cast("timestamp")))
-    write_available(hourly_counts(source, "at", "event_type", "value", f"{DELAY_MINUTES} minutes"),
-                    f"{folder}/out", f"{folder}/checkpoint")
-    closed = t.spark.read.parquet(f"{folder}/out").withColumn("is_open", F.lit(False))
+    closed = _closed(t, lambda source: hourly_counts(source, "at", "event_type", "value", f"{DELAY_MINUTES} minutes"))
     records = t.events.withColumn("at", F.col("ts").cast("timestamp"))
     watermark = records.agg(F.max("at") - F.make_dt_interval(mins=F.lit(DELAY_MINUTES)))
     end = F.date_trunc("hour", F.col("at")) + F.make_dt_interval(hours=F.lit(1))
@@ -39,3 +44,31 @@ def log_stream_rollup(t):
     return closed.unionByName(later.withColumn("is_open", F.lit(True))).select(
         F.date_format("hour_start", "yyyy-MM-dd HH:mm:ss").alias("hour_start"), "event_type",
         "records", "largest", "is_open")
+
+
+@query("log_stream_sessions", """
+WITH marked AS (
+  SELECT user_id, ts, value, lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 30 MINUTE AS starts
+  FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+numbered AS (
+  SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (
+    PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM marked)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start,
+       strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS session_end,
+       count(*) AS records, max(value) AS largest,
+       max(ts) + INTERVAL 30 MINUTE
+         > (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 10 MINUTE AS is_open
+FROM numbered GROUP BY user_id, island""")
+def log_stream_sessions(t):
+    """Sessions of every user in the log, read as a stream.
+
+    A session ends thirty minutes after its last record. The stream gives the
+    sessions its watermark has closed; records after a user's last closed
+    session form those that later records may still extend, and are marked.
+    """
+    closed = _closed(t, lambda source: sessions(source, "at", "user_id", "value", GAP, f"{DELAY_MINUTES} minutes"))
+    records = t.events.withColumn("at", F.col("ts").cast("timestamp"))
+    growing = sessions(after_sessions(records, closed, "at", "user_id"), "at", "user_id", "value", GAP, None)
+    return closed.unionByName(growing.withColumn("is_open", F.lit(True))).select(
+        "user_id", *[F.date_format(name, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(name)
+                     for name in ("session_start", "session_end")], "records", "largest", "is_open")

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -48,26 +50,42 @@ def _cut_record(record: str, room: int, starts) -> list[str]:
 
 
 def _pack(header: str, records, budget: int, starts):
-    """Yield (first_record, last_record, part, parts, text)."""
+    """Yield (first_record, last_record, part, parts, text).
+
+    Every record is counted once; the sums guess where a chunk ends, and the
+    assembled text moves that end by the few records its joints are worth.
+    """
     def joined(parts):
         return "\n\n".join([header, *parts])
 
-    held: list[str] = []
+    def size(parts):
+        return len(starts(joined(parts)))
+
+    def fits(end):
+        return size(records[first:end]) <= budget
+
+    upto = [0, *accumulate(len(starts(record)) for record in records)]
+    room = budget - size([])
     first = 0
-    for place, record in enumerate(records):
-        if held and len(starts(joined([*held, record]))) > budget:
-            yield first, place - 1, 1, 1, joined(held)
-            held = []
-        if len(starts(joined([*held, record]))) <= budget:
-            first = first if held else place
-            held.append(record)
+    while first < len(records):
+        end = max(first, bisect_right(upto, upto[first] + room) - 1)
+        if fits(end):
+            while end < len(records) and fits(end + 1):
+                end += 1
+        else:
+            while end > first and not fits(end):
+                end -= 1
+        if end > first:
+            yield first, end - 1, 1, 1, joined(records[first:end])
+            first = end
             continue
-        lead = f"Continuation: {place}\n"
-        pieces = _cut_record(record, budget - len(starts(joined([lead]))), starts)
+        lead = f"Continuation: {first}\n"
+        pieces = _cut_record(records[first], budget - size([lead]), starts)
         for part, piece in enumerate(pieces, start=1):
-            yield place, place, part, len(pieces), joined([lead + piece])
-    if held or not len(records):
-        yield first, len(records) - 1, 1, 1, joined(held)
+            yield first, first, part, len(pieces), joined([lead + piece])
+        first += 1
+    if not len(records):
+        yield 0, -1, 1, 1, joined([])
 
 
 CHUNK_SCHEMA = ("id string, chunk_no int, first_record int, last_record int, part int, parts int, "
@@ -95,9 +113,37 @@ def pack_chunks(rows: DataFrame, budget: int = fixed.CHUNK_CONTENT_BUDGET,
         run, CHUNK_SCHEMA)
 
 
+def altered_texts(rows: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(id, problem): chunks that are not their records under their header.
+
+    The pieces of a split record must give that record again, so a lost or
+    altered piece shows too; such a record is listed once.
+    """
+    given = rows.select(F.col("id").cast("string").alias("id"), "header",
+                        F.coalesce("records", F.array().cast("array<string>")).alias("records"))
+    lead = F.format_string("Continuation: %d\n", "first_record")
+    held = F.slice("records", F.col("first_record") + 1,
+                   F.greatest(F.col("last_record") - F.col("first_record") + 1, F.lit(0)))
+    below = F.concat("header", F.lit("\n\n"))
+
+    def differ(made, expected):
+        return ~F.sha2(made, 256).eqNullSafe(F.sha2(expected, 256))
+
+    whole = chunks.where("parts = 1").join(given, "id").where(
+        differ(F.col("text"), F.array_join(F.concat(F.array("header"), held), "\n\n"))
+        & differ(F.col("text"), F.concat(below, lead, F.coalesce(F.get(held, F.lit(0)), F.lit("")))))
+    pieces = (chunks.where("parts > 1").groupBy("id", "first_record")
+              .agg(F.array_sort(F.collect_list(F.struct("part", "text"))).alias("pieces")).join(given, "id"))
+    skipped = F.length(F.concat(below, lead)) + 1
+    again = F.array_join(F.transform("pieces", lambda piece: F.substr(piece["text"], skipped)), "")
+    split = pieces.where(differ(again, F.get("records", F.col("first_record"))))
+    return whole.select("id", F.lit("text differs").alias("problem")).unionByName(
+        split.select("id", F.lit("text differs").alias("problem")))
+
+
 def chunk_violations(rows: DataFrame, chunks: DataFrame,
                      budget: int = fixed.CHUNK_CONTENT_BUDGET) -> DataFrame:
-    """(id, problem): records no chunk represents, and chunks over the budget."""
+    """(id, problem): records no chunk represents, chunks over the budget, texts that are not their records."""
     wanted = rows.select(F.col("id").cast("string").alias("id"),
                          F.posexplode("records").alias("record", "_text")).drop("_text")
     held = chunks.where("last_record >= first_record").select(
@@ -106,7 +152,7 @@ def chunk_violations(rows: DataFrame, chunks: DataFrame,
         "id", F.lit("record not represented").alias("problem"))
     over = chunks.where(F.col("token_count") > budget).select(
         "id", F.lit("budget exceeded").alias("problem"))
-    return missing.unionByName(over)
+    return missing.unionByName(over).unionByName(altered_texts(rows, chunks))
 
 
 def fitting(items: Column, prefix_tokens: int, budget: int) -> Column:

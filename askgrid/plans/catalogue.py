@@ -455,19 +455,29 @@ UNION ALL SELECT 'all chunks', 'record not represented', count(*) FROM (
 UNION ALL SELECT 'without second chunks', 'budget exceeded', count(*) FILTER (n > 200) FROM c WHERE chunk_no <> 2
 UNION ALL SELECT 'without second chunks', 'record not represented', count(*) FROM (
   SELECT DISTINCT doc_id, place FROM walk WHERE chunk_no = 2
-  EXCEPT SELECT doc_id, place FROM walk WHERE chunk_no <> 2)""")
+  EXCEPT SELECT doc_id, place FROM walk WHERE chunk_no <> 2)
+UNION ALL SELECT 'without second chunks', 'text differs', count(DISTINCT doc_id) FROM walk WHERE alone AND chunk_no = 2
+UNION ALL SELECT 'all chunks', 'text differs', 0::BIGINT
+UNION ALL SELECT 'third chunks altered', 'budget exceeded', count(*) FILTER (n > 240) FROM c
+UNION ALL SELECT 'third chunks altered', 'record not represented', 0::BIGINT
+UNION ALL SELECT 'third chunks altered', 'text differs', count(DISTINCT doc_id) FROM walk WHERE chunk_no = 3""")
 def chunk_validation(t):
-    """Records no chunk represents and chunks over the budget; once with chunks lost and a lower budget."""
+    """Records no chunk represents, chunks over the budget, texts that are not their records.
+
+    Once as packed, once with chunks lost and a lower budget, once with altered texts.
+    """
     records = document_records(t)
     packed = cut(ch.pack_chunks(records))
     cases = {"all chunks": ch.chunk_violations(records, packed),
-             "without second chunks": ch.chunk_violations(records, packed.where("chunk_no <> 2"), 200)}
-    problems = ("budget exceeded", "record not represented")
+             "without second chunks": ch.chunk_violations(records, packed.where("chunk_no <> 2"), 200),
+             "third chunks altered": ch.chunk_violations(records, packed.withColumn("text", F.when(
+                 F.col("chunk_no") == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text"))))}
+    problems = ("budget exceeded", "record not represented", "text differs")
     parts = [found.agg(*[F.count_if(F.col("problem") == name).alias(name) for name in problems])
              .select(F.lit(case).alias("chunk_set"), F.inline(F.array(*[
                  F.struct(F.lit(name).alias("problem"), F.col(name).alias("violations")) for name in problems])))
              for case, found in cases.items()]
-    return parts[0].unionByName(parts[1])
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("chunk_lengths", CHUNK_SQL + """

@@ -1,4 +1,5 @@
 import json
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -145,3 +146,53 @@ def test_query_log(spark, tmp_path):
     assert stream.isStreaming
     done = spark.createDataFrame([(1,)], "id bigint")
     assert unscored(spark.range(3), done, ["id"]).count() == 2
+
+
+def greedy(header, records, budget, starts):
+    """The chunks' record ranges by counting the assembled text for every record."""
+    def fits(first, end):
+        return len(starts("\n\n".join([header, *records[first:end]]))) <= budget
+
+    out, first = [], 0
+    while first < len(records):
+        end = first
+        while end < len(records) and fits(first, end + 1):
+            end += 1
+        out.append((first, max(end - 1, first)))
+        first = max(end, first + 1)
+    return out
+
+
+def test_packing_equals_counting_everything():
+    rng = random.Random(3)
+    # Joints that cost tokens, joints that are free, joints that save one.
+    counters = [chunks.word_starts, lambda text: [m.start() for m in re.finditer(r"\n|\S+", text)],
+                lambda text: [m.start() for m in re.finditer(r"\w{1,3}|[^\w]+", text)],
+                lambda text: list(range(len(text)))]
+    for starts in counters:
+        for _ in range(60):
+            records = ["".join(rng.choice(["ab ", "x", "", "\n", " ", "longer "]) for _ in range(rng.randrange(9)))
+                       for _ in range(rng.randrange(30))]
+            budget = rng.choice([40, 60, 90])
+            found = list(chunks._pack("h: 1", records, budget, starts))
+            ranges = list(dict.fromkeys((first, last) for first, last, *_ in found if last >= first))
+            assert ranges == greedy("h: 1", records, budget, starts)
+            assert all(len(starts(text)) <= budget for *_, text in found)
+
+
+def test_altered_and_lost_texts_are_found(spark):
+    rows = spark.createDataFrame(
+        [("a", "h", ["one two", "three"] * 9), ("b", "h", ["w " * 60, "", "end"]), ("c", "h", []), ("d", "h", None)],
+        "id string, header string, records array<string>")
+    packed = chunks.pack_chunks(rows, 12).cache()
+
+    def problems(frame):
+        return sorted((r.id, r.problem) for r in chunks.chunk_violations(rows, frame, 12).collect())
+
+    assert problems(packed) == []
+    changed = F.when((F.col("id") == "a") & (F.col("chunk_no") == 1), F.upper("text"))
+    assert problems(packed.withColumn("text", F.coalesce(changed, "text"))) == [("a", "text differs")]
+    assert problems(packed.where("NOT (id = 'b' AND part = 3)")) == [("b", "text differs")]
+    emptied = packed.withColumn("text", F.when(F.col("id") == "c", "").otherwise(F.col("text")))
+    assert problems(emptied) == [("c", "text differs")]
+    packed.unpersist()

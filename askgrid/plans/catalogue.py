@@ -22,6 +22,8 @@ from askgrid.operators.key_paths import Claim, verify_paths
 from askgrid.plans.registry import query
 from askgrid.sources.catalog import (
     Catalog, assemble, character_length, foreign_keys, full_name, shown_type)
+from askgrid.sources.parquet_catalogue import read_files, table_columns
+from askgrid.sources.tables import TABLE_NAMES
 
 PREFIXES = ["nation_1", "NATION_2"]
 
@@ -713,3 +715,20 @@ def key_path_verification(t):
              for path, hops in CLAIMED_PATHS.items()}
     names = {name for claims in paths.values() for claim in claims for name in (claim.child, claim.parent)}
     return verify_paths({name: getattr(t, name) for name in names}, paths)
+
+
+@query("parquet_catalogue", "WITH counts AS (" + " UNION ALL ".join(
+    f"SELECT '{name}' AS name, count(*) AS row_count FROM {name}" for name in TABLE_NAMES) + """),
+columns AS (SELECT DISTINCT table_name AS name, column_name, ordinal_position, data_type
+            FROM information_schema.columns)
+SELECT name, column_name, CAST(ordinal_position AS INTEGER) AS ordinal,
+       CASE WHEN data_type LIKE '%[]' THEN 'array<' || replace(replace(lower(replace(data_type, '[]', '')),
+              'varchar', 'string'), 'integer', 'int') || '>'
+            WHEN data_type = 'VARCHAR' THEN 'string' WHEN data_type = 'INTEGER' THEN 'int'
+            WHEN data_type = 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(data_type) END AS data_type,
+       row_count
+FROM columns JOIN counts USING (name)""")
+def parquet_catalogue(t):
+    """Tables, columns, types and row counts of the given folder, from the footers of its files."""
+    return table_columns(read_files(t.spark, t.directory)).where(F.col("name").isin(*TABLE_NAMES)).select(
+        "name", "column_name", "ordinal", "data_type", "row_count")

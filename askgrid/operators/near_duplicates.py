@@ -5,32 +5,51 @@ similarity of their word sets is at least 0.85, or when it is at least 0.50
 and they share a label.
 
 Equal word sets are collapsed to one node first, so a group of copies, however
-large, becomes one node with a member list in table form. Nodes are compared
-through the rarest words of their sets (prefix filter): sets that reach a
-similarity must share one of them. A bucket of nodes sharing a word is paired
-directly while it is small. A large bucket is reduced with pivots: all nodes
-that match a pivot hang on it and need no links among each other, because
-clusters only need connectivity; the triangle inequality of the Jaccard
-distance rules out most of the rest. What still remains is paired over a grid
-of blocks. Nothing is dropped, so clusters are those of all pairs.
-
-Links for review are asked for with ``complete``: then a large bucket is paired
-over the grid of blocks as a whole, and every link comes out at any size.
+large, becomes one node with a member list in table form. Words are ordered
+from rare to frequent, and nodes are compared through their rarest words: sets
+that reach a similarity share a known number of them (prefix filter, counted).
+Rows of one label and of one class of sizes form a grid of cells of bounded
+size. A task holds one cell, counts the rare words that each two of its rows
+share, and hands on only pairs whose count still allows the similarity, so pairs
+that merely share some words never leave a task. Those left are compared on
+their whole sets. Nothing is dropped, so clusters are those of all pairs.
+
+Clusters only need connectivity: a node's candidates are then looked at in
+pages, and pairs that earlier pages have connected are left out. Links for
+review are asked for with ``complete``: then every link comes out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askgrid.functions import fixed_values as fixed
 from askgrid.functions.unicode import folded_words, normalized
-from askgrid.operators.bounded import cut
+from askgrid.operators.bounded import broadcast_if_small, cut
+from askgrid.operators.components import connected_components
 from askgrid.operators.skew import attach_by_key
 
-LARGE_BUCKET = 2_000
+# Candidates of a node in the first page; each later page is that many times longer.
+PAGE = 64
 PIVOT_ROUNDS = 3
-BLOCK_ROWS = 1_000
+
+# Rows and rare words of one block; a cell holds two blocks at most.
+BLOCK_ROWS = 20_000
+BLOCK_WORDS = 2_000_000
+
+# Words are counted in so many slots. Words of one slot count as equally frequent.
+SLOTS = 1 << 21
+
+# Partitions of cells for each core: cells differ in work more than in bytes.
+CELL_PARTITIONS = 8
+
+# Counters and shared words that a cell holds at once.
+CELL_COUNTERS = 4_000_000
 
 
 def prepared_texts(documents: DataFrame) -> DataFrame:
@@ -71,117 +90,159 @@ def _prefix_length(threshold: float) -> Column:
     return F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - 1e-9) + 1
 
 
-def _rare_words(nodes: DataFrame, threshold: float) -> DataFrame:
-    """(word, node, size, position): words of each set from rare to frequent, prefix only."""
-    exploded = nodes.select("node", F.size("words").alias("size"), F.explode("words").alias("word"))
-    frequency = exploded.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    ranked = attach_by_key(exploded, frequency, ["word"], "df")
-    w = Window.partitionBy("node").orderBy("df", "word")
-    return (ranked.withColumn("position", F.row_number().over(w))
-            .where(F.col("position") <= _prefix_length(threshold))
-            .select("word", "node", "size", "position"))
+def _ordered_words(nodes: DataFrame) -> DataFrame:
+    """(node, size, words): the words of each set from rare to frequent, in one order for all sets."""
+    slot = F.pmod(F.col("word"), F.lit(SLOTS))
+    counts = (nodes.select(F.explode("words").alias("word")).groupBy(slot.cast("int").alias("slot"))
+              .agg(F.count(F.lit(1)).alias("n")).toPandas())
+    frequency = np.zeros(SLOTS, dtype=np.int64)
+    frequency[counts["slot"].to_numpy()] = counts["n"].to_numpy()
+    shared = nodes.sparkSession.sparkContext.broadcast(frequency)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("words")
+            words = lists.flatten().to_numpy()
+            sizes = np.diff(lists.offsets.to_numpy())
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((words, shared.value[words % SLOTS], row))
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), pa.array(sizes.astype(np.int32)),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(words[order]))],
+                names=["node", "size", "words"])
+
+    return (nodes.where("node IS NOT NULL AND words IS NOT NULL").select("node", "words")
+            .mapInArrow(run, "node bigint, size int, words array<bigint>"))
 
 
 def _similarity(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Attach the exact Jaccard similarity to (left, right) pairs."""
-    left = nodes.select(F.col("node").alias("left"), F.col("words").alias("lw"))
-    right = nodes.select(F.col("node").alias("right"), F.col("words").alias("rw"))
+    """Attach the exact Jaccard similarity to (left, right) pairs; only their own sets are shuffled."""
+    ends = pairs.select(F.explode(F.array("left", "right")).alias("node")).distinct()
+    held = nodes.join(broadcast_if_small(ends), "node", "left_semi")
+    left = held.select(F.col("node").alias("left"), F.col("words").alias("lw"))
+    right = held.select(F.col("node").alias("right"), F.col("words").alias("rw"))
     shared = F.size(F.array_intersect("lw", "rw"))
     return (pairs.join(left, "left").join(right, "right")
             .withColumn("jaccard", shared / (F.size("lw") + F.size("rw") - shared))
             .drop("lw", "rw"))
 
 
-def _may_match(left_size: Column, right_size: Column, threshold: float) -> Column:
-    """Sizes that can still reach the threshold."""
-    return F.least(left_size, right_size) >= F.greatest(left_size, right_size) * threshold - 1e-9
-
-
-def _direct_pairs(bucketed: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    left = bucketed.select(*keys, F.col("node").alias("left"), F.col("size").alias("ls"))
-    right = bucketed.select(*keys, F.col("node").alias("right"), F.col("size").alias("rs"))
-    return (left.join(right, keys)
-            .where(F.col("left") < F.col("right"))
-            .where(_may_match(F.col("ls"), F.col("rs"), threshold))
-            .select("left", "right").distinct())
-
-
-def _grid_pairs(first: DataFrame, second: DataFrame, keys: list[str], counts: DataFrame,
-                threshold: float) -> DataFrame:
-    """Pairs between two parts of large buckets, over a grid of blocks of bounded size."""
-    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
-    spread = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    sized = counts.select(*keys, blocks.alias("blocks"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    a = (first.join(sized, keys).withColumn("row", spread).withColumn("column", every)
-         .select(*keys, "row", "column", F.col("node").alias("a"), F.col("size").alias("as_")))
-    b = (second.join(sized, keys).withColumn("column", spread).withColumn("row", every)
-         .select(*keys, "row", "column", F.col("node").alias("b"), F.col("size").alias("bs")))
-    return (a.join(b, [*keys, "row", "column"]).where("a <> b")
-            .where(_may_match(F.col("as_"), F.col("bs"), threshold))
-            .select(F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right")).distinct())
-
-
-def _large_bucket_pairs(members: DataFrame, keys: list[str], nodes: DataFrame,
-                        threshold: float, large: int) -> list[DataFrame]:
-    """Candidate pairs of buckets too large to pair directly."""
-    attach = fixed.NEAR_DUPLICATE_JACCARD
-    ring = attach + threshold - 1.0
-    found = []
-    current = members
-    for _ in range(PIVOT_ROUNDS):
-        pivots = current.groupBy(*keys).agg(F.min("node").alias("pivot"),
-                                            F.count(F.lit(1)).alias("n"))
-        against = attach_by_key(current, pivots, keys, "n").where("node <> pivot")
-        measured = cut(_similarity(
-            against.select(*keys, "node", "size", F.col("node").alias("right"),
-                           F.col("pivot").alias("left")), nodes))
-        found.append(measured.select(F.least("left", "right").alias("left"),
-                                     F.greatest("left", "right").alias("right")).distinct())
-        attached = measured.where(F.col("jaccard") >= attach).select(*keys, "node", "size")
-        near = measured.where((F.col("jaccard") < attach) & (F.col("jaccard") >= ring - 1e-9)).select(
-            *keys, "node", "size")
-        sizes = attached.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        found.append(_grid_pairs(near, attached, keys, sizes, threshold))
-        rest = measured.where(F.col("jaccard") < attach).select(*keys, "node", "size")
-        counts = rest.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        sized = attach_by_key(rest, counts, keys, "n")
-        found.append(_direct_pairs(sized.where(F.col("n") <= large), keys, threshold))
-        current = cut(sized.where(F.col("n") > large).drop("n"))
-        if current.isEmpty():
-            return found
-    counts = current.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    found.append(_grid_pairs(current, current, keys, counts, threshold))
-    return found
-
-
-def _candidates(bucketed: DataFrame, keys: list[str], nodes: DataFrame, threshold: float,
-                large: int, complete: bool) -> DataFrame:
-    counts = bucketed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = cut(attach_by_key(bucketed, counts, keys, "n").where("n IS NOT NULL"))
-    pairs = _direct_pairs(sized.where(F.col("n") <= large), keys, threshold)
-    heavy = sized.where(F.col("n") > large).drop("n")
-    if complete:
-        many = counts.where(F.col("n") > large)
-        pairs = pairs.unionByName(_grid_pairs(heavy, heavy, keys, many, threshold))
-    elif not heavy.isEmpty():
-        for part in _large_bucket_pairs(heavy, keys, nodes, threshold, large):
-            pairs = pairs.unionByName(part)
-    return pairs.distinct()
+def _cells(rows: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """Rows (keys, node, size, words) dealt to cells that hold each pair of matching sizes once.
 
-
-def node_links(nodes: DataFrame, labels: DataFrame, large: int = LARGE_BUCKET,
-               complete: bool = False) -> DataFrame:
-    """(left, right, jaccard, reason) between nodes: all links, or enough to connect every cluster."""
-    high, low = fixed.NEAR_DUPLICATE_JACCARD, fixed.SAME_LABEL_JACCARD
-    nodes = cut(nodes)
-    rare = cut(_rare_words(nodes, low))
-    short = rare.where(F.col("position") <= _prefix_length(high)).drop("position")
-    close = _candidates(short, ["word"], nodes, high, large, complete)
-    labelled = rare.drop("position").join(labels, "node")
-    same = _candidates(labelled, ["word", "label"], nodes, low, large, complete)
-    measured = cut(_similarity(close.unionByName(same).distinct(), nodes)
-                   .where(F.col("jaccard") >= low - 1e-12))
+    Sets of a similarity are in the same class of sizes or in neighbouring ones:
+    a row is at home in its class and a guest in the next.
+    """
+    steps = F.log(F.col("size")) / F.lit(1.001 * math.log(1.0 / threshold))
+    classed = (rows.withColumn("own", F.floor(steps).cast("int"))
+               .withColumn("class", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+               .withColumn("guest", F.col("class") > F.col("own")).drop("own"))
+    keys = [*keys, "class"]
+    sizes = classed.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("guest")).alias("homes"),
+        F.sum(F.size("words")).alias("held")).where("n > 1 AND homes > 0")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("held") / BLOCK_WORDS)).cast("int")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    return (classed.join(sizes.select(*keys, blocks.alias("blocks")), keys)
+            .withColumn("block", block)
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select(*keys, F.least("block", "other").alias("row"), F.greatest("block", "other").alias("column"),
+                    "block", "guest", "node", "size", "words", "root"))
+
+
+def _shared_in_cell(table: pa.Table, threshold: float, skipped: int, limit: int | None):
+    """(left, right) row numbers whose shared rare words allow the threshold, one page of each left row.
+
+    Guests come last and are never on the left: they meet each other in their own class. Beside them the left rows that have further ones. Words beyond both rows'
+    rare words, or beyond the last shared one of either row, are counted as shared.
+    """
+    n = table.num_rows
+    lists = table.column("words").combine_chunks()
+    words, width = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+    size, block, guest, root = (table.column(name).to_numpy() for name in ("size", "block", "guest", "root"))
+    across = bool(block.min() != block.max())
+    homes = int(np.count_nonzero(~guest.astype(bool)))
+    beyond = size - width
+    starts = np.cumsum(width) - width
+    row = np.repeat(np.arange(n), width)
+    place_in_row = np.arange(len(words)) - starts[row] + 1
+    _, word, uses = np.unique(words, return_inverse=True, return_counts=True)
+    kept = np.flatnonzero(uses[word] > 1)
+    row, place_in_row, word = row[kept], place_in_row[kept], word[kept]
+    order = np.argsort(word, kind="stable")
+    by_word, at = row[order], place_in_row[order]
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    reach = np.searchsorted(word[order], word, side="right") - place - 1
+    edges = np.searchsorted(row, np.arange(n + 1))
+    work = np.concatenate([[0], np.cumsum(reach)])[edges]
+    first = 0
+    while first < homes:
+        last = min(homes, first + max(1, CELL_COUNTERS // n),
+                   max(first + 1, int(np.searchsorted(work, work[first] + CELL_COUNTERS, side="right")) - 1))
+        entries = np.arange(edges[first], edges[last])
+        times = reach[entries]
+        entry = np.repeat(entries, times)
+        partner = np.repeat(place[entries] + 1 - (np.cumsum(times) - times), times) + np.arange(len(entry))
+        key = (row[entry] - first) * n + by_word[partner]
+        common = np.bincount(key, minlength=(last - first) * n)
+        left_end, right_end = np.zeros((2, len(common)), dtype=np.int32)
+        left_end[key], right_end[key] = place_in_row[entry], at[partner]
+        hit = np.flatnonzero(common)
+        left, right = hit // n + first, hit % n
+        rest = np.minimum(np.maximum(beyond[left], beyond[right]),
+                          np.minimum(size[left] - left_end[hit], size[right] - right_end[hit]))
+        both, most = size[left] + size[right], np.maximum(size[left], size[right])
+        fit = ((common[hit] + rest >= both * (threshold / (1 + threshold)) - 1e-6)
+               & (both - most >= most * threshold - 1e-6) & ~(guest[left] & guest[right]))
+        if across:
+            fit &= block[left] != block[right]
+        left, right = left[fit], right[fit]
+        rank = np.arange(len(left)) - np.searchsorted(left, left)
+        far = root[left] != root[right]
+        page = far & (rank >= skipped) & (limit is None or rank < skipped + limit)
+        more = left[far & (rank >= skipped + limit)] if limit is not None else left[:0]
+        yield left[page], right[page], np.unique(more)
+        first = last
+
+
+def _candidates(rows: DataFrame, keys: list[str], threshold: float, skipped: int = 0,
+                limit: int | None = None) -> DataFrame:
+    """(left, right) pairs that may reach the threshold; ``right`` is null where a node has further pages."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("guest", "ascending"), ("node", "ascending")])
+        node = table.column("node").to_numpy()
+        found = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for part in _shared_in_cell(table, threshold, skipped, limit):
+            for held, rows_of in zip(found, part):
+                held.append(node[rows_of])
+        left, right, more = (np.concatenate(held) for held in found)
+        return pa.table({"left": pa.array(np.concatenate([np.minimum(left, right), more])),
+                         "right": pa.concat_arrays([pa.array(np.maximum(left, right)), pa.nulls(len(more), pa.int64())])})
+
+    keys, spark = [*keys, "class", "row", "column"], rows.sparkSession
+    dealt = _cells(rows, keys[:-3], threshold).repartition(
+        CELL_PARTITIONS * spark.sparkContext.defaultParallelism, *keys)
+    return dealt.groupBy(*keys).applyInArrow(run, "left bigint, right bigint")
+
+
+def _measured(rows: list[tuple[DataFrame, list[str], float]], nodes: DataFrame, skipped: int = 0,
+              limit: int | None = None) -> tuple[DataFrame, bool]:
+    """(left, right, jaccard) of a page of candidates, and whether some node has further ones."""
+    found = None
+    for frame, keys, threshold in rows:
+        part = _candidates(frame, keys, threshold, skipped, limit)
+        found = part if found is None else found.unionByName(part)
+    found = cut(found.distinct())
+    more = limit is not None and not found.where("right IS NULL").isEmpty()
+    pairs = found.where("right IS NOT NULL")
+    return cut(_similarity(pairs, nodes).where(F.col("jaccard") >= fixed.SAME_LABEL_JACCARD - 1e-12)), more
+
+
+def _with_reasons(measured: DataFrame, labels: DataFrame) -> DataFrame:
+    """(left, right, jaccard, reasons) of measured pairs that are links."""
+    high = fixed.NEAR_DUPLICATE_JACCARD
     left = labels.select(F.col("node").alias("left"), "label")
     right = labels.select(F.col("node").alias("right"), "label")
     shared = (measured.join(left, "left").join(right, ["right", "label"])
@@ -192,3 +253,38 @@ def node_links(nodes: DataFrame, labels: DataFrame, large: int = LARGE_BUCKET,
     return (measured.join(shared, ["left", "right"], "left")
             .where((F.col("jaccard") >= high - 1e-12) | F.col("labelled"))
             .select("left", "right", "jaccard", reasons.alias("reasons")))
+
+
+def node_links(nodes: DataFrame, labels: DataFrame, large: int = PAGE,
+               complete: bool = False) -> DataFrame:
+    """(left, right, jaccard, reasons) between nodes: all links, or enough to connect every cluster.
+
+    ``large`` is the number of candidates of a node in the first page; after
+    ``PIVOT_ROUNDS`` pages the rest is one page.
+    """
+    high, low = fixed.NEAR_DUPLICATE_JACCARD, fixed.SAME_LABEL_JACCARD
+    nodes = cut(nodes)
+    rare = cut(_ordered_words(nodes).withColumn("words", F.slice("words", F.lit(1), _prefix_length(low).cast("int"))))
+    labels = cut(labels)
+    short = rare.withColumn("words", F.slice("words", F.lit(1), _prefix_length(high).cast("int")))
+    labelled = rare.join(labels.where("label IS NOT NULL"), "node")
+
+    def rows(roots=None):
+        parts = [(short, [], high), (labelled, ["label"], low)]
+        if roots is None:
+            return [(frame.withColumn("root", F.col("node")), keys, t) for frame, keys, t in parts]
+        known = roots.select(F.col("id").alias("node"), "root")
+        return [(frame.join(known, "node"), keys, t) for frame, keys, t in parts]
+
+    if complete:
+        return _with_reasons(_measured(rows(), nodes)[0], labels)
+    links, roots, skipped, limit = None, None, 0, large
+    for turn in range(PIVOT_ROUNDS + 1):
+        measured, more = _measured(rows(roots), nodes, skipped, limit if turn < PIVOT_ROUNDS else None)
+        found = _with_reasons(measured, labels)
+        links = cut(found if links is None else links.unionByName(found).distinct())
+        if not more:
+            break
+        roots = cut(connected_components(nodes.select(F.col("node").alias("id")), links))
+        skipped, limit = skipped + limit, limit * large
+    return links

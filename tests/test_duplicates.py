@@ -111,3 +111,23 @@ def test_compatibility_forms_and_case_fold_to_the_same_words(spark):
                                   "id bigint, label string, text string")
     hashes = {r.set_hash for r in dup.prepared_texts(frame).collect()}
     assert len(hashes) == 1
+
+
+def test_pairs_that_merely_share_some_words_are_not_compared(spark, monkeypatch):
+    """Unrelated texts share rare words in many pairs; whole sets meet only where enough is shared."""
+    rng = random.Random(9)
+    rows = [(i, "s0", " ".join(rng.sample([f"w{n}" for n in range(400)], 30))) for i in range(150)]
+    rows += [(200 + i, "s0", rows[i][2] + " more") for i in range(5)]
+    frame = spark.createDataFrame(rows, "id bigint, label string, text string")
+    nodes, _, labels = dup.nodes_and_members(dup.prepared_texts(frame))
+    monkeypatch.setattr(dup, "CELL_COUNTERS", 5_000)
+    compared, measure = [], dup._similarity
+
+    def counted(pairs, sets):
+        compared.append(pairs.count())
+        return measure(pairs, sets)
+
+    monkeypatch.setattr(dup, "_similarity", counted)
+    got = {(r.left, r.right) for r in dup.node_links(nodes, labels, complete=True).collect()}
+    assert got == {(i, 200 + i) for i in range(5)}
+    assert sum(compared) < 100

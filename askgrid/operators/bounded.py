@@ -43,3 +43,13 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
+SLICE_ROWS = 500
+
+
+def in_slices(batches):
+    """Arrow batches in slices, so that a task holds few rows as Python objects at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(start, SLICE_ROWS)

@@ -14,10 +14,12 @@ from bisect import bisect_right
 from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askgrid.functions import fixed_values as fixed
+from askgrid.operators.bounded import in_slices
 
 WORD = re.compile(r"\S+")
 
@@ -90,6 +92,7 @@ def _pack(header: str, records, budget: int, starts):
 
 CHUNK_SCHEMA = ("id string, chunk_no int, first_record int, last_record int, part int, parts int, "
                 "token_count int, text string")
+CHUNK_TYPES = [pa.string(), *[pa.int32()] * 6, pa.string()]
 
 
 def pack_chunks(rows: DataFrame, budget: int = fixed.CHUNK_CONTENT_BUDGET,
@@ -100,16 +103,19 @@ def pack_chunks(rows: DataFrame, budget: int = fixed.CHUNK_CONTENT_BUDGET,
     assembled text of a chunk is counted, not the sum over its parts.
     """
     def run(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             out = []
-            for key, header, records in zip(batch["id"], batch["header"], batch["records"]):
-                items = [] if records is None else list(records)
+            for key, header, records in zip(*(batch.column(name).to_pylist() for name in ("id", "header", "records"))):
+                items = [] if records is None else records
                 for number, (first, last, part, parts, text) in enumerate(
                         _pack(header, items, budget, starts), start=1):
                     out.append((key, number, first, last, part, parts, len(starts(text)), text))
-            yield pd.DataFrame(out, columns=[item.split()[0] for item in CHUNK_SCHEMA.split(", ")])
+            if out:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(column, kind) for column, kind in zip(zip(*out), CHUNK_TYPES)],
+                    names=[item.split()[0] for item in CHUNK_SCHEMA.split(", ")])
 
-    return rows.select(F.col("id").cast("string").alias("id"), "header", "records").mapInPandas(
+    return rows.select(F.col("id").cast("string").alias("id"), "header", "records").mapInArrow(
         run, CHUNK_SCHEMA)
 
 

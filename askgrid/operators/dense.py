@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from askgrid.functions import fixed_values as fixed
 from askgrid.operators.bounded import broadcast_if_small, cut
+from askgrid.operators.lexical import best_rows, gathered, listed
 
 MAX_QUESTIONS_IN_TASK = 4096
 # The cosine is rounded once; later sums keep enough digits to stay exact.
@@ -67,7 +68,7 @@ def _batch_scorer(spark, ids: np.ndarray, matrix: np.ndarray, k: int, mode: str)
 
     def score(batches):
         question_ids, vectors = shared.value
-        place = {int(value): i for i, value in enumerate(question_ids)}
+        by_id = np.argsort(question_ids, kind="stable")
         for batch in batches:
             if batch.empty:
                 continue
@@ -76,13 +77,15 @@ def _batch_scorer(spark, ids: np.ndarray, matrix: np.ndarray, k: int, mode: str)
             dense = np.round(np.clip((cosine + 1.0) / 2.0, 0.0, 1.0), SCORE_DIGITS)
             lexical = np.zeros_like(dense)
             if mode in ("fused", "pooled fused"):
-                for row, (asked, scores) in enumerate(zip(batch["asked"], batch["scores"])):
-                    if asked is None:
-                        continue
-                    for question, value in zip(asked, scores):
-                        column = place.get(int(question))
-                        if column is not None:
-                            lexical[row, column] = value
+                given = [(row, asked, scores) for row, (asked, scores) in enumerate(
+                    zip(batch["asked"], batch["scores"])) if asked is not None and len(asked)]
+                if given:
+                    rows = np.repeat([row for row, _, _ in given], [len(asked) for _, asked, _ in given])
+                    asked = np.concatenate([asked for _, asked, _ in given])
+                    place = np.searchsorted(question_ids[by_id], asked, side="right") - 1
+                    known = (place >= 0) & (question_ids[by_id[place]] == asked)
+                    lexical[rows[known], by_id[place[known]]] = np.concatenate(
+                        [scores for _, _, scores in given])[known]
                 total = np.round(fixed.DENSE_WEIGHT * dense + fixed.LEXICAL_WEIGHT * lexical,
                                  SCORE_DIGITS)
             else:
@@ -90,8 +93,13 @@ def _batch_scorer(spark, ids: np.ndarray, matrix: np.ndarray, k: int, mode: str)
             row_ids = batch["id"].to_numpy(dtype=np.int64)
             part_ids = batch["part_id"].to_numpy(dtype=np.int64)
             kept = []
+            least = None
+            if mode in ("dense", "fused") and k < len(batch):
+                finite = np.nan_to_num(total, nan=-np.inf)
+                least = np.partition(finite, len(batch) - k, axis=0)[len(batch) - k]
             for column, question in enumerate(question_ids):
-                order = np.lexsort((part_ids, -row_ids, -dense[:, column], -total[:, column]))
+                near = np.arange(len(batch)) if least is None else np.flatnonzero(finite[:, column] >= least[column])
+                order = near[np.lexsort((part_ids[near], -row_ids[near], -dense[near, column], -total[near, column]))]
                 chosen = order
                 if mode in ("pooled", "pooled fused"):
                     _, first = np.unique(row_ids[order], return_index=True)
@@ -144,18 +152,25 @@ def pooled_top(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     return _best_parts(_score(questions, chunks.select("id", "part_id", "vector"), k, "pooled"), k)
 
 
+def _by_document(lexical: DataFrame) -> DataFrame:
+    """(id, asked, scores) of lexical scores, which are such rows or pairs (question_id, id, lexical)."""
+    return lexical.select("id", "asked", "scores") if "asked" in lexical.columns else gathered(lexical)
+
+
 def _with_lexical(rows: DataFrame, lexical: DataFrame) -> DataFrame:
-    per_document = lexical.groupBy("id").agg(
-        F.collect_list(F.struct("question_id", "lexical")).alias("pairs"))
-    return rows.join(per_document, "id", "left").select(
-        "id", "part_id", "vector", F.col("pairs.question_id").alias("asked"),
-        F.col("pairs.lexical").alias("scores"))
+    per_document = _by_document(lexical)
+    if "asked" in lexical.columns:
+        per_document = per_document.groupBy("id").agg(
+            F.flatten(F.collect_list("asked")).alias("asked"), F.flatten(F.collect_list("scores")).alias("scores"))
+    return rows.join(per_document, "id", "left").select("id", "part_id", "vector", "asked", "scores")
 
 
-def _lexical_only(questions: DataFrame, corpus: DataFrame, lexical: DataFrame) -> DataFrame:
-    """Scored rows of documents that have no vector."""
+def _lexical_only(questions: DataFrame, corpus: DataFrame, lexical: DataFrame, k: int,
+                  distinct: bool = False) -> DataFrame:
+    """Scored rows of documents that have no vector, the best k per question of each batch."""
     none = F.lit(0.0)
-    return (lexical.join(corpus.select("id").distinct(), "id", "left_anti")
+    rows = _by_document(lexical).join(corpus.select("id").distinct(), "id", "left_anti")
+    return (best_rows(rows, k, distinct)
             .join(broadcast_if_small(questions.select("question_id")), "question_id", "left_semi")
             .select("question_id", "id", F.col("id").alias("part_id"), none.alias("cosine"),
                     none.alias("dense"), "lexical", fused(none, F.col("lexical")).alias("score")))
@@ -165,7 +180,7 @@ def pooled_hybrid_top(questions: DataFrame, chunks: DataFrame, lexical: DataFram
                       k: int) -> DataFrame:
     """Best k parents by weighted best-chunk and lexical score."""
     scored = _score(questions, _with_lexical(chunks, lexical), k, "pooled fused")
-    return _best_parts(scored.unionByName(_lexical_only(questions, chunks, lexical)), k)
+    return _best_parts(scored.unionByName(_lexical_only(questions, chunks, lexical, k, True)), k)
 
 
 def score_pooled_pairs(pairs: DataFrame, questions: DataFrame, chunks: DataFrame,
@@ -178,13 +193,13 @@ def score_pooled_pairs(pairs: DataFrame, questions: DataFrame, chunks: DataFrame
 def hybrid_top(questions: DataFrame, corpus: DataFrame, lexical: DataFrame, k: int) -> DataFrame:
     """Best k rows per question by weighted dense and lexical score.
 
-    Lexical scores (question_id, id, lexical) are sparse; they are gathered per
-    document, so the full question by document grid never leaves a batch. A
+    Lexical scores are sparse rows (id, asked, scores), or pairs that are gathered
+    to such rows, so the full question by document grid never leaves a batch. A
     document without a vector counts with dense 0.
     """
     rows = _with_lexical(corpus.withColumn("part_id", F.col("id")), lexical)
     scored = _score(questions, rows, k, "fused")
-    return _ranked(scored.unionByName(_lexical_only(questions, corpus, lexical)), k)
+    return _ranked(scored.unionByName(_lexical_only(questions, corpus, lexical, k)), k)
 
 
 def score_pairs(pairs: DataFrame, questions: DataFrame, corpus: DataFrame,
@@ -199,6 +214,8 @@ def score_pairs(pairs: DataFrame, questions: DataFrame, corpus: DataFrame,
     if lexical is None:
         return with_vectors.select("question_id", "id", "cosine", "dense", F.lit(0.0).alias("lexical"),
                                    F.col("dense").alias("score"))
+    if "asked" in lexical.columns:
+        lexical = listed(lexical.select("id", "asked", "scores").join(pairs.select("id").distinct(), "id", "left_semi"))
     return (with_vectors.drop("cosine").join(lexical.select("question_id", "id", "lexical"),
                               ["question_id", "id"], "left")
             .withColumn("lexical", F.coalesce("lexical", F.lit(0.0)))

@@ -11,13 +11,14 @@ Question layout: (question_id, text).
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from askgrid.functions import fixed_values as fixed
 from askgrid.functions import text as tx
-from askgrid.operators.bounded import MAX_BROADCAST_ROWS, cut, fits, small_side
+from askgrid.operators.bounded import MAX_BROADCAST_ROWS, cut, fits, in_slices, small_side
 
 SCORE_DIGITS = 9
 
@@ -27,6 +28,12 @@ MAX_TERMS_IN_TASK = 50_000
 # Positions of the title and the schema among the fields of a record.
 TITLE, SCHEMA = 0, 1
 
+# The scores of one document.
+ROW_SCHEMA = "id bigint, asked array<bigint>, scores array<double>"
+
+# Cells of documents and questions whose sums a task holds at once.
+MAX_CELLS = 4_000_000
+
 # Stands for the document itself among its postings, so that one pass over the
 # texts yields the postings, the corpus size and the mean length.
 DOCUMENT_MARK = ""
@@ -54,7 +61,19 @@ def lexical_fields(records: DataFrame, extra_tokens: DataFrame | None = None) ->
             .select("id", F.concat(F.array(title), rest).alias("fields")))
 
 
-def _scores_in_tasks(asked: DataFrame, fields: DataFrame) -> DataFrame:
+def gathered(scores: DataFrame) -> DataFrame:
+    """(id, asked, scores): one row per document of (question_id, id, lexical)."""
+    pairs = scores.groupBy("id").agg(F.collect_list(F.struct("question_id", "lexical")).alias("pairs"))
+    return pairs.select("id", F.col("pairs.question_id").alias("asked"), F.col("pairs.lexical").alias("scores"))
+
+
+def listed(rows: DataFrame) -> DataFrame:
+    """(question_id, id, lexical) of rows (id, asked, scores)."""
+    pairs = rows.select("id", F.explode(F.arrays_zip("asked", "scores")).alias("pair"))
+    return pairs.select(F.col("pair.asked").alias("question_id"), "id", F.col("pair.scores").alias("lexical"))
+
+
+def _rows_in_tasks(asked: DataFrame, fields: DataFrame) -> DataFrame:
     """Scores where the question terms are few: each document is scored in the task that reads it."""
     rows = asked.withColumn("weight", tx.token_weight(F.col("term"))).collect()
     questions = np.array(sorted({row["question_id"] for row in rows}), dtype=np.int64)
@@ -78,9 +97,9 @@ def _scores_in_tasks(asked: DataFrame, fields: DataFrame) -> DataFrame:
         ids, terms = shared.value
         size = len(ids)
         weights = np.array(fixed.COLUMN_WEIGHTS)[:, None]
-        for batch in batches:
-            asked_by, members, scores = [], [], []
-            for key, parts in zip(batch["id"], batch["fields"]):
+        for batch in in_slices(batches):
+            members, asked_by, scores = [], [], []
+            for key, parts in zip(batch.column("id").to_pylist(), batch.column("fields").to_pylist()):
                 best = np.zeros((depth, size))
                 for tokens in parts[SCHEMA + 1:]:
                     if not len(tokens):
@@ -94,15 +113,17 @@ def _scores_in_tasks(asked: DataFrame, fields: DataFrame) -> DataFrame:
                                    + fixed.COLUMN_PART * (best * weights).sum(axis=0)
                                    + fixed.SCHEMA_PART * match(parts[SCHEMA], terms, size))
                 hit = np.nonzero(score)[0]
-                asked_by.append(ids[hit])
-                members.append(np.full(len(hit), key, dtype=np.int64))
-                scores.append(np.round(score[hit], SCORE_DIGITS))
-            if asked_by:
-                yield pd.DataFrame({"question_id": np.concatenate(asked_by),
-                                    "id": np.concatenate(members),
-                                    "lexical": np.concatenate(scores)})
+                if len(hit):
+                    members.append(key)
+                    asked_by.append(ids[hit])
+                    scores.append(np.round(score[hit], SCORE_DIGITS))
+            if members:
+                sizes = [len(found) for found in asked_by]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(members, pa.int64()), _list_column(np.concatenate(asked_by), sizes),
+                     _list_column(np.concatenate(scores), sizes)], names=["id", "asked", "scores"])
 
-    return fields.mapInPandas(run, "question_id bigint, id bigint, lexical double")
+    return fields.select("id", "fields").mapInArrow(run, ROW_SCHEMA)
 
 
 def _scores_by_join(asked: DataFrame, fields: DataFrame) -> DataFrame:
@@ -137,10 +158,20 @@ def lexical_scores(questions: DataFrame, records: DataFrame,
     asked = question_terms(questions).select("question_id", "term")
     fields = lexical_fields(records, extra_tokens)
     if fits(asked, MAX_TERMS_IN_TASK):
-        return _scores_in_tasks(asked, fields)
+        return listed(_rows_in_tasks(asked, fields))
     return _scores_by_join(asked, fields)
 
 
+def lexical_rows(questions: DataFrame, records: DataFrame,
+                 extra_tokens: DataFrame | None = None) -> DataFrame:
+    """(id, asked, scores): the same scores, one row per document."""
+    asked = question_terms(questions).select("question_id", "term")
+    fields = lexical_fields(records, extra_tokens)
+    if fits(asked, MAX_TERMS_IN_TASK):
+        return _rows_in_tasks(asked, fields)
+    return gathered(_scores_by_join(asked, fields))
+
+
 def flattened_tokens(records: DataFrame, extra_tokens: DataFrame | None = None) -> DataFrame:
     """(id, tokens, length): title, schema and column tokens in one bag.
 
@@ -198,22 +229,179 @@ def bm25_scores(contributions: DataFrame) -> DataFrame:
                 .otherwise(F.lit(0.0)).alias("lexical")))
 
 
+def _list_column(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+
+
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of every entry of a list column without nulls in it."""
+    sizes = np.diff(column.offsets.to_numpy())
+    return np.repeat(np.arange(len(column)), sizes), column.flatten().to_numpy()
+
+
+def _counted_terms(documents: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """(id, length, terms, tfs): places of the vocabulary in each document and how often they occur.
+
+    The length is counted here, so that the tokens of a text are made once only.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches):
+        words = pa.array(shared.value, pa.string())
+        for batch in batches:
+            if batch.column("tokens").null_count:
+                batch = batch.filter(batch.column("tokens").is_valid())
+            tokens = batch.column("tokens")
+            length = np.diff(tokens.offsets.to_numpy())
+            row = np.repeat(np.arange(len(tokens)), length)
+            place = pc.index_in(tokens.flatten(), value_set=words)
+            held = place.is_valid().to_numpy(zero_copy_only=False)
+            key = row[held] * len(words) + place.drop_null().to_numpy()
+            found, times = np.unique(key, return_counts=True)
+            sizes = np.bincount(found // max(len(words), 1), minlength=len(tokens))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(length, pa.int32()),
+                 _list_column((found % max(len(words), 1)).astype(np.int32), sizes),
+                 _list_column(times.astype(np.int64), sizes)], names=["id", "length", "terms", "tfs"])
+
+    counted = documents.select("id", "tokens").mapInArrow(
+        run, "id bigint, length int, terms array<int>, tfs array<bigint>")
+    return counted.groupBy("id", "length").agg(
+        F.flatten(F.collect_list("terms")).alias("terms"), F.flatten(F.collect_list("tfs")).alias("tfs"))
+
+
+def bm25_rows(questions: DataFrame, documents: DataFrame) -> DataFrame:
+    """(id, asked, raw, scores): BM25 of each document, raw and over the question's maximum.
+
+    With few question terms, which is checked, a document is one row throughout:
+    its question terms are counted in the task that reads it, and it meets all
+    questions in one task. Otherwise contributions are joined and summed.
+    """
+    terms = question_terms(questions)
+    if not fits(terms, MAX_TERMS_IN_TASK):
+        pairs = bm25_scores(bm25_contributions(questions, documents)).groupBy("id").agg(
+            F.collect_list(F.struct("question_id", "bm25_raw", "lexical")).alias("pairs"))
+        return pairs.select("id", F.col("pairs.question_id").alias("asked"), F.col("pairs.bm25_raw").alias("raw"),
+                            F.col("pairs.lexical").alias("scores"))
+    spark, asking = documents.sparkSession, terms.collect()
+    vocabulary = sorted({row["term"] for row in asking})
+    places = {term: place for place, term in enumerate(vocabulary)}
+    ids = sorted({row["question_id"] for row in asking})
+    columns = {question: column for column, question in enumerate(ids)}
+    postings = cut(_counted_terms(documents, vocabulary))
+    corpus = postings.agg(F.count(F.lit(1)).alias("size"), F.avg("length").alias("mean")).first()
+    frequency = {row["term"]: row["df"] for row in postings.select(
+        F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}
+    links = sorted((places[row["term"]], columns[row["question_id"]], row["query_frequency"]) for row in asking)
+    term, column, times = np.array(links, dtype=np.int64).reshape(-1, 3).T
+    df = np.array([frequency.get(place, 0) for place in range(len(vocabulary))], dtype=np.float64)
+    idf = np.log(1.0 + (corpus["size"] - df + 0.5) / (df + 0.5))
+    shared = spark.sparkContext.broadcast((
+        np.array(ids, dtype=np.int64), np.searchsorted(term, np.arange(len(vocabulary) + 1)), column,
+        times * idf[term], corpus["mean"]))
+
+    def run(batches):
+        questions, edges, asked_by, weights, mean = shared.value
+        width = len(questions)
+        step = max(1, MAX_CELLS // max(width, 1))
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                row, place = _flat(part.column("terms"))
+                key, entry = np.unique(row * (len(edges) - 1) + place, return_inverse=True)
+                tf = np.bincount(entry, weights=part.column("tfs").flatten().to_numpy(), minlength=len(key))
+                row, place = key // max(len(edges) - 1, 1), key % max(len(edges) - 1, 1)
+                relative = part.column("length").to_numpy()[row] / mean
+                gain = tf * (fixed.BM25_K1 + 1.0) / (
+                    tf + fixed.BM25_K1 * (1.0 - fixed.BM25_B + fixed.BM25_B * relative))
+                number = edges[place + 1] - edges[place]
+                link = np.repeat(edges[place] - (np.cumsum(number) - number), number) + np.arange(number.sum())
+                cell = np.repeat(row, number) * width + asked_by[link]
+                total = np.bincount(cell, weights=np.repeat(gain, number) * weights[link],
+                                    minlength=part.num_rows * width)
+                hit = np.unique(cell)
+                sizes = np.bincount(hit // max(width, 1), minlength=part.num_rows)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), _list_column(questions[hit % max(width, 1)], sizes),
+                     _list_column(total[hit], sizes)], names=["id", "asked", "raw"])
+
+    summed = cut(postings.mapInArrow(run, "id bigint, asked array<bigint>, raw array<double>")
+                 .where("size(asked) > 0"))
+    if not summed.groupBy("id").count().where("count > 1").isEmpty():
+        both = summed.select("id", F.explode(F.arrays_zip("asked", "raw")).alias("pair"))
+        both = both.groupBy("id", F.col("pair.asked").alias("question_id")).agg(F.sum("pair.raw").alias("lexical"))
+        summed = cut(gathered(both).withColumnRenamed("scores", "raw"))
+    best = dict(listed(summed.withColumnRenamed("raw", "scores")).groupBy("question_id").agg(
+        F.max("lexical")).collect())
+    tops = spark.sparkContext.broadcast((
+        np.array(sorted(best), dtype=np.int64), np.round([best[question] for question in sorted(best)], SCORE_DIGITS)))
+
+    def scaled(batches):
+        questions, top = tops.value
+        for batch in batches:
+            _, asked = _flat(batch.column("asked"))
+            raw = np.round(batch.column("raw").flatten().to_numpy(), SCORE_DIGITS)
+            most = top[np.searchsorted(questions, asked)]
+            share = np.where(most > 0, np.round(raw / np.where(most > 0, most, 1.0), SCORE_DIGITS), 0.0)
+            sizes = np.diff(batch.column("asked").offsets.to_numpy())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("asked"), _list_column(raw, sizes), _list_column(share, sizes)],
+                names=["id", "asked", "raw", "scores"])
+
+    return summed.mapInArrow(scaled, "id bigint, asked array<bigint>, raw array<double>, scores array<double>")
+
+
+def best_rows(rows: DataFrame, k: int, distinct: bool = False) -> DataFrame:
+    """(question_id, id, lexical) of rows (id, asked, scores): the best k per question of each batch.
+
+    Best by (score, id) descending. Raw scores come along as ``bm25_raw``. With
+    ``distinct`` an id counts once per question.
+    """
+    carried = "raw" in rows.columns
+    names = ["question_id", "id", "lexical", *(["bm25_raw"] if carried else [])]
+    schema = "question_id bigint, id bigint, lexical double" + (", bm25_raw double" if carried else "")
+
+    def run(batches):
+        for batch in batches:
+            row, asked = _flat(batch.column("asked"))
+            score = batch.column("scores").flatten().to_numpy()
+            key = batch.column("id").fill_null(-(1 << 63) + 1).to_numpy()[row]
+            kept = np.arange(len(key))
+            if distinct:
+                kept = np.lexsort((-score, key, asked))
+                kept = kept[np.append(True, (np.diff(asked[kept]) != 0) | (np.diff(key[kept]) != 0))[:len(kept)]]
+            order = kept[np.lexsort((-key[kept], -score[kept], asked[kept]))]
+            starts = np.searchsorted(asked[order], asked[order])
+            chosen = order[np.arange(len(order)) - starts < k]
+            columns = [pa.array(asked[chosen]), batch.column("id").take(pa.array(row[chosen])), pa.array(score[chosen])]
+            if carried:
+                columns.append(batch.column("raw").flatten().take(pa.array(chosen)))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return rows.select("id", "asked", "scores", *(["raw"] if carried else [])).mapInArrow(run, schema)
+
+
 def saturation(scores: DataFrame, column: str, corpus_size: DataFrame) -> DataFrame:
     """Per question: maximum, rows at and near it, and the spread of the best twenty.
 
-    ``scores`` holds the positive scores only; the remaining documents of the
-    corpus score zero. ``corpus_size`` is a one-cell frame.
+    ``scores`` holds the positive scores only, as pairs or as rows (id, asked,
+    scores); the remaining documents of the corpus score zero. ``corpus_size``
+    is a one-cell frame.
     """
-    scores = cut(scores)
-    top = scores.groupBy("question_id").agg(F.max(column).alias("maximum"))
-    counted = (scores.join(top, "question_id").groupBy("question_id").agg(
+    if "asked" in scores.columns:
+        leading, scores = best_rows(scores, fixed.SPREAD_DEPTH), listed(scores)
+    else:
+        scores = leading = cut(scores)
+    top = cut(scores.groupBy("question_id").agg(F.max(column).alias("maximum")))
+    counted = (scores.join(small_side(top, fits(top, MAX_BROADCAST_ROWS)), "question_id").groupBy("question_id").agg(
         F.max("maximum").alias("maximum"),
         F.count_if(F.abs(F.col(column) - F.col("maximum")) <= fixed.SATURATION_TOLERANCE)
         .alias("at_maximum"),
         F.count_if(F.col(column) >= fixed.SATURATION_SHARE * F.col("maximum")
                    - fixed.SATURATION_TOLERANCE).alias("near_maximum")))
     w = Window.partitionBy("question_id").orderBy(F.desc(column), "id")
-    best = (scores.withColumn("n", F.row_number().over(w))
+    best = (leading.withColumn("n", F.row_number().over(w))
             .where(F.col("n") <= fixed.SPREAD_DEPTH)
             .groupBy("question_id").agg(F.count(F.lit(1)).alias("held"),
                                         F.min(column).alias("lowest")))

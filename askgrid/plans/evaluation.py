@@ -60,7 +60,7 @@ def dense_ranking(t, depth):
 
 
 def graph_ranking(t, depth):
-    return r.expanded(t, r.lexical_for(t), depth).select("question_id", "id", "rank")
+    return r.expanded(t, r.lexical_rows_for(t), depth).select("question_id", "id", "rank")
 
 
 def recall_sql(ranking: str, name: str) -> str:
@@ -144,12 +144,12 @@ def coverage_by_depth(t):
     Each expected member meets a ranking once; the depths are conditional
     counts on its rank, not copies of the rows.
     """
-    asked, vectors, lexical = r.questions_with_vectors(t), r.corpus(t), cut(r.lexical_for(t))
+    asked, vectors, lexical = r.questions_with_vectors(t), r.corpus(t), r.lexical_rows_for(t)
     most = max(fixed.COVERAGE_DEPTHS)
     found = {"dense": dense_ranking(t, most), "hybrid": dense.hybrid_top(asked, vectors, lexical, most),
              "graph": r.expanded(t, lexical, most),
              "bm25 hybrid": dense.hybrid_top(asked, vectors, r.bm25_for(t), most),
-             "alias hybrid": dense.hybrid_top(asked, vectors, r.lexical_for(t, r.alias_terms(t)), most),
+             "alias hybrid": dense.hybrid_top(asked, vectors, r.lexical_rows_for(t, r.alias_terms(t)), most),
              "chunked": dense.pooled_top(asked, r.chunks(t), most)}
     rankings = {name: found[name].select("question_id", "id", "rank") for name in SYSTEMS}
     return metrics.coverage(expected(t), rankings, UNIONS, fixed.COVERAGE_DEPTHS)
@@ -216,7 +216,7 @@ SELECT question_id, round(o.recall, 6) AS old_recall, round(n.recall, 6) AS new_
 FROM old_rec o JOIN new_rec n USING (question_id) JOIN changes USING (question_id)"""))
 def transitions(t):
     """Improved, unchanged and regressed cases between two systems, with members gained and lost."""
-    hybrid = dense.hybrid_top(r.questions_with_vectors(t), r.corpus(t), r.lexical_for(t), 10)
+    hybrid = dense.hybrid_top(r.questions_with_vectors(t), r.corpus(t), r.lexical_rows_for(t), 10)
     return metrics.transitions(expected(t), dense_ranking(t, 10), hybrid, 10)
 
 
@@ -231,7 +231,7 @@ WHERE coalesce(o.rank <= 10, false) <> coalesce(n.rank <= 10, false)"""))
 def transition_members(t):
     """Expected members that enter or leave the Top-10, with both ranks (null beyond 200)."""
     most = max(fixed.COVERAGE_DEPTHS)
-    new = dense.hybrid_top(r.questions_with_vectors(t), r.corpus(t), r.lexical_for(t), most)
+    new = dense.hybrid_top(r.questions_with_vectors(t), r.corpus(t), r.lexical_rows_for(t), most)
     return metrics.changed_members(expected(t), dense_ranking(t, most), new, 10)
 
 
@@ -244,7 +244,7 @@ FROM (SELECT * FROM dense_rank WHERE rank <= 50) o
 FULL JOIN (SELECT * FROM hybrid WHERE rank <= 50) n ON o.question_id = n.question_id AND o.id = n.id"""))
 def rank_movement(t):
     """Rank of each member of either Top-50 before and after fusion."""
-    new = dense.hybrid_top(r.questions_with_vectors(t), r.corpus(t), r.lexical_for(t), 50)
+    new = dense.hybrid_top(r.questions_with_vectors(t), r.corpus(t), r.lexical_rows_for(t), 50)
     old = dense_ranking(t, 50)
     return (old.select("question_id", "id", F.col("rank").alias("old_rank"))
             .join(new.select("question_id", "id", F.col("rank").alias("new_rank")),
@@ -269,7 +269,7 @@ def ranking_signature(t):
     """A ranking compared with a stored prior run, rank by rank: its own and the one before fusion."""
     stored = cut(dense_ranking(t, 10).select("question_id", "rank", F.col("id").alias("old_id")))
     again = dense_ranking(t, 10).select("question_id", "rank", "id")
-    fused = dense.hybrid_top(r.questions_with_vectors(t), r.corpus(t), r.lexical_for(t), 10).select(
+    fused = dense.hybrid_top(r.questions_with_vectors(t), r.corpus(t), r.lexical_rows_for(t), 10).select(
         "question_id", "rank", "id")
     parts = [run.join(stored, ["question_id", "rank"], "full").groupBy("question_id").agg(
         F.count(F.lit(1)).alias("compared"),

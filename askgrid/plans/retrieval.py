@@ -76,7 +76,6 @@ def reverse_relations(t, indexed, seeds):
 
 def hybrid_parts(t, scores):
     """Top lists and pair scorer for one lexical source."""
-    scores = cut(scores)
     asked, vectors = questions_with_vectors(t), corpus(t)
     top = partial(dense.hybrid_top, asked, vectors, scores)
     pairs = partial(dense.score_pairs, questions=asked, corpus=vectors, lexical=scores)
@@ -87,9 +86,14 @@ def lexical_for(t, extra=None):
     return lexical.lexical_scores(all_questions(t), records(t), extra)
 
 
+def lexical_rows_for(t, extra=None):
+    """The lexical scores, one row per document, for the plans that read them more than once."""
+    return cut(lexical.lexical_rows(all_questions(t), records(t), extra))
+
+
 def bm25_for(t, extra=None):
-    bag = lexical.flattened_tokens(records(t), extra)
-    return lexical.bm25_scores(lexical.bm25_contributions(all_questions(t), bag))
+    """BM25 scores, one row per document."""
+    return lexical.bm25_rows(all_questions(t), lexical.flattened_tokens(records(t), extra))
 
 
 def expanded(t, scores, k=fixed.FINAL_DEPTH):
@@ -147,7 +151,7 @@ SELECT question_id, id, bm25_raw, lexical AS bm25, CAST(rank AS INTEGER) AS rank
 def bm25_topk(t):
     """BM25 Top-10 with raw and question-normalised scores."""
     w = Window.partitionBy("question_id").orderBy(F.desc("lexical"), F.desc("id"))
-    return bm25_for(t).withColumn("rank", F.row_number().over(w)).where("rank <= 10").select(
+    return lexical.best_rows(bm25_for(t), 10).withColumn("rank", F.row_number().over(w)).where("rank <= 10").select(
         "question_id", "id", "bm25_raw", F.col("lexical").alias("bm25"), "rank")
 
 
@@ -175,7 +179,7 @@ FROM (SELECT *, max(lexical) OVER (PARTITION BY question_id) AS maximum,
 @query("lexical_saturation", sql.with_ctes(*LEXICAL_CTES, sql.lexical(),
                                            select=SATURATION_SELECT.format(source="lexical")))
 def lexical_saturation(t):
-    return lexical.saturation(lexical_for(t), "lexical", t.documents.select(F.count(F.lit(1))))
+    return lexical.saturation(lexical_rows_for(t), "lexical", t.documents.select(F.count(F.lit(1))))
 
 
 @query("bm25_saturation", sql.with_ctes(*LEXICAL_CTES, sql.bm25(),
@@ -188,7 +192,7 @@ def bm25_saturation(t):
                                     select=HYBRID_SELECT))
 def hybrid_rank(t):
     """0.70 dense + 0.30 lexical, Top-10."""
-    return hybrid_list(t, lexical_for(t))
+    return hybrid_list(t, lexical_rows_for(t))
 
 
 @query("bm25_hybrid", sql.with_ctes(*LEXICAL_CTES, sql.bm25(), sql.DENSE, sql.hybrid("bm25"),
@@ -201,7 +205,7 @@ def bm25_hybrid(t):
                                      sql.DENSE, sql.hybrid(), select=HYBRID_SELECT))
 def alias_hybrid(t):
     """Hybrid with titles enriched by caption terms."""
-    return hybrid_list(t, lexical_for(t, alias_terms(t)))
+    return hybrid_list(t, lexical_rows_for(t, alias_terms(t)))
 
 
 @query("alias_bm25_hybrid", sql.with_ctes(*LEXICAL_CTES, sql.ALIASES, sql.bm25("enriched_bag"),
@@ -218,7 +222,7 @@ def graph_sql(*lexical_parts: str, source: str) -> str:
 @query("graph_expand", graph_sql(sql.lexical(), source="lexical"))
 def graph_expand(t):
     """Hybrid seeds, one hop over outgoing relations, rank-discounted bonus."""
-    return expanded(t, lexical_for(t)).select(*GRAPH_COLUMNS)
+    return expanded(t, lexical_rows_for(t)).select(*GRAPH_COLUMNS)
 
 
 @query("bm25_graph", graph_sql(sql.bm25(), source="bm25"))
@@ -228,7 +232,7 @@ def bm25_graph(t):
 
 @query("alias_graph", graph_sql(sql.ALIASES, sql.lexical("enriched_tokens"), source="lexical"))
 def alias_graph(t):
-    return expanded(t, lexical_for(t, alias_terms(t))).select(*GRAPH_COLUMNS)
+    return expanded(t, lexical_rows_for(t, alias_terms(t))).select(*GRAPH_COLUMNS)
 
 
 @query("alias_bm25_graph", graph_sql(sql.ALIASES, sql.bm25("enriched_bag"), source="bm25"))
@@ -263,7 +267,7 @@ all_reached AS (
 
 
 def augmented_parts(t):
-    top, pairs = hybrid_parts(t, lexical_for(t))
+    top, pairs = hybrid_parts(t, lexical_rows_for(t))
     seeds = cut(top(fixed.SEED_COUNT))
     outgoing = relations(t, corpus(t), seeds)
     extra = reverse_relations(t, corpus(t), seeds).join(outgoing, ["src", "dst"], "left_anti")
@@ -387,14 +391,14 @@ CHUNK_CTES = (*LEXICAL_CTES, sql.lexical(), sql.DENSE.replace("c AS", "unused AS
 @query("chunked_hybrid", sql.with_ctes(*CHUNK_CTES, select=HYBRID_SELECT))
 def chunked_hybrid(t):
     """Best-chunk dense score with the lexical score of the document."""
-    return dense.pooled_hybrid_top(questions_with_vectors(t), chunks(t), lexical_for(t),
+    return dense.pooled_hybrid_top(questions_with_vectors(t), chunks(t), lexical_rows_for(t),
                                    fixed.FINAL_DEPTH).select(*HYBRID_COLUMNS)
 
 
 @query("chunked_graph", sql.with_ctes(*CHUNK_CTES, sql.EDGES, sql.reached(), sql.expansion(),
                                       select=GRAPH_SELECT))
 def chunked_graph(t):
-    asked, parts, scores = questions_with_vectors(t), chunks(t), cut(lexical_for(t))
+    asked, parts, scores = questions_with_vectors(t), chunks(t), lexical_rows_for(t)
     seeds = cut(dense.pooled_hybrid_top(asked, parts, scores, fixed.SEED_COUNT))
     pairs = partial(dense.score_pooled_pairs, questions=asked, chunks=parts, lexical=scores)
     edges = relations(t, parts.select("id").distinct(), seeds)
@@ -451,7 +455,7 @@ def candidates_for(t):
     depth = fixed.CANDIDATE_DEPTH
     return cand.union_candidates({
         "dense": dense.dense_top(questions_with_vectors(t), corpus(t), depth),
-        "graph": expanded(t, lexical_for(t), depth)})
+        "graph": expanded(t, lexical_rows_for(t), depth)})
 
 
 @query("candidate_union", sql.with_ctes(*CANDIDATE_CTES, select="""

@@ -107,3 +107,31 @@ def test_saturation_counts_documents_without_a_score(spark):
 
 def test_evidence_words(spark):
     assert sorted(value(spark, evidence_words(F.lit("The OrderTotal of an id")))) == ["order", "total"]
+
+
+def test_bm25_of_whole_rows_equals_summed_contributions(spark):
+    """Also where an id comes twice: as a copy, and with another text."""
+    words = [f"t{i % 7} t{i % 5} t{i % 3} t{i % 7}" for i in range(40)]
+    rows = spark.createDataFrame([(i, "s", text, ["u" + text]) for i, text in enumerate(words)]
+                                 + [(3, "s", words[3], ["u" + words[3]]), (4, "s", "t1 t1 other", ["x"])],
+                                 "id bigint, schema_text string, title string, columns array<string>")
+    asked = spark.createDataFrame([(1, "t1 t2 t2 zz"), (2, "t6"), (3, "nowhere")], "question_id bigint, text string")
+    bags = lexical.flattened_tokens(rows)
+    expected = {(r.question_id, r.id): (r.bm25_raw, r.lexical)
+                for r in lexical.bm25_scores(lexical.bm25_contributions(asked, bags)).collect()}
+    got = lexical.bm25_rows(asked, bags)
+    held = got.collect()
+    assert len({r.id for r in held}) == len(held)
+    assert {(q, r.id): pair for r in held for q, *pair in zip(r.asked, r.raw, r.scores)} == {
+        key: list(pair) for key, pair in expected.items()}
+    best = lexical.best_rows(got.coalesce(1), 2).collect()
+    for question in (1, 2):
+        wanted = sorted(((pair[1], i) for (q, i), pair in expected.items() if q == question), reverse=True)[:2]
+        assert sorted(((r.lexical, r.id) for r in best if r.question_id == question), reverse=True) == wanted
+
+
+def test_a_task_holds_few_rows_at_once(spark):
+    from askgrid.operators.bounded import SLICE_ROWS, in_slices
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2 * SLICE_ROWS + 1))], names=["id"])
+    assert [part.num_rows for part in in_slices([batch])] == [SLICE_ROWS, SLICE_ROWS, 1]

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from askgrid.session import ensure_checkpoint_dir
+from askgrid.operators.bounded import materialise  # noqa: F401, used by the operators
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -17,18 +15,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
-def materialise(rows: DataFrame, name: str) -> DataFrame:
-    """Write a frame as a table in the shared checkpoint folder and read it back.
-
-    The table survives the loss of executors and is compressed, unlike a
-    checkpoint. It lies below the folder named in ``spark.checkpoint.dir`` and
-    goes when that folder is emptied.
-    """
-    path = f"{ensure_checkpoint_dir(rows.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    rows.write.option("compression", "zstd").parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def fresh(names, *taken) -> list[str]:
     """Names for working columns that clash with none of the given columns."""
     used = {name.lower() for columns in taken for name in columns}

@@ -8,6 +8,8 @@ the components equal those of all pairs of candidates:
    the first round the star is the node whose buckets hold most nodes, later
    ones follow a hash. Pairs are verified, components are merged, and buckets
    whose nodes are all in one component are settled.
+   The rounds end early when few nodes are outside, for each round is many
+   small jobs, whose plans and tasks the driver holds.
 2. What is left is paired completely: a bucket's nodes are dealt to blocks of
    bounded rows and bytes, each node once; only nodes outside of the largest
    component are copied to all blocks of their bucket, so rows are n + outside x
@@ -30,6 +32,7 @@ from askgrid.llm.common import materialise
 from askgrid.operators.components import connected_components
 
 ROUNDS = 5
+PAIRS_PER_ROW = 64
 BLOCK_ROWS = 512
 BLOCK_BYTES = 16 << 20
 
@@ -101,25 +104,36 @@ def merge(labels: DataFrame | None, links: DataFrame, name: str) -> DataFrame:
                        f"{name}-labels")
 
 
+def few_pairs(rows: DataFrame, per_row: int = PAIRS_PER_ROW) -> bool:
+    """Whether pairing the rows of ``open_buckets`` completely takes at most ``per_row`` pairs for each of them."""
+    left = rows.agg(F.sum(F.when(F.col("label") != F.col("major"), F.col("n"))).alias("pairs"),
+                    F.count(F.lit(1)).alias("rows")).first()
+    return (left["pairs"] or 0) <= per_row * left["rows"]
+
+
 def settle(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame],
            across: Callable[[DataFrame], DataFrame], name: str, rounds: int = ROUNDS) -> DataFrame | None:
     """(node, label) of linked nodes, null when nothing is linked.
 
     ``verify`` gives the linked ones of pairs (a, b); ``across`` gives links
     (a, b) between labels of the rows (bucket, node, label, major) that the
-    star rounds leave.
+    star rounds leave. A round that finds few pairs left is left out, and all
+    later ones with it.
     """
     labels = None
     for turn in range(rounds):
         rows = materialise(open_buckets(buckets, labels, turn), f"{name}-open")
         if rows.isEmpty():
             return labels
+        if turn and few_pairs(rows):
+            break
         links = materialise(verify(star_pairs(rows, turn)), f"{name}-stars")
         if not links.isEmpty():
             labels = merge(labels, links, name)
         elif labels is None:
             labels = rows.sparkSession.createDataFrame([], "node long, label long")
-    rows = materialise(open_buckets(buckets, labels, rounds), f"{name}-open")
+    else:
+        rows = materialise(open_buckets(buckets, labels, rounds), f"{name}-open")
     links = materialise(across(rows.select("bucket", "node", "label", "major")), f"{name}-across")
     return labels if links.isEmpty() else merge(labels, links, name)
 

@@ -30,6 +30,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -211,8 +212,9 @@ def inputs_of(words: list[list[str]], label: np.ndarray,
     group = {term: k for k, (terms, _) in enumerate(groups) for term in terms}
     sizes = np.array([len(terms) for terms, _ in groups], int)
     strong = np.array([is_strong for _, is_strong in groups], bool)
-    found = [(i, group[word]) for i, row in enumerate(words) for word in row if word in group]
-    rows, columns = np.array(found, int).reshape(len(found), 2).T
+    rows = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), int, len(words)))
+    columns = np.fromiter((group.get(word, -1) for row in words for word in row), int, len(rows))
+    rows, columns = rows[columns >= 0], columns[columns >= 0]
     cells, counts = np.unique(rows * max(len(groups), 1) + columns, return_counts=True)
     lines, places = np.divmod(cells, max(len(groups), 1))
     hits = np.bincount(rows, strong[columns], len(words)) if groups else np.zeros(len(words))
@@ -220,6 +222,12 @@ def inputs_of(words: list[list[str]], label: np.ndarray,
             np.c_[label * (hits >= 1), label * (hits >= ABUSE_TERMS), label])
 
 
+def shared_words(column: pa.ChunkedArray) -> list[list[str]]:
+    """The lists of an Arrow column; a word that many of them hold is one object."""
+    known: dict[str, str] = {}
+    return [[known.setdefault(word, word) for word in row.as_py() or ()] for row in column]
+
+
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Chain:
     """Fit on the bounded sample of labelled rows; without any, every probability is one half.
 
@@ -233,10 +241,10 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Chain:
     wanted = sorted({term for chosen in (groups, *without.values()) for terms, _ in chosen for term in terms})
     data = rows.select("doc_id", "label", F.array_intersect(
         "terms", F.from_json(F.lit(json.dumps(wanted)), "array<string>")).alias("words")
-        ).orderBy("doc_id", "label", "words").limit(limit).collect()
-    words = [row["words"] for row in data]
-    label = np.array([row["label"] for row in data], int).reshape(len(data))
-    folds = np.array([row["doc_id"] % FOLDS for row in data], int).reshape(len(data))
+        ).orderBy("doc_id", "label", "words").limit(limit).toArrow()
+    words = shared_words(data["words"])
+    label = data["label"].to_numpy().astype(int)
+    folds = data["doc_id"].to_numpy() % FOLDS
     fitted = fit_chain(*inputs_of(words, label, groups), folds, [terms[0] for terms, _ in groups],
                        of_fold={fold: inputs_of(words, label, chosen) for fold, chosen in without.items()})
     sizes = np.array([len(terms) for terms, _ in groups], int)

@@ -4,8 +4,9 @@ Each round keeps, for every node, only links to the least label seen so far
 (the large-star / small-star scheme of Kiveris et al., "Connected Components
 in MapReduce and Beyond", 2014). Minima are combined before the shuffle and a
 hub with very many links is split when its minimum is attached. Every round
-is cut by a checkpoint; the number of rounds grows with the logarithm of the
-longest chain.
+is cut by a table in the checkpoint folder, which takes one job where a
+checkpoint takes two and is read in fewer tasks; the number of rounds grows with
+the logarithm of the longest chain.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askgrid.operators.bounded import cut
+from askgrid.operators.bounded import materialise
 from askgrid.operators.skew import attach_by_key
 
 
@@ -47,11 +48,11 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     ``nodes``: (id). ``edges``: (left, right), undirected, between nodes.
     """
-    current = cut(edges.select(F.greatest("left", "right").alias("u"),
-                               F.least("left", "right").alias("v")).where("u <> v").distinct())
+    current = materialise(edges.select(F.greatest("left", "right").alias("u"),
+                                       F.least("left", "right").alias("v")).where("u <> v").distinct(), "links")
     before = _fingerprint(current)
     while before[0]:
-        current = cut(_small_star(cut(_large_star(current))))
+        current = materialise(_small_star(materialise(_large_star(current), "links")), "links")
         after = _fingerprint(current)
         if after == before:
             break

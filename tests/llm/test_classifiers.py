@@ -1,8 +1,10 @@
 """Quality and toxicity: identities, held-out accuracy, odd rows."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import documents, empty, texts
 from pyspark.sql import functions as F
@@ -111,6 +113,20 @@ def test_inputs_are_shares_of_a_group():
     assert toxicity.inputs_of([["a"]], np.array([1]), [])[0].shape == (1, 0)
 
 
+def test_training_words_take_little_memory():
+    """A word is one object however many rows hold it; its entries are numbers, not Python rows."""
+    column = pa.chunked_array([[["alpha", "beta"], ["beta"]], [None, [], ["beta"]]])
+    words = toxicity.shared_words(column)
+    assert words == [["alpha", "beta"], ["beta"], [], [], ["beta"]]
+    assert words[0][1] is words[1][0] is words[4][0]
+    words = [[f"w{k}" for k in range(100)]] * 2000
+    tracemalloc.start()
+    presence, _ = toxicity.inputs_of(words, np.arange(2000) % 2, [([f"w{k}"], False) for k in range(100)])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(presence.rows) == 200_000 and most < 80 * 200_000
+
+
 def test_odd_rows_and_columns(spark, trained):
     docs = documents(spark)
     scored = quality.with_quality(docs, trained[0]).collect()

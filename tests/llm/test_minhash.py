@@ -120,6 +120,25 @@ def test_blocks_join_all_labels(spark):
         assert found == expected
 
 
+@pytest.mark.parametrize("loose, rounds", [(3, 1), (150, 5)])
+def test_star_rounds_end_when_few_pairs_are_left(spark, loose, rounds):
+    """200 nodes of a bucket; of ``loose`` ones the stars find no link, the complete pairing does."""
+    rows = spark.createDataFrame([(1, node) for node in range(200)], "bucket long, node long")
+    seen = []
+
+    def verify(pairs):
+        seen.append(pairs.count())
+        return pairs.where(F.greatest("a", "b") < 200 - loose)
+
+    def across(left):
+        assert left.where("label <> major").count() == loose
+        return left.where("label <> major").select(F.lit(0).cast("long").alias("a"), F.col("node").alias("b"))
+
+    labels = settle.settle(settle.distinct_buckets(rows, "test"), verify, across, "test")
+    assert {(r.node, r.label) for r in labels.collect()} == {(node, 0) for node in range(200)}
+    assert len(seen) == rounds
+
+
 def test_posterior_bounds():
     rng = np.random.default_rng(3)
     draws = rng.beta(80 + 1, 20 + 1, 400_000)

@@ -32,6 +32,14 @@ def test_components(spark, edges):
     assert {r.id: r.root for r in frame.collect()} == components(nodes, edges)
 
 
+def test_rounds_of_components_are_tables(spark):
+    """A checkpoint would run each round's last stage twice."""
+    edges = spark.range(40).select(F.col("id").alias("left"), (F.col("id") + 1).alias("right"))
+    found = connected_components(spark.range(41), edges)
+    assert "ExistingRDD" not in found._jdf.queryExecution().toString()
+    assert {r.root for r in found.collect()} == {0}
+
+
 def test_cluster_ids(spark):
     members = spark.createDataFrame([(3, 1), (1, 1), (10, 1), (7, 7)], "id bigint, root bigint")
     got = {r.root: (r.cluster_id, r.member_count) for r in cluster_ids(members).collect()}

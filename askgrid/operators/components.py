@@ -38,9 +38,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
             .where("u <> v").distinct())
 
 
-def _fingerprint(edges: DataFrame):
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(
-        F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _is_settled(links: DataFrame) -> bool:
+    """Whether every u has one v that is no u itself; as v < u, it is then the least of its component."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("child")),
+                                          F.struct(F.col("v").alias("id"), F.lit(0).alias("child")))).alias("end"))
+    return (ends.groupBy("end.id").agg(F.sum("end.child").alias("parents"), F.min("end.child").alias("least"))
+            .where((F.col("parents") > 1) | ((F.col("parents") > 0) & (F.col("least") == 0))).isEmpty())
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -50,13 +53,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     current = materialise(edges.select(F.greatest("left", "right").alias("u"),
                                        F.least("left", "right").alias("v")).where("u <> v").distinct(), "links")
-    before = _fingerprint(current)
-    while before[0]:
+    while not _is_settled(current):
         current = materialise(_small_star(materialise(_large_star(current), "links")), "links")
-        after = _fingerprint(current)
-        if after == before:
-            break
-        before = after
     roots = current.select(F.col("u").alias("id"), F.col("v").alias("root"))
     return nodes.select("id").join(roots, "id", "left").withColumn(
         "root", F.coalesce("root", "id"))

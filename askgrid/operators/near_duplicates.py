@@ -5,14 +5,15 @@ similarity of their word sets is at least 0.85, or when it is at least 0.50
 and they share a label.
 
 Equal word sets are collapsed to one node first, so a group of copies, however
-large, becomes one node with a member list in table form. Words are ordered
-from rare to frequent, and nodes are compared through their rarest words: sets
-that reach a similarity share a known number of them (prefix filter, counted).
-Rows of one label and of one class of sizes form a grid of cells of bounded
-size. A task holds one cell, counts the rare words that each two of its rows
-share, and hands on only pairs whose count still allows the similarity, so pairs
-that merely share some words never leave a task. Those left are compared on
-their whole sets. Nothing is dropped, so clusters are those of all pairs.
+large, becomes one node with a member list in table form. A node is compared
+through a sketch: words are dealt to a few bits for each word of the set, and a
+bit is set where an odd number of them fell. Two sketches differ in at most as
+many bits as the sets differ in words, so pairs whose sketches differ in more
+than the similarity allows are no links. Rows of one label and of one class of
+sizes form a grid of cells of bounded size. A task holds the sketches of one
+cell, not the words, compares each two of them, and hands on only pairs that may
+still reach the similarity. Those are compared on their whole sets. Nothing is
+dropped, so clusters are those of all pairs.
 
 Clusters only need connectivity: a node's candidates are then looked at in
 pages, and pairs that earlier pages have connected are left out. Links for
@@ -22,15 +23,18 @@ review are asked for with ``complete``: then every link comes out.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from askgrid.functions import fixed_values as fixed
-from askgrid.functions.unicode import folded_words, normalized
-from askgrid.operators.bounded import broadcast_if_small, cut
+from askgrid.functions.unicode import folded_words, nfkc_folded, normalized
+from askgrid.operators.bounded import broadcast_if_small, materialise
 from askgrid.operators.components import connected_components
 from askgrid.operators.skew import attach_by_key
 
@@ -38,33 +42,47 @@ from askgrid.operators.skew import attach_by_key
 PAGE = 64
 PIVOT_ROUNDS = 3
 
-# Rows and rare words of one block; a cell holds two blocks at most.
-BLOCK_ROWS = 20_000
-BLOCK_WORDS = 2_000_000
+# Rows and bytes of sketches of one block; a cell holds two blocks at most.
+BLOCK_ROWS = 50_000
+BLOCK_BYTES = 16_000_000
 
-# Words are counted in so many slots. Words of one slot count as equally frequent.
-SLOTS = 1 << 21
+# Bits of a sketch for each word, rounded up to a power of two between the least and the most.
+SKETCH_BITS = 4
+LEAST_BITS, MOST_BITS = 128, 1 << 20
+
+# Bits that a cell compares at first at most, and bits set or compared at once.
+FIRST_BITS = 4096
+BITS_AT_ONCE = 1 << 22
 
 # Partitions of cells for each core: cells differ in work more than in bytes.
 CELL_PARTITIONS = 8
 
-# Counters and shared words that a cell holds at once.
-CELL_COUNTERS = 4_000_000
+# Pairs of rows that a cell compares at once.
+CELL_COUNTERS = 1 << 20
 
 
 def prepared_texts(documents: DataFrame) -> DataFrame:
     """(id, label, text_hash, set_hash, words) of (id, label, text).
 
-    ``words`` are 64-bit hashes of the distinct words: fixed-width values that
-    are exploded, shuffled and intersected instead of the strings.
+    ``words`` are the distinct words in order, parted by blanks: as text they
+    compress better than as hashes.
     """
-    words = F.array_sort(folded_words(F.col("text")))
     return (documents.select("id", "label", normalized(F.col("text")).alias("normal"),
-                             words.alias("words"))
+                             _joined_words(F.col("text")).alias("words"))
             .where("normal <> ''")
             .select("id", "label", F.sha2("normal", 256).alias("text_hash"),
-                    F.sha2(F.array_join("words", " "), 256).alias("set_hash"),
-                    F.transform("words", lambda word: F.xxhash64(word)).alias("words")))
+                    F.sha2("words", 256).alias("set_hash"), "words"))
+
+
+def word_sets(documents: DataFrame) -> DataFrame:
+    """(id, label, set_hash, words) of the same rows as ``prepared_texts``, without normalised texts."""
+    written = nfkc_folded(F.coalesce("text", F.lit(""))).rlike(r"(?U)\S")
+    return (documents.where(written).select("id", "label", _joined_words(F.col("text")).alias("words"))
+            .select("id", "label", F.sha2("words", 256).alias("set_hash"), "words"))
+
+
+def _joined_words(text: Column) -> Column:
+    return F.array_join(F.sort_array(folded_words(text)), " ")
 
 
 def exact_groups(prepared: DataFrame) -> DataFrame:
@@ -76,60 +94,80 @@ def exact_groups(prepared: DataFrame) -> DataFrame:
 
 
 def nodes_and_members(prepared: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes (node, words), members (id, node) and labels (node, label)."""
-    groups = prepared.groupBy("set_hash").agg(
-        F.min("id").alias("node"), F.count(F.lit(1)).alias("n"), F.first("words").alias("words"))
-    members = attach_by_key(prepared.select("id", "label", "set_hash"),
-                            groups.select("set_hash", "node", "n"), ["set_hash"], "n")
-    return (groups.select("node", "words"), members.select("id", "node"),
-            members.select("node", "label").distinct())
-
-
-def _prefix_length(threshold: float) -> Column:
-    """How many of its rarest words a set must offer so that any match shares one."""
-    return F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - 1e-9) + 1
-
-
-def _ordered_words(nodes: DataFrame) -> DataFrame:
-    """(node, size, words): the words of each set from rare to frequent, in one order for all sets."""
-    slot = F.pmod(F.col("word"), F.lit(SLOTS))
-    counts = (nodes.select(F.explode("words").alias("word")).groupBy(slot.cast("int").alias("slot"))
-              .agg(F.count(F.lit(1)).alias("n")).toPandas())
-    frequency = np.zeros(SLOTS, dtype=np.int64)
-    frequency[counts["slot"].to_numpy()] = counts["n"].to_numpy()
-    shared = nodes.sparkSession.sparkContext.broadcast(frequency)
-
-    def run(batches):
-        for batch in batches:
-            lists = batch.column("words")
-            words = lists.flatten().to_numpy()
-            sizes = np.diff(lists.offsets.to_numpy())
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            order = np.lexsort((words, shared.value[words % SLOTS], row))
-            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array(sizes.astype(np.int32)),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(words[order]))],
-                names=["node", "size", "words"])
-
-    return (nodes.where("node IS NOT NULL AND words IS NOT NULL").select("node", "words")
-            .mapInArrow(run, "node bigint, size int, words array<bigint>"))
+    """Nodes (node, set_hash, size, sketch, words), members (id, node) and labels (node, label)."""
+    listed = F.when(F.col("words") == "", F.array().cast("array<string>")).otherwise(F.split("words", " "))
+    hashed = prepared.withColumn("hashes", F.transform(listed, lambda word: F.xxhash64(word)))
+    nodes = (hashed.withColumn("sketch", _sketch("hashes")).groupBy("set_hash")
+             .agg(F.min("id").alias("node"), F.first(F.size("hashes")).alias("size"),
+                  F.first("sketch").alias("sketch"), F.first("words").alias("words")))
+    groups = prepared.groupBy("set_hash").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n"))
+    members = attach_by_key(prepared.select("id", "label", "set_hash"), groups, ["set_hash"], "n")
+    return nodes, members.select("id", "node"), members.select("node", "label").distinct()
+
+
+def _bits(sizes: np.ndarray) -> np.ndarray:
+    wanted = np.maximum(sizes * SKETCH_BITS, LEAST_BITS)
+    return np.minimum(1 << np.ceil(np.log2(wanted)).astype(np.int64), MOST_BITS)
+
+
+@F.arrow_udf(BinaryType())
+def _sketch(hashes: pa.Array) -> pa.Array:
+    """Bits where an odd number of a set's words fell."""
+    sizes = hashes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    words, starts, bits = hashes.flatten().to_numpy(), np.cumsum(sizes) - sizes, _bits(sizes)
+    found = [b""] * len(sizes)
+    for width in np.unique(bits):
+        rows = np.flatnonzero(bits == width)
+        step = max(1, BITS_AT_ONCE // int(width))
+        for part in (rows[at:at + step] for at in range(0, len(rows), step)):
+            row = np.repeat(np.arange(len(part)), sizes[part])
+            word = words[np.repeat(starts[part] - (np.cumsum(sizes[part]) - sizes[part]), sizes[part]) + np.arange(len(row))]
+            odd = np.bincount(row * width + (word & (width - 1)), minlength=len(part) * int(width)) & 1
+            packed = np.packbits(odd.astype(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
+            for place, sketch in zip(part, packed):
+                found[place] = sketch.tobytes()
+    return pa.array(found, pa.binary())
+
+
+@F.arrow_udf(BinaryType())
+def _quartered(sketches: pa.Array) -> pa.Array:
+    """Sketches of a quarter of the bits."""
+    found = []
+    for sketch in sketches:
+        words = np.frombuffer(sketch.as_buffer(), dtype=np.uint64)
+        found.append(_folded(words[None, :], max(1, len(words) // 4)).tobytes())
+    return pa.array(found, pa.binary())
+
+
+def _folded(sketches: np.ndarray, width: int) -> np.ndarray:
+    """Sketches of the same sets in ``width`` times 64 bits: one half of the bits is added to the other."""
+    while sketches.shape[1] > width:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def _similarity(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Attach the exact Jaccard similarity to (left, right) pairs; only their own sets are shuffled."""
+    left = sets.select(F.col("node").alias("left"), F.col("words").alias("lw"))
+    right = sets.select(F.col("node").alias("right"), F.col("words").alias("rw"))
+    measured = (pairs.join(left, "left").join(right, "right")
+                .select("left", "right", F.split("lw", " ").alias("lw"), F.split("rw", " ").alias("rw"))
+                .withColumn("shared", F.size(F.array_intersect("lw", "rw"))))
+    return measured.select("left", "right", (
+        F.col("shared") / (F.size("lw") + F.size("rw") - F.col("shared"))).alias("jaccard"))
 
 
-def _similarity(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Attach the exact Jaccard similarity to (left, right) pairs; only their own sets are shuffled."""
+def _sets(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, words) of the ends of pairs, once for each node and set."""
     ends = pairs.select(F.explode(F.array("left", "right")).alias("node")).distinct()
-    held = nodes.join(broadcast_if_small(ends), "node", "left_semi")
-    left = held.select(F.col("node").alias("left"), F.col("words").alias("lw"))
-    right = held.select(F.col("node").alias("right"), F.col("words").alias("rw"))
-    shared = F.size(F.array_intersect("lw", "rw"))
-    return (pairs.join(left, "left").join(right, "right")
-            .withColumn("jaccard", shared / (F.size("lw") + F.size("rw") - shared))
-            .drop("lw", "rw"))
+    named = materialise(nodes.select("node", "set_hash").join(ends, "node", "left_semi"), "ends")
+    return (texts.join(broadcast_if_small(named), ["node", "set_hash"], "left_semi")
+            .dropDuplicates(["node", "set_hash"]).select("node", "words"))
 
 
 def _cells(rows: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """Rows (keys, node, size, words) dealt to cells that hold each pair of matching sizes once.
+    """Rows (keys, node, size, sketch, root, open) dealt to cells that hold each pair of matching sizes once.
 
     Sets of a similarity are in the same class of sizes or in neighbouring ones:
     a row is at home in its class and a guest in the next.
@@ -140,86 +178,135 @@ def _cells(rows: DataFrame, keys: list[str], threshold: float) -> DataFrame:
                .withColumn("guest", F.col("class") > F.col("own")).drop("own"))
     keys = [*keys, "class"]
     sizes = classed.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("guest")).alias("homes"),
-        F.sum(F.size("words")).alias("held")).where("n > 1 AND homes > 0")
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("held") / BLOCK_WORDS)).cast("int")
+        F.count(F.lit(1)).alias("n"),
+        F.max(F.col("open") & ~F.col("guest")).alias("left_over"), F.sum(F.octet_length("sketch")).alias("held")) \
+        .where("n > 1 AND left_over")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("held") / BLOCK_BYTES)).cast("int")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     return (classed.join(sizes.select(*keys, blocks.alias("blocks")), keys)
             .withColumn("block", block)
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select(*keys, F.least("block", "other").alias("row"), F.greatest("block", "other").alias("column"),
-                    "block", "guest", "node", "size", "words", "root"))
+                    "block", "guest", "node", "size", "sketch", "root", "open"))
+
+
+def _first_width(size: int, threshold: float, width: int) -> int:
+    """In how many times 64 bits sets of a size are compared first: as few as tell most unrelated sets apart."""
+    least = 1
+    while least < min(width, FIRST_BITS // 64):
+        bits, apart = 64 * least, 1.7 * size
+        if bits / 2 * (1 - math.exp(-2 * apart / bits)) - 2 * math.sqrt(bits) > 2 * size * (1 - threshold) / (1 + threshold):
+            break
+        least *= 2
+    return least
 
 
-def _shared_in_cell(table: pa.Table, threshold: float, skipped: int, limit: int | None):
-    """(left, right) row numbers whose shared rare words allow the threshold, one page of each left row.
+def _as_numbers(sketches: np.ndarray, sizes: np.ndarray, slack: float, left: bool) -> np.ndarray:
+    """Bits as numbers with two columns more: products of rows are positive where so many bits may differ."""
+    bits = np.unpackbits(sketches.view(np.uint8), axis=1)
+    ends = (bits.sum(axis=1, dtype=np.int64) - slack * sizes) / 2
+    ends = np.stack([np.ones(len(ends)), -ends] if left else [-ends, np.ones(len(ends))], axis=1)
+    return np.concatenate([bits, ends], axis=1, dtype=np.float32)
 
-    Guests come last and are never on the left: they meet each other in their own class. Beside them the left rows that have further ones. Words beyond both rows'
-    rare words, or beyond the last shared one of either row, are counted as shared.
+
+def _near(left: tuple, right: tuple, threshold: float, places: np.ndarray | None):
+    """(left, right) places of rows that may reach the threshold, for a tile of left rows at a time and in order.
+
+    A side is (sizes, sketches) in the order of sizes. ``places`` are those of the left rows
+    among the right ones where both sides are one: then only later rows are looked at.
     """
-    n = table.num_rows
-    lists = table.column("words").combine_chunks()
-    words, width = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-    size, block, guest, root = (table.column(name).to_numpy() for name in ("size", "block", "guest", "root"))
-    across = bool(block.min() != block.max())
-    homes = int(np.count_nonzero(~guest.astype(bool)))
-    beyond = size - width
-    starts = np.cumsum(width) - width
-    row = np.repeat(np.arange(n), width)
-    place_in_row = np.arange(len(words)) - starts[row] + 1
-    _, word, uses = np.unique(words, return_inverse=True, return_counts=True)
-    kept = np.flatnonzero(uses[word] > 1)
-    row, place_in_row, word = row[kept], place_in_row[kept], word[kept]
-    order = np.argsort(word, kind="stable")
-    by_word, at = row[order], place_in_row[order]
-    place = np.empty(len(order), dtype=np.int64)
-    place[order] = np.arange(len(order))
-    reach = np.searchsorted(word[order], word, side="right") - place - 1
-    edges = np.searchsorted(row, np.arange(n + 1))
-    work = np.concatenate([[0], np.cumsum(reach)])[edges]
-    first = 0
-    while first < homes:
-        last = min(homes, first + max(1, CELL_COUNTERS // n),
-                   max(first + 1, int(np.searchsorted(work, work[first] + CELL_COUNTERS, side="right")) - 1))
-        entries = np.arange(edges[first], edges[last])
-        times = reach[entries]
-        entry = np.repeat(entries, times)
-        partner = np.repeat(place[entries] + 1 - (np.cumsum(times) - times), times) + np.arange(len(entry))
-        key = (row[entry] - first) * n + by_word[partner]
-        common = np.bincount(key, minlength=(last - first) * n)
-        left_end, right_end = np.zeros((2, len(common)), dtype=np.int32)
-        left_end[key], right_end[key] = place_in_row[entry], at[partner]
-        hit = np.flatnonzero(common)
-        left, right = hit // n + first, hit % n
-        rest = np.minimum(np.maximum(beyond[left], beyond[right]),
-                          np.minimum(size[left] - left_end[hit], size[right] - right_end[hit]))
-        both, most = size[left] + size[right], np.maximum(size[left], size[right])
-        fit = ((common[hit] + rest >= both * (threshold / (1 + threshold)) - 1e-6)
-               & (both - most >= most * threshold - 1e-6) & ~(guest[left] & guest[right]))
-        if across:
-            fit &= block[left] != block[right]
-        left, right = left[fit], right[fit]
-        rank = np.arange(len(left)) - np.searchsorted(left, left)
-        far = root[left] != root[right]
-        page = far & (rank >= skipped) & (limit is None or rank < skipped + limit)
-        more = left[far & (rank >= skipped + limit)] if limit is not None else left[:0]
-        yield left[page], right[page], np.unique(more)
-        first = last
+    (sizes, sketches), (others, held) = left, right
+    width = min(sketches.shape[1], held.shape[1])
+    sketches, held = _folded(sketches, width), _folded(held, width)
+    slack = (1 - threshold) / (1 + threshold)
+    first = _first_width(int(max(sizes[-1], others[-1])), threshold, width)
+    short, tile = _folded(held, first), max(1, math.isqrt(CELL_COUNTERS))
+    step = max(1, BITS_AT_ONCE // (64 * width))
+    for start in range(0, len(sizes), tile):
+        end = min(start + tile, len(sizes))
+        low = int(np.searchsorted(others, sizes[start] * threshold - 1e-6))
+        high = int(np.searchsorted(others, sizes[end - 1] / threshold + 1e-6, side="right"))
+        if places is not None:
+            low = max(low, int(places[start]) + 1)
+        rows = _as_numbers(_folded(sketches[start:end], first), sizes[start:end], slack, True)
+        found = [np.zeros((2, 0), dtype=np.int64)]
+        for at in range(low, high, tile):
+            to = min(at + tile, high)
+            near = rows @ _as_numbers(short[at:to], others[at:to], slack, False).T > -0.5
+            i, j = np.divmod(np.flatnonzero(near), to - at)
+            i, j = i + start, j + at
+            if places is not None:
+                later = j > places[i]
+                i, j = i[later], j[later]
+            for part in range(0, len(i), step):
+                p, q = i[part:part + step], j[part:part + step]
+                apart = np.bitwise_count(sketches[p] ^ held[q]).sum(axis=1, dtype=np.int64)
+                both, most = sizes[p] + others[q], np.maximum(sizes[p], others[q])
+                fit = (apart <= slack * both + 1e-3) & (both - most >= most * threshold - 1e-6)
+                found.append(np.stack([p[fit], q[fit]]))
+        i, j = np.concatenate(found, axis=1)
+        order = np.argsort(i, kind="stable")
+        yield i[order], j[order]
+
+
+def _by_width(sketches: pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and sketches, apart for each length of sketches."""
+    lengths = pc.binary_length(sketches).to_numpy()
+    groups = []
+    for length in np.unique(lengths):
+        rows = np.flatnonzero(lengths == length)
+        data = b"".join(sketches.take(pa.array(rows)).to_pylist())
+        groups.append((rows, np.frombuffer(data, dtype=np.uint64).reshape(len(rows), -1)))
+    return groups
+
+
+def _candidates_in_cell(table: pa.Table, threshold: float, skipped: int, limit: int | None):
+    """(left, right) row numbers that may reach the threshold, one page of each left row, and left rows with further ones.
+
+    Rows are in the order of sizes. Guests are never on the left: they meet each other in their
+    own class. Of two blocks only pairs across are looked at, and only open rows are on the left.
+    """
+    sizes, block, guest, root, opened = (
+        table.column(name).to_numpy() for name in ("size", "block", "guest", "root", "open"))
+    sizes, home, opened = sizes.astype(np.int64), ~guest.astype(bool), opened.astype(bool)
+    one, two = block == block.min(), block == block.max()
+    across = block.min() != block.max()
+    sides = [(one & home, two & home), (one & home, two & ~home), *([(two & home, one & ~home)] if across else [])]
+    groups = _by_width(table.column("sketch"))
+    for number, (lefts, rights) in enumerate(sides):
+        same = number == 0 and not across
+        for turn, (left, left_sketches) in enumerate(groups):
+            chosen = (lefts & opened)[left]
+            places = np.flatnonzero(opened[left[lefts[left]]])
+            left, left_sketches = left[chosen], left_sketches[chosen]
+            for right, right_sketches in groups[turn if same else 0:]:
+                itself = same and right_sketches is groups[turn][1]
+                met = rights[right]
+                right, right_sketches = right[met], right_sketches[met]
+                if not len(left) or not len(right):
+                    continue
+                for i, j in _near((sizes[left], left_sketches), (sizes[right], right_sketches), threshold,
+                                  places if itself else None):
+                    rank = np.arange(len(i)) - np.searchsorted(i, i)
+                    i, j = left[i], right[j]
+                    far = root[i] != root[j]
+                    page = far & (rank >= skipped) & (limit is None or rank < skipped + limit)
+                    more = i[far & (rank >= skipped + limit)] if limit is not None else i[:0]
+                    yield i[page], j[page], np.unique(more)
 
 
 def _candidates(rows: DataFrame, keys: list[str], threshold: float, skipped: int = 0,
                 limit: int | None = None) -> DataFrame:
     """(left, right) pairs that may reach the threshold; ``right`` is null where a node has further pages."""
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("guest", "ascending"), ("node", "ascending")])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches).sort_by([("size", "ascending"), ("node", "ascending")])
         node = table.column("node").to_numpy()
-        found = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        for part in _shared_in_cell(table, threshold, skipped, limit):
-            for held, rows_of in zip(found, part):
-                held.append(node[rows_of])
-        left, right, more = (np.concatenate(held) for held in found)
-        return pa.table({"left": pa.array(np.concatenate([np.minimum(left, right), more])),
-                         "right": pa.concat_arrays([pa.array(np.maximum(left, right)), pa.nulls(len(more), pa.int64())])})
+        for left, right, more in _candidates_in_cell(table, threshold, skipped, limit):
+            left, right, more = node[left], node[right], node[more]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([np.minimum(left, right), more])),
+                 pa.concat_arrays([pa.array(np.maximum(left, right)), pa.nulls(len(more), pa.int64())])],
+                names=["left", "right"])
 
     keys, spark = [*keys, "class", "row", "column"], rows.sparkSession
     dealt = _cells(rows, keys[:-3], threshold).repartition(
@@ -227,17 +314,19 @@ def _candidates(rows: DataFrame, keys: list[str], threshold: float, skipped: int
     return dealt.groupBy(*keys).applyInArrow(run, "left bigint, right bigint")
 
 
-def _measured(rows: list[tuple[DataFrame, list[str], float]], nodes: DataFrame, skipped: int = 0,
-              limit: int | None = None) -> tuple[DataFrame, bool]:
-    """(left, right, jaccard) of a page of candidates, and whether some node has further ones."""
+def _measured(rows: list[tuple[DataFrame, list[str], float]], nodes: DataFrame, texts: DataFrame, skipped: int = 0,
+              limit: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(left, right, jaccard) of a page of candidates, and the nodes that have further ones, if any."""
     found = None
     for frame, keys, threshold in rows:
         part = _candidates(frame, keys, threshold, skipped, limit)
         found = part if found is None else found.unionByName(part)
-    found = cut(found.distinct())
-    more = limit is not None and not found.where("right IS NULL").isEmpty()
+    found = materialise(found.distinct(), "candidates")
     pairs = found.where("right IS NOT NULL")
-    return cut(_similarity(pairs, nodes).where(F.col("jaccard") >= fixed.SAME_LABEL_JACCARD - 1e-12)), more
+    measured = materialise(_similarity(pairs, _sets(pairs, nodes, texts))
+                           .where(F.col("jaccard") >= fixed.SAME_LABEL_JACCARD - 1e-12), "measured")
+    more = found.where("right IS NULL").select(F.col("left").alias("node")).distinct()
+    return measured, None if limit is None or more.isEmpty() else more
 
 
 def _with_reasons(measured: DataFrame, labels: DataFrame) -> DataFrame:
@@ -256,35 +345,39 @@ def _with_reasons(measured: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def node_links(nodes: DataFrame, labels: DataFrame, large: int = PAGE,
-               complete: bool = False) -> DataFrame:
+               complete: bool = False, texts: DataFrame | None = None) -> DataFrame:
     """(left, right, jaccard, reasons) between nodes: all links, or enough to connect every cluster.
 
     ``large`` is the number of candidates of a node in the first page; after
-    ``PIVOT_ROUNDS`` pages the rest is one page.
+    ``PIVOT_ROUNDS`` pages the rest is one page. ``texts`` is a table with the
+    words of all rows (id, set_hash, words); else they are taken from the nodes.
     """
     high, low = fixed.NEAR_DUPLICATE_JACCARD, fixed.SAME_LABEL_JACCARD
-    nodes = cut(nodes)
-    rare = cut(_ordered_words(nodes).withColumn("words", F.slice("words", F.lit(1), _prefix_length(low).cast("int"))))
-    labels = cut(labels)
-    short = rare.withColumn("words", F.slice("words", F.lit(1), _prefix_length(high).cast("int")))
-    labelled = rare.join(labels.where("label IS NOT NULL"), "node")
-
-    def rows(roots=None):
-        parts = [(short, [], high), (labelled, ["label"], low)]
-        if roots is None:
-            return [(frame.withColumn("root", F.col("node")), keys, t) for frame, keys, t in parts]
-        known = roots.select(F.col("id").alias("node"), "root")
+    texts = nodes.select("node", "set_hash", "words") if texts is None else texts.select(
+        F.col("id").alias("node"), "set_hash", "words")
+    nodes = materialise(nodes.where("node IS NOT NULL AND size > 0").select("node", "set_hash", "size", "sketch"), "nodes")
+    labels = materialise(labels, "labels")
+    labelled = nodes.join(labels.where("label IS NOT NULL"), "node")
+
+    def rows(known=None):
+        parts = [(nodes.withColumn("sketch", _quartered("sketch")), [], high), (labelled, ["label"], low)]
+        if known is None:
+            return [(frame.withColumn("root", F.col("node")).withColumn("open", F.lit(True)), keys, t)
+                    for frame, keys, t in parts]
         return [(frame.join(known, "node"), keys, t) for frame, keys, t in parts]
 
     if complete:
-        return _with_reasons(_measured(rows(), nodes)[0], labels)
-    links, roots, skipped, limit = None, None, 0, large
+        return _with_reasons(_measured(rows(), nodes, texts)[0], labels)
+    links, known, skipped, limit = None, None, 0, large
     for turn in range(PIVOT_ROUNDS + 1):
-        measured, more = _measured(rows(roots), nodes, skipped, limit if turn < PIVOT_ROUNDS else None)
+        measured, more = _measured(rows(known), nodes, texts, skipped, limit if turn < PIVOT_ROUNDS else None)
         found = _with_reasons(measured, labels)
-        links = cut(found if links is None else links.unionByName(found).distinct())
-        if not more:
+        links = materialise(found if links is None else links.unionByName(found).distinct(), "node-links")
+        if more is None:
             break
-        roots = cut(connected_components(nodes.select(F.col("node").alias("id")), links))
+        roots = connected_components(nodes.select(F.col("node").alias("id")), links)
+        known = materialise(roots.select(F.col("id").alias("node"), "root").distinct()
+                            .join(more.withColumn("further", F.lit(True)), "node", "left")
+                            .select("node", "root", F.coalesce("further", F.lit(False)).alias("open")), "roots")
         skipped, limit = skipped + limit, limit * large
     return links

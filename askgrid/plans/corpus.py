@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from askgrid.operators import minimise as rules
 from askgrid.operators import near_duplicates as dup
-from askgrid.operators.bounded import cut, spread
+from askgrid.operators.bounded import cut, materialise, spread
 from askgrid.operators.components import cluster_ids, connected_components
 from askgrid.operators.minimise import business_text, minimise, redact_secrets
 from askgrid.operators.sampling import allocate, first_match, hash_positions
@@ -57,10 +57,16 @@ def texts(t):
         F.col("doc_id").alias("id"), F.col("source").alias("label"), "text")
 
 
+def word_sets(t):
+    """The words of every document, written once."""
+    return materialise(dup.word_sets(texts(t)), "word-sets")
+
+
 def clustered(t):
     """(id, root) of every document."""
-    nodes, members, labels = dup.nodes_and_members(cut(dup.prepared_texts(texts(t))))
-    links = dup.node_links(nodes, labels)
+    sets = word_sets(t)
+    nodes, members, labels = dup.nodes_and_members(sets)
+    links = dup.node_links(nodes, labels, texts=sets)
     roots = connected_components(nodes.select(F.col("node").alias("id")), links)
     members = members.withColumnRenamed("node", "n")
     return members.join(roots.select(F.col("id").alias("n"), "root"), "n").select("id", "root")
@@ -82,8 +88,9 @@ SELECT left_node, right_node, round(jaccard, 6) AS jaccard,
   AS reasons FROM links""")
 def near_duplicate_links(t):
     """Review links between distinct word sets, each named by its least document id."""
-    nodes, _, labels = dup.nodes_and_members(cut(dup.prepared_texts(texts(t))))
-    return dup.node_links(nodes, labels, complete=True).select(
+    sets = word_sets(t)
+    nodes, _, labels = dup.nodes_and_members(sets)
+    return dup.node_links(nodes, labels, complete=True, texts=sets).select(
         F.col("left").alias("left_node"), F.col("right").alias("right_node"),
         F.round("jaccard", 6).alias("jaccard"), "reasons")
 

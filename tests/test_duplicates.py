@@ -1,11 +1,13 @@
 import hashlib
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from askgrid.operators import near_duplicates as dup
 from askgrid.operators.components import cluster_ids, connected_components
+from askgrid.session import ensure_checkpoint_dir
 
 
 def components(nodes, edges):
@@ -139,3 +141,37 @@ def test_pairs_that_merely_share_some_words_are_not_compared(spark, monkeypatch)
     got = {(r.left, r.right) for r in dup.node_links(nodes, labels, complete=True).collect()}
     assert got == {(i, 200 + i) for i in range(5)}
     assert sum(compared) < 100
+
+
+def folder_bytes(spark):
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    return sum(file.stat().st_size for file in folder.rglob("*") if file.is_file())
+
+
+def test_links_leave_less_on_disk_than_the_words_take(spark):
+    """Word hashes were written and dealt to cells again and again; sketches take a bit of that."""
+    rng = random.Random(3)
+    rows = [(i, f"s{i % 2}", " ".join(f"w{rng.randrange(100_000)}" for _ in range(250))) for i in range(400)]
+    rows += [(1000 + i, "s3", rows[i][2] + " more") for i in range(5)]
+    frame = spark.createDataFrame(rows, "id bigint, label string, text string")
+    before = folder_bytes(spark)
+    nodes, _, labels = dup.nodes_and_members(dup.prepared_texts(frame))
+    found = dup.node_links(nodes, labels, complete=True).collect()
+    assert {(r.left, r.right) for r in found} == {(i, 1000 + i) for i in range(5)}
+    assert folder_bytes(spark) - before < 8 * 250 * len(rows) / 2
+
+
+def test_sketches_never_rule_out_a_link():
+    """Bits of a sketch differ in no more places than the sets in words, folded or not."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    sets = [[rng.randrange(-2**63, 2**63) for _ in range(rng.choice([1, 3, 40, 300]))] for _ in range(12)]
+    sets += [[*words[:-1], rng.randrange(2**63)] for words in sets]
+    sketches = [np.frombuffer(x, dtype=np.uint64) for x in dup._sketch.func(pa.array(sets, pa.list_(pa.int64()))).to_pylist()]
+    for a, left in zip(sets, sketches):
+        for b, right in zip(sets, sketches):
+            for width in (1, 2, min(len(left), len(right))):
+                bits = dup._folded(left[None, :], width) ^ dup._folded(right[None, :], width)
+                assert np.bitwise_count(bits).sum() <= len(set(a) ^ set(b))

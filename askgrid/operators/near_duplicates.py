@@ -60,6 +60,10 @@ CELL_PARTITIONS = 8
 # Pairs of rows that a cell compares at once.
 CELL_COUNTERS = 1 << 20
 
+# Bytes of words of the candidates around one node that stay together, and bytes of words and pairs compared in one task.
+FAMILY_BYTES = 1_500_000
+BUCKET_BYTES, BUCKET_PAIRS = 8_000_000, 500_000
+
 
 def prepared_texts(documents: DataFrame) -> DataFrame:
     """(id, label, text_hash, set_hash, words) of (id, label, text).
@@ -148,22 +152,67 @@ def _folded(sketches: np.ndarray, width: int) -> np.ndarray:
 
 
 def _similarity(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Attach the exact Jaccard similarity to (left, right) pairs; only their own sets are shuffled."""
-    left = sets.select(F.col("node").alias("left"), F.col("words").alias("lw"))
-    right = sets.select(F.col("node").alias("right"), F.col("words").alias("rw"))
-    measured = (pairs.join(left, "left").join(right, "right")
-                .select("left", "right", F.split("lw", " ").alias("lw"), F.split("rw", " ").alias("rw"))
-                .withColumn("shared", F.size(F.array_intersect("lw", "rw"))))
-    return measured.select("left", "right", (
-        F.col("shared") / (F.size("lw") + F.size("rw") - F.col("shared"))).alias("jaccard"))
+    """Attach the exact Jaccard similarity to (left, right, labelled) pairs.
+
+    A set is sent to each task once, not with each pair: nodes go with the least node
+    that is a candidate of theirs, and many of them are cut into parts.
+    """
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("left").alias("node"), F.col("right").alias("other")),
+                                          F.struct(F.col("right").alias("node"), F.col("left").alias("other")))).alias("end"))
+    anchors = ends.groupBy("end.node").agg(F.min("end.other").alias("other")).select(
+        "node", F.least("node", "other").alias("anchor"))
+    weighed = anchors.join(sets.groupBy("node").agg(F.sum("bytes").alias("bytes")), "node")
+    parts = weighed.groupBy("anchor").agg(F.ceil(F.sum("bytes") / FAMILY_BYTES).alias("parts"))
+    placed = materialise(weighed.join(parts, "anchor").select(
+        "node", F.xxhash64("anchor", F.pmod(F.xxhash64("node"), "parts")).alias("place")), "placed")
+    held, many = sets.agg(F.sum("bytes")).first()[0] or 0, pairs.count()
+    buckets = max(1, math.ceil(2 * held / BUCKET_BYTES), math.ceil(many / BUCKET_PAIRS))
+    dealt = materialise(
+        pairs.join(placed.select(F.col("node").alias("left"), F.col("place").alias("at")), "left")
+        .join(placed.select(F.col("node").alias("right"), F.col("place").alias("to")), "right")
+        .select("left", "right", "labelled", F.pmod(F.xxhash64("at", "to"), F.lit(buckets)).cast("int").alias("bucket")), "dealt")
+    needed = (dealt.select(F.col("bucket").alias("to"), F.explode(F.array("left", "right")).alias("node")).distinct()
+              .join(sets.select("node", "words"), "node"))
+    return dealt.groupBy("bucket").cogroup(needed.groupBy("to")).applyInArrow(
+        _jaccards, "left bigint, right bigint, labelled boolean, jaccard double")
+
+
+def _jaccards(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    """Pairs with the similarity of their sets; a node that stands for several sets is compared in each."""
+    sets = sets.sort_by("node")
+    node = sets.column("node").to_numpy()
+    lists = pc.split_pattern(sets.column("words").combine_chunks(), " ")
+    starts, words = lists.offsets.to_numpy(), lists.flatten().dictionary_encode()
+    sizes, vocabulary, words = np.diff(starts), len(words.dictionary), words.indices.to_numpy()
+    left, right = pairs.column("left").to_numpy(), pairs.column("right").to_numpy()
+    lefts, rights = (np.searchsorted(node, end, side="right") - np.searchsorted(node, end) for end in (left, right))
+    pair = np.repeat(np.arange(len(left)), lefts * rights)
+    turn = np.arange(len(pair)) - np.repeat(np.cumsum(lefts * rights) - lefts * rights, lefts * rights)
+    i = np.searchsorted(node, left)[pair] + turn // rights[pair]
+    j = np.searchsorted(node, right)[pair] + turn % rights[pair]
+    order = np.argsort(i, kind="stable")
+    pair, i, j = pair[order], i[order], j[order]
+    shared, marked = np.zeros(len(pair), dtype=np.int64), np.zeros(vocabulary, dtype=bool)
+    edges = np.flatnonzero(np.diff(i, prepend=-1, append=-1))
+    for start, end in zip(edges[:-1], edges[1:]):
+        own, met = words[starts[i[start]]:starts[i[start] + 1]], j[start:end]
+        marked[own] = True
+        begins = np.cumsum(sizes[met]) - sizes[met]
+        at = np.repeat(starts[met] - begins, sizes[met]) + np.arange(sizes[met].sum())
+        shared[start:end] = np.add.reduceat(marked[words[at]], begins, dtype=np.int64)
+        marked[own] = False
+    return pa.table({"left": left[pair], "right": right[pair],
+                     "labelled": pairs.column("labelled").take(pa.array(pair)),
+                     "jaccard": shared / (sizes[i] + sizes[j] - shared)})
 
 
 def _sets(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, words) of the ends of pairs, once for each node and set."""
+    """(node, words, bytes) of the ends of pairs, once for each node and set."""
     ends = pairs.select(F.explode(F.array("left", "right")).alias("node")).distinct()
     named = materialise(nodes.select("node", "set_hash").join(ends, "node", "left_semi"), "ends")
-    return (texts.join(broadcast_if_small(named), ["node", "set_hash"], "left_semi")
-            .dropDuplicates(["node", "set_hash"]).select("node", "words"))
+    return materialise(texts.join(broadcast_if_small(named), ["node", "set_hash"], "left_semi")
+                       .dropDuplicates(["node", "set_hash"])
+                       .select("node", "words", F.octet_length("words").alias("bytes")), "sets")
 
 
 def _cells(rows: DataFrame, keys: list[str], threshold: float) -> DataFrame:
@@ -316,39 +365,35 @@ def _candidates(rows: DataFrame, keys: list[str], threshold: float, skipped: int
 
 def _measured(rows: list[tuple[DataFrame, list[str], float]], nodes: DataFrame, texts: DataFrame, skipped: int = 0,
               limit: int | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """(left, right, jaccard) of a page of candidates, and the nodes that have further ones, if any."""
+    """(left, right, jaccard, reasons) of the links in a page of candidates, and the nodes that have further ones, if any.
+
+    Each of ``rows`` is (rows, keys, threshold): pairs found under a label as key have it in common.
+    """
     found = None
     for frame, keys, threshold in rows:
-        part = _candidates(frame, keys, threshold, skipped, limit)
+        part = _candidates(frame, keys, threshold, skipped, limit).withColumn("labelled", F.lit(bool(keys)))
         found = part if found is None else found.unionByName(part)
-    found = materialise(found.distinct(), "candidates")
+    found = materialise(found.groupBy("left", "right").agg(F.max("labelled").alias("labelled")), "candidates")
     pairs = found.where("right IS NOT NULL")
-    measured = materialise(_similarity(pairs, _sets(pairs, nodes, texts))
-                           .where(F.col("jaccard") >= fixed.SAME_LABEL_JACCARD - 1e-12), "measured")
+    measured = materialise(_with_reasons(_similarity(pairs, _sets(pairs, nodes, texts))), "measured")
     more = found.where("right IS NULL").select(F.col("left").alias("node")).distinct()
     return measured, None if limit is None or more.isEmpty() else more
 
 
-def _with_reasons(measured: DataFrame, labels: DataFrame) -> DataFrame:
+def _with_reasons(measured: DataFrame) -> DataFrame:
     """(left, right, jaccard, reasons) of measured pairs that are links."""
-    high = fixed.NEAR_DUPLICATE_JACCARD
-    left = labels.select(F.col("node").alias("left"), "label")
-    right = labels.select(F.col("node").alias("right"), "label")
-    shared = (measured.join(left, "left").join(right, ["right", "label"])
-              .select("left", "right").distinct().withColumn("labelled", F.lit(True)))
-    reasons = F.array_join(F.filter(F.array(
-        F.when(F.col("jaccard") >= high - 1e-12, "jaccard"),
-        F.when(F.col("labelled"), "same_label")), lambda reason: reason.isNotNull()), ",")
-    return (measured.join(shared, ["left", "right"], "left")
-            .where((F.col("jaccard") >= high - 1e-12) | F.col("labelled"))
-            .select("left", "right", "jaccard", reasons.alias("reasons")))
+    high = F.col("jaccard") >= fixed.NEAR_DUPLICATE_JACCARD - 1e-12
+    labelled = F.col("labelled") & (F.col("jaccard") >= fixed.SAME_LABEL_JACCARD - 1e-12)
+    reasons = F.array_join(F.filter(F.array(F.when(high, "jaccard"), F.when(labelled, "same_label")),
+                                    lambda reason: reason.isNotNull()), ",")
+    return measured.where(high | labelled).select("left", "right", "jaccard", reasons.alias("reasons"))
 
 
 def node_links(nodes: DataFrame, labels: DataFrame, large: int = PAGE,
                complete: bool = False, texts: DataFrame | None = None) -> DataFrame:
     """(left, right, jaccard, reasons) between nodes: all links, or enough to connect every cluster.
 
-    ``large`` is the number of candidates of a node in the first page; after
+    Where not all links are asked for, a reason may be missing. ``large`` is the number of candidates of a node in the first page; after
     ``PIVOT_ROUNDS`` pages the rest is one page. ``texts`` is a table with the
     words of all rows (id, set_hash, words); else they are taken from the nodes.
     """
@@ -367,11 +412,10 @@ def node_links(nodes: DataFrame, labels: DataFrame, large: int = PAGE,
         return [(frame.join(known, "node"), keys, t) for frame, keys, t in parts]
 
     if complete:
-        return _with_reasons(_measured(rows(), nodes, texts)[0], labels)
+        return _measured(rows(), nodes, texts)[0]
     links, known, skipped, limit = None, None, 0, large
     for turn in range(PIVOT_ROUNDS + 1):
-        measured, more = _measured(rows(known), nodes, texts, skipped, limit if turn < PIVOT_ROUNDS else None)
-        found = _with_reasons(measured, labels)
+        found, more = _measured(rows(known), nodes, texts, skipped, limit if turn < PIVOT_ROUNDS else None)
         links = materialise(found if links is None else links.unionByName(found).distinct(), "node-links")
         if more is None:
             break

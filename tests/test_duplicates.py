@@ -175,3 +175,43 @@ def test_sketches_never_rule_out_a_link():
             for width in (1, 2, min(len(left), len(right))):
                 bits = dup._folded(left[None, :], width) ^ dup._folded(right[None, :], width)
                 assert np.bitwise_count(bits).sum() <= len(set(a) ^ set(b))
+
+
+def test_a_set_goes_to_a_task_once(spark, monkeypatch):
+    """Every pair carried the words of one of its sets through the shuffle."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, "s0", " ".join(words + [f"x{i}"])) for i in range(40)]
+    frame = spark.createDataFrame(rows, "id bigint, label string, text string")
+    sent, jaccards = spark.sparkContext.accumulator(0), dup._jaccards
+
+    def counted(pairs, sets):
+        sent.add(sets.num_rows)
+        return jaccards(pairs, sets)
+
+    monkeypatch.setattr(dup, "_jaccards", counted)
+    nodes, _, labels = dup.nodes_and_members(dup.prepared_texts(frame))
+    found = dup.node_links(nodes, labels, complete=True).collect()
+    assert len({(r.left, r.right) for r in found}) == 40 * 39 / 2
+    assert {r.reasons for r in found} == {"jaccard,same_label"}
+    assert sent.value == 40
+
+
+def test_later_pages_deal_only_cells_with_nodes_that_have_further_candidates(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, "s0", " ".join(words + [f"x{i}"])) for i in range(20)]
+    rows += [(100 + i, f"s{1 + i % 3}", " ".join(rng.sample([f"v{n}" for n in range(5000)], 400))) for i in range(90)]
+    frame = spark.createDataFrame(rows, "id bigint, label string, text string")
+    dealt, cells = [], dup._cells
+
+    def counted(*args):
+        found = cells(*args)
+        dealt.append(found.where("node >= 100").count())
+        return found
+
+    monkeypatch.setattr(dup, "_cells", counted)
+    nodes, _, labels = dup.nodes_and_members(dup.prepared_texts(frame))
+    roots = connected_components(nodes.select(F.col("node").alias("id")), dup.node_links(nodes, labels, 3))
+    assert {r.root for r in roots.where("id < 100").collect()} == {0}
+    assert roots.where("id >= 100 AND root = id").count() == 90
+    assert sum(dealt[:2]) > 0 and len(dealt) > 2 and sum(dealt[2:]) == 0

@@ -226,13 +226,14 @@ def _cells(rows: DataFrame, keys: list[str], threshold: float) -> DataFrame:
                .withColumn("class", F.explode(F.array(F.col("own"), F.col("own") + 1)))
                .withColumn("guest", F.col("class") > F.col("own")).drop("own"))
     keys = [*keys, "class"]
-    sizes = classed.groupBy(*keys).agg(
+    held = classed.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.max(F.col("open") & ~F.col("guest")).alias("left_over"), F.sum(F.octet_length("sketch")).alias("held")) \
         .where("n > 1 AND left_over")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("held") / BLOCK_BYTES)).cast("int")
+    sizes = materialise(held.select(*keys, blocks.alias("blocks")), "cells")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    return (classed.join(sizes.select(*keys, blocks.alias("blocks")), keys)
+    return (classed.join(broadcast_if_small(sizes), keys)
             .withColumn("block", block)
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select(*keys, F.least("block", "other").alias("row"), F.greatest("block", "other").alias("column"),

@@ -215,3 +215,38 @@ def test_later_pages_deal_only_cells_with_nodes_that_have_further_candidates(spa
     assert {r.root for r in roots.where("id < 100").collect()} == {0}
     assert roots.where("id >= 100 AND root = id").count() == 90
     assert sum(dealt[:2]) > 0 and len(dealt) > 2 and sum(dealt[2:]) == 0
+
+
+def test_rows_are_shuffled_to_their_cells_once(spark):
+    """A join with the sizes of the cells dealt all sketches by label and class first."""
+    rows = [(i, "s0", 50 + i % 3, bytes(16), i, True) for i in range(20)]
+    frame = spark.createDataFrame(rows, "node bigint, label string, size int, sketch binary, root bigint, open boolean")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cells = dup._cells(frame, ["label"], 0.5)
+        plan = cells._jdf.queryExecution().executedPlan().toString()
+        assert cells.count() == 20
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_one_inspected_member_removes_its_cluster(spark, tmp_path):
+    """Through the query, with a copy, a near copy, a text without words, nulls and unrelated texts."""
+    from askgrid.plans import corpus
+    from askgrid.sources.tables import Tables
+
+    words = [f"w{i}" for i in range(50)]
+    texts = {1: " ".join(words), 2: " ".join(words), 3: " ".join(words + ["x"]), 4: "other words here", 5: "...", 6: " ", 7: None,
+             8: " ".join(f"v{i}" for i in range(40)), 9: " ".join(f"v{i}" for i in range(41))}
+    spark.createDataFrame([(i, text, "en", "s0", len(text or "")) for i, text in texts.items()],
+                          "doc_id bigint, text string, lang string, source string, n_chars int") \
+        .write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(3, 1, 1), (8, 1, 0), (4, 0, None)], "doc_id bigint, quality int, toxic int") \
+        .write.parquet(f"{tmp_path}/labels.parquet")
+    before = folder_bytes(spark)
+    tables = Tables(spark, str(tmp_path))
+    assert {(r.root, r.member_count) for r in corpus.contamination_filter(tables).collect()} == {(4, 1), (5, 1), (8, 2)}
+    assert {(r.id, r.root) for r in corpus.duplicate_clusters(tables).collect()} == {
+        (1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (8, 8), (9, 8)}
+    assert folder_bytes(spark) > before
